@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality_rules, sharding
+from . import chat, quality_rules, repeats, sharding, simhash
 from .common import table, text_of
 
 
@@ -45,8 +45,20 @@ def op7_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & F.col("kept")).alias("kept"))
 
 
+def op9_lempel_ziv_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digests(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = (op2_hypergeometric_shards, op3_typed_chat, op7_rule_cascade, op9_lempel_ziv_repeats, op10_golay_simhash)
+
+
 def queries():
-    return {f.__name__: f for f in (op2_hypergeometric_shards, op3_typed_chat, op7_rule_cascade)}
+    return {f.__name__: f for f in QUERIES}
 
 
 _OP3 = r"""

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality_rules, repeats, sharding, simhash
+from . import chat, decontaminate, quality_model, quality_rules, repeats, secrets, sharding, simhash
 from .common import table, text_of
 
 
+def op1_seeded_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", (F.octet_length(text_of("text")) + 1).cast("long").alias("size"), F.crc32(text_of("text").cast("binary")).cast("long").alias("text_crc32")
@@ -38,6 +42,21 @@ def op3_typed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+THRESHOLD = 0.3
+
+
+def quality_trees(spark: SparkSession, sf_dir: str, docs: DataFrame):
+    """The trees of op5 and of the pipeline, learnt from the labels that are not held out."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality_model.learnt(docs, labels.filter(~quality_model.held_out("doc_id")), "doc_id", "text", "quality")
+
+
+def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality_model.scored(docs, quality_trees(spark, sf_dir, docs), "text", ["doc_id"])
+    return out.select("doc_id", quality_model.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality_rules.quality_rules(docs)
@@ -45,6 +64,15 @@ def op7_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & F.col("kept")).alias("kept"))
 
 
+def op8_owned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select(
+        F.col("id").alias("doc_id"), n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans")
+    )
+
+
 def op9_lempel_ziv_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_digests(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
 
@@ -54,7 +82,7 @@ def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = (op2_hypergeometric_shards, op3_typed_chat, op7_rule_cascade, op9_lempel_ziv_repeats, op10_golay_simhash)
+QUERIES = (op1_seeded_alignment, op2_hypergeometric_shards, op3_typed_chat, op5_quality_trees, op7_rule_cascade, op8_owned_secrets, op9_lempel_ziv_repeats, op10_golay_simhash)
 
 
 def queries():

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, quality_model, quality_rules, repeats, secrets, sharding, simhash
+from . import bpe, chat, decontaminate, quality_model, quality_rules, repeats, secrets, sharding, simhash, token_files
 from .common import table, text_of
 
 
@@ -42,6 +44,21 @@ def op3_typed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _digests(ids, decoded):
+    return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+
+
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def op4_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode_decode(docs, ranks, public_tokenizers.PATTERN, finish=_digests, schema=DIGESTS).withColumnRenamed("id", "doc_id")
+
+
 THRESHOLD = 0.3
 
 
@@ -57,6 +74,14 @@ def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality_model.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder, parts = token_files.write(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read(spark, folder, parts, row=token_files.crc32, column="ids_crc32 long")
+
+
 def op7_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality_rules.quality_rules(docs)
@@ -82,7 +107,7 @@ def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = (op1_seeded_alignment, op2_hypergeometric_shards, op3_typed_chat, op5_quality_trees, op7_rule_cascade, op8_owned_secrets, op9_lempel_ziv_repeats, op10_golay_simhash)
+QUERIES = (op1_seeded_alignment, op2_hypergeometric_shards, op3_typed_chat, op4_distinct_word_bpe, op5_quality_trees, op6_token_files, op7_rule_cascade, op8_owned_secrets, op9_lempel_ziv_repeats, op10_golay_simhash)
 
 
 def queries():

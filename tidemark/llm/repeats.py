@@ -1,7 +1,7 @@
 """Substring dedup by relative Lempel-Ziv parsing: words under long factors shared with an earlier document go.
 
 A document is parsed against an index of all documents. The parse's phrases have ends that the words
-themselves choose: each window of 13 words names its smallest 5-word hash (the anchor), and a phrase is a run
+themselves choose: each window of 13 words names its smallest 7-word hash (the anchor), and a phrase is a run
 of windows with one anchor. A phrase depends on nothing but its own words, so looking all phrases up in the
 reference blocks is an equi-join, and a block is a partition of the index; consecutive phrases that are found
 make one factor. A phrase found whole in an earlier document is a duplicate span. At factor boundaries a phrase
@@ -9,9 +9,10 @@ is cut short, and there its windows are checked one by one against the other phr
 Together that finds exactly the windows whose 13 words also start in a document with a smaller id: equal
 windows have the same anchor, so they lie in equal phrases or in two phrases of one anchor.
 
-Two scans: the first counts anchors, and leaves a bitmap (of fixed size) of those with two documents or
-more; the second keeps only phrases whose anchor may be one of those. The bitmap only spares work: when it is
-full, all phrases go on. Phrases are compared by 128 bits of hash, single windows by 64.
+Three scans: the first counts anchors, and leaves a bitmap (of fixed size) of those with two documents or
+more; the second keeps only phrases whose anchor may be one of those; the third gives the windows of anchors
+that stand in different phrases, from a second such bitmap. The bitmaps only spare work: when they are full,
+all phrases and windows go on. Phrases are compared by 96 bits of hash (32 of them the anchor's), windows by 64.
 
 Defined results: a null text counts as empty; rows with a null id are returned unchanged and refer to nothing;
 rows that repeat an id never refer to each other; a text shorter than 13 words has nothing removed; an empty
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from . import arrays
 from .common import text_of, written
 
-WINDOW, ANCHOR = 13, 5
+WINDOW, ANCHOR = 13, 7
 SPAN = WINDOW - ANCHOR + 1  # anchors that a window can choose from
 #: Bits of the broadcast bitmaps, whatever the size of the input: 16 MB.
 BITMAP_BITS = 1 << 27
@@ -86,8 +87,8 @@ def _in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _candidates(shared):
-    """(doc, mark, text) to the phrases whose anchor may be in two documents or more."""
+def _chosen(shared, emit, names: list[str]):
+    """(doc, mark, text) to rows of the phrases whose anchor is in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -100,40 +101,43 @@ def _candidates(shared):
                 anchor, at, n, document = (x[keep] for x in found[:4])
                 if not len(at):
                     continue
-                hashes, first = found[4:]
-                w = arrays.window_hashes(hashes, WINDOW)
-                v = arrays.window_hashes(hashes, WINDOW, which=1)
-                size = n.astype(np.uint64)
-                s1 = arrays.mixed(w[at] * np.uint64(3) + w[at + n - 1] * np.uint64(5) + size)
-                s2 = arrays.mixed(v[at] * np.uint64(7) + v[at + n - 1] * np.uint64(9) + size)
-                ends = np.cumsum(n)
-                flat = np.repeat(at - (ends - n), n) + np.arange(ends[-1])
-                own = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(w[flat].view(np.int64)))
-                row = i + document
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (anchor, s1.view(np.int64), s2.view(np.int64), ids[row], marks[row], (at - first[document]).astype(np.int32), n.astype(np.int32))] + [own],
-                    ["a", "s1", "s2", "doc", "mark", "start", "n", "w"],
-                )
+                w = arrays.window_hashes(found[4], WINDOW)
+                columns = emit(anchor, at, n, i + document, at - found[5][document], w, ids, marks)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
 
     return run
 
 
+def _phrase_rows(anchor, at, n, row, start, w, ids, marks):
+    # The first and the last window of a phrase hold all its words.
+    whole = arrays.mixed(w[at] * np.uint64(3) + w[at + n - 1] * np.uint64(5) + n.astype(np.uint64))
+    return anchor.astype(np.int32), whole.view(np.int64), ids[row], marks[row], (16 * start + n).astype(np.int32)
+
+
+def _window_rows(anchor, at, n, row, start, w, ids, marks):
+    ends = np.cumsum(n)
+    step = np.arange(ends[-1]) - np.repeat(ends - n, n)
+    row = np.repeat(row, n)
+    return w[np.repeat(at, n) + step].view(np.int64), ids[row], marks[row], (np.repeat(start, n) + step).astype(np.int32)
+
+
 def spans(docs: DataFrame) -> DataFrame:
-    """docs: doc (long, not null), mark (long), text. (doc, mark, spans): arrays of (start, n), n repeated windows from word start on."""
+    """docs: doc (long, not null), mark (int), text. (doc, mark, spans): arrays of 16 * start + n, for n (at most SPAN) repeated windows from word start on."""
     sc = docs.sparkSession.sparkContext
+    named = docs.select("doc", "mark", "text")
     anchors = docs.select("doc", "text").mapInArrow(_anchors, "a long, doc long")
     often = anchors.groupBy("a").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
-    shared = sc.broadcast(bitmap(often, "a"))
-    found = written(docs.select("doc", "mark", "text").mapInArrow(_candidates(shared), "a long, s1 long, s2 long, doc long, mark long, start int, n int, w array<long>"), "phrases")
-    index = found.groupBy("s1", "s2").agg(F.min("doc").alias("low"))
-    whole = found.select("s1", "s2", "doc", "mark", "start", "n").join(index, ["s1", "s2"]).filter("doc > low").select("doc", "mark", "start", "n")
-    # What no earlier document has whole: one row a phrase and document, with its windows.
-    firsts = written(found.join(index, ["s1", "s2"]).filter("doc = low").select("a", "s1", "doc", "mark", "start", "w"), "firsts")
-    cut = firsts.groupBy("a").agg(F.min("s1").alias("x"), F.max("s1").alias("y"), F.min("doc").alias("low"), F.max("doc").alias("high")).filter("x < y AND low < high").select("a")
-    border = firsts.join(cut, "a", "left_semi").select("doc", "mark", "start", F.posexplode("w").alias("j", "w"))
-    single = border.groupBy("w").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("w", "low")
-    checked = border.join(single, "w").filter("doc > low").select("doc", "mark", (F.col("start") + F.col("j")).alias("start"), F.lit(1).alias("n"))
-    return whole.union(checked).groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    candidates = _chosen(sc.broadcast(bitmap(often, "a")), _phrase_rows, ["a", "s", "doc", "mark", "span"])
+    found = written(named.mapInArrow(candidates, "a int, s long, doc long, mark int, span int"), "phrases")
+    index = written(found.groupBy("a", "s").agg(F.min("doc").alias("low")), "index")
+    whole = found.join(index, ["a", "s"]).filter("doc > low").select("doc", "mark", "span")
+    # Different phrases with one anchor may share windows: where a factor ends.
+    cut = index.groupBy("a").agg(F.min("s").alias("x"), F.max("s").alias("y"), F.min("low").alias("low"), F.max("low").alias("high")).filter("x < y AND low < high")
+    border = _chosen(sc.broadcast(bitmap(cut, "a")), _window_rows, ["w", "doc", "mark", "start"])
+    windows = written(named.mapInArrow(border, "w long, doc long, mark int, start int"), "windows")
+    first = windows.groupBy("w").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("w", "low")
+    single = windows.join(first, "w").filter("doc > low").select("doc", "mark", (F.col("start") * 16 + 1).alias("span"))
+    return whole.union(single).groupBy("doc", "mark").agg(F.collect_list("span").alias("spans"))
 
 
 def _kept(words: list[bytes], begin: np.ndarray, n: np.ndarray) -> list[bytes]:
@@ -173,15 +177,15 @@ def _removed(batches):
             words = (t.as_py() or "").encode().split()
             left = words
             if s.is_valid and words:
-                flat = s.values
-                left = _kept(words, np.asarray(flat.field("start")).astype(np.int64), np.asarray(flat.field("n")).astype(np.int64))
+                span = np.asarray(s.values).astype(np.int64)
+                left = _kept(words, span >> 4, span & 15)
             gone.append(len(words) - len(left))
             text.append(b" ".join(left).decode())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.int64()), pa.array(text, pa.string())], ["id", "n_removed", "kept"])
 
 
 def _marked(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_of(text)).alias("mark"), text_of(text).alias("text"))
+    return df.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_of(text)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("mark"), text_of(text).alias("text"))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -198,7 +202,7 @@ def repeat_digests(df: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     found = written(spans(docs.filter("doc IS NOT NULL")), "spans")
     key = F.xxhash64("doc", "mark")
     touched = df.sparkSession.sparkContext.broadcast(bitmap(found.select(key.alias("k")), "k"))
-    split = docs.withColumn("k", key).select("doc", "mark", "text", "k").mapInArrow(_split(touched), "id long, mark long, n_words long, sha string, text string")
+    split = docs.withColumn("k", key).select("doc", "mark", "text", "k").mapInArrow(_split(touched), "id long, mark int, n_words long, sha string, text string")
     joined = split.join(found.select(F.col("doc").alias("id"), "mark", "spans"), ["id", "mark"], "left")
     return joined.mapInArrow(_finished, "id long, n_words long, n_removed long, kept_sha256 string")
 

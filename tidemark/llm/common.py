@@ -8,11 +8,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: White space of the word definition `[^\x20\x09-\x0D]+`, as a Java character class.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -45,7 +48,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges: columns a, b (any orderable type, a != b, no nulls). Returns node, component: the smallest
     node reachable. Every node takes the smallest label around it and then its label's label, so chains
     halve each round. One row a node is kept, in a written table a round; an empty graph gives no rows.
+    Before the rounds each node's links to smaller ones become one link to the smallest and links of the others to
+    that one, which many nodes have in common in a dense group.
     """
+    down = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    edges = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(least.select("a", "m"))
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     for _ in range(max_rounds):

@@ -160,7 +160,7 @@ def _linker(block: int, final: bool):
 def linked(fps: DataFrame, block: int = 2_000) -> DataFrame:
     """fps: distinct fingerprints in column fp. Links (a, b) whose components are those of all links at DISTANCE or less."""
     keyed = fps.select("fp").mapInArrow(_keyed, "key int, fp long")
-    found = written(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_linker(block, False), "a long, b long, blocks int"), "links")
+    found = written(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_linker(block, False), "a long, b long, blocks int"), "links")
     links = found.filter("blocks = 0").select("a", "b").distinct()
     hot = found.filter("blocks > 0")
     if hot.isEmpty():
@@ -170,7 +170,7 @@ def linked(fps: DataFrame, block: int = 2_000) -> DataFrame:
     dealt = hot.select(F.col("b").alias("key"), F.col("a").alias("fp"), mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     group = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
     dealt = dealt.select(group.alias("key"), "fp")
-    more = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_linker(block, True), "a long, b long, blocks int")
+    more = dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_linker(block, True), "a long, b long, blocks int")
     return links.union(more.select("a", "b")).distinct()
 
 

@@ -23,10 +23,9 @@ def domain_offenders(df: DataFrame, column: str, allowed: list[str]) -> DataFram
 
 def same_population(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """One row: keys only in a, keys only in b, and whether the populations are equal."""
-    left, right = a.select(key).distinct(), b.select(key).distinct()
-    only_a = left.join(right, key, "left_anti").agg(F.count(F.lit(1)).alias("n_only_a"))
-    only_b = right.join(left, key, "left_anti").agg(F.count(F.lit(1)).alias("n_only_b"))
-    return only_a.join(only_b).withColumn("same", (F.col("n_only_a") == 0) & (F.col("n_only_b") == 0))  # one row with one row
+    left, right = a.select(key, F.lit(True).alias("_a")).distinct(), b.select(key, F.lit(True).alias("_b")).distinct()
+    both = left.join(right, key, "full_outer").agg(F.count_if(F.col("_b").isNull()).alias("n_only_a"), F.count_if(F.col("_a").isNull()).alias("n_only_b"))
+    return both.withColumn("same", (F.col("n_only_a") == 0) & (F.col("n_only_b") == 0))
 
 
 def common_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Registered queries and their SQL, by area."""
 
-from . import windows
+from . import aggregates, files, functions, joins, plans, quality, windows
 
-AREAS = (windows,)
+AREAS = (windows, joins, aggregates, functions, quality, plans, files)
 
 
 def queries():

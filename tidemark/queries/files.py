@@ -1,0 +1,116 @@
+"""Queries A01 to A21: jobs over files, and the same jobs over text columns of the driver tables.
+
+Workbooks and archives are covered by tests on generated files; the queries here read tables of any size.
+"""
+
+from __future__ import annotations
+
+from ..functions import text
+from ..operators import quality
+from ..sources import files, publish
+from .base import F, Registry, p, q_receipts, table
+
+QUERIES = Registry()
+
+
+@QUERIES.add("a01_coerced_scan", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS period, o_totalprice FROM orders")
+def a01(s, d):
+    df = table(s, d, "orders")
+    return df.select("o_orderkey", F.try_to_timestamp(F.col("o_orderdate").cast("string")).cast("date").alias("period"), F.col("o_totalprice").try_cast("double").alias("o_totalprice"))
+
+
+@QUERIES.add("a04_melt_by_dictionary", """
+SELECT c_custkey, coalesce(section, 'UNMAPPED') AS section, sum(CAST(v AS DOUBLE)) * 1000 AS value FROM (SELECT c_custkey, unnest(['B1', 'B2', 'C1', 'Z1']) AS field, unnest([c_nationkey, c_custkey % 7, c_custkey % 11, 1]) AS v FROM customer)
+JOIN (VALUES ('B1', 'B'), ('B2', 'B'), ('C1', 'C'), ('Z1', NULL)) x(field, section) USING (field) GROUP BY ALL""")
+def a04(s, d):
+    wide = table(s, d, "customer").select("c_custkey", F.col("c_nationkey").alias("B1"), (F.col("c_custkey") % 7).alias("B2"), (F.col("c_custkey") % 11).alias("C1"), F.lit(1).alias("Z1"), F.lit(9).alias("unused"))
+    dictionary = s.createDataFrame([("B1", "B"), ("B2", "B"), ("C1", "C"), ("Z1", None)], "field string, section string")
+    return files.melted(wide, dictionary, ["c_custkey"])
+
+
+@QUERIES.add("a05_admitted_files", "SELECT page_id, page_id % 5 AS schema_id, 'missing_dictionary' AS reason FROM pages WHERE page_id % 5 NOT IN (SELECT DISTINCT n_nationkey % 4 FROM nation)")
+def a05(s, d):
+    listing = table(s, d, "pages").select("page_id", (F.col("page_id") % 5).alias("schema_id"))
+    return files.admitted(listing, table(s, d, "nation").select((F.col("n_nationkey") % 4).alias("schema_id")), "schema_id")[1]
+
+
+@QUERIES.add("a06_distinct_content", """
+SELECT doc_id, sha256(text) AS sha256, count(*) OVER (PARTITION BY text) AS n_copies FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY 'doc_' || doc_id || '.txt') = 1""")
+def a06(s, d):
+    docs = table(s, d, "documents").select("doc_id", F.concat(F.lit("/raw/doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
+    return files.distinct_files(docs).select("doc_id", "sha256", "n_copies")
+
+
+@QUERIES.add("a07_dated_names", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS cutoff, CAST(o_orderdate AS DATE) - 1 AS period FROM orders")
+def a07(s, d):
+    name = F.concat(F.lit("/raw/report_"), F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit(".zip"))
+    return files.dated_names(table(s, d, "orders").select("o_orderkey", name.alias("path"))).select("o_orderkey", "cutoff", "period")
+
+
+@QUERIES.add("a11_html_links", r"""
+SELECT page_id, CAST(i - 1 AS INT) AS place, l[i] AS href FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1) AS l FROM pages))""")
+def a11(s, d):
+    return files.html_links(table(s, d, "pages"), "page_id", "html")
+
+
+@QUERIES.add("a12_split_status", "SELECT page_id FROM pages WHERE page_id % 4 <> 0")
+def a12(s, d):
+    rows = table(s, d, "pages").select("page_id", F.col("url").alias("path"), F.when(F.col("page_id") % 4 == 0, "BadZipFile").alias("error"))
+    return files.split_status(rows)[0].select("page_id")
+
+
+@QUERIES.add("a16_publishable", "SELECT region_id, CAST(NULL AS VARCHAR) AS region_name_ru, period, ytd AS pit_ytd_rub, flow AS pit_flow_rub FROM receipts", "receipts")
+def a16(s, d):
+    df = q_receipts(s, d).withColumnsRenamed({"ytd": "pit_ytd_rub", "flow": "pit_flow_rub"})
+    return publish.publishable("pit_receipts", df).select("region_id", "region_name_ru", "period", "pit_ytd_rub", "pit_flow_rub")
+
+
+@QUERIES.add("a16_table_summary", "SELECT 'receipts' AS table_name, count(*) AS n_rows, min(period) AS earliest, max(period) AS latest, count(DISTINCT region_id) AS n_regions FROM receipts", "receipts")
+def a16_summary(s, d):
+    return publish.summary("receipts", q_receipts(s, d))
+
+
+@QUERIES.add("a18_checksum_mismatches", "SELECT 'hash_agrees' AS check_id, count(*) AS observed FROM documents WHERE doc_id % 20 = 5")
+def a18(s, d):
+    docs = table(s, d, "documents")
+    name = F.col("doc_id").cast("string").alias("source_file")
+    facts = docs.select(name, F.sha2("text", 256).alias("source_sha256"))
+    manifest = docs.select(name, F.when(F.col("doc_id") % 20 == 5, "changed").otherwise(F.sha2("text", 256)).alias("sha256"))
+    return quality.check_provenance(facts, manifest).filter("check_id = 'hash_agrees'").select("check_id", "observed")
+
+
+@QUERIES.add("a20_inventory", "SELECT doc_id, lang AS family, strlen(text) AS bytes, sha256(text) AS sha256, count(*) OVER (PARTITION BY text) AS n_equal FROM documents")
+def a20(s, d):
+    docs = table(s, d, "documents").select(F.concat_ws(".", F.col("doc_id").cast("string"), "lang").alias("path"), F.octet_length("text").cast("long").alias("length"), F.col("text").cast("binary").alias("content"))
+    return files.inventory(docs).select(F.split("name", "\\.")[0].cast("long").alias("doc_id"), "family", "bytes", "sha256", "n_equal")
+
+
+@QUERIES.add("a21_text_profile", """
+, x AS (SELECT lang, len(string_split(line, ' ')) AS width, string_split(line, ' ')[1] AS k FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents)), w AS (SELECT lang, width, count(*) AS n FROM x GROUP BY ALL), k AS (SELECT lang, sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS r FROM (SELECT lang, k, count(*) AS n FROM x GROUP BY ALL) GROUP BY lang)
+SELECT lang, CAST(sum(n) AS BIGINT) AS n_lines, arg_max(width, struct_pack(a := n, b := width)) AS width, CAST(any_value(r) AS BIGINT) AS n_repeated_keys, CAST(sum(n) - max(n) AS BIGINT) AS n_other_widths FROM w JOIN k USING (lang) GROUP BY lang""".replace("\n, x AS", "\nWITH x AS", 1))
+def a21(s, d):
+    lines = table(s, d, "documents").select("lang", F.explode(F.split("text", "\n")).alias("value"))
+    return files.text_profile(lines, " ", group="lang").drop("n_grouped_numbers")
+
+
+@QUERIES.add("b19_sanitized", r"""
+SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\s*[:=]\s*["'']?[A-Za-z0-9+/_.=-]{6,}', '[credential]', 'g'), 'AKIA[A-Z0-9]{16,}', '[access_key]', 'g'), '(?i)https?://[^\s"'']*[?&](x-amz-signature|signature|sig|token)=[^\s"''&]+', '[signed_url]', 'g'), '(/Users/|/home/|[A-Za-z]:\\Users\\)[^\s"'']+', '[machine_path]', 'g')) AS clean FROM documents""")
+def b19_sanitized(s, d):
+    return table(s, d, "documents").select("doc_id", F.sha2(text.sanitized("text"), 256).alias("clean"))
+
+
+@QUERIES.add("l33_gated_summary", "SELECT 'receipts' AS table_name, count(*) AS n_rows, min(period) AS earliest, max(period) AS latest, count(DISTINCT region_id) AS n_regions FROM receipts", "receipts")
+def l33(s, d):
+    """The gate of the whole pipeline (validate, then publish) over receipts; publishing itself is tested on files."""
+    df = q_receipts(s, d)
+    quality.gate(quality.validate_dataset("receipts", df, ["region_id", "section", "period"], "flow", period_end="quarter"))
+    return publish.summary("receipts", df)
+
+
+@QUERIES.add("l35_coverage_audit", """
+, c AS (SELECT region_id, period, CASE WHEN r IS NULL OR e IS NULL THEN 'blocked' WHEN abs(r - e - b) <= 0.02 THEN 'passed' ELSE 'failed' END AS status FROM (SELECT region_id, period, max(CASE WHEN metric_code = 'revenue_total' THEN actual_ytd_rub END) AS r, max(CASE WHEN metric_code = 'expenditure_total' THEN actual_ytd_rub END) AS e, max(CASE WHEN metric_code = 'budget_balance' THEN actual_ytd_rub END) AS b FROM fiscal GROUP BY ALL))
+SELECT status, count(*) AS n FROM c GROUP BY status""", "fiscal")
+def l35(s, d):
+    found = quality.accounting_checks(p.fiscal(s, d)).filter("check_id = 'revenue_minus_spending_is_balance'")
+    status = F.when(F.col("status") == "not_assessable", "blocked").otherwise(F.col("status"))
+    return found.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))

@@ -40,12 +40,22 @@ class _Numbers(dict):
         return n
 
 
-def _blocks(pattern: str, block_bytes: int, words_wanted: bool, id_at: int = 0):
-    """(id, text) to a row a distinct word (block, number, word), or a row a document (block, id, sequence, its length)."""
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^24, byte by byte, so that equal high bytes lie together."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes.T).tobytes())
+
+
+def _unpacked(blob: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(3, n).astype(np.uint32)
+    return planes[0] | planes[1] << 8 | planes[2] << 16
+
+
+def _blocks(pattern: str, block_bytes: int, words_wanted: bool, id_type: pa.DataType):
+    """(id, text) to a row a distinct word (block, number, word), or a row for each few documents (block, ids, lengths, sequence)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, numbers, size, block = Splitter(pattern), _Numbers(), 0, TaskContext.get().partitionId() << 20
-        pack = zstandard.ZstdCompressor(level=3).compress
 
         def words():
             keys = list(numbers)
@@ -55,27 +65,36 @@ def _blocks(pattern: str, block_bytes: int, words_wanted: bool, id_at: int = 0):
                     [pa.array([block] * len(part), pa.int64()), pa.array(range(i, i + len(part)), pa.int32()), pa.array([w.encode() for w in part], pa.binary())], ["block", "number", "word"]
                 )
 
+        def documents(ids, held):
+            return pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([list(map(len, held))], pa.list_(pa.int32())), pa.array([_packed(np.concatenate(held))], pa.binary())],
+                ["block", "ids", "lengths", "sequence"],
+            )
+
+        ids, held, n = [], [], 0
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                rows = batch.slice(i, 256)
-                sequences, lengths = [], []
-                for t in rows.column(1).to_pylist():
-                    t = t or ""
-                    n = list(map(numbers.__getitem__, split(t)))
-                    size += len(t)
-                    if not words_wanted:
-                        planes = np.array(n, "<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-                        sequences.append(pack(np.ascontiguousarray(planes.T).tobytes()))
-                        lengths.append(len(n))
+            for x, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                t = t.as_py() or ""
+                found = list(map(numbers.__getitem__, split(t)))
+                size += len(t)
                 if not words_wanted:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([block] * len(rows), pa.int64()), rows.column(0), pa.array(sequences, pa.binary()), pa.array(lengths, pa.int32())], ["block", "id", "sequence", "length"]
-                    )
-                if size >= block_bytes:
+                    ids.append(x)
+                    held.append(np.array(found, np.uint32))
+                    n += len(found)
+                full = size >= block_bytes
+                if held and (full or n >= 500_000 or len(held) >= 512):
+                    yield documents(ids, held)
+                    ids, held, n = [], [], 0
+                if full or len(numbers) > (1 << 24) - (1 << 20):
+                    if held:
+                        yield documents(ids, held)
+                        ids, held, n = [], [], 0
                     if words_wanted:
                         yield from words()
                     numbers.clear()
                     size, block = 0, block + 1
+        if held:
+            yield documents(ids, held)
         if words_wanted:
             yield from words()
 
@@ -93,16 +112,21 @@ def _encoding(path: str, pattern: str):
     return _encodings[path]
 
 
+def _id_kind(ranks: dict) -> str:
+    return "<u2" if max(ranks.values()) < 1 << 16 else "<u4"
+
+
 def _encoded_words(path: str, pattern: str):
     """Rows (block, number, word) sorted by word: each distinct word is encoded once."""
 
     def run(batches):
-        encode, last, ids = _encoding(path, pattern)[0].encode_ordinary, None, b""
+        encoding, ranks = _encoding(path, pattern)
+        encode, kind, last, ids = encoding.encode_ordinary, _id_kind(ranks), None, b""
         for batch in batches:
             out = []
             for w in batch.column(2).to_pylist():
                 if w != last:
-                    last, ids = w, np.array(encode(w.decode()), "<u4").tobytes()
+                    last, ids = w, np.array(encode(w.decode()), kind).tobytes()
                 out.append(ids)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "number", "ids"])
 
@@ -116,27 +140,30 @@ def _assembled(path: str, pattern: str, finish: Callable, names: list[str], id_t
         table = [token_bytes.get(i, b"") for i in range(max(token_bytes) + 1)]
         number = np.asarray(words["number"].combine_chunks())
         column = words["ids"].combine_chunks().cast(pa.large_binary()) if len(words) else None
-        flat, at, size = np.zeros(0, "<u4"), np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+        kind = np.dtype(_id_kind(ranks))
+        flat, at, size = np.zeros(0, kind), np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
         if column is not None:
             if len(number) != number.max() + 1 or len(np.unique(number)) != len(number):
                 raise ValueError("the words of a block are not those that its documents were numbered by")
             _, offsets, data = column.buffers()
-            offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] // 4
-            flat = np.frombuffer(data, "<u4")
+            offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] // kind.itemsize
+            flat = np.frombuffer(data, kind)
             at[number], size[number] = offsets[:-1], np.diff(offsets)
-        unpack, done = zstandard.ZstdDecompressor().decompress, []
-        for sequence, length in zip(documents["sequence"], documents["length"].to_pylist(), strict=True):
-            if not length:
-                done.append(finish(np.zeros(0, "<u4"), b""))
-                continue
-            planes = np.frombuffer(unpack(sequence.as_py()), np.uint8).reshape(3, length).astype(np.uint32)
-            n = planes[0] | planes[1] << 8 | planes[2] << 16
-            sizes = size[n]
-            ends = np.cumsum(sizes)
-            ids = flat[np.repeat(at[n] - (ends - sizes), sizes) + np.arange(ends[-1])]
-            done.append(finish(ids, b"".join(map(table.__getitem__, ids.tolist()))))
+        done, names_of = [], []
+        for keys, lengths, sequence in zip(documents["ids"], documents["lengths"], documents["sequence"], strict=True):
+            names_of += keys.as_py()
+            ends = np.cumsum(lengths.as_py())
+            numbers = _unpacked(sequence.as_py(), int(ends[-1]))
+            for n in np.split(numbers, ends[:-1]):
+                if not len(n):
+                    done.append(finish(np.zeros(0, "<u4"), b""))
+                    continue
+                sizes = size[n]
+                stop = np.cumsum(sizes)
+                ids = flat[np.repeat(at[n] - (stop - sizes), sizes) + np.arange(stop[-1])].astype("<u4")
+                done.append(finish(ids, b"".join(map(table.__getitem__, ids.tolist()))))
         columns = list(zip(*done, strict=True)) if done else [[] for _ in names]
-        return pa.Table.from_arrays([documents["id"].cast(id_type), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], ["id", *names])
+        return pa.Table.from_arrays([pa.array(names_of, id_type), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], ["id", *names])
 
     return run
 
@@ -152,11 +179,11 @@ def encode_decode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    words = rows.mapInArrow(_blocks(pattern, block_bytes, True), "block long, number int, word binary")
-    back = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded_words(ranks, pattern), "block long, number int, ids binary")
-    sequences = rows.mapInArrow(_blocks(pattern, block_bytes, False), f"block long, id {kind}, sequence binary, length int")
     out = _parse_datatype_string(schema)
     types = [f.type for f in to_arrow_schema(out)]
     id_type = to_arrow_schema(rows.select("id").schema)[0].type
+    words = rows.mapInArrow(_blocks(pattern, block_bytes, True, id_type), "block long, number int, word binary")
+    back = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded_words(ranks, pattern), "block long, number int, ids binary")
+    sequences = rows.mapInArrow(_blocks(pattern, block_bytes, False, id_type), f"block long, ids array<{kind}>, lengths array<int>, sequence binary")
     run = _assembled(ranks, pattern, finish, out.fieldNames(), id_type, types)
     return sequences.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, f"id {kind}, {schema}")

@@ -22,15 +22,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at THRESHOLD or more stay."""
     keep = docs.columns
     trees = quality_trees(spark, sf_dir, docs)
-    return quality_model.scored(docs, trees, "text", keep).filter(F.col("score") >= THRESHOLD).select(*keep)
+    return quality_model.scored(docs, trees, "text", keep, "_tidemark_score").filter(F.col("_tidemark_score") >= THRESHOLD).select(*keep)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
     groups = simhash.near_duplicates(docs)
     gone = written(groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "copies")
-    left = docs.withColumn("_text", F.xxhash64(text_of("text"))).join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
-    return left.dropDuplicates(["doc_id", "_text"]).drop("_text")
+    left = docs.withColumn("_tidemark_text", F.xxhash64(text_of("text"))).join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+    return left.dropDuplicates(["doc_id", "_tidemark_text"]).drop("_tidemark_text")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,7 +108,7 @@ def _scan(at: int):
 def scanned(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """The columns in keep, with spans and weak candidates of each text."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-    return df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(_scan(len(keep)), f"{kinds}, {SCANNED}")
+    return df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_tidemark_text")).mapInArrow(_scan(len(keep)), f"{kinds}, {SCANNED}")
 
 
 def ownership(candidates: DataFrame, most_owners: int = 1) -> DataFrame:
@@ -152,14 +152,16 @@ def _redact(batches):
 
 def redacted(df: DataFrame, owner: str = "source", repository: str = "lang", most_owners: int = 1) -> DataFrame:
     """df (with a column text) with every span replaced by `<|kind|>`; overlapping spans give one mark each, all else stays."""
-    columns, none = df.columns, lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
-    marked = df.withColumns({"_owner": none(owner), "_repository": none(repository)})
-    found = written(scanned(marked, "text", marked.columns).withColumn("_row", F.monotonically_increasing_id()), "secrets")
-    each = found.select("_row", F.col("_owner").alias("owner"), F.col("_repository").alias("repository"), F.explode("weak").alias("c")).select("_row", "owner", "repository", "c.*")
+    none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
+    # The row travels as one struct, so that no column's name can clash.
+    packed = df.select(F.struct(*df.columns).alias("doc"), none(owner).alias("owner"), none(repository).alias("repository"), F.col("text").alias("text"))
+    found = written(scanned(packed, "text", ["doc", "owner", "repository"]).withColumn("row", F.monotonically_increasing_id()), "secrets")
+    each = found.select("row", "owner", "repository", F.explode("weak").alias("c")).select("row", "owner", "repository", "c.*")
     live = ownership(each, most_owners).filter("live").select("hash")
-    owned = each.join(live, "hash").groupBy("_row").agg(F.collect_list(F.struct(F.lit("owned").alias("kind"), "start", "end")).alias("owned"))
+    owned = each.join(live, "hash").groupBy("row").agg(F.collect_list(F.struct(F.lit("owned").alias("kind"), "start", "end")).alias("owned"))
     clean = (F.size("spans") == 0) & (F.size("weak") == 0)
-    none_owned = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    rest = found.filter(~clean).join(owned, "_row", "left").select(*columns, F.concat("spans", F.coalesce("owned", none_owned)).alias("_spans"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return found.filter(clean).select(*columns).union(rest.mapInArrow(_redact, kinds))
+    all_of = F.concat("spans", F.coalesce("owned", F.array().cast("array<struct<kind:string,start:int,end:int>>")))
+    rest = found.filter(~clean).join(owned, "row", "left").select("doc", F.col("doc.text").alias("text"), all_of.alias("_spans"))
+    done = rest.mapInArrow(_redact, f"doc {df.select(F.struct(*df.columns).alias('doc')).schema['doc'].dataType.simpleString()}, text string")
+    done = done.select(*[F.col("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in df.columns])
+    return found.filter(clean).select("doc.*").union(done)

@@ -8,6 +8,7 @@ a row with its error, and the others go on.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -99,7 +100,7 @@ def read_delimited(spark: SparkSession, path: str | list[str], schema: str, patt
     """
     first = spark.read.option("wholetext", False).option("pathGlobFilter", pattern).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
     heads = first.filter("at = 0").groupBy("file").agg(F.max(F.length(F.regexp_replace("value", "[^;]", ""))).alias("semicolons"))
-    files = {r["file"]: ";" if r["semicolons"] else "," for r in heads.collect()}
+    files = {unquote(r["file"]): ";" if r["semicolons"] else "," for r in heads.collect()}  # the metadata column is URL-encoded
     out = None
     for sep in sorted(set(files.values())):
         mine = [f for f, s in files.items() if s == sep]

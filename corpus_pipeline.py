@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, quality_model, secrets, simhash
 from tidemark.llm.common import table, text_of, written
-from tidemark.llm.queries import DIGESTS, THRESHOLD, _digests, quality_trees
+from tidemark.llm.queries import DIGESTS, THRESHOLD, digests_and_ids, quality_trees
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,12 +50,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    finish = _with_ids
-    return bpe.encode_decode(docs, ranks, public_tokenizers.PATTERN, finish=finish, schema=f"{DIGESTS}, token_ids binary").withColumnRenamed("id", "doc_id")
-
-
-def _with_ids(ids, decoded):
-    return *_digests(ids, decoded), ids.astype("<u4").tobytes()
+    return bpe.encode_decode(docs, ranks, public_tokenizers.PATTERN, finish=digests_and_ids, schema=f"{DIGESTS}, token_ids binary").withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

@@ -48,6 +48,10 @@ def _digests(ids, decoded):
     return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
+def digests_and_ids(ids, decoded):
+    return *_digests(ids, decoded), ids.astype("<u4").tobytes()
+
+
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 

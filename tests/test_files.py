@@ -98,7 +98,8 @@ def test_publish(spark, tmp_path):
         publish.promote({"regions": df}, events, f"{tmp_path}/out")
     with pytest.raises(ValueError, match="unique_grain"):
         publish.promote({"regions": df.union(df)}, quality.validate("regions", df.union(df)), f"{tmp_path}/other")
-    assert set(files.load_tables(spark, f"{tmp_path}/out", CONTRACTS)) == {"regions"}
+    found, errors = files.load_tables(spark, f"{tmp_path}/out", CONTRACTS)
+    assert set(found) == {"regions"} and found["regions"].count() == 1 and not errors
     publish.write_csv(df.withColumn("tags", F.array(F.lit("a"))).withColumn("none", F.lit(None).cast("string")), f"{tmp_path}/csv", compressed=True)
     back = files.read_gzip(spark, f"{tmp_path}/csv", "region_id string, region_code string, a string, b string, c string, d string, tags string, none string").first()
     assert back.region_code == "77" and back.tags == '["a"]' and back.none is None

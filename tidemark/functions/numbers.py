@@ -64,5 +64,5 @@ def sum_or_null(x: Column | str, least: int = 1) -> Column:
 
 def parse_decimal(text: Column | str) -> Column:
     """Numbers with grouping blanks and a decimal comma; null where none is left."""
-    plain = F.replace(F.regexp_replace(_c(text), "[\\s  ]", ""), F.lit(","), F.lit("."))
+    plain = F.replace(F.regexp_replace(_c(text), r"[\s\u00a0\u202f]", ""), F.lit(","), F.lit("."))
     return plain.try_cast("decimal(20,2)")

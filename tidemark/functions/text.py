@@ -34,12 +34,12 @@ def _c(x: Column | str) -> Column:
 
 def clean_text(x: Column | str) -> Column:
     """Lower case, outer blanks gone, inner white space one blank each."""
-    return F.trim(F.regexp_replace(F.lower(_c(x)), "[\\s ]+", " "))
+    return F.trim(F.regexp_replace(F.lower(_c(x)), r"[\s\u00a0]+", " "))
 
 
 def name_key(x: Column | str) -> Column:
     """Equal for names that differ in case, blanks, dots, dashes or ё. Input is taken to be NFKC already."""
-    return F.regexp_replace(F.translate(F.lower(_c(x)), "ё", "е"), "[\\s .\\-–—]+", "")
+    return F.regexp_replace(F.translate(F.lower(_c(x)), "ё", "е"), r"[\s\u00a0.\-–—]+", "")
 
 
 def latin_section(x: Column | str) -> Column:

@@ -5,12 +5,11 @@ Money is summed as decimals and leaves a panel as doubles, so that both engines
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..contracts import SCOPE
 from ..functions import calendar as cal
-from ..operators.windows import Window
 
 #: A panel's own revenue codes and what they hold, as conditions on a line item.
 TOTAL, OWN, PIT, CIT, OTHER, TRANSFERS = "TOTAL_REVENUE", "100", "101_PIT", "101_CIT", "200", "202"

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from ..operators import quality
-from ..plans import prices
 from .base import F, Registry, p, q_monthly, q_receipts, table
 
 QUERIES = Registry()

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from urllib.parse import unquote
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -114,16 +115,19 @@ def read_gzip(spark: SparkSession, path: str | list[str], schema: str) -> DataFr
     return spark.read.schema(schema).option("header", True).option("nullValue", "").csv(path)
 
 
-def load_tables(spark: SparkSession, folder: str, contracts: dict) -> dict[str, DataFrame]:
-    """Parquet tables of a folder by contract; names that it lacks are left out, dates are coerced."""
-    found = {}
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(folder).select("path")
-    names = {r["n"] for r in listing.select(F.regexp_extract("path", r"([^/]+?)(?:\.parquet)?/?[^/]*\.parquet$", 1).alias("n"), F.regexp_extract("path", r"/([^/]+)\.parquet", 1).alias("m")).select(F.explode(F.array("n", "m")).alias("n")).distinct().collect()}
+def load_tables(spark: SparkSession, folder: str, contracts: dict) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Parquet tables of a folder by contract, and errors: an absent table is left out, an unreadable one is an error; types are coerced."""
+    found, errors = {}, {}
     for name, schema in contracts.items():
-        if name in names:
+        try:
             df = spark.read.parquet(f"{folder}/{name}.parquet")
-            found[name] = df.select(*[F.try_to_timestamp(F.col(f.name).cast("string")).cast("date").alias(f.name) if f.dataType.simpleString() == "date" else F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema if f.name in df.columns])
-    return found
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                errors[name] = str(e)
+            continue
+        date = lambda c: F.try_to_timestamp(F.col(c).cast("string")).cast("date")
+        found[name] = df.select(*[(date(f.name) if f.dataType.simpleString() == "date" else F.col(f.name).try_cast(f.dataType)).alias(f.name) for f in schema if f.name in df.columns])
+    return found, errors
 
 
 def melted(df: DataFrame, dictionary: DataFrame, ids: list[str], field: str = "field", section: str = "section", factor: float = 1000.0, residual: str = "UNMAPPED") -> DataFrame:

@@ -103,22 +103,31 @@ def _chosen(shared, emit, names: list[str]):
                     continue
                 w = arrays.window_hashes(found[4], WINDOW)
                 columns = emit(anchor, at, n, i + document, at - found[5][document], w, ids, marks)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names)
 
     return run
 
 
+def _once(row, key, values):
+    """The values of equal (row, key) pairs together: a text that repeats itself gives one row for each key."""
+    order = np.lexsort((key, row))
+    first = np.flatnonzero(np.r_[True, (np.diff(row[order]) != 0) | (key[order][1:] != key[order][:-1])])
+    return order[first], pa.ListArray.from_arrays(pa.array(np.r_[first, len(order)].astype(np.int32)), pa.array(values[order].astype(np.int32)))
+
+
 def _phrase_rows(anchor, at, n, row, start, w, ids, marks):
     # The first and the last window of a phrase hold all its words.
     whole = arrays.mixed(w[at] * np.uint64(3) + w[at + n - 1] * np.uint64(5) + n.astype(np.uint64))
-    return anchor.astype(np.int32), whole.view(np.int64), ids[row], marks[row], (16 * start + n).astype(np.int32)
+    one, spans = _once(row, whole, 16 * start + n)
+    return anchor[one].astype(np.int32), whole[one].view(np.int64), ids[row[one]], marks[row[one]], spans
 
 
 def _window_rows(anchor, at, n, row, start, w, ids, marks):
     ends = np.cumsum(n)
     step = np.arange(ends[-1]) - np.repeat(ends - n, n)
-    row = np.repeat(row, n)
-    return w[np.repeat(at, n) + step].view(np.int64), ids[row], marks[row], (np.repeat(start, n) + step).astype(np.int32)
+    row, window = np.repeat(row, n), w[np.repeat(at, n) + step]
+    one, spans = _once(row, window, 16 * (np.repeat(start, n) + step) + 1)
+    return window[one].view(np.int64), ids[row[one]], marks[row[one]], spans
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -127,17 +136,17 @@ def spans(docs: DataFrame) -> DataFrame:
     named = docs.select("doc", "mark", "text")
     anchors = docs.select("doc", "text").mapInArrow(_anchors, "a long, doc long")
     often = anchors.groupBy("a").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
-    candidates = _chosen(sc.broadcast(bitmap(often, "a")), _phrase_rows, ["a", "s", "doc", "mark", "span"])
-    found = written(named.mapInArrow(candidates, "a int, s long, doc long, mark int, span int"), "phrases")
+    candidates = _chosen(sc.broadcast(bitmap(often, "a")), _phrase_rows, ["a", "s", "doc", "mark", "spans"])
+    found = written(named.mapInArrow(candidates, "a int, s long, doc long, mark int, spans array<int>"), "phrases")
     index = written(found.groupBy("a", "s").agg(F.min("doc").alias("low")), "index")
-    whole = found.join(index, ["a", "s"]).filter("doc > low").select("doc", "mark", "span")
+    whole = found.join(index, ["a", "s"]).filter("doc > low").select("doc", "mark", "spans")
     # Different phrases with one anchor may share windows: where a factor ends.
     cut = index.groupBy("a").agg(F.min("s").alias("x"), F.max("s").alias("y"), F.min("low").alias("low"), F.max("low").alias("high")).filter("x < y AND low < high")
-    border = _chosen(sc.broadcast(bitmap(cut, "a")), _window_rows, ["w", "doc", "mark", "start"])
-    windows = written(named.mapInArrow(border, "w long, doc long, mark int, start int"), "windows")
+    border = _chosen(sc.broadcast(bitmap(cut, "a")), _window_rows, ["w", "doc", "mark", "spans"])
+    windows = written(named.mapInArrow(border, "w long, doc long, mark int, spans array<int>"), "windows")
     first = windows.groupBy("w").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("w", "low")
-    single = windows.join(first, "w").filter("doc > low").select("doc", "mark", (F.col("start") * 16 + 1).alias("span"))
-    return whole.union(single).groupBy("doc", "mark").agg(F.collect_list("span").alias("spans"))
+    single = windows.join(first, "w").filter("doc > low").select("doc", "mark", "spans")
+    return whole.union(single).groupBy("doc", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _kept(words: list[bytes], begin: np.ndarray, n: np.ndarray) -> list[bytes]:

@@ -1,6 +1,6 @@
 """Numpy views of Arrow text columns: words, their hashes, and hashes of word windows.
 
-All functions work on a slice of documents at a time (about a megabyte of text), so a task's memory does not
+All functions work on a slice of documents at a time (about half a megabyte of text), so a task's memory does not
 follow the size of its partition.
 """
 
@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Bytes that end a word: the complement of [^\x20\x09-\x0D].
 BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 #: Odd 64-bit multipliers of the two independent hashes.
@@ -75,7 +75,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: i
     """A 64-bit hash of each word's bytes: prefix sums of a polynomial, taken back to the word's start."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    size = 1 << max(20, int(len(data)).bit_length())
+    size = 1 << max(19, int(len(data)).bit_length())
     up, down = _powers(BASES[which], size)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0

@@ -77,9 +77,9 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def ordered(measures: DataFrame, rules=RULES, fraction: float = 0.01, most: int = 2_000, seed: int = 7) -> list[Rule]:
+def ordered(df: DataFrame, text: str = "text", rules=RULES, fraction: float = 0.01, most: int = 2_000, seed: int = 7) -> list[Rule]:
     """The rules by rejections per second of cost, both estimated on a sample of at most `most` rows."""
-    sample = measures.sample(fraction=fraction, seed=seed).limit(most).cache()
+    sample = measured(df.select(text).sample(fraction=fraction, seed=seed).limit(most), text).cache()
     rows = sample.count()
     found = []
     for rule in rules:
@@ -102,5 +102,5 @@ def quality_rules(df: DataFrame, text: str = "text", rules=RULES, sample_of: Dat
     """df with its measures, rejected_by and kept."""
     clash = {"n_words", "n_lines", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "rejected_by", "kept"} - {text}
     df = df.drop(*clash)
-    order = ordered(measured((df if sample_of is None else sample_of).select(text), text), rules)
+    order = ordered(df if sample_of is None else sample_of, text, rules)
     return cascade(measured(df, text), order).withColumn("kept", F.col("rejected_by").isNull()).drop("_q_text")

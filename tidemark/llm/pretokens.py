@@ -11,6 +11,15 @@ _LETTER, _NUMBER, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", r"\t
 _LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
+def is_latin(text: str) -> bool:
+    """Whether all code points are below U+0100."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Splitter:
     """pattern: the tokenizer's split pattern; `same` says that it is the one _LATIN spells out."""
 
@@ -18,10 +27,4 @@ class Splitter:
         self.wide, self.same = regex.compile(pattern), same
 
     def __call__(self, text: str) -> list[str]:
-        if self.same:
-            try:
-                text.encode("latin-1")
-                return _LATIN.findall(text)
-            except UnicodeEncodeError:
-                pass
-        return self.wide.findall(text)
+        return _LATIN.findall(text) if self.same and is_latin(text) else self.wide.findall(text)

@@ -34,9 +34,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_folder, written
-from .pretokens import Splitter
+from .pretokens import Splitter, is_latin
 
-CACHE, NULL_ID = 400_000, -(1 << 63)
+CACHE, NULL_ID = 1_200_000, -(1 << 63)
 _encoders: dict = {}
 
 
@@ -60,18 +60,19 @@ class Encoder(dict):
     def encode(self, texts: list[str]) -> list[bytes]:
         parts, new = [], set()
         for t in texts:
-            whole = (not t.isascii() and max(t) > "\xff") or (self.special and self.special.search(t))
+            whole = not is_latin(t) or (self.special and self.special.search(t))
             parts.append(None if whole else self.split(t))
             if not whole:
                 new.update(parts[-1])
-        new -= self.keys()
-        if len(self) + len(new) > CACHE:
-            self.clear()
-            new = {w for p in parts if p is not None for w in p}
-        words = list(new)
-        self.update(zip(words, self.ids(words), strict=True))
+        words = list(new - self.keys())
+        fresh = dict(zip(words, self.ids(words), strict=True))
+        if len(self) + len(fresh) <= CACHE:
+            self.update(fresh)
+            look = self.__getitem__
+        else:  # the words seen first are the frequent ones: they stay, and the others last for this call
+            look = lambda w: self.get(w) or fresh[w]
         others = iter(self.ids([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        return [next(others) if p is None else b"".join(map(self.__getitem__, p)) for p in parts]
+        return [next(others) if p is None else b"".join(map(look, p)) for p in parts]
 
 
 def _encoder(path: str, kind: str) -> Encoder:

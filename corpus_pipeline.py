@@ -26,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    groups = simhash.near_duplicates(docs)
+    """Of each group of near copies (five-word Jaccard of 0.8 or more, with what links them) the document with the smallest id stays."""
+    groups = simhash.near_copies(docs)
     gone = written(groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "copies")
     left = docs.withColumn("_tidemark_text", F.xxhash64(text_of("text"))).join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
     return left.dropDuplicates(["doc_id", "_tidemark_text"]).drop("_tidemark_text")

@@ -1,0 +1,57 @@
+"""Cases of the advice of round 1, each against brute force."""
+
+import random
+
+import numpy as np
+
+from tidemark.llm import simhash
+
+DOCS = "doc_id long, text string, source string, lang string"
+
+
+def union_find(n, links):
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(n)]
+
+
+def jaccard(texts, k=5):
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set() for w in words]
+    return lambda i, j: len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) if sets[i] or sets[j] else 1.0
+
+
+def test_near_copies_have_the_components_of_brute_force_jaccard(spark):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(3_000)}"
+    texts = [None, "", "one two", "ONE  two", "one two three"]
+    for n in (60, 200, 400, 400, 800):
+        base = [word() for _ in range(n)]
+        for share in (0, 0.004, 0.008, 0.012, 0.016, 0.02, 0.03, 0.05):
+            texts.append(" ".join(word() if rng.random() < share else w for w in base))
+    texts += [" ".join(word() for _ in range(rng.randrange(5, 300))) for _ in range(60)]
+    of = jaccard(texts)
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if of(i, j) >= 0.8]
+    want = union_find(len(texts), links)
+    docs = spark.createDataFrame([(i, t, "s", "en") for i, t in enumerate(texts)], DOCS).repartition(3)
+    for block in (1_000, 3):
+        got = {r.doc_id: r.component_id for r in simhash.near_copies(docs, block=block).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+    old = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert any(old[i] != old[j] for i, j in links)
+    assert simhash.near_copies(docs.limit(0)).count() == 0
+
+
+def test_jaccard_forest():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 14, rng.integers(1, 40))).astype(np.uint64) for _ in range(120)] + [np.zeros(0, np.uint64)]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) and len(sets[i])]
+    assert links and simhash.jaccard_forest(sets, 0.8).tolist() == union_find(len(sets), links)

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from tidemark.llm import simhash
+from tidemark.llm import decontaminate, simhash
 
 DOCS = "doc_id long, text string, source string, lang string"
 
@@ -55,3 +55,23 @@ def test_jaccard_forest():
     sets = [np.unique(rng.integers(0, 14, rng.integers(1, 40))).astype(np.uint64) for _ in range(120)] + [np.zeros(0, np.uint64)]
     links = [(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) and len(sets[i])]
     assert links and simhash.jaccard_forest(sets, 0.8).tolist() == union_find(len(sets), links)
+
+
+def test_edited_copies_are_found_however_many_there_are(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    item = [word() for _ in range(39)]
+    edited = item[:13] + [word() if i % 3 else w for i, w in enumerate(item[13:32])] + item[32:]
+    assert len({tuple(edited[i : i + 4]) for i in range(36)} & {tuple(item[i : i + 4]) for i in range(36)}) < 18  # most 4-grams are gone
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(word() for _ in range(39)))], "item_id long, text string")
+    for copies, verbatim in ((5, 0), (3_000, 0), (3_000, 4)):
+        texts = [" ".join([word() for _ in range(9)] + edited) for _ in range(copies)] + [" ".join(item)] * verbatim + [" ".join(word() for _ in range(60)) for _ in range(50)]
+        docs = spark.createDataFrame([(i, t, "s", "en") for i, t in enumerate(texts)], DOCS)
+        got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+        assert got == {(i, 1) for i in range(copies + verbatim)}
+
+
+def test_each_place_of_an_item_is_found():
+    item = np.arange(20, dtype=np.uint64)
+    words = np.r_[np.full(3, 99), item, item[:15], np.full(4, 98), item].astype(np.uint64)
+    assert sorted((a, b) for _, a, b in decontaminate.passages(item, words, 0.5)) == [(3, 23), (23, 38), (42, 62)]

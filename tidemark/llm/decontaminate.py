@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Texts are lower-cased and cut into words (ASCII punctuation and white space end a word). A first scan counts,
-over all documents, in how many documents each n-gram of each test item occurs. An item's seeds are its rare
-n-grams: those not far above the item's median count, so that a phrase everyone writes is no seed, while a
-passage that was copied thousands of times keeps its seeds (all its n-grams are as common as the copies).
-The second scan joins passages to items over the seeds, groups the hits of a document and an item by their
-diagonal, and aligns the item with the words around each group. The score is the local alignment's share of
-the item's own score: edited and reordered copies keep most of it.
+Texts are lower-cased and cut into words (ASCII punctuation and white space end a word). Every n-gram of an item is
+a seed, however many documents have it: whether a document is contaminated depends on its own words alone, not on
+how many copies of it there are. A scan joins passages to items over the seeds, groups the hits of a document and
+an item by their diagonal, and aligns the item with the words around each group, then again with what is left on
+both sides of a passage found. The score is the local alignment's share of the item's own score: edited and
+reordered copies keep most of it. Hits on phrases that everyone writes are cheap: an alignment scores at most MATCH
+for each word that both sides have, so a stretch with too few words of the item is passed over without loss.
 
 Test items are the stated query set. They are taken in blocks of at most `block` items, so what is broadcast
 has a bound; documents are never shuffled.
@@ -74,18 +74,6 @@ def items_of(ids: list, texts: list, seed: int) -> Items:
     return Items(ids, words, first, unique, np.r_[begin, len(where)], item, where - first[item])
 
 
-def rare(items: Items, documents: np.ndarray, times: float = 4.0, least: int = 10) -> Items:
-    """items with the n-grams that are seeds of some item; documents: how many documents have each n-gram."""
-    count = np.repeat(documents, np.diff(items.gram_first))
-    keep = np.zeros(len(count), bool)
-    order = np.argsort(items.item, kind="stable")
-    for rows in np.split(order, np.flatnonzero(np.diff(items.item[order])) + 1):
-        if len(rows):
-            keep[rows] = count[rows] <= max(least, times * np.median(count[rows]))
-    left = np.add.reduceat(keep, items.gram_first[:-1]) if len(items.grams) else np.zeros(0, int)
-    return Items(items.ids, items.words, items.first, items.grams[left > 0], np.r_[0, np.cumsum(left[left > 0])], items.item[keep], items.place[keep])
-
-
 def hits(items: Items, table: np.ndarray, hashes: np.ndarray, first: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(word position, n-gram) of all n-grams of the items in a slice of documents."""
     grams = arrays.window_hashes(hashes, seed)
@@ -119,21 +107,20 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return top, end - back, end
 
 
-def _counted(shared, seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, table = shared.value
-        total = np.zeros(len(items.grams), np.int64)
-        for batch in batches:
-            for _, _, data, offsets in arrays.slices(batch.column(0)):
-                hashes, first = _hashed(data, offsets)
-                at, gram = hits(items, table, hashes, first, seed)
-                document = np.searchsorted(first, at, side="right") - 1
-                once = np.unique(document * len(items.grams) + gram)
-                total += np.bincount(once % max(1, len(items.grams)), minlength=len(items.grams))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["gram", "n"])
-
-    return run
+def passages(item: np.ndarray, words: np.ndarray, least: float) -> Iterator[tuple[float, int, int]]:
+    """(score, start, end) of the best alignment of `least` or more of the item, and of those before and after it."""
+    inside = np.isin(words, item)
+    need = least * len(item)
+    stack = [(0, len(words))]
+    while stack:
+        low, high = stack.pop()
+        if np.count_nonzero(inside[low:high]) < need:
+            continue
+        top, start, end = align(item, words[low:high])
+        if top < MATCH * need:
+            continue
+        yield top / (MATCH * len(item)), low + start, low + end
+        stack += [(low, low + start), (low + end, high)]
 
 
 def _matched(shared, seed: int, least: float, id_type: str):
@@ -161,9 +148,7 @@ def _matched(shared, seed: int, least: float, id_type: str):
                     d, k = document[a], item[a]
                     low = max(first[d], diagonal[a] - slack[a])
                     high = min(first[d + 1], diagonal[b - 1] + size[a] + slack[a])
-                    top, start, end = align(items.words[items.first[k] : items.first[k + 1]], hashes[low:high])
-                    score = top / (MATCH * size[a])
-                    if score >= least:
+                    for score, start, end in passages(items.words[items.first[k] : items.first[k + 1]], hashes[low:high], least):
                         rows.append(i + int(d))
                         found.append((items.ids[k], score, int(low - first[d] + start), int(low - first[d] + end)))
             if rows:
@@ -195,10 +180,6 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     for b in range(blocks):
         part = named.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
         got = items_of(part["item_id"].to_pylist(), part["text"].to_pylist(), seed)
-        counts = lower.select("text").mapInArrow(_counted(sc.broadcast((got, got.table())), seed), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-        documents = np.zeros(len(got.grams), np.int64)
-        documents[np.asarray(counts["gram"])] = np.asarray(counts["n"])
-        seeds = rare(got, documents)
-        found = lower.mapInArrow(_matched(sc.broadcast((seeds, seeds.table())), seed, least, part["item_id"].type), schema)
+        found = lower.mapInArrow(_matched(sc.broadcast((got, got.table())), seed, least, part["item_id"].type), schema)
         out = found if out is None else out.union(found)
     return out

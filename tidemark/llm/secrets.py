@@ -1,10 +1,11 @@
 """Secret scans with corpus-wide ownership frequency.
 
-A scan finds spans of known shapes in every text (the base kinds) and weaker candidates: long mixed tokens
-next to nothing that names them. Candidates are judged by who owns them: their hashes are aggregated over
-distinct repositories and owners. A value that several owners have is a copied example; a value that one
-owner alone has is live-looking, and is reported as a span of kind `owned`. Aggregation goes over distinct
-(value, owner, repository) first, so a value in a third of all rows is a few rows by then.
+A scan finds spans of known shapes in every text (the base kinds) and weaker candidates: long tokens with letters
+and digits next to nothing that names them. The values of both are judged by who owns them: their hashes are
+aggregated over distinct repositories and owners. A value that several owners have is a copied example; a value that
+one owner alone has is live-looking. Base spans stay whatever comes out; a weak candidate is reported, as a span of
+kind `owned`, if it is live-looking. Aggregation goes over distinct (value, owner, repository) first, so a value in a
+third of all rows is a few rows by then.
 
 Defined results: a null text counts as empty; a null owner is an owner of its own; spans of one kind never
 overlap; an empty text has no spans; repeated rows have equal results; an empty table gives no rows; columns
@@ -34,30 +35,39 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST, MIXED_LEAST = 6, 20, 24, 20
 KINDS = ("assign", "access", "hex", "owned")
 _HEX_BYTE = np.isin(np.arange(256), list(b"0123456789abcdef"))
 _MIXED_BYTE = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-"))
-SCANNED = "spans array<struct<kind:string,start:int,end:int>>, weak array<struct<start:int,end:int,hash:long>>"
+SCANNED = "spans array<struct<kind:string,start:int,end:int,hash:long>>, weak array<struct<start:int,end:int,hash:long>>"
 
 
-def base_spans(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the base kinds in code points, by start, then kind."""
+def _hash(value: str) -> int:
+    return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def valued_spans(text: str) -> list[tuple[str, int, int, int]]:
+    """(kind, start, end, hash of the value) of the base kinds in code points, by start, then kind."""
     low = text.lower()
     found = []
     if any(n in low for n in NAMES):
-        found += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
+        found += [("assign", m.start(), m.end(), _hash(m[2])) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
     if "AKIA" in text:
-        found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_LEAST]
-    found += [("hex", m.start(), m.end()) for m in HEX.finditer(text) if len(m[0]) >= HEX_LEAST]
+        found += [("access", m.start(), m.end(), _hash(m[0])) for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_LEAST]
+    found += [("hex", m.start(), m.end(), _hash(m[0])) for m in HEX.finditer(text) if len(m[0]) >= HEX_LEAST]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def base_spans(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the base kinds in code points, by start, then kind."""
+    return [s[:3] for s in valued_spans(text)]
+
+
 def weak_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, end, hash) of long tokens with lower case, upper case and digits that touch no base span."""
+    """(start, end, hash) of long tokens with letters, of one case or both, and digits that touch no base span."""
     found = []
     for m in MIXED.finditer(text):
         t = m[0]
-        if len(t) < MIXED_LEAST or t.islower() or t.isupper() or not any(c.isdigit() for c in t) or not any(c.isalpha() for c in t):
+        if len(t) < MIXED_LEAST or not any(c.isdigit() for c in t) or not any(c.isalpha() for c in t):
             continue
         if all(m.end() <= a or m.start() >= b for _, a, b in base):
-            found.append((m.start(), m.end(), int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little", signed=True)))
+            found.append((m.start(), m.end(), _hash(t)))
     return found
 
 
@@ -94,10 +104,11 @@ def _scan(at: int):
                         weak.append([])
                         continue
                     text = raw.decode()
-                    base = base_spans(text)
-                    spans.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in base])
+                    valued = valued_spans(text)
+                    base = [s[:3] for s in valued]
+                    spans.append([dict(zip(("kind", "start", "end", "hash"), s, strict=True)) for s in valued])
                     weak.append([dict(zip(("start", "end", "hash"), s, strict=True)) for s in weak_spans(text, base)] if long[r] else [])
-            span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+            span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("hash", pa.int64())]))
             other = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("hash", pa.int64())]))
             names = [n for k, n in enumerate(batch.schema.names) if k != at]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in names] + [pa.array(spans, span), pa.array(weak, other)], [*names, "spans", "weak"])
@@ -118,21 +129,32 @@ def ownership(candidates: DataFrame, most_owners: int = 1) -> DataFrame:
     return owners.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories")).withColumn("live", F.col("owners") <= most_owners)
 
 
+def _each(found: DataFrame) -> DataFrame:
+    """One row for each occurrence of a value: of the spans, and of weak candidates as kind `owned`."""
+    weak = F.transform("weak", lambda s: F.struct(F.lit("owned").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["hash"].alias("hash")))
+    return found.select("row", "owner", "repository", F.explode(F.concat("spans", weak)).alias("c")).select("row", "owner", "repository", "c.*")
+
+
 def secret_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "lang", most_owners: int = 1) -> DataFrame:
-    """(id, base, spans): arrays of (kind, start, end) by start, then kind; spans adds the live-looking candidates to base."""
+    """(id, base, spans, owners, repositories, live): base and spans are arrays of (kind, start, end) by start, then kind.
+
+    spans adds the live-looking weak candidates to base; owners, repositories and live have an entry for each of the
+    spans: how many owners and repositories have its value in the whole table, and whether it looks live."""
     none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
     named = df.select(F.col(id_col).alias("id"), none(owner).alias("owner"), none(repository).alias("repository"), F.col(text).alias("text"))
     found = written(scanned(named, "text", ["id", "owner", "repository"]).withColumn("row", F.monotonically_increasing_id()), "secrets")
-    each = found.select("row", "owner", "repository", F.explode("weak").alias("c")).select("row", "owner", "repository", "c.*")
-    live = ownership(each, most_owners).filter("live").select("hash")
-    owned = each.join(live, "hash").groupBy("row").agg(F.collect_list(F.struct(F.lit("owned").alias("kind"), "start", "end")).alias("owned"))
-    all_of = F.concat("spans", F.coalesce("owned", F.array().cast("array<struct<kind:string,start:int,end:int>>")))
-    rank = lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"))
-    ordered = F.transform(F.sort_array(F.transform(all_of, rank)), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    # Only rows that have weak candidates take part in the join.
-    plain = found.filter(F.size("weak") == 0).select("id", F.col("spans").alias("base"), "spans")
-    rest = found.filter(F.size("weak") > 0).join(owned, "row", "left").select("id", F.col("spans").alias("base"), ordered.alias("spans"))
-    return plain.union(rest)
+    each = _each(found)
+    judged = each.join(ownership(each, most_owners), "hash").filter("kind <> 'owned' OR live")
+    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("rank")
+    listed = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", rank, "kind", "end", "owners", "repositories", "live"))).alias("all"))
+    short = lambda c: F.transform(c, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    columns = lambda c: [short(c).alias("spans"), *[c.getField(n).alias(n) for n in ("owners", "repositories", "live")]]
+    # Only rows that have values take part in the join.
+    clean = (F.size("spans") == 0) & (F.size("weak") == 0)
+    none_of = F.array().cast("array<struct<start:int,rank:long,kind:string,end:int,owners:long,repositories:long,live:boolean>>")
+    plain = found.filter(clean).select("id", short("spans").alias("base"), *columns(none_of))
+    rest = found.filter(~clean).join(listed, "row", "left").select("id", short("spans").alias("base"), F.coalesce("all", none_of).alias("all"))
+    return plain.union(rest.select("id", "base", *columns(F.col("all"))))
 
 
 def _redact(batches):
@@ -156,11 +178,12 @@ def redacted(df: DataFrame, owner: str = "source", repository: str = "lang", mos
     # The row travels as one struct, so that no column's name can clash.
     packed = df.select(F.struct(*df.columns).alias("doc"), none(owner).alias("owner"), none(repository).alias("repository"), F.col("text").alias("text"))
     found = written(scanned(packed, "text", ["doc", "owner", "repository"]).withColumn("row", F.monotonically_increasing_id()), "secrets")
-    each = found.select("row", "owner", "repository", F.explode("weak").alias("c")).select("row", "owner", "repository", "c.*")
+    each = _each(found)
     live = ownership(each, most_owners).filter("live").select("hash")
-    owned = each.join(live, "hash").groupBy("row").agg(F.collect_list(F.struct(F.lit("owned").alias("kind"), "start", "end")).alias("owned"))
+    owned = each.filter("kind = 'owned'").join(live, "hash").groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("owned"))
     clean = (F.size("spans") == 0) & (F.size("weak") == 0)
-    all_of = F.concat("spans", F.coalesce("owned", F.array().cast("array<struct<kind:string,start:int,end:int>>")))
+    short = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    all_of = F.concat(short, F.coalesce("owned", F.array().cast("array<struct<kind:string,start:int,end:int>>")))
     rest = found.filter(~clean).join(owned, "row", "left").select("doc", F.col("doc.text").alias("text"), all_of.alias("_spans"))
     done = rest.mapInArrow(_redact, f"doc {df.select(F.struct(*df.columns).alias('doc')).schema['doc'].dataType.simpleString()}, text string")
     done = done.select(*[F.col("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in df.columns])

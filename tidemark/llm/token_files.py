@@ -9,9 +9,9 @@ a prefix sum over the partitions' counts. Files are written under a name of thei
 so a task that runs again replaces its files by equal ones. Readers map the files into memory where the folder
 is on a local disk that all executors share, and read the same ranges through the file system elsewhere.
 
-Encoding caches pre-tokens: the library encodes each distinct one once per worker, as long as the cache has
-room (CACHE entries), since it never merges across them. Texts with code points over U+00FF or with an added
-token's string are given to the library whole.
+Encoding caches chunks of text, words with the blank before them and the marks after them: the library encodes
+each distinct one once per worker, as long as the cache has room (CACHE entries), since it never merges across
+them. How texts are cut is read from the tokenizer's file; see Encoder.
 
 Defined results: a null text counts as empty and is the end id alone; documents are in ascending order of id,
 then text; a null id sorts first and is stored as the least 64-bit integer, read back as null; repeated rows are
@@ -20,8 +20,8 @@ all written; an empty table gives a folder without files; further columns are ig
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,14 +34,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_folder, written
-from .pretokens import Splitter, is_latin
 
 CACHE, NULL_ID = 1_200_000, -(1 << 63)
 _encoders: dict = {}
 
 
 class Encoder(dict):
-    """Pre-token to the bytes of its ids."""
+    """Chunk of a text to the bytes of its ids.
+
+    A text is cut before each single blank and each single line feed between characters that are no white space. The
+    byte-level pre-tokenizer never has a pre-token across such a place, so a chunk's ids depend on the chunk alone.
+    Texts that white space of another form, or an added token's string, makes ambiguous go to the library whole, as do
+    all texts if the tokenizer file asks for another way of cutting.
+    """
 
     def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,30 +54,82 @@ class Encoder(dict):
 
         super().__init__()
         self.library, self.kind = Tokenizer.from_file(path), np.dtype(kind)
-        pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # of the byte-level pre-tokenizer
-        self.split = Splitter(pattern)
-        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        way = said.get("pre_tokenizer") or {}
+        feed = self.library.encode("\n", add_special_tokens=False).ids
+        plain = way.get("type") == "ByteLevel" and way.get("use_regex", True) and not way.get("add_prefix_space") and not said.get("normalizer")
+        self.cut = plain and len(feed) == 1 and not any(c.isspace() for a in self.added for c in a)
+        self.feed, self.fresh, self.misses = feed[0] if feed else -1, {}, 0
+
+    def __missing__(self, chunk: str) -> str:
+        self.misses += 1
+        self.fresh[chunk] = None
+        return chunk  # stands for its ids until they are known
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _by_lines(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without line feeds, many in one call: a line feed between two of them is a token of its own."""
+        out = []
+        for i in range(0, len(texts), 100):
+            part = texts[i : i + 100]
+            flat = np.array(self.library.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(flat == self.feed)
+            if len(ends) != len(part) - 1:
+                out += self.ids(part)
+                continue
+            whole, size = flat.tobytes(), self.kind.itemsize
+            bounds = zip([0, *(ends + 1).tolist()], [*ends.tolist(), len(flat)], strict=True)
+            out += [whole[a * size : b * size] for a, b in bounds]
+        return out
+
+    def _ambiguous(self, t: str) -> bool:
+        return "  " in t or " \n" in t or "\n\n\n" in t or "\n\n " in t or t[-1:] == " " or t[-2:].isspace() or any(a in t for a in self.added)
+
+    def _learn(self) -> dict[str, bytes | None]:
+        """Ids of the chunks met for the first time; None for those with white space at an edge."""
+        plain, led = [], []
+        for c in self.fresh:
+            body = c[1:] if c[:1] in "\n\0" else c
+            if body and not body[0].isspace() and not body[-1].isspace():
+                (led if len(body) < len(c) else plain).append(c)
+            elif c in ("\n", "\0"):
+                self.fresh[c] = np.array([self.feed] if c == "\n" else [], self.kind).tobytes()
+        self.fresh.update(zip(plain, self._by_lines([" " + c for c in plain]), strict=True))
+        feed = np.array([self.feed], self.kind).tobytes()
+        for c, x in zip(led, self._by_lines([c[1:] for c in led]), strict=True):
+            self.fresh[c] = feed + x if c[0] == "\n" else x
+        return self.fresh
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts, new = [], set()
+        parts = []
         for t in texts:
-            whole = not is_latin(t) or (self.special and self.special.search(t))
-            parts.append(None if whole else self.split(t))
-            if not whole:
-                new.update(parts[-1])
-        words = list(new - self.keys())
-        fresh = dict(zip(words, self.ids(words), strict=True))
+            if not self.cut or "\0" in t or self._ambiguous(t):
+                parts.append(None)
+                continue
+            before = self.misses
+            # The first chunk has no blank before it, which the added mark says.
+            got = list(map(self.__getitem__, ("\0" + t.replace("\n", " \n")).split(" ")))
+            parts.append((got, self.misses > before))
+        fresh, out, whole = self._learn(), [], []
+        for i, p in enumerate(parts):
+            if p and p[1]:
+                p = [x if type(x) is bytes else fresh[x] for x in p[0]], True
+            if p is None or (p[1] and None in p[0]):
+                whole.append(i)
+                out.append(None)
+            else:
+                out.append(b"".join(p[0]))
+        # The chunks seen first are the frequent ones: they stay, and beyond the cache's room others last for this call.
+        self.fresh = {}
         if len(self) + len(fresh) <= CACHE:
-            self.update(fresh)
-            look = self.__getitem__
-        else:  # the words seen first are the frequent ones: they stay, and the others last for this call
-            look = lambda w: self.get(w) or fresh[w]
-        others = iter(self.ids([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        return [next(others) if p is None else b"".join(map(look, p)) for p in parts]
+            self.update((c, x) for c, x in fresh.items() if x is not None and len(c) <= 64)
+        for i, x in zip(whole, self.ids([texts[i] for i in whole]), strict=True):
+            out[i] = x
+        return out
 
 
 def _encoder(path: str, kind: str) -> Encoder:

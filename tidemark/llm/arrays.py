@@ -1,7 +1,8 @@
 """Numpy views of Arrow text columns: words, their hashes, and hashes of word windows.
 
 All functions work on a slice of documents at a time (about half a megabyte of text), so a task's memory does not
-follow the size of its partition.
+follow the size of its partition. A text longer than that is a slice of its own: it takes some 5 bytes for each of its
+bytes, for the places and hashes of its words; the tables for hashing stay as large as a slice.
 """
 
 from __future__ import annotations
@@ -57,9 +58,10 @@ def words(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK) -> t
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-@lru_cache(maxsize=4)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
+@lru_cache(maxsize=2)
+def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, as many as a slice has bytes."""
+    up, down = np.full(SLICE, base, np.uint64), np.full(SLICE, pow(base, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up), np.cumprod(down)
 
@@ -72,15 +74,28 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: prefix sums of a polynomial, taken back to the word's start."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    size = 1 << max(19, int(len(data)).bit_length())
-    up, down = _powers(BASES[which], size)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each word's bytes: prefix sums of a polynomial, taken back to the word's start.
+
+    Bytes are taken a slice at a time; a word that goes on in the next slice carries its sum along.
+    """
+    base, out = BASES[which], np.zeros(len(starts), np.uint64)
+    up, down = _powers(base)
+    sums = np.zeros(SLICE + 1, np.uint64)
+    for low in range(0, len(data) if len(starts) else 0, SLICE):
+        high = min(len(data), low + SLICE)
+        i, j = int(np.searchsorted(ends, low, side="right")), int(np.searchsorted(starts, high, side="left"))
+        if i == j:
+            continue
+        part = data[low:high].astype(np.uint64)
+        part += np.uint64(1)
+        part *= up[: high - low]
+        np.cumsum(part, out=sums[1 : high - low + 1])
+        a, b = np.maximum(starts[i:j], low) - low, np.minimum(ends[i:j], high) - low
+        got = (sums[b] - sums[a]) * down[a]
+        if starts[i] < low:
+            got[0] *= np.uint64(pow(base, low - int(starts[i]), 1 << 64))
+        out[i:j] += got
+    return mixed(out + (ends - starts).astype(np.uint64))
 
 
 def window_hashes(hashes: np.ndarray, k: int, which: int = 0) -> np.ndarray:

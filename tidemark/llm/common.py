@@ -20,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that all executors share, from spark.checkpoint.dir; one of our own only where it is unset and all is one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidemark-')}")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
+        sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='tidemark-')}")
     return sc.getCheckpointDir()
 
 
@@ -38,6 +41,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Nodes of an optimized plan that give each task the same rows in the same order whenever it runs.
+_STEADY = {"Project", "Filter", "LogicalRelation", "Relation", "SubqueryAlias"}
+
+
+def steady(df: DataFrame, name: str) -> DataFrame:
+    """df, written first unless it only reads files: operators that read their input twice, or number its rows, need
+    every task to see the same rows in the same order also when it runs again."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    nodes = {x.lstrip(" :+-").split(" ")[0].split("[")[0] for x in lines if x.strip()}
+    return df if nodes <= _STEADY else written(df, name)
+
+
 def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -8,8 +8,9 @@ block that has it; a second shuffle by block joins the ids to the sequences and
 position. A word is one row a block, so no word is hot, and blocks have a bounded size. Decoding looks the
 ids up in the token-byte table, which has as many rows as the vocabulary.
 
-Two passes over the texts number the words alike; where they meet, a block's numbers must be complete and without
-repeats, else the job fails.
+Two passes over the texts number the words. They see the same rows in the same order, for the input is written first
+unless it only reads files; and each pass sends along a digest of its block's numbering, so that blocks which
+differ in it fail the job where they meet.
 
 Defined results: a null text counts as empty and has no ids; special tokens' strings are ordinary text; rows
 with a null id or that repeat others are encoded like any other row; an empty table gives no rows; further
@@ -23,11 +24,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import steady
 from .pretokens import Splitter
 
 BLOCK_BYTES = 48 << 20
@@ -57,6 +61,20 @@ def _blocks(pattern: str, block_bytes: int, words_wanted: bool, id_type: pa.Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, numbers, size, block = Splitter(pattern), _Numbers(), 0, TaskContext.get().partitionId() << 20
 
+        def digest():
+            seen = xxhash.xxh64()
+            for w in numbers:
+                seen.update(w.encode())
+                seen.update(b"\0")
+            return seen.intdigest() >> 1
+
+        def last():
+            """The block's digest, as a row of no documents or as a word without a number."""
+            if words_wanted:
+                return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.array([b"%d" % digest()], pa.binary())], ["block", "number", "word"])
+            columns = [pa.array([block], pa.int64()), pa.array([[]], pa.list_(id_type)), pa.array([[]], pa.list_(pa.int32())), pa.array([b"%d" % digest()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["block", "ids", "lengths", "sequence"])
+
         def words():
             keys = list(numbers)
             for i in range(0, len(keys), 20_000):
@@ -76,7 +94,7 @@ def _blocks(pattern: str, block_bytes: int, words_wanted: bool, id_type: pa.Data
             for x, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 t = t.as_py() or ""
                 found = list(map(numbers.__getitem__, split(t)))
-                size += len(t)
+                size += len(t) if t.isascii() else len(t.encode())
                 if not words_wanted:
                     ids.append(x)
                     held.append(np.array(found, np.uint32))
@@ -91,12 +109,15 @@ def _blocks(pattern: str, block_bytes: int, words_wanted: bool, id_type: pa.Data
                         ids, held, n = [], [], 0
                     if words_wanted:
                         yield from words()
+                    yield last()
                     numbers.clear()
                     size, block = 0, block + 1
         if held:
             yield documents(ids, held)
         if words_wanted:
             yield from words()
+        if size:
+            yield last()
 
     return run
 
@@ -124,10 +145,10 @@ def _encoded_words(path: str, pattern: str):
         encode, kind, last, ids = encoding.encode_ordinary, _id_kind(ranks), None, b""
         for batch in batches:
             out = []
-            for w in batch.column(2).to_pylist():
-                if w != last:
+            for w, n in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if w != last and n >= 0:
                     last, ids = w, np.array(encode(w.decode()), kind).tobytes()
-                out.append(ids)
+                out.append(ids if n >= 0 else w)  # a digest goes on as it is
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "number", "ids"])
 
     return run
@@ -138,13 +159,16 @@ def _assembled(path: str, pattern: str, finish: Callable, names: list[str], id_t
         ranks = _encoding(path, pattern)[1]
         token_bytes = {i: b for b, i in ranks.items()}
         table = [token_bytes.get(i, b"") for i in range(max(token_bytes) + 1)]
+        digests = words.filter(pc.equal(words["number"], -1))["ids"].to_pylist()
+        if digests != documents.filter(pc.equal(pc.list_value_length(documents["ids"]), 0))["sequence"].to_pylist():
+            raise ValueError("the words of a block are not those that its documents were numbered by")
+        words = words.filter(pc.greater_equal(words["number"], 0))
+        documents = documents.filter(pc.greater(pc.list_value_length(documents["ids"]), 0))
         number = np.asarray(words["number"].combine_chunks())
         column = words["ids"].combine_chunks().cast(pa.large_binary()) if len(words) else None
         kind = np.dtype(_id_kind(ranks))
         flat, at, size = np.zeros(0, kind), np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
         if column is not None:
-            if len(number) != number.max() + 1 or len(np.unique(number)) != len(number):
-                raise ValueError("the words of a block are not those that its documents were numbered by")
             _, offsets, data = column.buffers()
             offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] // kind.itemsize
             flat = np.frombuffer(data, kind)
@@ -177,7 +201,7 @@ def encode_decode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    rows = steady(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "texts")
     kind = rows.schema["id"].dataType.simpleString()
     out = _parse_datatype_string(schema)
     types = [f.type for f in to_arrow_schema(out)]

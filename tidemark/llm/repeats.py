@@ -1,18 +1,20 @@
 """Substring dedup by relative Lempel-Ziv parsing: words under long factors shared with an earlier document go.
 
-A document is parsed against an index of all documents. The parse's phrases have ends that the words
-themselves choose: each window of 13 words names its smallest 7-word hash (the anchor), and a phrase is a run
-of windows with one anchor. A phrase depends on nothing but its own words, so looking all phrases up in the
-reference blocks is an equi-join, and a block is a partition of the index; consecutive phrases that are found
-make one factor. A phrase found whole in an earlier document is a duplicate span. At factor boundaries a phrase
-is cut short, and there its windows are checked one by one against the other phrases with the same anchor.
-Together that finds exactly the windows whose 13 words also start in a document with a smaller id: equal
-windows have the same anchor, so they lie in equal phrases or in two phrases of one anchor.
-
-Three scans: the first counts anchors, and leaves a bitmap (of fixed size) of those with two documents or
-more; the second keeps only phrases whose anchor may be one of those; the third gives the windows of anchors
-that stand in different phrases, from a second such bitmap. The bitmaps only spare work: when they are full,
-all phrases and windows go on. Phrases are compared by 96 bits of hash (32 of them the anchor's), windows by 64.
+The reference is the corpus itself, indexed in blocks of documents with neighbouring ids. Looking a document up in every
+block is an equi-join: the document is cut into phrases whose ends the words themselves choose (each window of 13 words
+names its smallest 7-word hash, the anchor, and a phrase is a run of windows with one anchor), a phrase depends on nothing
+but its own words, and the index holds each phrase with the first document that has it. What is cut short where a
+document leaves its reference is looked up window by window: equal windows have the same anchor, so they lie in
+equal phrases or in two phrases of one anchor, and the windows of anchors with several phrases are indexed as well.
+
+The parse is greedy (`factors`): from the first place that the index knows, a factor takes window after window as long as
+the same reference block goes on, then the next one begins; at the boundaries the single windows decide. A factor has
+13 words or more, and its words are a duplicate span. Factors together hold exactly the windows whose words also start
+in a document with a smaller id. The index names the first document of a phrase, not the longest match anywhere: a
+parse against every block by itself would give other boundaries and the same words.
+
+Three scans: the first counts anchors; the second keeps only phrases whose anchor several documents have; the third gives
+the windows of anchors that stand in different phrases. Phrases and windows are compared by 96 bits of hash.
 
 Defined results: a null text counts as empty; rows with a null id are returned unchanged and refer to nothing;
 rows that repeat an id never refer to each other; a text shorter than 13 words has nothing removed; an empty
@@ -26,16 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
+from .bitmaps import bitmap, bits_for, contains
 from .common import text_of, written
 
 WINDOW, ANCHOR = 13, 7
 SPAN = WINDOW - ANCHOR + 1  # anchors that a window can choose from
-#: Bits of the broadcast bitmaps, whatever the size of the input: 16 MB.
-BITMAP_BITS = 1 << 27
+BLOCK = 1 << 10  # ids in a reference block
 
 
 def phrases(data: np.ndarray, offsets: np.ndarray):
@@ -68,46 +71,34 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(ids[i + found[3]])], ["a", "doc"])
 
 
-def bit_of(hashes: np.ndarray) -> np.ndarray:
-    return hashes.view(np.uint64) & np.uint64(BITMAP_BITS - 1)
-
-
-def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of BITMAP_BITS bits with the places of these hashes set; the driver gets its words, at most BITMAP_BITS / 64."""
-    place = F.col(column).bitwiseAND(F.lit(BITMAP_BITS - 1))
-    cells = hashes.select(F.shiftright(place, 6).cast("int").alias("cell"), F.expr(f"shiftleft(1L, cast({column} & 63 AS int))").alias("bits"))
-    got = cells.groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(BITMAP_BITS // 64, np.int64)
-    out[np.asarray(got["cell"])] = np.asarray(got["bits"])
-    return out.view(np.uint8)
-
-
-def _in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    place = bit_of(hashes)
-    return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-
-
 def _chosen(shared, emit, names: list[str]):
-    """(doc, mark, text) to rows of the phrases whose anchor is in the bitmap."""
+    """(doc, mark, text) to rows of the phrases whose anchor is in the bitmap (of all phrases without one)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for batch in batches:
             ids, marks = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for i, _, data, offsets in arrays.slices(batch.column(2)):
                 if not (found := phrases(data, offsets)):
                     continue
-                keep = _in(bits, found[0])
+                keep = contains(shared.value, found[0]) if shared else np.ones(len(found[0]), bool)
                 anchor, at, n, document = (x[keep] for x in found[:4])
                 if not len(at):
                     continue
-                w = arrays.window_hashes(found[4], WINDOW)
-                columns = emit(anchor, at, n, i + document, at - found[5][document], w, ids, marks)
+                columns = emit(anchor, at, n, i + document, at - found[5][document], found[4], ids, marks)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names)
 
     return run
 
 
+def _rows_of(named: DataFrame, anchors: DataFrame, emit, schema: str) -> DataFrame:
+    """The rows that emit makes of phrases with these anchors (column a): by a bitmap of them, by a join where there are too many."""
+    bits = bits_for(anchors.count())
+    shared = named.sparkSession.sparkContext.broadcast(bitmap(anchors, "a", bits)) if bits else None
+    rows = named.mapInArrow(_chosen(shared, emit, [c.split()[0] for c in schema.split(", ")]), schema)
+    short = F.shiftright(F.shiftleft("a", 32), 32).cast("int").alias("a")  # as the rows carry it
+    return rows if bits else rows.join(anchors.select(short).distinct(), "a", "left_semi")
+
+
 def _once(row, key, values):
     """The values of equal (row, key) pairs together: a text that repeats itself gives one row for each key."""
     order = np.lexsort((key, row))
@@ -115,44 +106,78 @@ def _once(row, key, values):
     return order[first], pa.ListArray.from_arrays(pa.array(np.r_[first, len(order)].astype(np.int32)), pa.array(values[order].astype(np.int32)))
 
 
-def _phrase_rows(anchor, at, n, row, start, w, ids, marks):
+def _phrase_rows(anchor, at, n, row, start, hashes, ids, marks):
     # The first and the last window of a phrase hold all its words.
+    w = arrays.window_hashes(hashes, WINDOW)
     whole = arrays.mixed(w[at] * np.uint64(3) + w[at + n - 1] * np.uint64(5) + n.astype(np.uint64))
     one, spans = _once(row, whole, 16 * start + n)
     return anchor[one].astype(np.int32), whole[one].view(np.int64), ids[row[one]], marks[row[one]], spans
 
 
-def _window_rows(anchor, at, n, row, start, w, ids, marks):
+def _window_rows(anchor, at, n, row, start, hashes, ids, marks):
+    w, more = arrays.window_hashes(hashes, WINDOW), arrays.window_hashes(hashes, WINDOW, 1)
     ends = np.cumsum(n)
     step = np.arange(ends[-1]) - np.repeat(ends - n, n)
-    row, window = np.repeat(row, n), w[np.repeat(at, n) + step]
-    one, spans = _once(row, window, 16 * (np.repeat(start, n) + step) + 1)
-    return window[one].view(np.int64), ids[row[one]], marks[row[one]], spans
+    place, row, key = np.repeat(at, n) + step, np.repeat(row, n), np.repeat(anchor, n)
+    one, spans = _once(row, w[place], 16 * (np.repeat(start, n) + step) + 1)
+    return key[one].astype(np.int32), w[place][one].view(np.int64), more[place][one].astype(np.int32), ids[row[one]], marks[row[one]], spans
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """docs: doc (long, not null), mark (int), text. (doc, mark, spans): arrays of 16 * start + n, for n (at most SPAN) repeated windows from word start on."""
-    sc = docs.sparkSession.sparkContext
+    """docs: doc (long, not null), mark (int), text. (doc, mark, spans): what the index finds, as structs (low, spans) of
+    the first document that has it, and 16 * start + n for n (at most SPAN) repeated windows from word start on."""
     named = docs.select("doc", "mark", "text")
     anchors = docs.select("doc", "text").mapInArrow(_anchors, "a long, doc long")
-    often = anchors.groupBy("a").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
-    candidates = _chosen(sc.broadcast(bitmap(often, "a")), _phrase_rows, ["a", "s", "doc", "mark", "spans"])
-    found = written(named.mapInArrow(candidates, "a int, s long, doc long, mark int, spans array<int>"), "phrases")
+    often = written(anchors.groupBy("a").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("a"), "anchors")
+    found = written(_rows_of(named, often, _phrase_rows, "a int, s long, doc long, mark int, spans array<int>"), "phrases")
     index = written(found.groupBy("a", "s").agg(F.min("doc").alias("low")), "index")
-    whole = found.join(index, ["a", "s"]).filter("doc > low").select("doc", "mark", "spans")
+    whole = found.join(index, ["a", "s"]).filter("doc > low").select("doc", "mark", "low", "spans")
     # Different phrases with one anchor may share windows: where a factor ends.
     cut = index.groupBy("a").agg(F.min("s").alias("x"), F.max("s").alias("y"), F.min("low").alias("low"), F.max("low").alias("high")).filter("x < y AND low < high")
-    border = _chosen(sc.broadcast(bitmap(cut, "a")), _window_rows, ["w", "doc", "mark", "spans"])
-    windows = written(named.mapInArrow(border, "w long, doc long, mark int, spans array<int>"), "windows")
-    first = windows.groupBy("w").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("w", "low")
-    single = windows.join(first, "w").filter("doc > low").select("doc", "mark", "spans")
-    return whole.union(single).groupBy("doc", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    cut = written(cut.select(F.col("a").cast("long").alias("a")), "cut")
+    border = written(_rows_of(named, cut, _window_rows, "a int, w long, v int, doc long, mark int, spans array<int>").drop("a"), "windows")
+    first = border.groupBy("w", "v").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("w", "v", "low")
+    single = border.join(first, ["w", "v"]).filter("doc > low").select("doc", "mark", "low", "spans")
+    return whole.union(single).groupBy("doc", "mark").agg(F.collect_list(F.struct("low", "spans")).alias("spans"))
+
+
+def parsed(low: np.ndarray, begin: np.ndarray, n: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The greedy parse over n found windows from each word `begin` on, first seen in document `low`: (start, words, block) of the factors."""
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    window, of = np.repeat(begin, n) + step, np.repeat(low, n) // block
+    order = np.lexsort((of, window))
+    order = order[np.r_[True, np.diff(window[order]) != 0]] if len(order) else order
+    window, of = window[order], of[order]
+    cut = np.flatnonzero(np.r_[True, (np.diff(window) != 1) | (np.diff(of) != 0)]) if len(window) else np.zeros(0, np.int64)
+    return window[cut], np.diff(np.r_[cut, len(window)]) + WINDOW - 1, of[cut]
+
+
+def _parsed_row(found: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """parsed of one row's structs (low, spans)."""
+    lists = found.field("spans")
+    packed = np.asarray(lists.flatten()).astype(np.int64)
+    return parsed(np.repeat(np.asarray(found.field("low")), np.asarray(pc.list_value_length(lists))), packed >> 4, packed & 15)
+
+
+def _factored(batches):
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("block", pa.int64())]))
+    for batch in batches:
+        rows = [[dict(zip(("start", "words", "block"), f, strict=True)) for f in zip(*map(np.ndarray.tolist, _parsed_row(s.values)), strict=True)] for s in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, kind)], ["doc", "mark", "factors"])
+
+
+def factors(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, mark, factors): the parse of each document that refers to earlier ones, as (start, words, block) in words.
+    mark is a hash of the text, which tells rows with one id apart."""
+    found = spans(_marked(df, id_col, text).filter("doc IS NOT NULL"))
+    return found.mapInArrow(_factored, "doc long, mark int, factors array<struct<start:long,words:long,block:long>>")
 
 
 def _kept(words: list[bytes], begin: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """The words under no factor."""
     edge = np.zeros(len(words) + 1, np.int64)
     np.add.at(edge, begin, 1)
-    np.add.at(edge, begin + n + WINDOW - 1, -1)
+    np.add.at(edge, begin + n, -1)
     gone = np.cumsum(edge[:-1]) > 0
     return [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
 
@@ -161,10 +186,10 @@ def _split(touched):
     """Rows without spans are finished here; the others keep their text for the join."""
 
     def run(batches):
-        bits = touched.value
+        bits = touched.value if touched else None
         for batch in batches:
             n, kept, text = [], [], []
-            maybe = _in(bits, np.asarray(batch.column(3)))
+            maybe = contains(bits, np.asarray(batch.column(3))) if touched else np.ones(len(batch), bool)
             for m, t in zip(maybe.tolist(), batch.column(2), strict=True):
                 t = t.as_py() or ""
                 words = t.encode().split()
@@ -186,8 +211,7 @@ def _removed(batches):
             words = (t.as_py() or "").encode().split()
             left = words
             if s.is_valid and words:
-                span = np.asarray(s.values).astype(np.int64)
-                left = _kept(words, span >> 4, span & 15)
+                left = _kept(words, *_parsed_row(s.values)[:2])
             gone.append(len(words) - len(left))
             text.append(b" ".join(left).decode())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.int64()), pa.array(text, pa.string())], ["id", "n_removed", "kept"])
@@ -210,7 +234,8 @@ def repeat_digests(df: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     docs = _marked(df, id_col, text)
     found = written(spans(docs.filter("doc IS NOT NULL")), "spans")
     key = F.xxhash64("doc", "mark")
-    touched = df.sparkSession.sparkContext.broadcast(bitmap(found.select(key.alias("k")), "k"))
+    bits = bits_for(found.count())
+    touched = df.sparkSession.sparkContext.broadcast(bitmap(found.select(key.alias("k")), "k", bits)) if bits else None
     split = docs.withColumn("k", key).select("doc", "mark", "text", "k").mapInArrow(_split(touched), "id long, mark int, n_words long, sha string, text string")
     joined = split.join(found.select(F.col("doc").alias("id"), "mark", "spans"), ["id", "mark"], "left")
     return joined.mapInArrow(_finished, "id long, n_words long, n_removed long, kept_sha256 string")

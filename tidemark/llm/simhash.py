@@ -5,11 +5,11 @@ most four bits, at most one segment differs in three or more, so at least one pa
 or less each; the keys of golay.py then agree in both. Each fingerprint therefore gives, for each of the three
 pairs, all combinations of its segments' codeword indices (1 to 36). Rows that share a key are verified by
 their bits. Equal fingerprints are one row before that. Within a key only a spanning forest of its links
-leaves the task; a key with more than `block` fingerprints is dealt out anew in pairs of blocks.
+leaves the task; a key with more than `block` fingerprints is cut finer and dealt out anew, see links_over.
 
 Defined results: a null text counts as empty, an empty one has fingerprint zero and links like any other; null
-ids count as larger than all others; repeated rows stay; an empty table gives no rows; columns other than the
-id and the text are not returned.
+ids count as larger than all others; repeated rows stay; rows that share an id but not the text are texts of their own;
+an empty table gives no rows; columns other than the id and the text are not returned.
 
 `near_copies` is the verified form: two texts are linked if their sets of `shingle`-word shingles have a Jaccard
 similarity of `least` or more. Near copies at 0.8 differ in about 10 of 64 bits, so it takes the Golay keys of
@@ -32,7 +32,7 @@ from . import golay
 from .arrays import mixed, slices, window_hashes, word_hashes
 from .arrays import words as words_of
 from .common import components, text_of, written
-from .repeats import _in, bitmap
+from .bitmaps import filtered
 
 SEED, SHINGLE, DISTANCE = 42, 4, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
@@ -106,8 +106,22 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
+FAN = 16
+
+
+def _tree(label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, its parent's row) for trees over the rows of equal labels in which no row has more than FAN children, so
+    that no row stands in a hot share of the links."""
+    order = np.argsort(label, kind="stable")
+    first = np.flatnonzero(np.r_[True, label[order][1:] != label[order][:-1]])[: len(order)]
+    begin = np.repeat(first, np.diff(np.r_[first, len(order)]))
+    place = np.arange(len(order)) - begin
+    child = place > 0
+    return order[child], order[begin[child] + (place[child] - 1) // FAN]
+
+
 def links_in_groups(group: np.ndarray, fps: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted by group; a spanning forest of the links within each group as (row, its root's row), row != root."""
+    """Rows sorted by group; a spanning forest of the links within each group as (row, its parent's row)."""
     n = len(fps)
     ends = np.flatnonzero(np.r_[group[1:] != group[:-1], True]) + 1 if n else np.zeros(0, np.int64)
     end = np.repeat(ends, np.diff(np.r_[0, ends]))
@@ -126,12 +140,11 @@ def links_in_groups(group: np.ndarray, fps: np.ndarray, distance: int = DISTANCE
             left, right, held = [np.arange(n)], [label], 0
         if not len(here):
             break
-    rows = np.flatnonzero(label != np.arange(n))
-    return rows, label[rows]
+    return _tree(label)
 
 
 def _linker(block: int, final: bool, distance: int = DISTANCE):
-    """Streams rows (key, fp) sorted by both. Groups over `block` rows leave as (key, fp, number of blocks)."""
+    """Streams rows (key, fp) sorted by both. Groups over `block` rows leave as (fp, key, number of blocks), unless final."""
 
     def run(batches):
         held_k, held_f, held = [], [], 0
@@ -168,36 +181,58 @@ def _linker(block: int, final: bool, distance: int = DISTANCE):
     return run
 
 
+LINKS = "a long, b long, blocks int"
+
+
 def linked(fps: DataFrame, block: int = 2_000) -> DataFrame:
     """fps: distinct fingerprints in column fp. Links (a, b) whose components are those of all links at DISTANCE or less."""
     return links_over(fps.select("fp").mapInArrow(_keyed, "key int, fp long"), block, DISTANCE)
 
 
+def _finer(distance: int):
+    """Keys of hot keys' rows (a: fingerprint, b: key): the bits are cut into distance + 1 parts, one of which has no error."""
+    cuts = [64 * i // (distance + 1) for i in range(distance + 2)]
+    parts = [F.shiftrightunsigned("a", low).bitwiseAND(F.lit((1 << high - low) - 1)) for low, high in zip(cuts[:-1], cuts[1:], strict=True)]
+    return F.explode(F.array(*[F.xxhash64("b", F.lit(i), p) for i, p in enumerate(parts)]))
+
+
 def links_over(keyed: DataFrame, block: int, distance: int) -> DataFrame:
-    """keyed: key, fp. Links (a, b) whose components are those of all links at `distance` or less under a common key."""
-    found = written(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_linker(block, False, distance), "a long, b long, blocks int"), "links")
-    links = found.filter("blocks = 0").select("a", "b").distinct()
-    hot = found.filter("blocks > 0")
+    """keyed: key, fp. Links (a, b) whose components are those of all links at `distance` or less under a common key.
+
+    A key with more than `block` fingerprints is cut finer by exact parts of the fingerprint, and what stays that large,
+    as copies that differ in few places do, is dealt out in pairs of blocks. Both lose nothing.
+    """
+    grouped = lambda df, final: df.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_linker(block, final, distance), LINKS)
+    found = written(grouped(keyed, False), "links")
+    links, hot = found.filter("blocks = 0").select("a", "b"), found.filter("blocks > 0")
     if hot.isEmpty():
-        return links
+        return links.distinct()
+    found = written(grouped(hot.select(_finer(distance).alias("key"), F.col("a").alias("fp")), False), "links")
+    links, hot = links.union(found.filter("blocks = 0").select("a", "b")), found.filter("blocks > 0")
     # Each pair of blocks of a hot key is a group of its own; a fingerprint goes to all pairs that hold its block.
     mine = F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int")
     dealt = hot.select(F.col("b").alias("key"), F.col("a").alias("fp"), mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    group = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
-    dealt = dealt.select(group.alias("key"), "fp")
-    more = dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_linker(block, True, distance), "a long, b long, blocks int")
-    return links.union(more.select("a", "b")).distinct()
+    dealt = dealt.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "fp")
+    return links.union(grouped(dealt, True).select("a", "b")).distinct()
+
+
+def rooted(classes: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """classes: key, least (an id, unique to no class). Links (a, b) between keys. (key, component): the smallest node
+    (no id, least, key) reachable, as a struct; a class without links is its own."""
+    node = F.struct(F.col("least").isNull().alias("none"), "least", F.col(key).alias("key"))
+    named = classes.select(F.col(key).alias("key"), node.alias("node"))
+    ends = links.join(named.select(F.col("key").alias("a"), F.col("node").alias("x")), "a").join(named.select(F.col("key").alias("b"), F.col("node").alias("y")), "b")
+    groups = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    groups = groups.select(F.col("node.key").alias("key"), "component")
+    return named.join(groups, "key", "left").select(F.col("key").alias(key), F.coalesce("component", "node").alias("component"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): the fingerprint as a long, and the smallest id reachable over links."""
     prints = written(fingerprints(df, id_col, text), "fingerprints")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    groups = components(linked(classes))
-    of = classes.join(groups, classes.fp == groups.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    roots = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = of.join(roots, "root").select("fp", "component_id")
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    of = rooted(classes, linked(classes), "fp").select("fp", F.col("component.least").alias("component_id"))
+    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -250,12 +285,11 @@ def _keyed_words(words: int):
     return run
 
 
-def _wanted_sets(shared, k: int):
-    """(tx, text) to (tx, shingles) of the texts in the bitmap."""
+def _sets(k: int):
+    """(tx, text) to (tx, shingles)."""
 
     def run(batches):
         for batch in batches:
-            batch = batch.filter(pa.array(_in(shared.value, np.asarray(batch.column(0)))))
             sets = [s.tobytes() for _, _, data, offsets in slices(batch.column(1)) for s in shingle_sets(data, offsets, k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["tx", "shingles"])
 
@@ -291,8 +325,8 @@ def _verified(least: float):
     def links(rows):
         label = jaccard_forest([np.frombuffer(s, np.uint64) for _, s in rows], least)
         ids = np.array([t for t, _ in rows], np.int64)
-        far = label != np.arange(len(ids))
-        return pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[label[far]])], ["a", "b"])
+        row, parent = _tree(label)
+        return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(ids[parent])], ["a", "b"])
 
     def run(batches):
         now, rows = None, []
@@ -310,24 +344,28 @@ def _verified(least: float):
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, distance: int = 16, words: int = 3, block: int = 1_000) -> DataFrame:
-    """(doc_id, component_id): the smallest id reachable over pairs whose shingle sets have a Jaccard similarity of `least` or more."""
+    """(doc_id, component_id, tx, first): the smallest id reachable over pairs whose shingle sets have a Jaccard similarity of
+    `least` or more, the xxhash64 of the text (null: empty), and whether the row is the one of its component to keep:
+    that of the smallest id, and of rows with that id the one with the smallest hash of its set, then of its text. Rows
+    that repeat id and text are alike in all columns."""
     kind = df.schema[id_col].dataType.simpleString()
     named = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text)).alias("tx"), F.col(text).alias("text"))
     prints = written(named.mapInArrow(_set_prints(shingle, words), f"doc_id {kind}, tx long, th long, fp long, words array<long>"), "fingerprints")
-    classes = written(prints.groupBy("th").agg(F.min("doc_id").alias("least"), F.min("tx").alias("tx"), F.first("fp").alias("fp"), F.first("words").alias("words")), "classes")
+    classes = written(prints.groupBy("th").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx")).alias("first"), F.min("tx").alias("tx"), F.first("fp").alias("fp"), F.first("words").alias("words")), "classes")
+    classes = classes.withColumn("least", F.col("first.doc_id"))
     keyed = classes.select("fp", "words").distinct().mapInArrow(_keyed_words(words), "key int, fp long")
     groups = components(links_over(keyed, 2_000, distance).filter("a <> b"))
     of = classes.join(groups, classes.fp == groups.node, "left").select("th", "tx", F.coalesce("component", "fp").alias("root"))
     several = of.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1")
     members = written(of.join(several, "root"), "members")
-    shared = df.sparkSession.sparkContext.broadcast(bitmap(members.select("tx"), "tx"))
-    sets = named.select("tx", "text").mapInArrow(_wanted_sets(shared, shingle), "tx long, shingles binary").dropDuplicates(["tx"])
+    marked = filtered(named.select("tx", "text"), "tx", members.select("tx"))
+    sets = marked.mapInArrow(_sets(shingle), "tx long, shingles binary").dropDuplicates(["tx"])
     # Every two texts of a candidate component meet in a group: a component over `block` is dealt out in pairs of blocks.
     blocks = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("th"), blocks).cast("int")
     dealt = members.join(sets, "tx").select("root", "th", "shingles", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = dealt.select(F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("grp"), "th", "shingles")
-    near = components(dealt.repartition("grp").sortWithinPartitions("grp").mapInArrow(_verified(least), "a long, b long"))
-    joined = classes.join(near, classes.th == near.node, "left").select("th", "least", F.coalesce("component", "th").alias("root"))
-    ids = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("th", "component_id")
-    return prints.join(ids, "th").select("doc_id", "component_id")
+    near = dealt.repartition("grp").sortWithinPartitions("grp").mapInArrow(_verified(least), "a long, b long")
+    of = rooted(classes, near, "th").join(classes.select("th", "first"), "th").select("th", "component", "first")
+    head = F.col("component.key").eqNullSafe(F.col("th")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tx") == F.col("first.tx"))
+    return prints.join(of, "th").select("doc_id", F.col("component.least").alias("component_id"), "tx", head.alias("first"))

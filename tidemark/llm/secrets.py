@@ -2,8 +2,8 @@
 
 A scan finds spans of known shapes in every text (the base kinds) and weaker candidates: long tokens with letters
 and digits next to nothing that names them. The values of both are judged by who owns them: their hashes are
-aggregated over distinct repositories and owners. A value that several owners have is a copied example; a value that
-one owner alone has is live-looking. Base spans stay whatever comes out; a weak candidate is reported, as a span of
+aggregated over distinct repositories and owners. A value that several owners or many repositories have is a copied example; a value that
+one owner alone has, in few repositories, is live-looking. Base spans stay whatever comes out; a weak candidate is reported, as a span of
 kind `owned`, if it is live-looking. Aggregation goes over distinct (value, owner, repository) first, so a value in a
 third of all rows is a few rows by then.
 
@@ -28,6 +28,7 @@ from .common import written
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
+_NAMES = tuple(n.encode() for n in NAMES)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 MIXED = re.compile(r"[A-Za-z0-9_-]+")
@@ -60,13 +61,17 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def weak_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, end, hash) of long tokens with letters, of one case or both, and digits that touch no base span."""
-    found = []
+    """(start, end, hash) of long tokens with letters, of one case or both, and digits that touch no base span.
+
+    Tokens come by their starts and base spans are sorted by theirs, so one walk over both is enough."""
+    found, at, reach = [], 0, 0  # reach: the furthest end of the base spans that start before the token's end
     for m in MIXED.finditer(text):
         t = m[0]
         if len(t) < MIXED_LEAST or not any(c.isdigit() for c in t) or not any(c.isalpha() for c in t):
             continue
-        if all(m.end() <= a or m.start() >= b for _, a, b in base):
+        while at < len(base) and base[at][1] < m.end():
+            reach, at = max(reach, base[at][2]), at + 1
+        if reach <= m.start():
             found.append((m.start(), m.end(), _hash(t)))
     return found
 
@@ -99,7 +104,7 @@ def _scan(at: int):
                 for r in range(j - i):
                     raw = whole[offsets[r] : offsets[r + 1]]
                     low = raw.lower()
-                    if not long[r] and not any(n.encode() in low for n in NAMES):  # AKIA... of 20 is a long run
+                    if not long[r] and not any(n in low for n in _NAMES):  # AKIA... of 20 is a long run
                         spans.append([])
                         weak.append([])
                         continue
@@ -122,11 +127,15 @@ def scanned(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_tidemark_text")).mapInArrow(_scan(len(keep)), f"{kinds}, {SCANNED}")
 
 
-def ownership(candidates: DataFrame, most_owners: int = 1) -> DataFrame:
-    """candidates: hash, owner, repository. One row a hash: owners, repositories, live (owned by at most most_owners)."""
+#: A value in more repositories than that is a copied example, also where one owner alone has it.
+MOST_REPOSITORIES = 10
+
+
+def ownership(candidates: DataFrame, most_owners: int = 1, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
+    """candidates: hash, owner, repository. One row a hash: owners, repositories (of all owners), live (at most so many of both)."""
     held = candidates.select("hash", "owner", "repository").distinct()
     owners = held.groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
-    return owners.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories")).withColumn("live", F.col("owners") <= most_owners)
+    return owners.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories")).withColumn("live", (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories))
 
 
 def _each(found: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ both sides of a passage found. The score is the local alignment's share of the i
 reordered copies keep most of it. Hits on phrases that everyone writes are cheap: an alignment scores at most MATCH
 for each word that both sides have, so a stretch with too few words of the item is passed over without loss.
 
-Test items are the stated query set. They are taken in blocks of at most `block` items, so what is broadcast
-has a bound; documents are never shuffled.
+Test items are the stated query set. They are taken in blocks of about `block` items and `block_bytes` of text at most,
+so what is broadcast has a bound; documents are never shuffled.
 
 Defined results: null or empty texts and items have no words and match nothing, nor does an item of fewer than
 `seed` words; equal items are reported one by one; repeated rows are reported as often as they occur; rows with
@@ -168,14 +168,20 @@ def _matched(shared, seed: int, least: float, id_type: str):
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", seed: int = 4, least: float = 0.5, block: int = 50_000) -> DataFrame:
-    """(doc_id, item_id, score, start_word, end_word): every place where a document holds at least `least` of an item."""
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", seed: int = 2, least: float = 0.5, block: int = 50_000, block_bytes: int = 32 << 20) -> DataFrame:
+    """(doc_id, item_id, score, start_word, end_word): every place where a document holds at least `least` of an item.
+
+    With seeds of two words and `least` of 1/2 all such places are found but those where a foreign word stands between
+    all neighbouring words of the item, or all but two: an alignment of m words of an item of L, with d edits, scores
+    2m - d >= L, which leaves d + 1 < m for the stretches between edits as soon as m < L - 1, so one of them has two words.
+    """
     sc = docs.sparkSession.sparkContext
     named = items.select(F.col(item_id).alias("item_id"), F.lower(F.coalesce(item_text, F.lit(""))).alias("text"))
     lower = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.coalesce(text, F.lit(""))).alias("text"))
     kinds = dict(docs.select(F.col(id_col).alias("doc_id")).dtypes) | dict(named.select("item_id").dtypes)
     schema = f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, score double, start_word long, end_word long"
-    blocks = max(1, -(-named.count() // block))
+    size = named.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-size["n"] // block), -(-size["bytes"] // block_bytes))
     out = None
     for b in range(blocks):
         part = named.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])

@@ -1,6 +1,6 @@
 """Quality classifier: gradient-boosted trees over document statistics.
 
-Statistics come from whole texts. The model is fitted on at most `most` labelled rows, the first in the order of
+Statistics come from whole texts. The model is fitted on at most `most` distinct labelled rows, the first in the order of
 a hash of their id (the bound is that parameter: 20,000 rows of 18 numbers reach the driver); scoring runs
 over all rows in tasks that hold the flattened trees, a few kilobytes.
 
@@ -72,7 +72,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [statistics(data, offsets) for _, _, data, offsets in arrays.slices(batch.column(1))]
         if rows:
             x = np.concatenate(rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["_id", "y", "x"])
 
 
 def learnt(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, most: int = 20_000) -> Trees:
@@ -80,7 +80,9 @@ def learnt(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: st
     marked = labels.filter(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(id_col).agg(F.min(label).alias("y"), F.max(label).alias("z")).filter("y = z")
     chosen = marked.orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(most).select(F.col(id_col).alias("_id"), F.col("y").cast("double").alias("y"))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id")  # at most `most` rows
-    got = rows.select("y", "text").mapInArrow(_measured, "y double, x array<double>").toArrow()
+    # An id may stand in many rows: equal ones count once, and the bound holds for rows, too.
+    measured = rows.select("y", "text", F.col("_id").cast("string").alias("_id")).mapInArrow(_measured, "_id string, y double, x array<double>").distinct()
+    got = measured.orderBy(F.xxhash64("_id"), "_id", "x").limit(most).select("y", "x").toArrow()
     x = np.array(got["x"].to_pylist(), float).reshape(-1, len(STATISTICS))
     y = np.asarray(got["y"], float)
     order = np.lexsort([*x.T, y])  # the same sums in any order of arrival

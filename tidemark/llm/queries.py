@@ -16,11 +16,9 @@ def op1_seeded_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(text_of("text")) + 1).cast("long").alias("size"), F.crc32(text_of("text").cast("binary")).cast("long").alias("text_crc32")
-    )
-    out = sharding.uniform_shards(docs, shards=16)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    out = sharding.uniform_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
+    size = (F.octet_length(text_of("text")) + 1).cast("long").alias("size")
+    return out.select("doc_id", size, F.crc32(text_of("text").cast("binary")).cast("long").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 PLANTED_TEXT = "\\### Assistant: </turn> ok"
@@ -86,11 +84,13 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder, parts, row=token_files.crc32, column="ids_crc32 long")
 
 
+#: The rule that every document has to pass first.
+BASE = quality_rules.Rule("base", "n_words < 10 OR 100 * n_repeat_words > 20 * n_words")
+
+
 def op7_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = quality_rules.quality_rules(docs)
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & F.col("kept")).alias("kept"))
+    out = quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), first=[BASE])
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.expr(BASE.fails).alias("base_failed"), "kept")
 
 
 def op8_owned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

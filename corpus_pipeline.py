@@ -4,8 +4,9 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 next stage's docs. All but the last return the columns of documents.
 
 Null and empty texts are judged like any other text (an empty one scores low and goes in the first stage);
-repeated rows are one document from the second stage on; an empty table stays empty; further columns of docs
-pass through all stages but the last.
+a row is known by its id and its text: rows that repeat both are one document from the second stage on, rows that
+repeat an id alone are judged by their own texts; an empty table stays empty; further columns of docs pass through all
+stages but the last.
 """
 
 from __future__ import annotations
@@ -25,19 +26,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_model.scored(docs, trees, "text", keep, "_tidemark_score").filter(F.col("_tidemark_score") >= THRESHOLD).select(*keep)
 
 
+def _those(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """The rows of docs whose id and text are (left_semi) or are not (left_anti) in keys: _tidemark_id, _tidemark_tx."""
+    text = F.xxhash64(text_of("text"))
+    return docs.join(keys, F.col("_tidemark_id").eqNullSafe(docs.doc_id) & (F.col("_tidemark_tx") == text), how)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word Jaccard of 0.8 or more, with what links them) the document with the smallest id stays."""
-    groups = simhash.near_copies(docs)
-    gone = written(groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "copies")
-    left = docs.withColumn("_tidemark_text", F.xxhash64(text_of("text"))).join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
-    return left.dropDuplicates(["doc_id", "_tidemark_text"]).drop("_tidemark_text")
+    """Of each group of near copies (five-word Jaccard of 0.8 or more, with what links them) one document stays: the one
+    with the smallest id. A row is known by its id and its text; of rows that repeat both one stays."""
+    heads = simhash.near_copies(docs).filter("first").groupBy(F.col("doc_id").alias("_tidemark_id"), F.col("tx").alias("_tidemark_tx")).agg(F.count("*").alias("n"))
+    heads = written(heads, "heads")
+    # Only rows that repeat others have to meet.
+    once, more = (_those(docs, heads.filter(n).drop("n"), "left_semi") for n in ("n = 1", "n > 1"))
+    again = more.withColumn("_tidemark_tx", F.xxhash64(text_of("text"))).dropDuplicates(["doc_id", "_tidemark_tx"]).drop("_tidemark_tx")
+    return once.union(again)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold half of a test item or more go."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    leaks = written(found.select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, docs.doc_id.eqNullSafe(leaks.doc_id), "left_anti")
+    """Documents that hold half of a test item or more go; a row is known by its id and its text."""
+    keyed = docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64(text_of("text")).alias("tx")).alias("doc_id"), "text")
+    found = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"))
+    leaks = written(found.select(F.col("doc_id.id").alias("_tidemark_id"), F.col("doc_id.tx").alias("_tidemark_tx")).distinct(), "leaks")
+    return _those(docs, leaks, "left_anti")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -107,22 +107,38 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return top, end - back, end
 
 
-def passages(item: np.ndarray, words: np.ndarray, least: float) -> Iterator[tuple[float, int, int]]:
-    """(score, start, end) of the best alignment of `least` or more of the item, and of those before and after it."""
-    inside = np.isin(words, item)
-    need = least * len(item)
+def most_common(item: np.ndarray, words: np.ndarray) -> int:
+    """How many words an alignment can match at most: those that both have, as often as both have them."""
+    known, times = np.unique(item, return_counts=True)
+    place = np.minimum(np.searchsorted(known, words), len(known) - 1)
+    return int(np.minimum(np.bincount(place[known[place] == words], minlength=len(known)), times).sum())
+
+
+def passages(item: np.ndarray, words: np.ndarray, least: float, need: float = 0.0) -> Iterator[tuple[float, int, int]]:
+    """(score, start, end) of the best alignment of `least` or more of the item, and of those before and after it.
+    need: words that such an alignment is known to match, where that is more than `least` asks for."""
+    need = max(need, least * len(item))
     stack = [(0, len(words))]
     while stack:
         low, high = stack.pop()
-        if np.count_nonzero(inside[low:high]) < need:
+        if high - low < need or most_common(item, words[low:high]) < need:
             continue
         top, start, end = align(item, words[low:high])
-        if top < MATCH * need:
+        if top < MATCH * least * len(item):
             continue
         yield top / (MATCH * len(item)), low + start, low + end
         stack += [(low, low + start), (low + end, high)]
 
 
+def words_needed(length: int, hits: int, seed: int, least: float) -> float:
+    """Words that an alignment of `least` of an item of this length matches, if it holds so many of the item's n-grams.
+
+    m words in r stretches have m - (seed - 1) r n-grams or more, and the r - 1 edits or more between the stretches leave
+    2m - (r - 1) >= 2 least length. Both together bound m from below."""
+    k = seed - 1
+    return (2 * least * length * k - k - hits) / (2 * k - 1) if k else 0.0
+
+
 def _matched(shared, seed: int, least: float, id_type: str):
     def run(batches):
         items, table = shared.value
@@ -144,11 +160,14 @@ def _matched(shared, seed: int, least: float, id_type: str):
                 slack = size // 2 + 2
                 new = np.r_[True, (np.diff(document) != 0) | (np.diff(item) != 0) | (np.diff(diagonal) > slack[1:])]
                 cuts = np.flatnonzero(new)
+                pairs = np.flatnonzero(np.r_[True, (np.diff(document) != 0) | (np.diff(item) != 0)])
+                total = np.repeat(np.diff(np.r_[pairs, len(item)]), np.diff(np.r_[pairs, len(item)]))  # hits of the document and the item
                 for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(new)], strict=True):
                     d, k = document[a], item[a]
                     low = max(first[d], diagonal[a] - slack[a])
                     high = min(first[d + 1], diagonal[b - 1] + size[a] + slack[a])
-                    for score, start, end in passages(items.words[items.first[k] : items.first[k + 1]], hashes[low:high], least):
+                    need = words_needed(int(size[a]), int(total[a]), seed, least)
+                    for score, start, end in passages(items.words[items.first[k] : items.first[k + 1]], hashes[low:high], least, need):
                         rows.append(i + int(d))
                         found.append((items.ids[k], score, int(low - first[d] + start), int(low - first[d] + end)))
             if rows:
@@ -168,12 +187,13 @@ def _matched(shared, seed: int, least: float, id_type: str):
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", seed: int = 2, least: float = 0.5, block: int = 50_000, block_bytes: int = 32 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", seed: int = 3, least: float = 0.5, block: int = 50_000, block_bytes: int = 32 << 20) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word): every place where a document holds at least `least` of an item.
 
-    With seeds of two words and `least` of 1/2 all such places are found but those where a foreign word stands between
-    all neighbouring words of the item, or all but two: an alignment of m words of an item of L, with d edits, scores
-    2m - d >= L, which leaves d + 1 < m for the stretches between edits as soon as m < L - 1, so one of them has two words.
+    Some n-gram of the item has to be left. An alignment of m words with d edits has m / (d + 1) words or more between
+    edits, so with seeds of three words every place is found that holds over 1/2 + 1 / L of an item of L words by
+    changed and left out words, and every one that holds over 3/4 of it whatever the edits are. What has a foreign word
+    after every second word of the item, or more, can be missed below that.
     """
     sc = docs.sparkSession.sparkContext
     named = items.select(F.col(item_id).alias("item_id"), F.lower(F.coalesce(item_text, F.lit(""))).alias("text"))

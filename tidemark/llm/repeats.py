@@ -14,7 +14,7 @@ in a document with a smaller id. The index names the first document of a phrase,
 parse against every block by itself would give other boundaries and the same words.
 
 Three scans: the first counts anchors; the second keeps only phrases whose anchor several documents have; the third gives
-the windows of anchors that stand in different phrases. Phrases and windows are compared by 96 bits of hash.
+the windows of anchors that stand in different phrases. Phrases are compared by 128 bits of hash, windows by 96.
 
 Defined results: a null text counts as empty; rows with a null id are returned unchanged and refer to nothing;
 rows that repeat an id never refer to each other; a text shorter than 13 words has nothing removed; an empty
@@ -95,8 +95,7 @@ def _rows_of(named: DataFrame, anchors: DataFrame, emit, schema: str) -> DataFra
     bits = bits_for(anchors.count())
     shared = named.sparkSession.sparkContext.broadcast(bitmap(anchors, "a", bits)) if bits else None
     rows = named.mapInArrow(_chosen(shared, emit, [c.split()[0] for c in schema.split(", ")]), schema)
-    short = F.shiftright(F.shiftleft("a", 32), 32).cast("int").alias("a")  # as the rows carry it
-    return rows if bits else rows.join(anchors.select(short).distinct(), "a", "left_semi")
+    return rows if bits else rows.join(anchors.distinct(), "a", "left_semi")
 
 
 def _once(row, key, values):
@@ -111,7 +110,7 @@ def _phrase_rows(anchor, at, n, row, start, hashes, ids, marks):
     w = arrays.window_hashes(hashes, WINDOW)
     whole = arrays.mixed(w[at] * np.uint64(3) + w[at + n - 1] * np.uint64(5) + n.astype(np.uint64))
     one, spans = _once(row, whole, 16 * start + n)
-    return anchor[one].astype(np.int32), whole[one].view(np.int64), ids[row[one]], marks[row[one]], spans
+    return anchor[one], whole[one].view(np.int64), ids[row[one]], marks[row[one]], spans
 
 
 def _window_rows(anchor, at, n, row, start, hashes, ids, marks):
@@ -120,7 +119,7 @@ def _window_rows(anchor, at, n, row, start, hashes, ids, marks):
     step = np.arange(ends[-1]) - np.repeat(ends - n, n)
     place, row, key = np.repeat(at, n) + step, np.repeat(row, n), np.repeat(anchor, n)
     one, spans = _once(row, w[place], 16 * (np.repeat(start, n) + step) + 1)
-    return key[one].astype(np.int32), w[place][one].view(np.int64), more[place][one].astype(np.int32), ids[row[one]], marks[row[one]], spans
+    return key[one], w[place][one].view(np.int64), more[place][one].astype(np.int32), ids[row[one]], marks[row[one]], spans
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -129,13 +128,13 @@ def spans(docs: DataFrame) -> DataFrame:
     named = docs.select("doc", "mark", "text")
     anchors = docs.select("doc", "text").mapInArrow(_anchors, "a long, doc long")
     often = written(anchors.groupBy("a").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("a"), "anchors")
-    found = written(_rows_of(named, often, _phrase_rows, "a int, s long, doc long, mark int, spans array<int>"), "phrases")
+    found = written(_rows_of(named, often, _phrase_rows, "a long, s long, doc long, mark int, spans array<int>"), "phrases")
     index = written(found.groupBy("a", "s").agg(F.min("doc").alias("low")), "index")
     whole = found.join(index, ["a", "s"]).filter("doc > low").select("doc", "mark", "low", "spans")
     # Different phrases with one anchor may share windows: where a factor ends.
     cut = index.groupBy("a").agg(F.min("s").alias("x"), F.max("s").alias("y"), F.min("low").alias("low"), F.max("low").alias("high")).filter("x < y AND low < high")
-    cut = written(cut.select(F.col("a").cast("long").alias("a")), "cut")
-    border = written(_rows_of(named, cut, _window_rows, "a int, w long, v int, doc long, mark int, spans array<int>").drop("a"), "windows")
+    cut = written(cut.select("a"), "cut")
+    border = written(_rows_of(named, cut, _window_rows, "a long, w long, v int, doc long, mark int, spans array<int>").drop("a"), "windows")
     first = border.groupBy("w", "v").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("w", "v", "low")
     single = border.join(first, ["w", "v"]).filter("doc > low").select("doc", "mark", "low", "spans")
     return whole.union(single).groupBy("doc", "mark").agg(F.collect_list(F.struct("low", "spans")).alias("spans"))

@@ -30,7 +30,20 @@ def checked_join(left: DataFrame, right: DataFrame, keys: list[str], how: str =
 
 
 def calendar_join(df: DataFrame, keys: list[str], values: list[str], prefix: str, months: int = 12, period: str = "period", snap: str | None = None, keep_period: bool = False) -> DataFrame:
-    """df with the values of exactly the row `months` earlier, named with the prefix."""
+    """df with the values of exactly the row `months` earlier, named with the prefix. Keys and period are unique.
+
+    Whole years need no join: rows of one key and one day of the year lie together, and the frame holds the row so many
+    years earlier and nothing else; a row whose period, moved on, is another day is left out like any missing one.
+    """
+    if months % 12 == 0 and months > 0:
+        day = F.when((F.month(period) == 2) & (F.dayofmonth(period) == 29), 28).otherwise(F.dayofmonth(period))
+        place = F.month(period) * 100 + (F.lit(0) if snap == "month_end" else day)
+        years = Window.partitionBy(*keys, place).orderBy(F.year(period)).rangeBetween(-(months // 12), -(months // 12))
+        prior = F.first(F.struct(F.col(period).alias("_period"), *[F.col(v).alias(prefix + v) for v in values])).over(years)
+        known = F.forall(F.array(*[F.col(k).isNotNull() for k in keys]), lambda x: x) if keys else F.lit(True)
+        exact = known & (cal.shift_period(F.col("_prior._period"), months, snap) == F.col(period))
+        found = {prefix + v: F.when(exact, F.col(f"_prior.`{prefix}{v}`")) for v in values} | ({prefix + period: F.when(exact, F.col("_prior._period"))} if keep_period else {})
+        return df.withColumn("_prior", prior).withColumns(found).drop("_prior")
     prior = df.select(
         *keys,
         cal.shift_period(period, months, snap).alias(period),
@@ -41,10 +54,13 @@ def calendar_join(df: DataFrame, keys: list[str], values: list[str], prefix: str
 
 
 def first_quarter_join(df: DataFrame, keys: list[str], values: list[str], prefix: str = "start_", period: str = "period") -> DataFrame:
-    """Second-quarter rows with the values of the same year's first quarter end; other rows get nulls."""
-    starts = df.filter(cal.is_quarter_end(period) & (F.month(period) == 3))
-    starts = starts.select(*keys, cal.next_quarter_end(period).alias(period), F.col(period).alias(prefix + period), *[F.col(v).alias(prefix + v) for v in values])
-    return df.join(starts, [*keys, period], "left")
+    """Second-quarter rows with the values of the same year's first quarter end; other rows get nulls. Keys and period are unique."""
+    year = Window.partitionBy(*keys, F.year(period))
+    first = cal.is_quarter_end(period) & (F.month(period) == 3)
+    second = cal.is_quarter_end(period) & (F.month(period) == 6)
+    known = F.forall(F.array(*[F.col(k).isNotNull() for k in keys]), lambda x: x) if keys else F.lit(True)
+    of = {prefix + c: F.when(second & known, F.max(F.when(first, F.col(c))).over(year)) for c in (period, *values)}
+    return df.withColumns(of)
 
 
 def literal_domain(df: DataFrame, column: str, values: list) -> DataFrame:

@@ -1,46 +1,73 @@
-"""Claims: one row for each computed statement, with its value or the reason why there is none."""
+"""Claims: one row for each computed statement, with its value or the reason why there is none, how it was computed,
+and from which periods."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.windows import last_n
 from .fiscal import balance_endpoints, fiscal_growth, revenue_components, spending_functions, transfer_share, transfers
 
-CLAIM = ["region_id", "period", "amount_basis", "claim_code", "value", "unit", "availability"]
-
-
-def _claim(df: DataFrame, code: str, value: str, unit: str, reason: str, basis: str | None = None) -> DataFrame:
-    v = F.col(value)
-    return df.select("region_id", "period", (F.lit(basis) if basis else F.col("amount_basis")).alias("amount_basis"), F.lit(code).alias("claim_code"), v.alias("value"), F.lit(unit).alias("unit"), F.when(v.isNull(), reason).otherwise("available").alias("availability"))
+CLAIM = ["region_id", "period", "amount_basis", "claim_code", "value", "unit", "availability", "formula", "evidence"]
+#: Reasons for a missing value.
+MISSING, BEFORE, NOT_DERIVABLE = "endpoint_unavailable", "comparison_unavailable", "not_derivable_from_cumulative_index"
+#: Claim, unit, reason where it is missing, formula, and whether it compares with the year before.
+STATEMENTS = {
+    "budget_balance": ("RUB", MISSING, "balance", False),
+    "budget_balance_change": ("RUB", BEFORE, "balance - prior balance", True),
+    "transfer_share": ("%", MISSING, "transfers / total revenue * 100", False),
+    "transfer_share_change": ("pp", BEFORE, "transfer share - prior transfer share", True),
+    "own_source_growth": ("%", BEFORE, "(own revenue - prior own revenue) / prior own revenue * 100", True),
+    "retained_pit_change": ("RUB", BEFORE, "retained PIT - prior retained PIT", True),
+    "retained_pit_contribution": ("pp", BEFORE, "(retained PIT - prior retained PIT) / prior total revenue * 100", True),
+    "cit_change": ("RUB", BEFORE, "CIT - prior CIT", True),
+    "cit_contribution": ("pp", BEFORE, "(CIT - prior CIT) / prior total revenue * 100", True),
+    "social_policy_share": ("%", MISSING, "social policy spending / total spending * 100", False),
+    "production_growth": ("%", MISSING, "January-to-month index - 100", True),
+    "price_growth": ("%", BEFORE, "(price - prior price) / prior price * 100", True),
+}
+
+
+def evidence(period: Column, compares: bool) -> Column:
+    """The periods whose published rows a claim rests on, as JSON."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    parts = [day(period).alias("period"), *([day(F.add_months(period, -12)).alias("prior_period")] if compares else [])]
+    return F.to_json(F.struct(*parts))
+
+
+def _stated(df: DataFrame, basis: Column, values: dict[str, Column], reasons: dict[str, str] | None = None) -> DataFrame:
+    """One row a row of df and claim, from a single pass over df."""
+    rows = []
+    for code, value in values.items():
+        unit, why, formula, compares = STATEMENTS[code]
+        known = F.when(value.isNull(), F.lit((reasons or {}).get(code, why))).otherwise("available")
+        fields = {"claim_code": F.lit(code), "value": value, "unit": F.lit(unit), "availability": known, "formula": F.lit(formula), "evidence": evidence(F.col("period"), compares)}
+        rows.append(F.struct(*[v.alias(k) for k, v in fields.items()]))
+    return df.select("region_id", "period", basis.alias("amount_basis"), F.explode(F.array(*rows)).alias("c")).select("region_id", "period", "amount_basis", "c.*")
 
 
 def claims(fiscal: DataFrame, revenue: DataFrame, cumulative: DataFrame, history: DataFrame, basis: str = "YTD") -> DataFrame:
     """Balance, revenue, spending, transfers, components, functions, production and prices as long rows for all regions and periods."""
-    ends = balance_endpoints(fiscal, basis).withColumn("balance_change", F.col("balance") - F.col("prior_balance"))
-    moved = transfers(revenue, basis)
-    missing, before = "endpoint_unavailable", "comparison_unavailable"
+    own = F.col("amount_basis")
     out = [
-        _claim(ends, "budget_balance", "balance", "RUB", missing),
-        _claim(ends, "budget_balance_change", "balance_change", "RUB", before),
-        _claim(moved, "transfer_share", "transfer_share_pct", "%", missing),
-        _claim(moved, "transfer_share_change", "transfer_share_change_pp", "pp", before),
-        _claim(moved, "own_source_growth", "own_source_growth_yoy_pct", "%", before),
+        _stated(balance_endpoints(fiscal, basis), own, {"budget_balance": F.col("balance"), "budget_balance_change": F.col("balance") - F.col("prior_balance")}),
+        _stated(transfers(revenue, basis), own, {"transfer_share": F.col("transfer_share_pct"), "transfer_share_change": F.col("transfer_share_change_pp"), "own_source_growth": F.col("own_source_growth_yoy_pct")}),
     ]
-    for code in ("retained_pit", "cit"):
-        part = revenue_components(revenue, basis).filter(F.col("component_code") == code)
-        out += [_claim(part, f"{code}_change", "change_yoy_rub", "RUB", before), _claim(part, f"{code}_contribution", "contribution_pp", "pp", before)]
-    out.append(_claim(spending_functions(fiscal, basis).filter("metric_code = '1000'"), "social_policy_share", "share_pct", "%", missing))
+    part = revenue_components(revenue, basis).filter(F.col("component_code").isin("retained_pit", "cit"))
+    of = lambda n, v: F.max(F.when(F.col("component_code") == n, F.col(v)))
+    wide = part.groupBy("region_id", "period", "amount_basis", "window").agg(*[of(n, v).alias(f"{n}_{k}") for n in ("retained_pit", "cit") for k, v in (("change", "change_yoy_rub"), ("contribution", "contribution_pp"))])
+    out.append(_stated(wide, own, {c: F.col(c) for c in ("retained_pit_change", "retained_pit_contribution", "cit_change", "cit_contribution")}))
+    out.append(_stated(spending_functions(fiscal, basis).filter("metric_code = '1000'"), own, {"social_policy_share": F.col("share_pct")}))
     made = cumulative.filter("section = 'TOTAL'")
     if basis == "YTD":
-        out.append(_claim(made, "production_growth", "growth_yoy_pct", "%", missing, basis))
+        out.append(_stated(made, F.lit(basis), {"production_growth": F.col("growth_yoy_pct")}))
     else:  # never derived from cumulative indices
-        out.append(_claim(made.withColumn("none", F.lit(None).cast("double")), "production_growth", "none", "%", "not_derivable_from_cumulative_index", basis))
+        out.append(_stated(made, F.lit(basis), {"production_growth": F.lit(None).cast("double")}, {"production_growth": NOT_DERIVABLE}))
     price = history.filter("fuel_grade = '2-HIGH'").select("region_id", F.last_day("period").alias("period"), "yoy_change_pct")
-    out.append(_claim(price, "price_growth", "yoy_change_pct", "%", before, basis))
+    out.append(_stated(price, F.lit(basis), {"price_growth": F.col("yoy_change_pct")}))
     return reduce(DataFrame.unionByName, out).select(*CLAIM)
 
 

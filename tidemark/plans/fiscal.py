@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions.numbers import TOLERANCE, growth_of_change, safe_growth, share
-from ..operators.joins import calendar_join, first_quarter_join, grid_join, unique_guard
+from ..operators.joins import calendar_join, first_quarter_join, unique_guard
 from .panels import CIT, FUNCTIONS, OTHER, OWN, PIT, TOTAL, TRANSFERS
 
 KEYS = ["region_id", "period", "budget_level", "amount_basis", "window"]
@@ -66,12 +66,17 @@ def observations(df: DataFrame, basis: str) -> DataFrame:
     return out.withColumn("amount_basis", F.lit(basis))
 
 
+def _function_grid(work: DataFrame, keys: list[str], functions: list[str], value: str, total: str) -> DataFrame:
+    """A row for each key and function, with the total beside it, from one aggregation: (keys, metric_code, value, total)."""
+    of = lambda kind, code: F.max(F.when((F.col("kind") == kind) & (F.col("metric_code") == code), F.col(value)))
+    wide = work.groupBy(*keys).agg(of("summary", "expenditure_total").alias(total), *[of("expenditure_function", c).alias(f"_{c}") for c in functions])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("metric_code"), F.col(f"_{c}").alias(value)) for c in functions])).alias("_f")
+    return wide.select(*keys, total, each).select(*keys, "_f.metric_code", f"_f.{value}", total)
+
+
 def spending_functions(fiscal: DataFrame, basis: str = "YTD") -> DataFrame:
     """All 14 functions of every region and window: level, share, change over the year, contribution, completeness and gaps."""
-    work = observations(fiscal, basis)
-    total = work.filter("kind = 'summary' AND metric_code = 'expenditure_total'").select(*KEYS, F.col("amount_rub").alias("total_spending_rub"))
-    facts = work.filter("kind = 'expenditure_function'").select(*KEYS, "metric_code", "amount_rub")
-    out = grid_join(work, facts, KEYS, "metric_code", FUNCTIONS).join(total, KEYS, "left")
+    out = _function_grid(observations(fiscal, basis), KEYS, FUNCTIONS, "amount_rub", "total_spending_rub")
     out = out.withColumn("share_pct", share("amount_rub", "total_spending_rub"))
     same = [k for k in KEYS if k != "period"]
     out = calendar_join(out, [*same, "metric_code"], ["amount_rub", "share_pct", "total_spending_rub"], "prior_")
@@ -214,9 +219,7 @@ def budget_history(revenue: DataFrame, concepts: dict[str, str]) -> DataFrame:
 
 def social_spending(fiscal: DataFrame, functions=SOCIAL) -> DataFrame:
     """Three parent functions of every region and period: share of spending, growth and share change over the same window, availability."""
-    facts = fiscal.filter("kind = 'expenditure_function'").select("region_id", "period", "metric_code", "actual_ytd_rub")
-    total = fiscal.filter("kind = 'summary' AND metric_code = 'expenditure_total'").select("region_id", "period", F.col("actual_ytd_rub").alias("total_rub"))
-    out = grid_join(fiscal, facts, ["region_id", "period"], "metric_code", list(functions)).join(total, ["region_id", "period"], "left")
+    out = _function_grid(fiscal, ["region_id", "period"], list(functions), "actual_ytd_rub", "total_rub")
     out = out.withColumn("share_pct", F.when(F.col("total_rub") > 0, F.col("actual_ytd_rub") / F.col("total_rub") * 100))
     out = calendar_join(out, ["region_id", "metric_code"], ["actual_ytd_rub", "share_pct"], "prior_")
     return out.withColumns({

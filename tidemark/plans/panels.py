@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import SCOPE
 from ..functions import calendar as cal
+from ..operators.joins import calendar_join
 
 #: A panel's own revenue codes and what they hold, as conditions on a line item.
 TOTAL, OWN, PIT, CIT, OTHER, TRANSFERS = "TOTAL_REVENUE", "100", "101_PIT", "101_CIT", "200", "202"
@@ -109,19 +110,22 @@ def fiscal(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.col("s_nationkey").cast("string").alias("region_id"), cal.quarter_end(F.to_date("l_shipdate")).alias("period"), code.alias("metric_code"))
         .agg(F.sum(_money("l_extendedprice")).alias("_flow"))
     )
-    functions = _running(flows, ["region_id", "metric_code"], "_flow", "actual_ytd_rub").select("region_id", "period", F.lit("expenditure_function").alias("kind"), "metric_code", "actual_ytd_rub")
-    totals = _running(flows.groupBy("region_id", "period").agg(F.sum("_flow").alias("_flow")), ["region_id"], "_flow", "spending").select("region_id", "period", "spending")
+    # One pass over the lines: a quarter's functions stay together until its total is there.
+    own = F.struct(F.lit("expenditure_function").alias("kind"), "metric_code", "_flow", F.lit(None).cast("double").alias("value"))
+    quarters = flows.groupBy("region_id", "period").agg(F.sum("_flow").alias("_flow"), F.collect_list(own).alias("_functions"))
+    totals = _running(quarters, ["region_id"], "_flow", "spending").drop("_flow")
     income = revenue(spark, sf_dir).filter(F.col("revenue_code") == TOTAL).select("region_id", "period", F.col("actual_ytd_rub").alias("income"))
     both = income.join(totals, ["region_id", "period"], "full_outer").withColumn("balance", F.round(F.col("income") - F.col("spending"), 2))
     rows = F.array(*[
-        F.struct(F.lit(k).alias("kind"), F.lit(m).alias("metric_code"), v.alias("actual_ytd_rub"))
+        F.struct(F.lit(k).alias("kind"), F.lit(m).alias("metric_code"), F.lit(None).cast(flows.schema["_flow"].dataType).alias("_flow"), v.alias("value"))
         for k, m, v in (
             ("summary", "revenue_total", F.col("income")), ("summary", "expenditure_total", F.col("spending")),
             ("summary", "budget_balance", F.col("balance")), ("financing_component", "financing_total", -F.col("balance")),
         )
     ])
-    summary = both.select("region_id", "period", F.explode(rows).alias("r")).select("region_id", "period", "r.*").filter("actual_ytd_rub IS NOT NULL")
-    return functions.unionByName(summary).withColumn("budget_level", F.lit(SCOPE))
+    each = both.select("region_id", "period", F.explode(F.concat(F.coalesce("_functions", F.array().cast(totals.schema["_functions"].dataType)), rows)).alias("r")).select("region_id", "period", "r.*")
+    out = _running(each, ["region_id", "kind", "metric_code"], "_flow", "_ytd").withColumn("actual_ytd_rub", F.when(F.col("kind") == "expenditure_function", F.col("_ytd")).otherwise(F.col("value")))
+    return out.filter("actual_ytd_rub IS NOT NULL").select("region_id", "period", "kind", "metric_code", "actual_ytd_rub", F.lit(SCOPE).alias("budget_level"))
 
 
 _FISCAL_SQL = f"""
@@ -150,12 +154,12 @@ def production(spark: SparkSession, sf_dir: str, cumulative: bool = False) -> Da
         .groupBy(F.col("s_nationkey").cast("string").alias("region_id"), section.alias("section"), F.last_day("l_shipdate").alias("period"))
         .agg(F.sum(_money("l_quantity")).alias("_flow"))
     )
-    total = base.groupBy("region_id", F.lit("TOTAL").alias("section"), "period").agg(F.sum("_flow").alias("_flow"))
-    flows = base.unionByName(total)
+    both = F.explode(F.array("section", F.lit("TOTAL"))).alias("section")
+    flows = base.select("region_id", both, "period", "_flow").groupBy("region_id", "section", "period").agg(F.sum("_flow").alias("_flow"))
     level = _running(flows, ["region_id", "section"], "_flow", "level") if cumulative else flows.withColumn("level", F.col("_flow").cast("double"))
-    prior = level.select("region_id", "section", F.last_day(F.add_months("period", 12)).alias("period"), F.col("level").alias("before"))
-    index = F.when(F.col("before") > 0, 100 * F.col("level") / F.col("before"))
-    return level.join(prior, ["region_id", "section", "period"]).select("region_id", "section", "period", index.alias("index_value"), (index - 100).alias("growth_yoy_pct"))
+    known = calendar_join(level, ["region_id", "section"], ["level"], "prior_", snap="month_end", keep_period=True).filter("prior_period IS NOT NULL")
+    index = F.when(F.col("prior_level") > 0, 100 * F.col("level") / F.col("prior_level"))
+    return known.select("region_id", "section", "period", index.alias("index_value"), (index - 100).alias("growth_yoy_pct"))
 
 
 _MADE_SQL = f"""

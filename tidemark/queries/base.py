@@ -8,6 +8,7 @@ from pyspark.sql import functions as F  # noqa: F401
 
 from ..plans import panels as p
 from ..plans.panels import table, with_panels  # noqa: F401
+from ..shared import written as once  # noqa: F401  a panel that a query needs several times is aggregated once
 from ..shipping import ship
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators import windows
 from ..plans import claims, fiscal, overview, prices, production
-from .base import F, Registry, p, q_monthly, q_receipts, table
+from .base import F, Registry, once, p, q_monthly, q_receipts, table
 
 QUERIES = Registry()
 
@@ -263,7 +263,8 @@ def l24(s, d):
 
 
 def _claims(s, d, basis="YTD"):
-    return claims.claims(p.fiscal(s, d), p.revenue(s, d), p.production(s, d, True), prices.price_history(p.prices(s, d)), basis)
+    fiscal_rows, revenue_rows = once(p.fiscal(s, d), "fiscal"), once(p.revenue(s, d), "revenue")
+    return claims.claims(fiscal_rows, revenue_rows, p.production(s, d, True), prices.price_history(p.prices(s, d)), basis)
 
 
 _CLAIMS = _F + _ENDS.replace("FROM o WHERE", "FROM o WHERE") + _COMPONENTS.replace("FROM o GROUP", "FROM oo GROUP").replace(", w AS", _R.replace(", o AS", ", oo AS") + ", w AS", 1) + """
@@ -276,7 +277,17 @@ cl AS (SELECT region_id, period, 'budget_balance' AS claim_code, b AS value, 'RU
  UNION ALL SELECT region_id, period, 'social_policy_share', CASE WHEN t > 0 THEN v / t * 100 END, '%', 'endpoint_unavailable' FROM sp UNION ALL SELECT region_id, period, 'production_growth', growth_yoy_pct, '%', 'endpoint_unavailable' FROM cumulative WHERE section = 'TOTAL' UNION ALL SELECT region_id, period, 'price_growth', v, '%', 'comparison_unavailable' FROM pz)"""
 
 
-@QUERIES.add("l25_claims", _CLAIMS + "SELECT region_id, period, 'YTD' AS amount_basis, claim_code, value, unit, CASE WHEN value IS NULL THEN why ELSE 'available' END AS availability FROM cl", "fiscal cumulative prices")
+#: How each claim is computed, and whether it compares with the year before.
+_STATED = """
+, st(claim_code, formula, compares) AS (VALUES ('budget_balance', 'balance', false), ('budget_balance_change', 'balance - prior balance', true), ('transfer_share', 'transfers / total revenue * 100', false),
+ ('transfer_share_change', 'transfer share - prior transfer share', true), ('own_source_growth', '(own revenue - prior own revenue) / prior own revenue * 100', true), ('retained_pit_change', 'retained PIT - prior retained PIT', true),
+ ('retained_pit_contribution', '(retained PIT - prior retained PIT) / prior total revenue * 100', true), ('cit_change', 'CIT - prior CIT', true), ('cit_contribution', '(CIT - prior CIT) / prior total revenue * 100', true),
+ ('social_policy_share', 'social policy spending / total spending * 100', false), ('production_growth', 'January-to-month index - 100', true), ('price_growth', '(price - prior price) / prior price * 100', true))
+SELECT region_id, period, 'YTD' AS amount_basis, claim_code, value, unit, CASE WHEN value IS NULL THEN why ELSE 'available' END AS availability, formula,
+  '{"period":"' || CAST(period AS VARCHAR) || '"' || CASE WHEN compares THEN ',"prior_period":"' || CAST(CAST(period - INTERVAL 12 MONTH AS DATE) AS VARCHAR) || '"' ELSE '' END || '}' AS evidence FROM cl JOIN st USING (claim_code)"""
+
+
+@QUERIES.add("l25_claims", _CLAIMS + _STATED, "fiscal cumulative prices")
 def l25(s, d):
     return _claims(s, d)
 
@@ -293,7 +304,7 @@ t AS (SELECT a.region_id, a.period, b.actual_ytd_rub / a.actual_ytd_rub * 100 AS
 m AS (SELECT region_id, growth_yoy_pct FROM production WHERE section = 'TOTAL' QUALIFY row_number() OVER (PARTITION BY region_id ORDER BY period DESC) <= 3), k AS (SELECT region_id, count(*) FILTER (growth_yoy_pct < 0) AS below FROM m GROUP BY ALL HAVING count(growth_yoy_pct) = 3)
 SELECT o.region_id, o.period, o.g AS own_growth_pct, e.g AS spending_growth_pct, u.v AS transfer_share_shift_pp, k.below AS production_months_below FROM o JOIN e USING (region_id, period) LEFT JOIN u USING (region_id, period) LEFT JOIN k USING (region_id)""", "fiscal production")
 def l27(s, d):
-    return claims.profile_facts(production.headline_history(p.production(s, d)), p.revenue(s, d), p.fiscal(s, d))
+    return claims.profile_facts(production.headline_history(p.production(s, d)), once(p.revenue(s, d), "revenue"), p.fiscal(s, d))
 
 
 @QUERIES.add("l28_profile_evidence", "SELECT 'budget_revenue' AS dataset, region_id, period, revenue_code AS indicator, actual_ytd_rub AS value, 'RUB' AS units, 'YTD' AS amount_basis FROM revenue UNION ALL SELECT 'fiscal_observations', region_id, period, metric_code, actual_ytd_rub, 'RUB', 'YTD' FROM fiscal", "fiscal")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import new_folder, shared_folder, written  # noqa: F401
 from ..shipping import ship
 
 #: White space of the word definition `[^\x20\x09-\x0D]+`, as a Java character class.
@@ -19,28 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; one of our own only where it is unset and all is one process."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
-        sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='tidemark-')}")
-    return sc.getCheckpointDir()
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, and it survives lost executors."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Nodes of an optimized plan that give each task the same rows in the same order whenever it runs.
 _STEADY = {"Project", "Filter", "LogicalRelation", "Relation", "SubqueryAlias"}
 

@@ -30,7 +30,8 @@ from .arrays import mixed
 from .common import written
 
 NUMPY_MOST = 10**9  # numpy's hypergeometric needs populations below this
-MOST_PIECES = 100_000  # rows of the pieces' counts that are broadcast; beyond, Spark joins as it likes
+#: Cells of the matrix, and rows of the pieces' counts, that are broadcast (32 MB); larger ones Spark joins as it likes.
+MOST_CELLS = 4_000_000
 PLACE_BITS = 33  # of monotonically_increasing_id, below the partition's number
 
 
@@ -91,7 +92,7 @@ def _draws(seed: int, pieces: int):
     return F.pandas_udf(draw, "shard int, piece int, key long")
 
 
-def uniform_shards(df: DataFrame, shards: int = 16, seed: int = 42, target_rows: int = 100_000) -> DataFrame:
+def uniform_shards(df: DataFrame, shards: int = 16, seed: int = 42, target_rows: int = 20_000) -> DataFrame:
     """df with shard (0 to shards - 1) and slot (0, 1, ... within the shard, in random order)."""
     spark = df.sparkSession
     df = df.drop("shard", "slot")
@@ -102,11 +103,12 @@ def uniform_shards(df: DataFrame, shards: int = 16, seed: int = 42, target_rows:
     sizes = exact_sizes(sum(n for _, n in counted), shards)
     matrix = communication_matrix([n for _, n in counted], sizes, seed)
     parts = spark.createDataFrame([(p, m) for (p, _), m in zip(counted, matrix.tolist(), strict=True)], "_s_part long, _s_counts array<long>")
+    small = lambda df, cells: F.broadcast(df) if cells <= MOST_CELLS else df
     pieces = max(1, -(-max(sizes) // target_rows))
     draw = _draws(seed, pieces)("_s_id", "_s_counts")
 
     def drawn(df: DataFrame) -> DataFrame:
-        return df.withColumn("_s_part", part).join(parts, "_s_part").withColumn("_s_draw", draw).drop("_s_part", "_s_counts")
+        return df.withColumn("_s_part", part).join(small(parts, matrix.size), "_s_part").withColumn("_s_draw", draw).drop("_s_part", "_s_counts")
 
     held = drawn(rows.select("_s_id")).groupBy("_s_draw.shard", "_s_draw.piece").agg(F.count("*").alias("_s_n"))
     before = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -114,5 +116,5 @@ def uniform_shards(df: DataFrame, shards: int = 16, seed: int = 42, target_rows:
     # The exchange: rows move to their shard's pieces and are put in their order there.
     dealt = drawn(rows).select(*cols, F.col("_s_draw.shard").alias("_s_shard"), F.col("_s_draw.piece").alias("_s_piece"), F.col("_s_draw.key").alias("_s_key"), "_s_id")
     place = Window.partitionBy("_s_shard", "_s_piece").orderBy("_s_key", "_s_id")
-    out = dealt.withColumn("_s_slot", F.row_number().over(place) - 1).join(F.broadcast(first) if shards * pieces <= MOST_PIECES else first, ["_s_shard", "_s_piece"])
+    out = dealt.withColumn("_s_slot", F.row_number().over(place) - 1).join(small(first, shards * pieces), ["_s_shard", "_s_piece"])
     return out.select(*cols, F.col("_s_shard").alias("shard"), (F.col("_s_first") + F.col("_s_slot")).cast("long").alias("slot"))

@@ -8,8 +8,9 @@ from xml.sax.saxutils import escape
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.contracts import CONTRACTS
+from tidemark.contracts import CONTRACTS, SCOPE
 from tidemark.operators import quality
+from tidemark.plans import build
 from tidemark.sources import files, publish
 from tidemark.streaming import vintages
 
@@ -37,7 +38,7 @@ def test_workbooks(spark, tmp_path):
     monthly = {"B4": "2025 год", "D4": "2026", "B5": "январь", "C5": "декабрь", "D5": "январь", "A6": "Регион 1", "B6": "101,5", "C6": "…", "D6": "99", "A7": "Регион 2", "D7": "98"}
     annual = {"B4": "20241,2", "C4": "2025", "A5": "Регион 1", "B5": "104,2", "C5": "-"}
     cumulative = {"B4": "2026 год2", "B5": "январь", "C5": "январь-февраль", "D5": "январь-март3", "A6": "Регион 1", "B6": "100", "D6": "0"}
-    price = {"C1": "P92", "D1": "other", "A3": "45000000000", "B3": "г. Москва", "C3": "60.5", "A4": "00000000000", "B4": "Российская Федерация"}
+    price = {"C1": "P92", "D1": "other", "A3": "45286552001", "B3": "г. Москва", "C3": "60.5", "A4": "643", "B4": "Российская Федерация"}
     (tmp_path / "a.xlsx").write_bytes(workbook({"m": monthly, "y": annual, "c": cumulative, "02(2026)": price}))
     (tmp_path / "bad.xlsx").write_bytes(b"not a workbook")
     good, bad = files.split_status(files.cells(files.payloads(spark, str(tmp_path), "*.xlsx")))
@@ -50,7 +51,7 @@ def test_workbooks(spark, tmp_path):
     got = {r.window_months: (r.period, r.value, r.availability) for r in files.cumulative_sheet(of("c"), 4, 5, 6).collect()}
     assert got == {1: (date(2026, 1, 31), 100.0, "reported"), 2: (date(2026, 2, 28), None, "unavailable"), 3: (date(2026, 3, 31), 0.0, "reported")}
     got = {r.scope: (r.fuel_grade, r.source_price, r.period) for r in files.price_sheet(of("02(2026)"), 1, 3, {"P92": "AI-92"}).collect()}
-    assert got == {"city": ("AI-92", "60.5", date(2026, 2, 1)), "country": ("AI-92", None, date(2026, 2, 1))}
+    assert got == {"surveyed_city": ("AI-92", "60.5", date(2026, 2, 1)), "national": ("AI-92", None, date(2026, 2, 1))}
 
 
 def test_archives(spark, tmp_path):
@@ -79,8 +80,10 @@ def test_delimited_and_hashes(spark, tmp_path):
     (tmp_path / "a.csv").write_text("﻿code;v\n001;5\n", encoding="utf-8")
     (tmp_path / "b.csv").write_text("code,v\n002,6\n", encoding="utf-8")
     (tmp_path / "b (1).csv").write_text("code,v\n002,6\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_text("code,v\n003,p;q;r;s\n", encoding="utf-8")  # the first line alone decides
     got = sorted((r.code, r.v) for r in files.read_delimited(spark, str(tmp_path), "code string, v string").collect())
-    assert got == [("001", "5"), ("002", "6"), ("002", "6")]
+    assert got == [("001", "5"), ("002", "6"), ("002", "6"), ("003", "p;q;r;s")]
+    (tmp_path / "c.csv").unlink()
     one = files.distinct_files(files.payloads(spark, str(tmp_path))).collect()
     assert {(r.name, r.n_copies) for r in one} == {("a.csv", 1), ("b.csv", 2)}
     inventory = files.inventory(files.payloads(spark, str(tmp_path))).collect()
@@ -90,7 +93,7 @@ def test_delimited_and_hashes(spark, tmp_path):
 
 
 def test_publish(spark, tmp_path):
-    df = spark.createDataFrame([("r1", "77", "Р", "R", "d", "p")], CONTRACTS["regions"])
+    df = spark.createDataFrame([("r1", "R", "Р", "77", "45", "d", "p", date(2020, 1, 31), None)], CONTRACTS["regions"])
     events = quality.validate("regions", df)
     manifest = publish.promote({"regions": df}, events, f"{tmp_path}/out")
     assert manifest.first().n_rows == 1
@@ -101,14 +104,33 @@ def test_publish(spark, tmp_path):
     found, errors = files.load_tables(spark, f"{tmp_path}/out", CONTRACTS)
     assert set(found) == {"regions"} and found["regions"].count() == 1 and not errors
     publish.write_csv(df.withColumn("tags", F.array(F.lit("a"))).withColumn("none", F.lit(None).cast("string")), f"{tmp_path}/csv", compressed=True)
-    back = files.read_gzip(spark, f"{tmp_path}/csv", "region_id string, region_code string, a string, b string, c string, d string, tags string, none string").first()
-    assert back.region_code == "77" and back.tags == '["a"]' and back.none is None
+    back = files.read_gzip(spark, f"{tmp_path}/csv", "region_id string, a string, b string, fns_code string, c string, d string, e string, f string, g string, tags string, none string").first()
+    assert back.fns_code == "77" and back.tags == '["a"]' and back.none is None
     sums = publish.checksums(spark, f"{tmp_path}/csv", "*.csv.gz")
     assert publish.verified(spark, f"{tmp_path}/csv", sums, df).count() == 1
     with pytest.raises(ValueError, match="differ"):
         publish.verified(spark, f"{tmp_path}/csv", sums.withColumn("sha256", F.lit("0")), df)
 
 
+def test_build(spark, tmp_path):
+    regions = spark.createDataFrame([("r1", "R", "Р", None, None, None, None, None, None)], CONTRACTS["regions"])
+    budget = spark.createDataFrame([("r1", "R", "Р", date(2026, 3, 31), "quarterly", SCOPE, "101", "PIT", "НДФЛ", v, None, None, "s", "2026", "latest", "verified", True) for v in (100.0,)], CONTRACTS["budget_execution"])
+    receipts = spark.createDataFrame([("r1", "R", "Р", date(2026, 4, 1), date(2026, 3, 31), "quarterly", "B", "B", "x", "x", 120.0, 120.0, None, "s", "2026", "latest", "verified", True)], CONTRACTS["pit_receipts"])
+    register = [spark.createDataFrame([("s", p, "d", None, path, None, None, None, "RUB", "0" * 64, 1, True, None)], CONTRACTS["sources"]) for p, path in (("old", "a.csv"), ("new", "/home/me/raw/b.csv"))]
+    tables, events = build.build({"regions": regions, "budget_execution": budget, "pit_receipts": receipts}, sources=register, budget_pit="101")
+    assert [r.publisher for r in tables["sources"].collect()] == ["new"]
+    seen = {(r.table_name, r.check_id): r.status for r in events.collect()}
+    assert seen["pit_receipts", "pit_reconciliation"] == "warning" and seen["pit_receipts", "core_table_not_empty"] == "passed" and "failed" not in seen.values()
+    manifest = build.build_and_promote({"regions": regions, "budget_execution": budget}, f"{tmp_path}/snapshot", sources=register)
+    assert {r.table_name: r.n_rows for r in manifest.collect()} == {"regions": 1, "budget_execution": 1, "sources": 1}
+    assert spark.read.parquet(f"{tmp_path}/snapshot/sources.parquet").first().local_path == "b.csv"
+    with pytest.raises(ValueError, match="core_table_not_empty"):
+        build.build_and_promote({"pit_receipts": receipts.limit(0)}, f"{tmp_path}/none")
+    leak = regions.withColumn("economic_profile", F.lit("see https://me:secret@host/x"))
+    with pytest.raises(Exception, match="credential"):
+        publish.publishable("regions", leak).collect()
+
+
 def test_streamed_vintages(spark, tmp_path):
     schema = "region_id string, vintage int, value double"
     landing = f"{tmp_path}/landing"

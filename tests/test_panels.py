@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 
 from tidemark.contracts import SCOPE
 from tidemark.functions import numbers, text
-from tidemark.operators import aggregates, joins, quality, windows
+from tidemark.operators import aggregates, filters, joins, quality, windows
 from tidemark.plans import fiscal, overview, prices, production
 from tidemark.plans.panels import CIT, FUNCTIONS, OTHER, OWN, PIT, TOTAL, TRANSFERS
 
@@ -162,7 +162,7 @@ def test_coverage_change_withholds_growth(spark):
 def test_validation_blocks(spark):
     from tidemark.contracts import CONTRACTS
 
-    row = tuple({"period": date(2026, 3, 31), "frequency": "quarterly", "quality_status": "validated"}.get(f.name, 1.0 if f.name.endswith("rub") else "x") for f in CONTRACTS["budget_execution"])
+    row = tuple({"period": date(2026, 3, 31), "frequency": "quarterly", "quality_status": "verified", "is_official": True}.get(f.name, 1.0 if f.name.endswith("rub") else "x") for f in CONTRACTS["budget_execution"])
     one = spark.createDataFrame([row], CONTRACTS["budget_execution"])
     assert quality.is_valid(quality.validate("budget_execution", one))
     with pytest.raises(ValueError, match="unique_grain"):
@@ -190,3 +190,37 @@ def test_text_and_numbers(spark):
         numbers.parse_decimal(F.lit("1 234 567,89")).cast("double").alias("d"), numbers.large_move(F.lit(10.00000000001)).alias("m"), text.classify_revenue(F.lit("x"), F.lit("Налог на прибыль организаций")).alias("c"),
     ).first()
     assert tuple(row) == ("санктпетербургге", "C", "0", 3, None, 1234567.89, False, "CIT")
+
+
+def test_fixed_values_of_texts(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("643", "x"), ("1", "Южный Федеральный округ"), ("45000000000", "a"), ("7", "Ненецкий автономный округ"), ("45286552001", "г. Москва"), (None, None)]
+    df = spark.createDataFrame(rows, "code string, name string")
+    assert [r[0] for r in df.select(text.territory_scope("code", "name")).collect()] == ["national", "federal_district", "region", "region", "surveyed_city", "surveyed_city"]
+    rows = [("B-E", "x"), ("b–e", "x"), ("B—E ", None), ("ALL", "x"), ("ВСЕГО", ""), ("x", "Итого"), ("x", "all industries"), ("x", "B-E"), ("all industries", "ALL"), ("C", "Manufacturing"), (None, None)]
+    kept = filters.without_totals(spark.createDataFrame(rows, "code string, name string"), "code", names=("name",)).collect()
+    assert [tuple(r) for r in kept] == [("x", "B-E"), ("all industries", "ALL"), ("C", "Manufacturing"), (None, None)]
+    keys = spark.createDataFrame([("Ⅳ Straße ﬁn",), ("iv strasse fin",), (None,)], "n string").select(text.name_key("n").alias("k")).collect()
+    assert keys[0].k == keys[1].k == "ivstrassefin" and keys[2].k is None
+    secrets = ["ghp_" + "a1" * 12, "github_pat_" + "b" * 24, "sk-proj-" + "c" * 26, "AKIA" + "D" * 16, "-----BEGIN RSA PRIVATE KEY-----", "https://u:p@host/", "http://h/x?a=1&X-Amz-Signature=abc", "http://h/?token=1"]
+    plain = ["https://host/a/tmp/b", "see C/D", "12:30", None]
+    paths = ["/Users/me/a b/c.csv", "C:\\data\\c.csv", "/var/folders/x/c.csv/"]
+    prose = ["kept in /home/me/c.csv today", "at D:/x"]
+    of = lambda xs, field="": [r[0] for r in spark.createDataFrame([(x,) for x in xs], "t string").coalesce(1).select(text.sanitized("t", field)).collect()]
+    assert of(secrets) == [None] * 8 and of(plain) == plain and of(paths) == ["c.csv"] * 3 and of(prose) == [None] * 2
+    assert of(["in /home/me/c.csv", "a/b.csv"], "source_file") == ["c.csv", "a/b.csv"] and of(["a/b.csv"], "local_path") == ["b.csv"]
+
+
+def test_years_of_calendar_joins(spark):
+    rows = [("a", d, float(i)) for i, d in enumerate((date(2023, 2, 28), date(2024, 2, 29), date(2025, 2, 28), date(2024, 3, 31), date(2026, 3, 31), date(2027, 3, 31)))] + [(None, date(2026, 3, 31), 9.0), (None, date(2027, 3, 31), 9.0)]
+    df = spark.createDataFrame(rows, "k string, period date, v double")
+    from pyspark.sql import functions as F
+
+    want = {(r.k, r.period): r.o for r in df.alias("x").join(df.select("k", F.add_months("period", 12).alias("period"), F.col("v").alias("o")), ["k", "period"], "left").collect()}
+    got = {(r.k, r.period): r.prior_v for r in joins.calendar_join(df, ["k"], ["v"], "prior_").collect()}
+    assert got == want and got["a", date(2025, 2, 28)] == 1.0 and got["a", date(2026, 3, 31)] is None
+    snapped = {r.period: r.prior_v for r in joins.calendar_join(df.filter("k = 'a'"), ["k"], ["v"], "prior_", snap="month_end").collect()}
+    assert snapped[date(2024, 2, 29)] == 0.0 and snapped[date(2025, 2, 28)] == 1.0
+    with pytest.raises(Exception, match="not unique"):
+        joins.star_join(df, [df.union(df)], ["k", "period"]).collect()

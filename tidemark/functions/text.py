@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values that sources use: look-alike letters, total labels, month names, revenue concepts.
 CYRILLIC_SECTIONS, LATIN_SECTIONS = "АВСЕН", "ABCEH"
-TOTAL_LABELS = ("TOTAL", "ALL", "ALL INDUSTRIES", "ВСЕГО", "ИТОГО")
+TOTAL_CODES = ("TOTAL", "ALL", "B-E", "B–E", "B—E", "ВСЕГО")
+TOTAL_NAMES = ("total", "all industries", "всего", "итого")
 MONTHS_RU = ("январь", "февраль", "март", "апрель", "май", "июнь", "июль", "август", "сентябрь", "октябрь", "ноябрь", "декабрь")
 #: Concept, code suffix, name parts; the first that fits counts.
 REVENUE_CONCEPTS = (
@@ -19,13 +26,24 @@ REVENUE_CONCEPTS = (
     ("Total revenue", "00000000000000000", ("total revenue", "доходы бюджета - всего")),
 )
 WHOLE_NAMES_OF_TOTAL = ("доходы", "revenue")
-#: Shapes of text that must not be published: name, regular expression.
-SENSITIVE = (
-    ("credential", r"(?i)(password|passwd|secret|token|api_?key)[\"']?\s*[:=]\s*[\"']?[A-Za-z0-9+/_.=-]{6,}"),
-    ("access_key", r"AKIA[A-Z0-9]{16,}"),
-    ("signed_url", r"(?i)https?://[^\s\"']*[?&](x-amz-signature|signature|sig|token)=[^\s\"'&]+"),
-    ("machine_path", r"(/Users/|/home/|[A-Za-z]:\\Users\\)[^\s\"']+"),
+#: Shapes of text that must not be published, in any case: name, regular expression.
+SECRETS = (
+    ("github_token", r"(?i)gh[pousr]_[A-Za-z0-9]{20,}"),
+    ("github_pat", r"(?i)github_pat_[A-Za-z0-9_]{20,}"),
+    ("sk_token", r"(?i)sk-(?:proj-)?[A-Za-z0-9_-]{24,}"),
+    ("access_key", r"(?i)AKIA[A-Z0-9]{16}"),
+    ("private_key", r"(?i)-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----"),
+    ("user_info_url", r"(?i)https?://[^\s/]+:[^\s/@]+@"),
+    ("signed_url", r"(?i)[?&](?:access_token|token|api_key|signature|X-Amz-Signature)=[^\s&]+"),
 )
+MACHINE_PATH = r"/(?:Users|home|private|tmp|var/folders)/|(?:^|[^A-Za-z0-9])[A-Za-z]:[\\/]"
+PATH_FIELD = r"(?:^|_)(?:local_path|path|file|filename|candidate)$"
+
+
+@F.pandas_udf(StringType())
+def folded(x: pd.Series) -> pd.Series:
+    """Compatibility forms made plain (NFKC), case folded; Spark has no function for either."""
+    return x.map(lambda t: unicodedata.normalize("NFKC", t).casefold(), na_action="ignore")
 
 
 def _c(x: Column | str) -> Column:
@@ -38,8 +56,8 @@ def clean_text(x: Column | str) -> Column:
 
 
 def name_key(x: Column | str) -> Column:
-    """Equal for names that differ in case, blanks, dots, dashes or ё. Input is taken to be NFKC already."""
-    return F.regexp_replace(F.translate(F.lower(_c(x)), "ё", "е"), r"[\s\u00a0.\-–—]+", "")
+    """Equal for names that differ in typography alone: case, compatibility forms, blanks, dots, dashes or ё."""
+    return F.regexp_replace(F.translate(folded(_c(x)), "ё", "е"), r"[\s\u00a0.\-–—]+", "")
 
 
 def latin_section(x: Column | str) -> Column:
@@ -79,9 +97,11 @@ def basename(path: Column | str) -> Column:
     return F.element_at(F.split(F.replace(_c(path), F.lit("\\"), F.lit("/")), "/"), -1)
 
 
-def is_total(*columns: Column | str) -> Column:
-    """Whether any of the columns is a label of the whole."""
-    return F.greatest(*[F.upper(F.trim(F.coalesce(_c(c), F.lit("")))).isin(*TOTAL_LABELS) for c in columns], F.lit(False))
+def is_total(codes: tuple = (), names: tuple = ()) -> Column:
+    """Whether any of the code columns or of the name columns holds a label of the whole."""
+    plain = lambda c: F.trim(F.coalesce(_c(c), F.lit("")))
+    found = [F.upper(plain(c)).isin(*TOTAL_CODES) for c in codes] + [F.lower(plain(c)).isin(*TOTAL_NAMES) for c in names]
+    return F.greatest(*found, F.lit(False), F.lit(False))
 
 
 def window_month(header: Column | str) -> Column:
@@ -108,26 +128,40 @@ def classify_revenue(code: Column | str, *names: Column | str) -> Column:
 
 
 def territory_scope(code: Column | str, name: Column | str) -> Column:
-    """Country, district, city part of a region, or region."""
-    c, n = _c(code), F.lower(_c(name))
+    """national (code 643), federal_district, region (by its code's zeros, or an autonomous district), else surveyed_city."""
+    c, n = F.coalesce(_c(code), F.lit("")), F.lower(F.coalesce(_c(name), F.lit("")))
     return (
-        F.when(n.contains("федерация"), "country")
-        .when(n.contains("федеральный округ"), "district")
-        .when(n.rlike("^г\\.|город "), "city")
-        .when(c.endswith("000000000") | c.endswith("00000000"), "region")
-        .otherwise("other")
+        F.when(c == "643", "national")
+        .when(n.contains("федеральный округ"), "federal_district")
+        .when(c.endswith("00000000") | n.contains("автономный округ"), "region")
+        .otherwise("surveyed_city")
     )
 
 
 def sensitive(x: Column | str) -> dict[str, Column]:
-    return {name: F.coalesce(_c(x).rlike(shape), F.lit(False)) for name, shape in SENSITIVE}
-
-
-def sanitized(x: Column | str) -> Column:
-    out = _c(x)
-    for name, shape in SENSITIVE:
-        out = F.regexp_replace(out, shape, f"[{name}]")
-    return out
+    """For each shape of SECRETS, and for machine_path, whether the text has it."""
+    shapes = (*SECRETS, ("machine_path", MACHINE_PATH))
+    return {name: F.coalesce(_c(x).rlike(shape), F.lit(False)) for name, shape in shapes}
+
+
+def sanitized(x: Column | str, field: str = "") -> Column:
+    """The text as it may be published, null where it may not: a secret or a machine's path within prose. A path in a
+    field of paths, or that is the whole text, is cut to its file's name; web addresses stay."""
+    t = _c(x)
+    found = sensitive(t)
+    machine = found.pop("machine_path")
+    secret = reduce(lambda a, b: a | b, found.values())
+    whole = F.lit(re.search(PATH_FIELD, field) is not None) | t.rlike(r"^[/\\]|^[A-Za-z]:")
+    name = basename(F.regexp_replace(F.replace(t, F.lit("\\"), F.lit("/")), "/+$", ""))
+    out = F.when(secret, None).when(t.rlike("^https?://"), t).when(machine & whole, name).when(machine, None)
+    return out.otherwise(basename(t) if field == "local_path" else t)
+
+
+def publishable(x: Column | str, field: str = "") -> Column:
+    """sanitized, failing when read where a text may not be published."""
+    clean = sanitized(x, field)
+    refused = F.raise_error(F.lit(f"a credential, a signed URL or a machine's path is in {field or 'a text'}")).cast("string")
+    return F.when(_c(x).isNotNull() & clean.isNull(), refused).otherwise(clean)
 
 
 def json_array(x: Column | str) -> Column:

@@ -25,8 +25,9 @@ def same_month_until(df: DataFrame, cutoff, period: str = "period", same_day: bo
     return out.filter(F.dayofmonth(period) == F.dayofmonth(c)) if same_day else out
 
 
-def without_totals(df: DataFrame, *columns: str) -> DataFrame:
-    return df.filter(~text.is_total(*columns))
+def without_totals(df: DataFrame, *codes: str, names: tuple[str, ...] = ()) -> DataFrame:
+    """df without rows whose code or name is that of a whole, which would count their parts again."""
+    return df.filter(~text.is_total(codes, names))
 
 
 def selected(df: DataFrame, dimension: DataFrame, wanted: list[str], aliases: str = "aliases", key: str = "region_id") -> DataFrame:

@@ -29,6 +29,14 @@ def checked_join(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     return left.join(right, keys, how)
 
 
+def star_join(base: DataFrame, parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """base with the columns of every part, each joined one to one: a key that occurs twice on any side is an error."""
+    out = unique_guard(base, keys, "base rows")
+    for i, part in enumerate(parts, 1):
+        out = out.join(unique_guard(part, keys, f"rows of part {i}"), keys, "left")
+    return out
+
+
 def calendar_join(df: DataFrame, keys: list[str], values: list[str], prefix: str, months: int = 12, period: str = "period", snap: str | None = None, keep_period: bool = False) -> DataFrame:
     """df with the values of exactly the row `months` earlier, named with the prefix. Keys and period are unique.
 

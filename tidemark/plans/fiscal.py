@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
+from ..functions.lineage import FIELDS
 from ..functions.numbers import TOLERANCE, growth_of_change, safe_growth, share
 from ..operators.joins import calendar_join, first_quarter_join, unique_guard
 from .panels import CIT, FUNCTIONS, OTHER, OWN, PIT, TOTAL, TRANSFERS
@@ -40,9 +41,13 @@ def validated(df: DataFrame) -> DataFrame:
 
 
 def flows(df: DataFrame) -> DataFrame:
-    """First-quarter flows are the amounts to date, second-quarter flows H1 less the same year's Q1; others are unsupported."""
+    """First-quarter flows are the amounts to date, second-quarter flows H1 less the same year's Q1; others are unsupported.
+
+    evidence: JSON of both endpoints, with their lineage where df has it.
+    """
     keys = ["region_id", "budget_level", *_codes(df)]
-    out = first_quarter_join(df, keys, ["actual_ytd_rub"])
+    lineage = [c for c in FIELDS if c in df.columns]
+    out = first_quarter_join(df, keys, ["actual_ytd_rub", *lineage])
     window = cal.window_label("period", "Q2")
     flow = F.when(window == "Q1", F.col("actual_ytd_rub")).when(window == "Q2", F.col("actual_ytd_rub") - F.col("start_actual_ytd_rub"))
     status = (
@@ -52,7 +57,11 @@ def flows(df: DataFrame) -> DataFrame:
         .otherwise("unsupported snapshot")
     )
     start = F.when(window == "Q2", F.add_months(cal.year_start("period"), 3)).otherwise(cal.year_start("period"))
-    return out.withColumns({"window": window, "quarter_flow_rub": flow, "flow_status": status, "window_start": start, "window_end": F.col("period")})
+    # Both endpoints with their lineage; a missing one stays out.
+    begin = F.when(F.col("start_period").isNotNull(), F.struct(*[F.col(f"start_{c}").alias(c) for c in ("period", *lineage)]))
+    found = F.to_json(F.struct(F.struct("period", *lineage).alias("end"), begin.alias("start")))
+    out = out.withColumns({"window": window, "quarter_flow_rub": flow, "flow_status": status, "window_start": start, "window_end": F.col("period"), "evidence": found})
+    return out.drop(*[f"start_{c}" for c in lineage])
 
 
 def observations(df: DataFrame, basis: str) -> DataFrame:

@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..contracts import SCOPE
+from ..functions.lineage import FIELDS
 from ..functions.numbers import safe_growth, share, sum_or_null
+from ..operators.joins import star_join
 from ..operators.windows import latest_period
 from .fiscal import transfers
 
@@ -54,21 +57,27 @@ def plan_snapshot(revenue: DataFrame, concepts: dict[str, str]) -> DataFrame:
 
 
 def regional_status(fiscal: DataFrame, revenue: DataFrame, cumulative: DataFrame) -> DataFrame:
-    """A row for each region and cutoff of the fiscal table: transfers, balance and production to date; what is missing stays null."""
+    """A row for each region and cutoff of the fiscal table: transfers, balance and production to date, with the balance's
+    lineage where the table has it. What is missing stays null; an ambiguous part or another budget level is an error."""
     keys = ["region_id", "period"]
-    balance = fiscal.filter("kind = 'summary' AND metric_code = 'budget_balance'").select(*keys, F.col("actual_ytd_rub").alias("budget_balance_rub"))
+    balance = fiscal.filter("kind = 'summary' AND metric_code = 'budget_balance'")
+    wrong = F.raise_error(F.lit("the overview takes the consolidated regional budget alone")).isNull()
+    balance = balance.filter(F.when(F.col("budget_level").eqNullSafe(SCOPE), F.lit(True)).otherwise(wrong))
+    lineage = [F.col(c).alias(f"balance_{c}") for c in FIELDS if c in fiscal.columns]
+    balance = balance.select(*keys, F.col("actual_ytd_rub").alias("budget_balance_rub"), *lineage)
     moved = transfers(revenue).select(*keys, "transfers_rub", "transfer_share_pct", "transfer_share_change_pp")
     made = cumulative.filter("section = 'TOTAL'").select(*keys, F.col("index_value").alias("production_index"), "growth_yoy_pct")
-    return fiscal.select(*keys).distinct().join(moved, keys, "left").join(balance, keys, "left").join(made, keys, "left")
+    return star_join(fiscal.select(*keys).distinct(), [moved, balance, made], keys)
 
 
-def compared_regions(receipts: DataFrame, production: DataFrame, a: str, b: str) -> DataFrame:
-    """Two regions' headline indicators side by side."""
+def compared_regions(receipts: DataFrame, production: DataFrame, budget: DataFrame, a: str, b: str, pit: str) -> DataFrame:
+    """Two regions' receipts growth, production headline and execution of the PIT plan (revenue code `pit`), side by side."""
     pair = lambda df: df.filter(F.col("region_id").isin(a, b))
     growth = receipts_summary(pair(receipts)).select("region_id", F.lit("receipts_yoy_pct").alias("indicator"), F.col("yoy_pct").alias("value"))
     head = headline_and_sections(pair(production)).select("region_id", "headline").distinct().select("region_id", F.lit("production_headline").alias("indicator"), F.col("headline").alias("value"))
+    done = plan_snapshot(pair(budget), {pit: "PIT"}).select("region_id", F.lit("pit_plan_execution_pct").alias("indicator"), F.col("execution_pct").alias("value"))
     side = lambda r, n: F.max(F.when(F.col("region_id") == r, F.col("value"))).alias(n)
-    return growth.unionByName(head).groupBy("indicator").agg(side(a, "value_a"), side(b, "value_b"))
+    return growth.unionByName(head).unionByName(done).groupBy("indicator").agg(side(a, "value_a"), side(b, "value_b"))
 
 
 def source_rollup(facts: DataFrame, register: DataFrame, keys: list[str], foreign: str, label: str) -> DataFrame:

@@ -105,9 +105,12 @@ def d10(s, d):
     return agg.calendar_holes(q_monthly(s, d), ["region_id"], 5)
 
 
-@QUERIES.add("d11_distinct_counts", "SELECT period, count(DISTINCT CASE WHEN section = 'BUILDING' THEN region_id END) AS \"BUILDING\", count(DISTINCT CASE WHEN section = 'MACHINERY' THEN region_id END) AS \"MACHINERY\" FROM monthly GROUP BY period", "monthly")
+_SECTIONS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+@QUERIES.add("d11_distinct_counts", "SELECT period, " + ", ".join(f'count(DISTINCT CASE WHEN section = \'{c}\' THEN region_id END) AS "{c}"' for c in _SECTIONS) + " FROM monthly GROUP BY period", "monthly")
 def d11(s, d):
-    return agg.distinct_counts(q_monthly(s, d), "period", "section", ["BUILDING", "MACHINERY"], "region_id")
+    return agg.distinct_counts(q_monthly(s, d), "period", "section", _SECTIONS, "region_id")
 
 
 @QUERIES.add("d12_status_counts", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL")
@@ -159,17 +162,17 @@ def d19(s, d):
 
 
 @QUERIES.add("d20_column_fingerprints", """
-SELECT field, sha256(string_agg(k || '=' || coalesce(v, ''), '|' ORDER BY k || '=' || coalesce(v, ''))) AS fingerprint FROM (
-  SELECT CAST(p_partkey AS VARCHAR) AS k, unnest(['brand', 'brand_again', 'type']) AS field, unnest([p_brand, p_brand, p_type]) AS v FROM part) GROUP BY field""")
+SELECT field, count(*) AS n_entities, CAST(sum(CAST('0x' || substr(h, 1, 7) AS BIGINT)) AS BIGINT) AS low, CAST(sum(CAST('0x' || substr(h, 8, 7) AS BIGINT)) AS BIGINT) AS high FROM (SELECT field, md5(k || '=' || coalesce(v, '')) AS h FROM (
+  SELECT CAST(p_partkey AS VARCHAR) AS k, unnest(['brand', 'brand_again', 'type']) AS field, unnest([p_brand, p_brand, p_type]) AS v FROM part)) GROUP BY field""")
 def d20(s, d):
     df = table(s, d, "part").select("p_partkey", F.col("p_brand").alias("brand"), F.col("p_brand").alias("brand_again"), F.col("p_type").alias("type"))
     return agg.column_fingerprints(df, "p_partkey", ["brand", "brand_again", "type"])
 
 
 @QUERIES.add("d21_review_queue", """
-SELECT region_id, count(DISTINCT period) AS n_observed, count(*) FILTER (flow > 0) AS n_passed, min(period) AS first_period, max(period) AS last_period, count(*) FILTER (flow > 0) < count(DISTINCT period) AS needs_review FROM receipts WHERE section = 'BUILDING' GROUP BY region_id""", "receipts")
+SELECT region_id, section, count(DISTINCT period) AS n_observed, count(*) FILTER (flow > 0) AS n_passed, min(period) AS first_period, max(period) AS last_period, count(*) FILTER (flow > 0) < count(DISTINCT period) AS needs_review FROM receipts GROUP BY region_id, section""", "receipts")
 def d21(s, d):
-    return agg.review_queue(q_receipts(s, d).filter("section = 'BUILDING'"), "region_id", "period", F.col("flow") > 0)
+    return agg.review_queue(q_receipts(s, d), ["region_id", "section"], "period", F.col("flow") > 0)
 
 
 @QUERIES.add("d22_missing_by_region", "SELECT region_id, count(*) AS n_missing FROM vintages WHERE value IS NULL GROUP BY region_id", "vintages")

@@ -5,10 +5,14 @@ Workbooks and archives are covered by tests on generated files; the queries here
 
 from __future__ import annotations
 
+from .. import contracts
 from ..functions import text
-from ..operators import quality
+from ..operators import filters, quality
+from ..plans import build
 from ..sources import files, publish
-from .base import F, Registry, p, q_receipts, table
+from .base import F, Registry, once, p, q_receipts, table
+from .functions import SENSITIVE_SQL
+from .quality import receipts_contract
 
 QUERIES = Registry()
 
@@ -93,24 +97,33 @@ def a21(s, d):
     return files.text_profile(lines, " ", group="lang").drop("n_grouped_numbers")
 
 
-@QUERIES.add("b19_sanitized", r"""
-SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\s*[:=]\s*["'']?[A-Za-z0-9+/_.=-]{6,}', '[credential]', 'g'), 'AKIA[A-Z0-9]{16,}', '[access_key]', 'g'), '(?i)https?://[^\s"'']*[?&](x-amz-signature|signature|sig|token)=[^\s"''&]+', '[signed_url]', 'g'), '(/Users/|/home/|[A-Za-z]:\\Users\\)[^\s"'']+', '[machine_path]', 'g')) AS clean FROM documents""")
+_ANY_SECRET = " OR ".join(f"regexp_matches(text, '{shape}')" for name, shape in SENSITIVE_SQL.items() if name != "machine_path")
+
+
+@QUERIES.add("b19_sanitized", rf"""
+SELECT doc_id, sha256(CASE WHEN {_ANY_SECRET} THEN NULL WHEN regexp_matches(text, '^https?://') THEN text WHEN NOT regexp_matches(text, '{SENSITIVE_SQL["machine_path"]}') THEN text
+  WHEN regexp_matches(text, '^[/\\]|^[A-Za-z]:') THEN regexp_replace(regexp_replace(replace(text, '\', '/'), '/+$', ''), '(?s)^.*/', '') END) AS clean FROM documents""")
 def b19_sanitized(s, d):
     return table(s, d, "documents").select("doc_id", F.sha2(text.sanitized("text"), 256).alias("clean"))
 
 
-@QUERIES.add("l33_gated_summary", "SELECT 'receipts' AS table_name, count(*) AS n_rows, min(period) AS earliest, max(period) AS latest, count(DISTINCT region_id) AS n_regions FROM receipts", "receipts")
+@QUERIES.add("l33_gated_summary", """
+SELECT 'pit_receipts' AS table_name, count(*) AS n_rows, min(period) AS earliest, max(period) AS latest, count(DISTINCT region_id) AS n_regions FROM receipts
+UNION ALL SELECT 'regions', count(*), NULL, NULL, count(DISTINCT n_nationkey) FROM nation""", "receipts")
 def l33(s, d):
-    """The gate of the whole pipeline (validate, then publish) over receipts; publishing itself is tested on files."""
-    df = q_receipts(s, d)
-    quality.gate(quality.validate_dataset("receipts", df, ["region_id", "section", "period"], "flow", period_end="quarter"))
-    return publish.summary("receipts", df)
+    """The whole build over two tables: checks, gate, and what would be published; publishing itself is tested on files."""
+    regions = table(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("region_id"), F.col("n_name").alias("region_name_en"), F.col("n_name").alias("region_name_ru"))
+    tables, events = build.build({"pit_receipts": receipts_contract(s, d), "regions": filters.project(regions, contracts.CONTRACTS["regions"])})
+    quality.gate(events)
+    return publish.summary("pit_receipts", tables["pit_receipts"]).unionByName(publish.summary("regions", tables["regions"]))
 
 
 @QUERIES.add("l35_coverage_audit", """
-, c AS (SELECT region_id, period, CASE WHEN r IS NULL OR e IS NULL THEN 'blocked' WHEN abs(r - e - b) <= 0.02 THEN 'passed' ELSE 'failed' END AS status FROM (SELECT region_id, period, max(CASE WHEN metric_code = 'revenue_total' THEN actual_ytd_rub END) AS r, max(CASE WHEN metric_code = 'expenditure_total' THEN actual_ytd_rub END) AS e, max(CASE WHEN metric_code = 'budget_balance' THEN actual_ytd_rub END) AS b FROM fiscal GROUP BY ALL))
-SELECT status, count(*) AS n FROM c GROUP BY status""", "fiscal")
+, c AS (SELECT region_id, period, CASE WHEN r IS NULL OR e IS NULL OR b IS NULL THEN 'blocked' WHEN abs(r - e - b) <= 0.02 THEN 'passed' ELSE 'failed' END AS status FROM (SELECT region_id, period, max(CASE WHEN metric_code = 'revenue_total' THEN actual_ytd_rub END) AS r, max(CASE WHEN metric_code = 'expenditure_total' THEN actual_ytd_rub END) AS e, max(CASE WHEN metric_code = 'budget_balance' THEN actual_ytd_rub END) AS b FROM fiscal GROUP BY ALL)),
+q AS (SELECT CAST(last_day(m + INTERVAL 2 MONTH) AS DATE) AS period FROM (SELECT unnest(generate_series(date_trunc('quarter', min(period)), max(period), INTERVAL 3 MONTH)) AS m FROM c))
+SELECT region_id, period, coalesce(status, 'absent') AS status FROM (SELECT region_id, period FROM (SELECT DISTINCT region_id FROM c), q) LEFT JOIN c USING (region_id, period)""", "fiscal")
 def l35(s, d):
-    found = quality.accounting_checks(p.fiscal(s, d)).filter("check_id = 'revenue_minus_spending_is_balance'")
+    """The territory x period matrix, a row a cell."""
+    found = once(quality.accounting_checks(p.fiscal(s, d)).filter("check_id = 'revenue_minus_spending_is_balance'"), "accounting")
     status = F.when(F.col("status") == "not_assessable", "blocked").otherwise(F.col("status"))
-    return found.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return quality.coverage_cells(found.select("region_id", "period", status.alias("status")), "region_id", "quarterly")

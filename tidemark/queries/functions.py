@@ -34,10 +34,14 @@ def b04(s, d):
     return filters.same_month_until(df, "1999-06-30", same_day=True)
 
 
-@QUERIES.add("b05_without_totals", "SELECT o_orderkey, kind FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN ' total ' WHEN 1 THEN o_orderstatus END AS kind FROM orders) WHERE upper(trim(coalesce(kind, ''))) NOT IN ('TOTAL', 'ALL')")
+@QUERIES.add("b05_without_totals", """
+SELECT * FROM (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN ' total ' WHEN 1 THEN o_orderstatus WHEN 2 THEN 'b–e' ELSE o_orderpriority END AS kind, CASE o_orderkey % 7 WHEN 0 THEN 'Итого ' WHEN 1 THEN 'B-E' ELSE o_orderpriority END AS label FROM orders)
+WHERE upper(trim(coalesce(kind, ''))) NOT IN ('TOTAL', 'ALL', 'B-E', 'B–E', 'B—E', 'ВСЕГО') AND lower(trim(coalesce(label, ''))) NOT IN ('total', 'all industries', 'всего', 'итого')""")
 def b05(s, d):
-    kind = F.when(F.col("o_orderkey") % 3 == 0, " total ").when(F.col("o_orderkey") % 3 == 1, F.col("o_orderstatus"))
-    return filters.without_totals(table(s, d, "orders").select("o_orderkey", kind.alias("kind")), "kind")
+    code, name = F.col("o_orderkey") % 5, F.col("o_orderkey") % 7
+    kind = F.when(code == 0, " total ").when(code == 1, F.col("o_orderstatus")).when(code == 2, "b–e").otherwise(F.col("o_orderpriority"))
+    label = F.when(name == 0, "Итого ").when(name == 1, "B-E").otherwise(F.col("o_orderpriority"))
+    return filters.without_totals(table(s, d, "orders").select("o_orderkey", kind.alias("kind"), label.alias("label")), "kind", names=("label",))
 
 
 @QUERIES.add("b06_first_nonempty", "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END, 'Unmapped') AS label FROM orders")
@@ -75,12 +79,13 @@ def b11(s, d):
 
 
 @QUERIES.add("b12_classify_revenue", """
-SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'PIT' WHEN 1 THEN 'CIT' WHEN 2 THEN 'Own-source revenue' WHEN 3 THEN 'Transfers from other budgets' WHEN 4 THEN 'Total revenue' END AS concept FROM orders""")
+SELECT c_custkey, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'PIT' WHEN 'BUILDING' THEN 'CIT' WHEN 'FURNITURE' THEN 'Own-source revenue' WHEN 'HOUSEHOLD' THEN 'Transfers from other budgets' END AS concept FROM customer""")
 def b12(s, d):
-    k = F.col("o_orderkey") % 6
-    code = F.when(k == 0, "182 10102000010000110").when(k == 1, "000").when(k == 2, "000 10000000000000000").otherwise("")
-    name = F.when(k == 1, " Corporate INCOME tax").when(k == 3, "Transfers from other budgets").when(k == 4, "Revenue ").otherwise("other")
-    return table(s, d, "orders").select("o_orderkey", text.classify_revenue(code, name).alias("concept"))
+    """Codes and names made of customers' names: by a code's suffix, else by what the name says."""
+    segment = F.col("c_mktsegment")
+    code = F.concat_ws(" ", "c_name", F.when(segment == "AUTOMOBILE", "10102000010000110").when(segment == "FURNITURE", "10000000000000000").otherwise("1"))
+    name = F.concat_ws(" ", "c_name", F.when(segment == "BUILDING", "Corporate INCOME tax").when(segment == "HOUSEHOLD", "Transfers from other budgets"))
+    return table(s, d, "customer").select("c_custkey", text.classify_revenue(code, name).alias("concept"))
 
 
 @QUERIES.add("b13_status_labels", "SELECT region_id, section, period, CASE WHEN flow < 0 THEN 'negative' WHEN flow > 1000000 THEN 'large' ELSE 'ordinary' END AS status FROM receipts", "receipts")
@@ -118,9 +123,15 @@ def b18(s, d):
     return table(s, d, "events").select("event_id", numbers.large_move("value").alias("flag"))
 
 
-@QUERIES.add("b19_sensitive_scan", r"""
-SELECT doc_id, coalesce(regexp_matches(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\s*[:=]\s*["'']?[A-Za-z0-9+/_.=-]{6,}'), false) AS credential, coalesce(regexp_matches(text, 'AKIA[A-Z0-9]{16,}'), false) AS access_key,
-  coalesce(regexp_matches(text, '(?i)https?://[^\s"'']*[?&](x-amz-signature|signature|sig|token)=[^\s"''&]+'), false) AS signed_url, coalesce(regexp_matches(text, '(/Users/|/home/|[A-Za-z]:\\Users\\)[^\s"'']+'), false) AS machine_path FROM documents""")
+#: SQL of the shapes that must not be published, as in functions.text.
+SENSITIVE_SQL = {
+    "github_token": r"(?i)gh[pousr]_[A-Za-z0-9]{20,}", "github_pat": r"(?i)github_pat_[A-Za-z0-9_]{20,}", "sk_token": r"(?i)sk-(?:proj-)?[A-Za-z0-9_-]{24,}", "access_key": r"(?i)AKIA[A-Z0-9]{16}",
+    "private_key": r"(?i)-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----", "user_info_url": r"(?i)https?://[^\s/]+:[^\s/@]+@", "signed_url": r"(?i)[?&](?:access_token|token|api_key|signature|X-Amz-Signature)=[^\s&]+",
+    "machine_path": r"/(?:Users|home|private|tmp|var/folders)/|(?:^|[^A-Za-z0-9])[A-Za-z]:[\\/]",
+}
+
+
+@QUERIES.add("b19_sensitive_scan", "SELECT doc_id, " + ", ".join(f"coalesce(regexp_matches(text, '{shape}'), false) AS {name}" for name, shape in SENSITIVE_SQL.items()) + " FROM documents")
 def b19(s, d):
     return table(s, d, "documents").select("doc_id", *[c.alias(n) for n, c in text.sensitive("text").items()])
 
@@ -130,15 +141,16 @@ def h01(s, d):
     return table(s, d, "customer").select("c_custkey", text.clean_text(F.concat("c_name", F.lit("  X  y "))).alias("t"))
 
 
-@QUERIES.add("h02_name_key", r"SELECT doc_id, regexp_replace(replace(lower(substr(text, 1, 60)), 'ё', 'е'), '[\s\x{00A0}.\-–—]+', '', 'g') AS k FROM documents")
+@QUERIES.add("h02_name_key", r"SELECT doc_id, sha256(regexp_replace(replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), 'ё', 'е'), '[\s\x{00A0}.\-–—]+', '', 'g')) AS k FROM documents")
 def h02(s, d):
-    return table(s, d, "documents").select("doc_id", text.name_key(F.substring("text", 1, 60)).alias("k"))
+    return table(s, d, "documents").select("doc_id", F.sha2(text.name_key("text"), 256).alias("k"))
 
 
-@QUERIES.add("h03_latin_section", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' ELSE 'D' END AS section FROM orders")
+@QUERIES.add("h03_latin_section", "SELECT o_orderkey, upper(trim(o_orderpriority)) AS section FROM orders")
 def h03(s, d):
-    k = F.col("o_orderkey") % 4
-    return table(s, d, "orders").select("o_orderkey", text.latin_section(F.when(k == 0, "а").when(k == 1, " В").when(k == 2, "С").otherwise("d")).alias("section"))
+    """Priorities spelt with look-alike letters, in lower case and between blanks."""
+    odd = F.concat(F.lit(" "), F.lower(F.translate("o_orderpriority", text.LATIN_SECTIONS, text.CYRILLIC_SECTIONS)), F.lit(" "))
+    return table(s, d, "orders").select("o_orderkey", text.latin_section(odd).alias("section"))
 
 
 @QUERIES.add("h04_code_keys", "SELECT o_orderkey, CAST(o_orderkey % 100 AS VARCHAR) AS k, lpad(CAST(o_orderkey % 100 AS VARCHAR), 4, '0') AS padded FROM orders")
@@ -165,10 +177,12 @@ def h07(s, d):
     return table(s, d, "orders").select("o_orderkey", numbers.parse_decimal(raw).cast("double").alias("amount"))
 
 
-@QUERIES.add("h08_window_month", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 12 END AS m FROM orders")
+@QUERIES.add("h08_window_month", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' OR month(o_orderdate) = 1 THEN month(o_orderdate) END AS m FROM orders")
 def h08(s, d):
-    k = F.col("o_orderkey") % 4
-    return table(s, d, "orders").select("o_orderkey", text.window_month(F.when(k == 0, "январь").when(k == 1, "январь-март3").when(k == 2, "Январь – декабрь").otherwise("февраль")).alias("m"))
+    """Headers of the orders' months: a window from January on, or a month by itself, which only January is a window of."""
+    month = F.element_at(F.array(*map(F.lit, text.MONTHS_RU)), F.month("o_orderdate"))
+    header = F.when((F.col("o_orderstatus") == "P") | (F.month("o_orderdate") == 1), month).otherwise(F.concat(F.lit("Январь – "), month, F.dayofmonth("o_orderdate").cast("string")))
+    return table(s, d, "orders").select("o_orderkey", text.window_month(header).cast("long").alias("m"))
 
 
 @QUERIES.add("h09_slots", "SELECT o_orderkey, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INT) AS month_slot, CAST(year(o_orderdate) * 4 + quarter(o_orderdate) AS INT) AS quarter_slot FROM orders")
@@ -229,11 +243,15 @@ def h18(s, d):
     return span.select("region_id", F.explode(cal.calendar("a", "z")).alias("period")).groupBy("region_id").agg(F.count(F.lit(1)).alias("n_months"), F.max("period").alias("last_month"))
 
 
-@QUERIES.add("h19_territory_scope", "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'country' WHEN 1 THEN 'district' WHEN 2 THEN 'city' ELSE 'region' END AS scope FROM supplier")
+@QUERIES.add("h19_territory_scope", """
+SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 0 THEN 'national' WHEN s_nationkey % 4 = 0 THEN 'federal_district' WHEN s_suppkey % 3 = 0 OR s_nationkey % 4 = 1 THEN 'region' ELSE 'surveyed_city' END AS scope FROM supplier""")
 def h19(s, d):
-    k = F.col("s_suppkey") % 4
-    name = F.when(k == 0, "Российская Федерация").when(k == 1, "Центральный федеральный округ").when(k == 2, "г. Москва").otherwise("Область")
-    return table(s, d, "supplier").select("s_suppkey", text.territory_scope(F.lit("45000000000"), name).alias("scope"))
+    """Suppliers as territories: codes of their keys, names of their names."""
+    key = F.col("s_suppkey").cast("string")
+    code = F.when(F.col("s_suppkey") % 10 == 0, "643").when(F.col("s_suppkey") % 3 == 0, F.concat(key, F.lit("00000000"))).otherwise(F.concat(F.lit("45"), key, F.lit("1")))
+    kind = F.col("s_nationkey") % 4
+    name = F.concat_ws(" ", "s_name", F.when(kind == 0, "Федеральный округ").when(kind == 1, "автономный округ"))
+    return table(s, d, "supplier").select("s_suppkey", text.territory_scope(code, name).alias("scope"))
 
 
 @QUERIES.add("h20_json_array", "SELECT s_suppkey, '[\"' || s_name || '\",\"x\"]' AS j FROM supplier")

@@ -36,10 +36,11 @@ def _named(df):
 
 @QUERIES.add("l01_fiscal_flows", """
 SELECT a.region_id, a.period, a.kind, a.metric_code, CASE month(a.period) WHEN 3 THEN a.actual_ytd_rub WHEN 6 THEN a.actual_ytd_rub - b.actual_ytd_rub END AS quarter_flow_rub,
-  CASE WHEN month(a.period) = 3 THEN 'Q1 equals YTD' WHEN month(a.period) = 6 AND b.actual_ytd_rub IS NOT NULL THEN 'H1 minus Q1 YTD' WHEN month(a.period) = 6 THEN 'missing endpoint' ELSE 'unsupported snapshot' END AS flow_status
+  CASE WHEN month(a.period) = 3 THEN 'Q1 equals YTD' WHEN month(a.period) = 6 AND b.actual_ytd_rub IS NOT NULL THEN 'H1 minus Q1 YTD' WHEN month(a.period) = 6 THEN 'missing endpoint' ELSE 'unsupported snapshot' END AS flow_status,
+  '{"end":{"period":"' || CAST(a.period AS VARCHAR) || '"}' || CASE WHEN b.period IS NOT NULL THEN ',"start":{"period":"' || CAST(b.period AS VARCHAR) || '"}' ELSE '' END || '}' AS evidence
 FROM fiscal a LEFT JOIN fiscal b ON a.region_id = b.region_id AND a.kind = b.kind AND a.metric_code = b.metric_code AND month(b.period) = 3 AND a.period = CAST(last_day(b.period + INTERVAL 3 MONTH) AS DATE)""", "fiscal")
 def l01(s, d):
-    return fiscal.flows(p.fiscal(s, d)).select("region_id", "period", "kind", "metric_code", "quarter_flow_rub", "flow_status")
+    return fiscal.flows(p.fiscal(s, d)).select("region_id", "period", "kind", "metric_code", "quarter_flow_rub", "flow_status", "evidence")
 
 
 @QUERIES.add("l02_observations", _F + "SELECT region_id, period, kind, metric_code, win, 'YTD' AS amount_basis, v AS amount_rub FROM o", "fiscal")
@@ -225,10 +226,15 @@ def l19(s, d):
 
 
 @QUERIES.add("l20_compared_regions", """
-, h AS (SELECT region_id, section, index_value, period, max(period) OVER (PARTITION BY region_id) AS l FROM production WHERE index_value IS NOT NULL AND region_id IN ('3', '8'))
-SELECT 'production_headline' AS indicator, max(CASE WHEN region_id = '3' THEN index_value END) AS value_a, max(CASE WHEN region_id = '8' THEN index_value END) AS value_b FROM h WHERE period = l AND section = 'TOTAL'""", "production")
+, h AS (SELECT region_id, section, index_value, period, max(period) OVER (PARTITION BY region_id) AS l FROM production WHERE index_value IS NOT NULL AND region_id IN ('3', '8')),
+t AS (SELECT region_id, period, CAST(sum(CAST(flow AS DECIMAL(18,2))) AS DOUBLE) AS total, list_sort(list(DISTINCT section)) AS s FROM receipts WHERE region_id IN ('3', '8') GROUP BY ALL),
+g AS (SELECT a.region_id, a.period, CASE WHEN b.total <> 0 AND NOT coalesce(a.s <> b.s, false) THEN (a.total / b.total - 1) * 100 END AS v FROM t a LEFT JOIN t b ON a.region_id = b.region_id AND a.period = CAST(b.period + INTERVAL 12 MONTH AS DATE) QUALIFY a.period = max(a.period) OVER (PARTITION BY a.region_id)),
+x AS (SELECT region_id, CASE WHEN plan_components_reconciled AND coalesce(revised_plan_rub, approved_plan_rub) > 0 THEN actual_ytd_rub / coalesce(revised_plan_rub, approved_plan_rub) * 100 END AS v FROM (SELECT *, max(period) OVER (PARTITION BY region_id) AS l FROM revenue WHERE region_id IN ('3', '8')) WHERE period = l AND revenue_code = '101_PIT'),
+u AS (SELECT 'production_headline' AS indicator, region_id, index_value AS v FROM h WHERE period = l AND section = 'TOTAL' UNION ALL SELECT 'receipts_yoy_pct', region_id, v FROM g UNION ALL SELECT 'pit_plan_execution_pct', region_id, v FROM x)
+SELECT indicator, round(max(CASE WHEN region_id = '3' THEN v END), 6) AS value_a, round(max(CASE WHEN region_id = '8' THEN v END), 6) AS value_b FROM u GROUP BY indicator""", "production revenue receipts")
 def l20(s, d):
-    return overview.compared_regions(q_receipts(s, d), p.production(s, d), "3", "8").filter("indicator = 'production_headline'")
+    out = overview.compared_regions(q_receipts(s, d), p.production(s, d), p.revenue(s, d), "3", "8", p.PIT)
+    return out.select("indicator", F.round("value_a", 6).alias("value_a"), F.round("value_b", 6).alias("value_b"))
 
 
 _HISTORY = """
@@ -307,11 +313,16 @@ def l27(s, d):
     return claims.profile_facts(production.headline_history(p.production(s, d)), once(p.revenue(s, d), "revenue"), p.fiscal(s, d))
 
 
-@QUERIES.add("l28_profile_evidence", "SELECT 'budget_revenue' AS dataset, region_id, period, revenue_code AS indicator, actual_ytd_rub AS value, 'RUB' AS units, 'YTD' AS amount_basis FROM revenue UNION ALL SELECT 'fiscal_observations', region_id, period, metric_code, actual_ytd_rub, 'RUB', 'YTD' FROM fiscal", "fiscal")
+@QUERIES.add("l28_profile_evidence", """SELECT 'industrial_production' AS dataset, region_id, period, section AS indicator, index_value AS value, 'index, previous-year month = 100' AS units, 'monthly' AS amount_basis FROM production
+UNION ALL SELECT 'budget_revenue', region_id, period, revenue_code, actual_ytd_rub, 'RUB', 'YTD' FROM revenue UNION ALL SELECT 'fiscal_observations', region_id, period, metric_code, actual_ytd_rub, 'RUB', 'YTD' FROM fiscal
+UNION ALL SELECT 'industry_pit', region_id, period, section, flow, 'RUB', 'observed period flow' FROM receipts""", "fiscal production receipts")
 def l28(s, d):
     from ..operators.sets import evidence_union
 
-    return evidence_union(("budget_revenue", p.revenue(s, d), "revenue_code", "actual_ytd_rub", "RUB", "YTD"), ("fiscal_observations", p.fiscal(s, d), "metric_code", "actual_ytd_rub", "RUB", "YTD"))
+    return evidence_union(
+        ("industrial_production", p.production(s, d), "section", "index_value", "index, previous-year month = 100", "monthly"), ("budget_revenue", p.revenue(s, d), "revenue_code", "actual_ytd_rub", "RUB", "YTD"),
+        ("fiscal_observations", p.fiscal(s, d), "metric_code", "actual_ytd_rub", "RUB", "YTD"), ("industry_pit", q_receipts(s, d), "section", "flow", "RUB", "observed period flow"),
+    )
 
 
 @QUERIES.add("l29_latest_profile", _F + _ENDS + _W.replace("FROM o GROUP", "FROM oo GROUP").replace(", w AS", _R.replace(", o AS", ", oo AS") + ", w AS", 1) + """

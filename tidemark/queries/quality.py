@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import quality
-from .base import F, Registry, p, q_monthly, q_receipts, table
+from .. import contracts
+from ..operators import filters, quality
+from .base import F, Registry, once, p, q_monthly, q_receipts, table
 
 QUERIES = Registry()
 
@@ -17,18 +18,18 @@ def _union(*parts: str) -> str:
     return " UNION ALL ".join(parts)
 
 
-def _receipts_contract(s, d):
-    """Receipts under the contract's names; the vintage is the year."""
-    return q_receipts(s, d).select(
-        "region_id", "period", "frequency", F.col("section").alias("okved_section"), F.col("section").alias("okved_raw"), F.col("ytd").alias("pit_ytd_rub"), F.col("flow").alias("pit_flow_rub"),
-        F.lit("s1").alias("source_id"), F.year("period").cast("string").alias("source_vintage"), F.lit("validated").alias("quality_status"),
-        *[F.lit(None).cast("string").alias(c) for c in ("region_name_ru", "region_name_en", "industry_name_ru", "industry_name_en", "revision_status")],
+def receipts_contract(s, d):
+    """Receipts under the contract's names: a report a quarter, as of the day after; its vintage is the year."""
+    df = q_receipts(s, d).select(
+        "region_id", "period", "frequency", F.date_add("period", 1).alias("reporting_cutoff"), F.col("section").alias("okved_section"), F.col("section").alias("okved_raw"), F.col("ytd").alias("pit_ytd_rub"),
+        F.col("flow").alias("pit_flow_rub"), F.lit("s1").alias("source_id"), F.year("period").cast("string").alias("source_vintage"), F.lit("verified").alias("quality_status"),
     )
+    return filters.project(df, contracts.CONTRACTS["pit_receipts"])
 
 
 @QUERIES.add("k01_contract_columns", "SELECT 'contract_columns' AS check_id, 'pit_receipts' AS table_name, 'critical' AS severity, 'failed' AS status, CAST(2 AS BIGINT) AS observed, CAST(0 AS BIGINT) AS expected FROM (SELECT count(*) FROM orders)")
 def k01(s, d):
-    return quality.check_columns("pit_receipts", _receipts_contract(s, d).drop("source_id", "source_vintage"))
+    return quality.check_columns("pit_receipts", receipts_contract(s, d).drop("source_id", "source_vintage"))
 
 
 @QUERIES.add("k02_unique_grain", _event("unique_grain", "lineitem", "critical", "sum(n)", source="(SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)"))
@@ -61,22 +62,23 @@ def k07(s, d):
     return quality.check_amounts("receipts", q_receipts(s, d), "flow", "ytd")
 
 
-@QUERIES.add("k08_known_table", "SELECT 'known_table' AS check_id, 'lineitem' AS table_name, 'critical' AS severity, 'failed' AS status, CAST(1 AS BIGINT) AS observed, CAST(0 AS BIGINT) AS expected FROM (SELECT count(*) FROM lineitem)")
+@QUERIES.add("k08_known_table", "SELECT 'known_table' AS check_id, 'lineitem' AS table_name, 'critical' AS severity, 'failed' AS status, count(*) AS observed, CAST(0 AS BIGINT) AS expected FROM lineitem")
 def k08(s, d):
+    """How many rows no contract covers."""
     return quality.validate("lineitem", table(s, d, "lineitem"))
 
 
 def _validated_sql() -> str:
     rows = [_event("contract_columns", "pit_receipts", "critical", "0 * count(*)", source="receipts")]
     rows.append(_event("unique_grain", "pit_receipts", "critical", "sum(n)", source="(SELECT count(*) AS n FROM receipts GROUP BY region_id, period, section HAVING count(*) > 1)"))
-    rows += [_event(f"not_null:{c}", "pit_receipts", "high", f"count(*) - count({x})", source="receipts") for c, x in (("region_id", "region_id"), ("period", "period"), ("frequency", "frequency"), ("okved_raw", "section"), ("pit_ytd_rub", "ytd"), ("source_id", "1"), ("source_vintage", "period"))]
+    rows += [_event(f"not_null:{c}", "pit_receipts", "high", f"count(*) - count({x})", source="receipts") for c, x in (("region_id", "region_id"), ("period", "period"), ("reporting_cutoff", "period"), ("okved_raw", "section"), ("pit_ytd_rub", "ytd"), ("source_id", "1"), ("source_vintage", "period"))]
     rows += [_event("domain:frequency", "pit_receipts", "high", "0 * count(*)", source="receipts"), _event("domain:quality_status", "pit_receipts", "medium", "0 * count(*)", source="receipts"), _event("nonnegative:pit_ytd_rub", "pit_receipts", "medium", "count(*) FILTER (ytd < 0)", "warning", "receipts")]
     return _union(*rows)
 
 
 @QUERIES.add("k09_validate_table", _validated_sql(), "receipts")
 def k09(s, d):
-    return quality.validate("pit_receipts", _receipts_contract(s, d))
+    return quality.validate("pit_receipts", receipts_contract(s, d))
 
 
 @QUERIES.add("k10_blocking_events", f"SELECT * FROM ({_event('unique_grain', 'lineitem', 'critical', 'sum(n)', source='(SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)')}) WHERE status = 'failed'")
@@ -162,10 +164,10 @@ def k20(s, d):
 
 @QUERIES.add("k21_calendar_grid_gaps", """
 , b AS (SELECT CAST(date_trunc('month', min(period)) AS DATE) AS a, max(period) AS z FROM monthly), c AS (SELECT CAST(last_day(m) AS DATE) AS period FROM (SELECT unnest(generate_series(a, z, INTERVAL 1 MONTH)) AS m FROM b)),
-g AS (SELECT region_id, period, unnest(['BUILDING', 'MACHINERY']) AS section FROM (SELECT DISTINCT region_id FROM monthly), c)
+g AS (SELECT region_id, period, unnest(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY']) AS section FROM (SELECT DISTINCT region_id FROM monthly), c)
 SELECT region_id, period, section FROM g ANTI JOIN monthly USING (region_id, period, section)""", "monthly")
 def k21(s, d):
-    return quality.calendar_grid_gaps(q_monthly(s, d), "region_id", ["BUILDING", "MACHINERY"], "section")
+    return quality.calendar_grid_gaps(once(q_monthly(s, d), "monthly"), "region_id", ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"], "section")
 
 
 @QUERIES.add("k22_annual", _union(_event("year_end", "production_annual", "high", "count(*) FILTER (month(period) <> 12)", source="cumulative"), _event("growth_is_index_less_100", "production_annual", "high", "0 * count(*)", source="cumulative")), "cumulative")

@@ -95,13 +95,15 @@ def split_status(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_delimited(spark: SparkSession, path: str | list[str], schema: str, pattern: str = "*.csv", encoding: str = "UTF-8") -> DataFrame:
-    """CSV files whose separator (";" or ",") is that of each file's first line; a byte-order mark is dropped.
+    """CSV files whose separator is ";" where each file's first line has more of them than ",", else ","; a byte-order mark is dropped.
 
     Two scans of csv, each over the files of one separator; the file list is a row a file.
     """
-    first = spark.read.option("wholetext", False).option("pathGlobFilter", pattern).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
-    heads = first.filter("at = 0").groupBy("file").agg(F.max(F.length(F.regexp_replace("value", "[^;]", ""))).alias("semicolons"))
-    files = {unquote(r["file"]): ";" if r["semicolons"] else "," for r in heads.collect()}  # the metadata column is URL-encoded
+    lines = spark.read.option("pathGlobFilter", pattern).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    first = lines.filter("at = 0").groupBy("file").agg(F.min_by("value", "n").alias("head"))
+    count = lambda c: F.length(F.regexp_replace("head", f"[^{c}]", ""))
+    heads = first.select("file", F.when(count(";") > count(","), ";").otherwise(",").alias("sep"))
+    files = {unquote(r["file"]): r["sep"] for r in heads.collect()}  # the metadata column is URL-encoded
     out = None
     for sep in sorted(set(files.values())):
         mine = [f for f, s in files.items() if s == sep]

@@ -22,9 +22,9 @@ def summary(name: str, df: DataFrame) -> DataFrame:
 
 
 def publishable(name: str, df: DataFrame) -> DataFrame:
-    """The contract's columns; paths are cut to names, and values of mixed type are text."""
+    """The contract's columns; paths are cut to names, values of mixed type are text, and secrets are refused when read."""
     out = project(df, contracts.CONTRACTS[name]) if name in contracts.CONTRACTS else df
-    return out.withColumn("local_path", text.basename("local_path")) if "local_path" in out.columns else out
+    return out.withColumns({c: text.publishable(c, c) for c, kind in out.dtypes if kind == "string"})
 
 
 def promote(tables: dict[str, DataFrame], events: DataFrame, folder: str) -> DataFrame:

@@ -6,7 +6,6 @@ import hashlib
 import numpy as np
 import public_tokenizers
 import pytest
-import xxhash
 
 import corpus_pipeline
 from tidemark.llm import decontaminate, quality_model, secrets
@@ -28,13 +27,12 @@ def expected(spark):
 
     left = {i: r for i, r in docs.items() if score(r.text) >= THRESHOLD}
 
-    def print_of(text):
+    def shingles(text, k=5):
         w = text.encode().lower().split()
-        shingles = [b" ".join(w[k : k + 4]) for k in range(max(1, len(w) - 3))] if w else []
-        h = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], np.uint64)
-        return sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(h))
+        return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
-    prints = {i: print_of(r.text) for i, r in left.items()}
+    # Near copies: five-word Jaccard of 0.8 or more, and what such pairs join; the smallest id stays.
+    sets = {i: shingles(r.text) for i, r in left.items()}
     parent = {i: i for i in left}
 
     def root(x):
@@ -44,7 +42,7 @@ def expected(spark):
 
     for a in left:
         for b in left:
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= 4:
+            if a < b and (len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     left = {i: r for i, r in left.items() if root(i) == i}
@@ -54,18 +52,18 @@ def expected(spark):
         return decontaminate._hashed(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
 
     items = [words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    grams = [set(zip(w, w[1:], w[2:], w[3:])) for w in items]
+    grams = [set(zip(w, w[1:], w[2:])) for w in items]
 
     def leaks(text):
         w = words(text)
-        mine = set(zip(w, w[1:], w[2:], w[3:]))
+        mine = set(zip(w, w[1:], w[2:]))
         return any(mine & g and decontaminate.align(x, w)[0] >= 0.5 * 2 * len(x) for x, g in zip(items, grams))
 
     left = {i: r for i, r in left.items() if not leaks(r.text)}
     owners = {}
     weak = {i: secrets.weak_spans(r.text, secrets.base_spans(r.text)) for i, r in left.items()}
     for i, spans in weak.items():
-        for _, _, h in spans:
+        for h in [s[2] for s in spans] + [s[3] for s in secrets.valued_spans(left[i].text)]:
             owners.setdefault(h, set()).add(left[i].source)
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -102,3 +100,17 @@ def test_stages_take_odd_rows(spark):
                 assert df.columns == spark.createDataFrame(data, schema).columns
             if name == "SimHash near-dedup" and data:
                 assert sorted((r.doc_id is None, r.doc_id or 0) for r in got)[:3] == [(False, 1), (False, 2), (False, 3)]
+
+
+def test_rows_are_known_by_id_and_text(spark):
+    """Rows that share an id with a copy, or have none, stay unless they are copies themselves."""
+    words = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcde"]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(3, words[0]), (7, words[0]), (7, words[1]), (None, words[0]), (None, words[2]), (9, words[3]), (9, words[3]), (4, words[0] + " tail"), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema).repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(3, words[0]), (7, words[1]), (None, words[2]), (9, words[3]), (5, None)], key=str)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in [(1, item), (1, words[0]), (None, item), (None, words[1]), (2, "x " + item)]], schema)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.decontamination(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(1, words[0]), (None, words[1])], key=str)

@@ -8,12 +8,16 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontaminate, golay, quality_model, quality_rules, queries, repeats, secrets, sharding, simhash, token_files
+from tidemark.llm import arrays, bitmaps, bpe, chat, decontaminate, golay, quality_model, quality_rules, repeats, secrets, sharding, simhash, token_files
 from tidemark.llm.common import components
+from tidemark.llm.pretokens import Splitter
 
 DOCS = "doc_id long, text string, source string, lang string, rank int"
 
@@ -74,6 +78,60 @@ def test_repeats(spark, docs):
     assert repeats.repeat_digests(empty(spark)).count() == 0
 
 
+def test_factors_are_those_of_a_greedy_parse(spark, docs):
+    """First occurrences by brute force; a factor goes on while the next window was first seen in the same block."""
+    rows, k = [(i, (t or "").encode().split()) for i, t, *_ in corpus() if i is not None], 13
+    first = {}
+    for i, w in rows:
+        for j in range(len(w) - k + 1):
+            g = tuple(w[j : j + k])
+            first[g] = min(first.get(g, i), i)
+    want = []
+    for i, w in rows:
+        found, factors, j = [first.get(tuple(w[j : j + k]), i) for j in range(len(w) - k + 1)], [], 0
+        while j < len(found):
+            e = j
+            while e < len(found) and found[e] < i and found[e] // repeats.BLOCK == found[j] // repeats.BLOCK:
+                e += 1
+            if e > j:
+                factors.append((j, e - j + k - 1, found[j] // repeats.BLOCK))
+            j = max(e, j + 1)
+        if factors:
+            want.append((i, factors))
+    got = [(r.doc, [tuple(f) for f in r.factors]) for r in repeats.factors(docs).collect()]
+    assert len(want) > 10 and order(got) == order(want)
+    low, begin, n = np.array([5, 9, 2000, 5]), np.array([0, 3, 6, 30]), np.array([3, 3, 2, 1])
+    assert [x.tolist() for x in repeats.parsed(low, begin, n)] == [[0, 6, 30], [18, 14, 13], [0, 1, 0]]
+    assert repeats.factors(empty(spark)).count() == 0
+
+
+def test_large_key_sets_are_joined(spark, docs, monkeypatch):
+    want = order((r.id, r.n_removed, r.kept_sha256) for r in repeats.repeat_digests(docs).collect())
+    monkeypatch.setattr("tidemark.llm.repeats.bits_for", lambda n: None)
+    assert order((r.id, r.n_removed, r.kept_sha256) for r in repeats.repeat_digests(docs).collect()) == want
+    numbers = spark.range(5_000).selectExpr("xxhash64(id) AS k", "id")
+    keys = numbers.filter("id % 5 = 0").select("k")
+    few = bitmaps.filtered(numbers, "k", keys)
+    assert few.filter("id % 5 = 0").count() == 1_000 and few.count() < 1_300
+    monkeypatch.setattr("tidemark.llm.bitmaps.MOST_BITS", 0)
+    assert bitmaps.filtered(numbers, "k", keys).count() == 1_000 and bitmaps.filtered(numbers, "k", keys.limit(0)).count() == 0
+
+
+def test_long_texts_hash_like_short_ones():
+    """Words over a slice's end, and a word longer than a slice, have the hash that they have alone."""
+    rng = np.random.default_rng(3)
+    words = [b"x" * int(n) for n in rng.integers(1, 40, 60_000)] + [b"q" * (2 * arrays.SLICE + 7)] + [b"%d" % i for i in range(50_000)]
+    raw = b" ".join(words)
+    assert len(raw) > 3 * arrays.SLICE
+    data = np.frombuffer(raw, np.uint8)
+    starts, ends, _ = arrays.words(data, np.array([0, len(data)]))
+    got = arrays.word_hashes(data, starts, ends)
+    for i in [*range(0, len(words), 997), 60_000, *np.searchsorted(starts, np.arange(1, 4) * arrays.SLICE).tolist()]:
+        for j in (i - 1, i):
+            alone = np.frombuffer(words[j], np.uint8)
+            assert arrays.word_hashes(alone, np.array([0]), np.array([len(alone)]))[0] == got[j]
+
+
 def test_golay_keys_meet_within_two_bits():
     rng = np.random.default_rng(0)
     words = rng.integers(0, 1 << 23, 2_000)
@@ -162,6 +220,53 @@ def test_bpe(spark, docs, encoding):
     assert bpe.encode_decode(empty(spark), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_splits_by_the_pattern_given():
+    assert Splitter(r"\S|\s")("ab cd") == list("ab cd") and Splitter(public_tokenizers.PATTERN)("ab cd") == ["ab", " cd"]
+
+
+def test_bpe_takes_unsteady_input(spark, encoding):
+    """Rows that come in another order on each run are written first; passes that differ fail instead of mixing ids up."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    texts = [f"alpha{i} beta{i % 7} gamma" for i in range(200)]
+    turn = spark.sparkContext.accumulator(0)
+
+    def shuffled(batches):
+        for b in batches:
+            turn.add(1)
+            rows = np.random.permutation(len(b))  # another order each time
+            yield b.take(pa.array(rows))
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).mapInArrow(shuffled, "doc_id long, text string")
+    got = {r.id: r.decoded for r in bpe.encode_decode(rows, path, public_tokenizers.PATTERN).collect()}
+    assert got == dict(enumerate(texts))
+
+    class Context:
+        partitionId = staticmethod(lambda: 0)  # noqa: N815
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["alpha beta", "gamma delta"])], ["id", "text"])
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(bpe.TaskContext, "get", staticmethod(lambda: Context))
+        words = pa.Table.from_batches(bpe._blocks(public_tokenizers.PATTERN, 1 << 20, True, pa.int64())([batch]))
+        docs = pa.Table.from_batches(bpe._blocks(public_tokenizers.PATTERN, 1 << 20, False, pa.int64())([batch.take(pa.array([1, 0]))]))
+    encoded = pa.Table.from_batches(bpe._encoded_words(path, public_tokenizers.PATTERN)(words.to_batches()))
+    with pytest.raises(ValueError, match="numbered"):
+        bpe._assembled(path, public_tokenizers.PATTERN, bpe.ids_and_text, ["ids", "decoded"], pa.int64(), [pa.list_(pa.int64()), pa.string()])(docs, encoded)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"ab1é²'s!#\n \t\r\xa0\u3000中\x1c\x85\0\u2028", " ", "\n", "<|endoftext|>", "'ll"]), max_size=25).map("".join), max_size=6))
+def test_chunks_have_the_ids_of_whole_texts(texts):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = _library.setdefault(path, Tokenizer.from_file(path))
+    got = token_files._encoder(path, "<u2").encode(texts)
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+_library: dict = {}
+
+
 def test_token_files(spark, docs):
     from tokenizers import Tokenizer
 
@@ -196,6 +301,17 @@ def test_shards(spark, docs):
     assert sharding.uniform_shards(empty(spark)).count() == 0
 
 
+def test_equal_rows_are_shuffled(spark):
+    """Neighbours in a shard are equal as often as chance has it, and where a row goes does not follow from its content."""
+    rows = spark.createDataFrame([(i % 50,) for i in range(2_000)], "v int").repartition(4)
+    got = {(r["shard"], r["slot"]): r.v for r in sharding.uniform_shards(rows, 2, target_rows=300).collect()}
+    assert sorted(got) == [(s, i) for s in range(2) for i in range(1_000)]
+    near = sum(got[s, i] == got[s, i + 1] for s in range(2) for i in range(999))
+    assert near < 100  # 40 expected
+    first = [sum(v == k for (s, _), v in got.items() if s == 0) for k in range(50)]
+    assert sum(first) == 1_000 and max(first) < 36 and min(first) > 6
+
+
 def test_communication_matrix():
     sums = np.zeros((3, 4))
     for seed in range(400):
@@ -284,10 +400,13 @@ def test_decontamination(spark):
     filler = lambda n: " ".join(word() for _ in range(n))
     texts = [f"{filler(40)} {items[0].upper()}, {filler(20)}", f"{filler(5)} {' '.join(edited)}", f"{' '.join(dropped)}", filler(200), None, "", " ".join(items[3].split()[:6]), f"{filler(3000)} {items[4]}", items[4]]
     docs = spark.createDataFrame([(i, t, "s", "en", 0) for i, t in enumerate(texts)], DOCS).repartition(2).withColumn("item_id", F.lit(1))
+    odd = spark.createDataFrame([(None, items[0], "s", "en", 0), (50, items[0], "s", "en", 0), (50, items[0], "s", "en", 0)], DOCS)
     bench = spark.createDataFrame([*enumerate(items), (7, None), (8, "too short"), (9, items[0])], "item_id long, text string")
     for block in (50_000, 3):
         got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench, block=block).collect()}
         assert got == {(0, 0), (0, 9), (1, 1), (2, 2), (7, 4), (8, 4)}
+    got = [(r.doc_id, r.item_id) for r in decontaminate.contaminated(odd, bench, block_bytes=400).collect()]
+    assert order(got) == order([(None, 0), (None, 9), (50, 0), (50, 0), (50, 9), (50, 9)])
     assert decontaminate.contaminated(empty(spark), bench).count() == 0
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
@@ -300,6 +419,38 @@ def smith_waterman(a, b):
     return max(map(max, h))
 
 
+def test_edited_copies_are_found():
+    """Recall against aligning every document with every item, over copies with changed, lost and added words."""
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(400)]
+    some = lambda n: rng.choices(vocabulary, [1 / (i + 1) for i in range(400)], k=n)
+    items, texts = [some(rng.randrange(12, 50)) for _ in range(40)], []
+    for j in range(200):
+        copy, rate = [], rng.choice([0, 0.1, 0.2, 0.25, 0.3])
+        for i, w in enumerate(items[j % 40]):
+            r = rng.random()
+            edit = i % 4 == 3 if rate == 0.25 else r < rate * 0.6  # every fourth word, or some words
+            copy += [f"x{rng.randrange(999)}"] if edit else [] if rate != 0.25 and r < rate * 0.8 else [w, "y"] if rate != 0.25 and r < rate else [w]
+        texts.append(some(rng.randrange(60)) + copy + some(rng.randrange(60)))
+    held = decontaminate.items_of(list(range(40)), [" ".join(w) for w in items], 3)
+
+    class Shared:
+        value = (held, held.table())
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([" ".join(t) for t in texts])], ["doc_id", "text"])
+    got = {x for b in decontaminate._matched(Shared, 3, 0.5, pa.int64())([batch]) for x in zip(b["doc_id"].to_pylist(), b["item_id"].to_pylist())}
+    want = set()
+    for d, t in enumerate(texts):
+        raw = " ".join(t).encode()
+        words = decontaminate._hashed(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+        for k in range(40):
+            item = held.words[held.first[k] : held.first[k + 1]]
+            if decontaminate.most_common(item, words) >= len(item) / 2 and decontaminate.align(item, words)[0] >= len(item):
+                want.add((d, k))
+    assert len(want) > 150 and got <= want and len(got) >= 0.98 * len(want)
+    assert all((j, j % 40) in got for j in range(200) if (j, j % 40) in want and len(items[j % 40]) > 20)
+
+
 def test_alignment_score():
     rng = np.random.default_rng(2)
     for _ in range(50):
@@ -323,7 +474,3 @@ def test_quality_model(spark):
     none = quality_model.learnt(docs, labels.limit(0), "doc_id", "text", "quality")
     assert {r.score for r in quality_model.scored(docs, none, "text", ["doc_id"]).collect()} == {0.5}
     assert quality_model.scored(empty(spark), trees, "text", ["doc_id"]).count() == 0
-
-
-def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in queries.queries()}

@@ -93,7 +93,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: i
         a, b = np.maximum(starts[i:j], low) - low, np.minimum(ends[i:j], high) - low
         got = (sums[b] - sums[a]) * down[a]
         if starts[i] < low:
-            got[0] *= np.uint64(pow(base, low - int(starts[i]), 1 << 64))
+            got[:1] *= np.uint64(pow(base, low - int(starts[i]), 1 << 64))
         out[i:j] += got
     return mixed(out + (ends - starts).astype(np.uint64))
 

@@ -20,6 +20,7 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -173,10 +174,10 @@ def _assembled(path: str, pattern: str, finish: Callable, names: list[str], id_t
             offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] // kind.itemsize
             flat = np.frombuffer(data, kind)
             at[number], size[number] = offsets[:-1], np.diff(offsets)
-        done, names_of = [], []
+        # A few documents at a time, so that no second copy of a block's ids is held.
+        tables = [pa.Table.from_arrays([pa.array([], id_type), *[pa.array([], t) for t in types]], ["id", *names])]
         for keys, lengths, sequence in zip(documents["ids"], documents["lengths"], documents["sequence"], strict=True):
-            names_of += keys.as_py()
-            ends = np.cumsum(lengths.as_py())
+            done, ends = [], np.cumsum(lengths.as_py())
             numbers = _unpacked(sequence.as_py(), int(ends[-1]))
             for n in np.split(numbers, ends[:-1]):
                 if not len(n):
@@ -186,8 +187,9 @@ def _assembled(path: str, pattern: str, finish: Callable, names: list[str], id_t
                 stop = np.cumsum(sizes)
                 ids = flat[np.repeat(at[n] - (stop - sizes), sizes) + np.arange(stop[-1])].astype("<u4")
                 done.append(finish(ids, b"".join(map(table.__getitem__, ids.tolist()))))
-        columns = list(zip(*done, strict=True)) if done else [[] for _ in names]
-        return pa.Table.from_arrays([pa.array(names_of, id_type), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], ["id", *names])
+            columns = [pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)]
+            tables.append(pa.Table.from_arrays([pa.array(keys.as_py(), id_type), *columns], ["id", *names]))
+        return pa.concat_tables(tables)
 
     return run
 
@@ -196,6 +198,18 @@ def ids_and_text(ids: np.ndarray, decoded: bytes) -> tuple:
     return ids.tolist(), decoded.decode("utf-8", "replace")
 
 
+#: Columns of digests, for `schema`.
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def digests(ids: np.ndarray, decoded: bytes) -> tuple:
+    return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+
+
+def digests_and_ids(ids: np.ndarray, decoded: bytes) -> tuple:
+    return *digests(ids, decoded), ids.astype("<u4").tobytes()
+
+
 def encode_decode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text: str = "text", finish: Callable = ids_and_text, schema: str = "ids array<long>, decoded string", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, columns of schema): finish makes a document's columns from its ids and its decoded bytes."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,23 +40,12 @@ def op3_typed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _digests(ids, decoded):
-    return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()
-
-
-def digests_and_ids(ids, decoded):
-    return *_digests(ids, decoded), ids.astype("<u4").tobytes()
-
-
-DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-
-
 def op4_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.encode_decode(docs, ranks, public_tokenizers.PATTERN, finish=_digests, schema=DIGESTS).withColumnRenamed("id", "doc_id")
+    return bpe.encode_decode(docs, ranks, public_tokenizers.PATTERN, finish=bpe.digests, schema=bpe.DIGESTS).withColumnRenamed("id", "doc_id")
 
 
 THRESHOLD = 0.3

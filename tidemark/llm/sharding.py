@@ -22,7 +22,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,17 +79,17 @@ def _dealt(part: int, counts: tuple[int, ...], seed: int) -> np.ndarray:
 def _draws(seed: int, pieces: int):
     """What rows draw, by their number and the counts of their partition: shard, piece of the shard, and place in the piece."""
 
-    def draw(ids: pd.Series, counts: pd.Series) -> pd.DataFrame:
-        number = ids.to_numpy()
+    def draw(ids: pa.Array, counts: pa.Array) -> pa.Array:
+        number = np.asarray(ids)
         part, shard = number >> PLACE_BITS, np.zeros(len(number), np.int32)
         for p in np.unique(part).tolist():
             mine = np.flatnonzero(part == p)
-            shard[mine] = _dealt(p, tuple(counts.iloc[int(mine[0])].tolist()), seed)[number[mine] & (1 << PLACE_BITS) - 1]
+            shard[mine] = _dealt(p, tuple(counts[int(mine[0])].as_py()), seed)[number[mine] & (1 << PLACE_BITS) - 1]
         key = mixed(mixed(number.astype(np.uint64)) + np.uint64(seed)) >> np.uint64(1)
         piece = (key >> np.uint64(31)).astype(np.int64) * pieces >> 32
-        return pd.DataFrame({"shard": shard, "piece": piece.astype(np.int32), "key": key.astype(np.int64)})
+        return pa.StructArray.from_arrays([pa.array(shard), pa.array(piece.astype(np.int32)), pa.array(key.astype(np.int64))], ["shard", "piece", "key"])
 
-    return F.pandas_udf(draw, "shard int, piece int, key long")
+    return F.arrow_udf(draw, "struct<shard:int,piece:int,key:bigint>")
 
 
 def uniform_shards(df: DataFrame, shards: int = 16, seed: int = 42, target_rows: int = 20_000) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, quality_model, secrets, simhash
 from tidemark.llm.common import table, text_of, written
-from tidemark.llm.queries import DIGESTS, THRESHOLD, digests_and_ids, quality_trees
+from tidemark.llm.queries import THRESHOLD, quality_trees
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.encode_decode(docs, ranks, public_tokenizers.PATTERN, finish=digests_and_ids, schema=f"{DIGESTS}, token_ids binary").withColumnRenamed("id", "doc_id")
+    return bpe.encode_decode(docs, ranks, public_tokenizers.PATTERN, finish=bpe.digests_and_ids, schema=f"{bpe.DIGESTS}, token_ids binary").withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

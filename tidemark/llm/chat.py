@@ -9,7 +9,8 @@ what the placeholder expands to. A turn is written
 
 Escapes keep control strings out of texts: `\` is written `\\` and `<|` is written `<\|`, so `<|` in the
 output always starts a control string, and reading back takes the escapes off again. Line feeds of a role
-are written `<|nl|>`. The loss mask is an array of spans in code points, one for each assistant body.
+are written `<|nl|>`. The loss mask is an array of spans in code points, one for each assistant body, with the number
+of its turn.
 
 Defined results: a null text or role counts as empty; null turns come first; equal turns are ordered by role
 and parts; equal rows all stay; a null conversation id is one conversation; no rows give no rows; further
@@ -18,7 +19,7 @@ columns are ignored. A part of unknown type is treated as an attachment of that
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN, END = "<|turn|>", "<|end|>\n"
@@ -42,56 +43,45 @@ def _is_text(p: Column) -> Column:
 
 
 def formatted(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """One row a conversation: conv_id, formatted, loss_spans (start, length), attachments and n_extra_tokens.
+    """One row a conversation: conv_id, formatted, loss_spans (start, length, turn), attachments and n_extra_tokens.
 
     messages: conv_id, turn, role, parts (array of PART). attachments: (place, type, ref, tokens, start),
-    numbered through the conversation, with the code point where the placeholder starts in its turn's body.
+    numbered through the conversation, with the code point where the placeholder starts in its turn's body. Numbers
+    and offsets are running sums over the turns, which lie together for the collecting anyway.
     """
-    turns = (
-        messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce(F.col("parts").cast(f"array<{PART}>"), F.array().cast(f"array<{PART}>")).alias("parts"))
-        .groupBy("conv_id")
-        .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "parts"))).alias("turns"))
-    )
-    n_attached = lambda parts: F.size(F.filter(parts, lambda p: ~_is_text(p)))
-    # Place numbers run through the conversation: each turn knows how many attachments came before it.
-    before = F.aggregate("turns", F.array(F.lit(0)), lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + n_attached(t["parts"]))))
-    turns = turns.withColumn("before", F.when(F.exists("turns", lambda t: n_attached(t["parts"]) > 0), before))
-
-    def visit(t: Column, i: Column) -> Column:
-        first = F.coalesce(F.get("before", i), F.lit(0))
-        begin = F.struct(F.lit("").alias("body"), first.alias("k"), F.array().cast("array<struct<place:int,type:string,ref:string,tokens:int,start:int>>").alias("found"))
-
-        def part(acc, p):
-            kind = F.coalesce(p["type"], F.lit("text"))
-            mark = F.concat(F.lit("<|"), kind, F.lit(":"), acc["k"].cast("string"), F.lit("|>"))
-            one = F.struct(acc["k"].alias("place"), kind.alias("type"), p["ref"].alias("ref"), F.coalesce(p["tokens"], F.lit(0)).alias("tokens"), F.char_length(acc["body"]).alias("start"))
-            return F.struct(
-                F.concat(acc["body"], F.when(_is_text(p), escaped(p["text"])).otherwise(mark)).alias("body"),
-                F.when(_is_text(p), acc["k"]).otherwise(acc["k"] + 1).alias("k"),
-                F.when(_is_text(p), acc["found"]).otherwise(F.concat(acc["found"], F.array(one))).alias("found"),
-            )
-
-        head = F.concat(F.lit(TURN), F.replace(escaped(t["role"]), F.lit("\n"), F.lit("<|nl|>")), F.lit("\n"))
-        # One text part is the common case and needs no accumulator.
-        alone = (F.size(t["parts"]) == 1) & _is_text(F.get(t["parts"], F.lit(0)))
-        seen = F.when(alone, F.struct(escaped(F.get(t["parts"], F.lit(0))["text"]).alias("body"), first.alias("k"), begin["found"].alias("found"))).otherwise(F.aggregate(t["parts"], begin, part))
-        return F.struct(head.alias("head"), seen["body"].alias("body"), seen["found"].alias("found"), t["role"].isin(*loss_roles).alias("loss"))
-
-    turns = turns.withColumn("seen", F.transform("turns", visit))
-    pieces = turns.withColumn("pieces", F.transform("seen", lambda s: F.concat(s["head"], s["body"], F.lit(END))))
-    sizes = F.transform("seen", lambda s: F.struct(F.char_length(s["head"]).alias("head"), F.char_length(s["body"]).alias("body"), s["loss"].alias("loss")))
-    pieces = pieces.withColumn("sizes", sizes)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-
-    def mask(acc, s):
-        span = F.array(F.struct((acc["at"] + s["head"]).alias("start"), s["body"].alias("length")))
-        return F.struct((acc["at"] + s["head"] + s["body"] + len(END)).alias("at"), F.when(s["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    attachments = F.flatten(F.transform("seen", lambda s: s["found"]))
-    return pieces.select(
+    rows = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce(F.col("parts").cast(f"array<{PART}>"), F.array().cast(f"array<{PART}>")).alias("parts"))
+    turns = Window.partitionBy("conv_id").orderBy("turn", "role", "parts")
+    before = turns.rowsBetween(Window.unboundedPreceding, -1)
+    attached = F.size(F.filter("parts", lambda p: ~_is_text(p)))
+    rows = rows.withColumns({"i": F.row_number().over(turns), "first": F.coalesce(F.sum(attached).over(before), F.lit(0)).cast("int")})
+    begin = F.struct(F.lit("").alias("body"), F.col("first").alias("k"), F.array().cast("array<struct<place:int,type:string,ref:string,tokens:int,start:int>>").alias("found"))
+
+    def part(acc, p):
+        kind = F.coalesce(p["type"], F.lit("text"))
+        mark = F.concat(F.lit("<|"), kind, F.lit(":"), acc["k"].cast("string"), F.lit("|>"))
+        one = F.struct(acc["k"].alias("place"), kind.alias("type"), p["ref"].alias("ref"), F.coalesce(p["tokens"], F.lit(0)).alias("tokens"), F.char_length(acc["body"]).alias("start"))
+        return F.struct(
+            F.concat(acc["body"], F.when(_is_text(p), escaped(p["text"])).otherwise(mark)).alias("body"),
+            F.when(_is_text(p), acc["k"]).otherwise(acc["k"] + 1).alias("k"),
+            F.when(_is_text(p), acc["found"]).otherwise(F.concat(acc["found"], F.array(one))).alias("found"),
+        )
+
+    # One text part is the common case and needs no accumulator.
+    only = F.get("parts", F.lit(0))
+    alone = (F.size("parts") == 1) & _is_text(only)
+    seen = F.when(alone, F.struct(escaped(only["text"]).alias("body"), F.col("first").alias("k"), begin["found"].alias("found"))).otherwise(F.aggregate("parts", begin, part))
+    head = F.concat(F.lit(TURN), F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("<|nl|>")), F.lit("\n"))
+    rows = rows.select("conv_id", "turn", "role", "parts", "i", head.alias("head"), seen.alias("seen"))
+    size = F.char_length("head") + F.char_length("seen.body") + len(END)
+    rows = rows.withColumn("at", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("int"))
+    span = F.when(F.col("role").isin(*loss_roles), F.struct((F.col("at") + F.char_length("head")).alias("start"), F.char_length("seen.body").alias("length"), F.col("i").alias("turn")))
+    pieces = rows.select("conv_id", F.struct("i", F.concat("head", "seen.body", F.lit(END)).alias("piece"), span.alias("span"), F.col("seen.found").alias("found")).alias("t"))
+    chats = pieces.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    attachments = F.flatten(F.col("t.found"))
+    return chats.select(
         "conv_id",
-        F.array_join("pieces", "").alias("formatted"),
-        F.aggregate("sizes", begin, mask, lambda acc: acc["spans"]).alias("loss_spans"),
+        F.array_join("t.piece", "").alias("formatted"),
+        F.filter("t.span", lambda s: s.isNotNull()).alias("loss_spans"),
         attachments.alias("attachments"),
         F.aggregate(attachments, F.lit(0).cast("long"), lambda acc, x: acc + x["tokens"]).alias("n_extra_tokens"),
     )
@@ -111,7 +101,5 @@ def read_back(chats: DataFrame) -> DataFrame:
     # Where each piece starts, so that a span is cut from its own piece and not from the whole string.
     start = F.aggregate("_pieces", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(x) + len(END))))
     df = df.withColumn("_starts", start)
-    under = F.transform("loss_spans", lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"), F.size(F.filter("_starts", lambda b: b <= s["start"])).alias("piece")))
-    df = df.withColumn("_under", under)
-    loss = F.transform("_under", lambda s: unescaped(F.substring(F.element_at("_pieces", s["piece"]), s["start"] - F.element_at("_starts", s["piece"]) + 1, s["length"])))
+    loss = F.transform("loss_spans", lambda s: unescaped(F.substring(F.element_at("_pieces", s["turn"]), s["start"] - F.element_at("_starts", s["turn"]) + 1, s["length"])))
     return df.select(*chats.columns, F.transform("_pieces", turn).alias("turns"), F.array_join(loss, "").alias("loss_text"))

@@ -76,6 +76,20 @@ def test_archives(spark, tmp_path):
     assert {r.period for r in files.dated_names(payload.select("path")).collect()} == {date(2026, 3, 31), date(2026, 4, 30)}
 
 
+def test_archives_nested_too_deep_are_errors():
+    from tidemark.sources.decode import archive_members
+
+    inner = b"text"
+    for i in range(5):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("a.txt" if i == 0 else f"{i}.zip", inner)
+        inner = out.getvalue()
+    assert [n for n, _ in archive_members(inner)] == ["4.zip!3.zip!2.zip!1.zip!a.txt"]
+    with pytest.raises(ValueError, match="too deep"):
+        list(archive_members(inner, depth=3))
+
+
 def test_delimited_and_hashes(spark, tmp_path):
     (tmp_path / "a.csv").write_text("﻿code;v\n001;5\n", encoding="utf-8")
     (tmp_path / "b.csv").write_text("code,v\n002,6\n", encoding="utf-8")

@@ -5,6 +5,8 @@ Workbooks and archives are covered by tests on generated files; the queries here
 
 from __future__ import annotations
 
+from pyspark.sql.types import DateType, DoubleType, LongType, StructField, StructType
+
 from .. import contracts
 from ..functions import text
 from ..operators import filters, quality
@@ -19,8 +21,10 @@ QUERIES = Registry()
 
 @QUERIES.add("a01_coerced_scan", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS period, o_totalprice FROM orders")
 def a01(s, d):
-    df = table(s, d, "orders")
-    return df.select("o_orderkey", F.try_to_timestamp(F.col("o_orderdate").cast("string")).cast("date").alias("period"), F.col("o_totalprice").try_cast("double").alias("o_totalprice"))
+    wanted = StructType([StructField("o_orderkey", LongType()), StructField("o_orderdate", DateType()), StructField("o_totalprice", DoubleType())])
+    found, errors = files.load_tables(s, d, {"orders": wanted, "no_such_table": wanted})
+    assert set(found) == {"orders"} and not errors
+    return found["orders"].withColumnRenamed("o_orderdate", "period")
 
 
 @QUERIES.add("a04_melt_by_dictionary", """

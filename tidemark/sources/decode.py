@@ -101,14 +101,16 @@ def decoded(raw: bytes) -> str:
     return raw.decode("utf-8", "replace")
 
 
-def archive_members(payload: bytes, depth: int = 3) -> Iterator[tuple[str, bytes]]:
-    """(name, bytes) of all files in an archive and the archives in it."""
+def archive_members(payload: bytes, depth: int = 8) -> Iterator[tuple[str, bytes]]:
+    """(name, bytes) of all files in an archive and the archives in it; one that lies deeper is an error, as a broken one is."""
     with zipfile.ZipFile(io.BytesIO(payload)) as z:
         for info in z.infolist():
             if info.is_dir():
                 continue
             raw = z.read(info)
-            if info.filename.lower().endswith(".zip") and depth > 1:
+            if info.filename.lower().endswith(".zip"):
+                if depth == 1:
+                    raise ValueError(f"archives are nested too deep: {info.filename}")
                 yield from ((f"{info.filename}!{n}", b) for n, b in archive_members(raw, depth - 1))
             else:
                 yield info.filename, raw

@@ -389,6 +389,19 @@ def test_secrets(spark):
     assert secrets.secret_spans(empty(spark)).count() == 0 and secrets.redacted(empty(spark)).count() == 0
 
 
+def test_secrets_take_repeated_rows_null_ids_and_many_spans(spark):
+    value = "aB3" * 9
+    rows = [(None, f"see {value}", "s0", "en", 0), (None, f"see {value}", "s0", "en", 0), (4, "token=abcdef1", None, None, 0), (4, "token=abcdef1", None, None, 0)]
+    got = [(r.id, [tuple(x) for x in r.spans], r.owners, r.live) for r in secrets.secret_spans(spark.createDataFrame(rows, DOCS)).collect()]
+    assert order(got) == order([(None, [("owned", 4, 31)], [1], [True])] * 2 + [(4, [("assign", 0, 13)], [1], [True])] * 2)
+    text = " ".join(f"token=abc{i:06d} {'x' * 20}{i:06d} {'0123456789abcdef' * 2}{i:x}" for i in range(30_000))
+    base = secrets.base_spans(text)
+    weak = secrets.weak_spans(text, base)
+    assert len(base) == 60_000 and len(weak) == 30_000
+    some = secrets.weak_spans(text[:9_000], secrets.base_spans(text[:9_000]))
+    assert some == [w for w in weak if w[1] <= 9_000][: len(some)] and len(some) > 50
+
+
 def test_decontamination(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm import arrays, bitmaps, bpe, chat, decontaminate, golay, quality_model, quality_rules, repeats, secrets, sharding, simhash, token_files
+from tidemark.llm import arrays, bitmaps, bpe, chat, common, decontaminate, golay, quality_model, quality_rules, repeats, secrets, sharding, simhash, token_files
 from tidemark.llm.common import components
 from tidemark.llm.pretokens import Splitter
 
@@ -179,6 +179,16 @@ def test_links_have_all_components(spark):
         assert [got.get(f, f) for f in fps] == [fps[r] for r in want]
 
 
+def test_classes_of_hot_keys(spark, monkeypatch):
+    rows = spark.range(3_000).selectExpr("id", "IF(id % 3 = 0, 7, id) AS k")
+    classes = common.written(rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low")), "classes")
+    want = sorted((r.id, r.k, 0 if r.k == 7 else r.k) for r in rows.collect())
+    for least in (10, 10_000):
+        monkeypatch.setattr(common, "HOT_ROWS", least)
+        assert sorted((r.id, r.k, r.low) for r in common.join_classes(rows, classes, "k").collect()) == want
+    assert common.join_classes(rows.limit(0), classes.limit(0), "k").count() == 0
+
+
 def test_simhash(spark, docs):
     def print_of(text):
         w = (text or "").encode().lower().split()

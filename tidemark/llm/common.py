@@ -33,6 +33,20 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+#: A key is hot if it has more than one in HOT_SHARE of all rows, so that there are fewer than HOT_SHARE hot keys.
+HOT_SHARE, HOT_ROWS = 1_000, 1_000
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of their class. classes: a written table with a row a key, and n, the key's number of rows.
+
+    The classes of hot keys, fewer than HOT_SHARE, are broadcast, so that their rows stay where they are."""
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    is_hot = F.col("n") > max(HOT_ROWS, total // HOT_SHARE)
+    hot, cold = F.broadcast(classes.filter(is_hot).drop("n")), classes.filter(~is_hot).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph.
 

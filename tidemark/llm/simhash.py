@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import golay
 from .arrays import mixed, slices, window_hashes, word_hashes
 from .arrays import words as words_of
-from .common import components, text_of, written
+from .common import components, join_classes, text_of, written
 from .bitmaps import filtered
 
 SEED, SHINGLE, DISTANCE = 42, 4, 4
@@ -230,9 +230,10 @@ def rooted(classes: DataFrame, links: DataFrame, key: str) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): the fingerprint as a long, and the smallest id reachable over links."""
     prints = written(fingerprints(df, id_col, text), "fingerprints")
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    of = rooted(classes, linked(classes), "fp").select("fp", F.col("component.least").alias("component_id"))
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
+    of = rooted(classes, linked(classes), "fp").join(classes.select("fp", "n"), "fp")
+    of = written(of.select("fp", "n", F.col("component.least").alias("component_id")), "roots")
+    return join_classes(prints, of, "fp").select("doc_id", "fp", "component_id")
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -351,7 +352,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", shing
     kind = df.schema[id_col].dataType.simpleString()
     named = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text)).alias("tx"), F.col(text).alias("text"))
     prints = written(named.mapInArrow(_set_prints(shingle, words), f"doc_id {kind}, tx long, th long, fp long, words array<long>"), "fingerprints")
-    classes = written(prints.groupBy("th").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx")).alias("first"), F.min("tx").alias("tx"), F.first("fp").alias("fp"), F.first("words").alias("words")), "classes")
+    classes = written(prints.groupBy("th").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx")).alias("first"), F.min("tx").alias("tx"), F.first("fp").alias("fp"), F.first("words").alias("words"), F.count("*").alias("n")), "classes")
     classes = classes.withColumn("least", F.col("first.doc_id"))
     keyed = classes.select("fp", "words").distinct().mapInArrow(_keyed_words(words), "key int, fp long")
     groups = components(links_over(keyed, 2_000, distance).filter("a <> b"))
@@ -366,6 +367,6 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", shing
     dealt = members.join(sets, "tx").select("root", "th", "shingles", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = dealt.select(F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("grp"), "th", "shingles")
     near = dealt.repartition("grp").sortWithinPartitions("grp").mapInArrow(_verified(least), "a long, b long")
-    of = rooted(classes, near, "th").join(classes.select("th", "first"), "th").select("th", "component", "first")
+    of = written(rooted(classes, near, "th").join(classes.select("th", "first", "n"), "th").select("th", "component", "first", "n"), "roots")
     head = F.col("component.key").eqNullSafe(F.col("th")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tx") == F.col("first.tx"))
-    return prints.join(of, "th").select("doc_id", F.col("component.least").alias("component_id"), "tx", head.alias("first"))
+    return join_classes(prints.select("doc_id", "tx", "th"), of, "th").select("doc_id", F.col("component.least").alias("component_id"), "tx", head.alias("first"))

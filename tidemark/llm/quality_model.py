@@ -89,22 +89,15 @@ def learnt(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: st
     return fit(x[order], y[order])
 
 
-def _scored(shared, keep: int, output: str):
-    def run(batches):
-        trees = shared.value
-        for batch in batches:
-            rows = [trees.score(statistics(data, offsets)) for _, _, data, offsets in arrays.slices(batch.column(keep))]
-            score = np.concatenate(rows) if rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(keep)] + [pa.array(score)], [*batch.schema.names[:keep], output])
-
-    return run
-
-
 def scored(docs: DataFrame, trees: Trees, text: str, keep: list[str], output: str = "score") -> DataFrame:
-    """The columns in keep, with the probability of label 1 in `output`."""
+    """The columns in keep, with the probability of label 1 in `output`. Only texts and scores travel to Python and back."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col(text).alias("_tidemark_text")).mapInArrow(_scored(shared, len(keep), output), f"{kinds}, `{output}` double")
+
+    def score(texts: pa.Array) -> pa.Array:
+        rows = [shared.value.score(statistics(data, offsets)) for _, _, data, offsets in arrays.slices(texts)]
+        return pa.array(np.concatenate(rows) if rows else np.zeros(0))
+
+    return docs.select(*keep, F.arrow_udf(score, "double")(F.coalesce(text, F.lit(""))).alias(output))
 
 
 def held_out(id_col: str):

@@ -192,7 +192,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     Some n-gram of the item has to be left. An alignment of m words with d edits has m / (d + 1) words or more between
     edits, so with seeds of three words every place is found that holds over 1/2 + 1 / L of an item of L words by
-    changed and left out words, and every one that holds over 3/4 of it whatever the edits are. What has a foreign word
+    changed and left out words, and every one that holds over 3/4 + 1 / 2L whatever the edits are. What has a foreign word
     after every second word of the item, or more, can be missed below that.
     """
     sc = docs.sparkSession.sparkContext

@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import give_back, tidy
 from .common import steady
 from .pretokens import Splitter
 
@@ -157,6 +158,7 @@ def _encoded_words(path: str, pattern: str):
 
 def _assembled(path: str, pattern: str, finish: Callable, names: list[str], id_type: pa.DataType, types: list[pa.DataType]):
     def run(documents: pa.Table, words: pa.Table) -> pa.Table:
+        give_back()  # what the group before has freed
         ranks = _encoding(path, pattern)[1]
         token_bytes = {i: b for b, i in ranks.items()}
         table = [token_bytes.get(i, b"") for i in range(max(token_bytes) + 1)]
@@ -220,8 +222,8 @@ def encode_decode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id
     out = _parse_datatype_string(schema)
     types = [f.type for f in to_arrow_schema(out)]
     id_type = to_arrow_schema(rows.select("id").schema)[0].type
-    words = rows.mapInArrow(_blocks(pattern, block_bytes, True, id_type), "block long, number int, word binary")
-    back = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded_words(ranks, pattern), "block long, number int, ids binary")
-    sequences = rows.mapInArrow(_blocks(pattern, block_bytes, False, id_type), f"block long, ids array<{kind}>, lengths array<int>, sequence binary")
+    words = rows.mapInArrow(tidy(_blocks(pattern, block_bytes, True, id_type)), "block long, number int, word binary")
+    back = words.repartition("word").sortWithinPartitions("word").mapInArrow(tidy(_encoded_words(ranks, pattern)), "block long, number int, ids binary")
+    sequences = rows.mapInArrow(tidy(_blocks(pattern, block_bytes, False, id_type)), f"block long, ids array<{kind}>, lengths array<int>, sequence binary")
     run = _assembled(ranks, pattern, finish, out.fieldNames(), id_type, types)
     return sequences.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, f"id {kind}, {schema}")

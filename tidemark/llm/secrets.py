@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import slices
+from .arrays import slices, tidy
 from .common import written
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -124,7 +124,7 @@ def _scan(at: int):
 def scanned(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """The columns in keep, with spans and weak candidates of each text."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-    return df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_tidemark_text")).mapInArrow(_scan(len(keep)), f"{kinds}, {SCANNED}")
+    return df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_tidemark_text")).mapInArrow(tidy(_scan(len(keep))), f"{kinds}, {SCANNED}")
 
 
 #: A value in more repositories than that is a copied example, also where one owner alone has it.

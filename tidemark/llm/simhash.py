@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from .arrays import mixed, slices, window_hashes, word_hashes
+from .arrays import mixed, slices, tidy, window_hashes, word_hashes
 from .arrays import words as words_of
 from .common import components, join_classes, text_of, written
 from .bitmaps import filtered
@@ -68,7 +68,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_fingerprints, f"doc_id {kind}, fp long")
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(_fingerprints), f"doc_id {kind}, fp long")
 
 
 def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +186,7 @@ LINKS = "a long, b long, blocks int"
 
 def linked(fps: DataFrame, block: int = 2_000) -> DataFrame:
     """fps: distinct fingerprints in column fp. Links (a, b) whose components are those of all links at DISTANCE or less."""
-    return links_over(fps.select("fp").mapInArrow(_keyed, "key int, fp long"), block, DISTANCE)
+    return links_over(fps.select("fp").mapInArrow(tidy(_keyed), "key int, fp long"), block, DISTANCE)
 
 
 def _finer(distance: int):
@@ -202,7 +202,7 @@ def links_over(keyed: DataFrame, block: int, distance: int) -> DataFrame:
     A key with more than `block` fingerprints is cut finer by exact parts of the fingerprint, and what stays that large,
     as copies that differ in few places do, is dealt out in pairs of blocks. Both lose nothing.
     """
-    grouped = lambda df, final: df.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_linker(block, final, distance), LINKS)
+    grouped = lambda df, final: df.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(tidy(_linker(block, final, distance)), LINKS)
     found = written(grouped(keyed, False), "links")
     links, hot = found.filter("blocks = 0").select("a", "b"), found.filter("blocks > 0")
     if hot.isEmpty():
@@ -351,22 +351,22 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", shing
     that repeat id and text are alike in all columns."""
     kind = df.schema[id_col].dataType.simpleString()
     named = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text)).alias("tx"), F.col(text).alias("text"))
-    prints = written(named.mapInArrow(_set_prints(shingle, words), f"doc_id {kind}, tx long, th long, fp long, words array<long>"), "fingerprints")
+    prints = written(named.mapInArrow(tidy(_set_prints(shingle, words)), f"doc_id {kind}, tx long, th long, fp long, words array<long>"), "fingerprints")
     classes = written(prints.groupBy("th").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx")).alias("first"), F.min("tx").alias("tx"), F.first("fp").alias("fp"), F.first("words").alias("words"), F.count("*").alias("n")), "classes")
     classes = classes.withColumn("least", F.col("first.doc_id"))
-    keyed = classes.select("fp", "words").distinct().mapInArrow(_keyed_words(words), "key int, fp long")
+    keyed = classes.select("fp", "words").distinct().mapInArrow(tidy(_keyed_words(words)), "key int, fp long")
     groups = components(links_over(keyed, 2_000, distance).filter("a <> b"))
     of = classes.join(groups, classes.fp == groups.node, "left").select("th", "tx", F.coalesce("component", "fp").alias("root"))
     several = of.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1")
     members = written(of.join(several, "root"), "members")
     marked = filtered(named.select("tx", "text"), "tx", members.select("tx"))
-    sets = marked.mapInArrow(_sets(shingle), "tx long, shingles binary").dropDuplicates(["tx"])
+    sets = marked.mapInArrow(tidy(_sets(shingle)), "tx long, shingles binary").dropDuplicates(["tx"])
     # Every two texts of a candidate component meet in a group: a component over `block` is dealt out in pairs of blocks.
     blocks = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("th"), blocks).cast("int")
     dealt = members.join(sets, "tx").select("root", "th", "shingles", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = dealt.select(F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("grp"), "th", "shingles")
-    near = dealt.repartition("grp").sortWithinPartitions("grp").mapInArrow(_verified(least), "a long, b long")
+    near = dealt.repartition("grp").sortWithinPartitions("grp").mapInArrow(tidy(_verified(least)), "a long, b long")
     of = written(rooted(classes, near, "th").join(classes.select("th", "first", "n"), "th").select("th", "component", "first", "n"), "roots")
     head = F.col("component.key").eqNullSafe(F.col("th")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tx") == F.col("first.tx"))
     return join_classes(prints.select("doc_id", "tx", "th"), of, "th").select("doc_id", F.col("component.least").alias("component_id"), "tx", head.alias("first"))

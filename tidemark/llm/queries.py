@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, quality_model, quality_rules, repeats, secrets, sharding, simhash, token_files
+from . import bpe, chat, decontaminate, merkle, quality_model, quality_rules, repeats, secrets, sharding, simhash, token_files
 from .common import table, text_of
 
 
@@ -99,7 +99,16 @@ def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = (op1_seeded_alignment, op2_hypergeometric_shards, op3_typed_chat, op4_distinct_word_bpe, op5_quality_trees, op6_token_files, op7_rule_cascade, op8_owned_secrets, op9_lempel_ziv_repeats, op10_golay_simhash)
+def op11_cogrouped_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    small = "abcdefghijklmnopqrstuvwxyz"
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    tampered = F.when(touched, F.translate("text", small.upper(), small)).otherwise(F.col("text"))
+    out = merkle.proofs(table(spark, sf_dir, "documents"), [*fields, "text"], "lang", "doc_id", shown=[*fields, tampered], schema=merkle.DIGESTS)
+    return out.select(F.col("id").cast("long").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+QUERIES = (op1_seeded_alignment, op2_hypergeometric_shards, op3_typed_chat, op4_distinct_word_bpe, op5_quality_trees, op6_token_files, op7_rule_cascade, op8_owned_secrets, op9_lempel_ziv_repeats, op10_golay_simhash, op11_cogrouped_merkle)
 
 
 def queries():
@@ -140,7 +149,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR length(regexp_replace(text, '[^0-9]+', '', 'g')) > 0.3 * word_chars) AS kept
 FROM b
 """
+_OP11 = r"""
+WITH RECURSIVE b AS (SELECT row_number() OVER () AS r, *, xor(4294967295, list_reduce(
+    list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1))))) % 3 = 0 AS touched FROM documents),
+c AS (SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS head,
+  CASE WHEN touched THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS seen FROM b),
+d AS (SELECT r, doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(seen) || ':' || seen, '-')) AS shown FROM c),
+e AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p,
+  count(*) OVER (PARTITION BY lang) AS n FROM d),
+t(g, l, p, n, h) AS (SELECT g, 0, p, n, leaf FROM e
+  UNION ALL SELECT g, max(l) + 1, p // 8, max((n + 7) // 8), sha256(string_agg(h, '' ORDER BY p)) FROM t WHERE n > 1 GROUP BY g, p // 8),
+u(g, l, p, n, h) AS (SELECT -1, 0, g, (SELECT max(g) + 1 FROM t), h FROM t WHERE n = 1
+  UNION ALL SELECT -1, max(l) + 1, p // 8, max((n + 7) // 8), sha256(string_agg(h, '' ORDER BY p)) FROM u WHERE n > 1 GROUP BY p // 8),
+v AS (SELECT * FROM t UNION ALL SELECT * FROM u),
+s AS (SELECT x.g, x.l, x.p, x.n, coalesce(string_agg(y.h, '' ORDER BY y.p) FILTER (y.p < x.p), '') AS before, coalesce(string_agg(y.h, '' ORDER BY y.p) FILTER (y.p > x.p), '') AS after
+  FROM v x JOIN v y ON x.g = y.g AND x.l = y.l AND x.p // 8 = y.p // 8 GROUP BY x.g, x.l, x.p, x.n),
+w(r, g, l, p, path, h, done) AS (SELECT r, g, 0, p, '', shown, false FROM e
+  UNION ALL SELECT w.r, CASE WHEN s.n > 1 THEN w.g ELSE -1 END, CASE WHEN s.n > 1 THEN w.l + 1 ELSE 0 END, CASE WHEN s.n > 1 THEN w.p // 8 ELSE w.g END,
+    CASE WHEN s.n > 1 THEN path || before || after ELSE path END, CASE WHEN s.n > 1 THEN sha256(before || h || after) ELSE h END, s.n = 1 AND w.g = -1
+  FROM w JOIN s ON w.g = s.g AND w.l = s.l AND w.p = s.p WHERE NOT done)
+SELECT doc_id, leaf, t.h AS subroot, u.h AS root, sha256(path) AS proof_sha256, w.h AS folded_root, w.h = u.h AS verified
+FROM e JOIN w ON e.r = w.r AND w.done JOIN t ON t.g = e.g AND t.n = 1 JOIN u ON u.n = 1
+"""
 
 
 def oracle_sql():
-    return {"op3_typed_chat": _OP3, "op7_rule_cascade": _OP7}
+    return {"op3_typed_chat": _OP3, "op7_rule_cascade": _OP7, "op11_cogrouped_merkle": _OP11}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, merkle, quality_model, quality_rules, repeats, secrets, sharding, simhash, token_files
+from . import bpe, chat, decontaminate, lexical, merkle, quality_model, quality_rules, repeats, secrets, sharding, simhash, token_files
 from .common import table, text_of
 
 
@@ -108,7 +108,11 @@ def op11_cogrouped_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").cast("long").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
-QUERIES = (op1_seeded_alignment, op2_hypergeometric_shards, op3_typed_chat, op4_distinct_word_bpe, op5_quality_trees, op6_token_files, op7_rule_cascade, op8_owned_secrets, op9_lempel_ziv_repeats, op10_golay_simhash, op11_cogrouped_merkle)
+def op12_norm_bucket_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = (op1_seeded_alignment, op2_hypergeometric_shards, op3_typed_chat, op4_distinct_word_bpe, op5_quality_trees, op6_token_files, op7_rule_cascade, op8_owned_secrets, op9_lempel_ziv_repeats, op10_golay_simhash, op11_cogrouped_merkle, op12_norm_bucket_search)
 
 
 def queries():
@@ -175,5 +179,20 @@ FROM e JOIN w ON e.r = w.r AND w.done JOIN t ON t.g = e.g AND t.n = 1 JOIN u ON
 """
 
 
+_OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+i AS (SELECT row_number() OVER () AS q, item_id, list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS terms FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+s AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(terms)) AS BIGINT) AS total FROM d WHERE len(terms) > 0),
+f AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY term),
+p AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total))) AS score FROM f JOIN w USING (term), s),
+o AS (SELECT q, item_id, r, doc_id, CAST(sum(score) AS BIGINT) AS score FROM (SELECT q, item_id, unnest(terms) AS term FROM i) JOIN p USING (term) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score
+FROM o WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
 def oracle_sql():
-    return {"op3_typed_chat": _OP3, "op7_rule_cascade": _OP7, "op11_cogrouped_merkle": _OP11}
+    return {"op3_typed_chat": _OP3, "op7_rule_cascade": _OP7, "op11_cogrouped_merkle": _OP11, "op12_norm_bucket_search": _OP12}

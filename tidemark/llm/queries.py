@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, lexical, merkle, quality_model, quality_rules, repeats, secrets, sharding, simhash, token_files
+from . import bpe, chat, decontaminate, lexical, merkle, packing, quality_model, quality_rules, repeats, secrets, sharding, simhash, token_files
 from .common import table, text_of
 
 
@@ -112,7 +112,14 @@ def op12_norm_bucket_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = (op1_seeded_alignment, op2_hypergeometric_shards, op3_typed_chat, op4_distinct_word_bpe, op5_quality_trees, op6_token_files, op7_rule_cascade, op8_owned_secrets, op9_lempel_ziv_repeats, op10_golay_simhash, op11_cogrouped_merkle, op12_norm_bucket_search)
+def op13_bulk_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+    return packing.best_fit(cut, "length", 1024)
+
+
+QUERIES = (op1_seeded_alignment, op2_hypergeometric_shards, op3_typed_chat, op4_distinct_word_bpe, op5_quality_trees, op6_token_files, op7_rule_cascade, op8_owned_secrets, op9_lempel_ziv_repeats, op10_golay_simhash, op11_cogrouped_merkle, op12_norm_bucket_search, op13_bulk_best_fit)
 
 
 def queries():

@@ -32,13 +32,13 @@ def sha(data):
 
 
 def test_registered():
-    assert [k.split("_")[0] for k in queries.queries()] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in queries.queries()] == [f"op{n}" for n in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found = con.execute(queries.oracle_sql()[name])
     names = [c[0] for c in found.description]
@@ -224,3 +224,26 @@ def test_op10(spark, docs):
                 root[y] = x
     want = {i: (f"{p:016x}", find(i)) for i, p in prints.items()}
     assert {i: (r.fingerprint, r.component_id) for i, r in rows_of(spark, "op10_golay_simhash")[0].items()} == want
+
+
+def test_op13(spark, docs):
+    """Every id of every document is in one piece, and sequences are as many as best-fit decreasing needs."""
+    from tokenizers import Tokenizer
+
+    from tidemark.llm import packing
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows, want, sizes = queries.queries()["op13_bulk_best_fit"](spark, SF).collect(), set(), []
+    for i, r in docs.items():
+        ids, at = [*library.encode(r.text or "", add_special_tokens=False).ids, 2], 0
+        first = len(ids) % 1024 or 1024
+        for p, end in enumerate(range(first if len(ids) > 1024 else len(ids), len(ids) + 1, 1024)):
+            want.add((i, p, at, end - at, zlib.crc32(np.array(ids[at:end], "<u4").tobytes())))
+            sizes.append(end - at)
+            at = end
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows} == want and len(rows) == len(want)
+    held = {}
+    for r in rows:
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all([o for o, _ in sorted(v)] == [0, *np.cumsum([n for _, n in sorted(v)])[:-1]] and sum(n for _, n in v) <= 1024 for v in held.values())
+    assert len(held) == packing.new_sequences(np.bincount(sizes, minlength=1025), np.zeros(1025, int))

@@ -8,7 +8,7 @@ Documents are range-sorted by the length of their vectors. The longest ones come
 its k-th best so far. Then the others are taken in buckets of neighbouring lengths: a bucket is left out for an item if the
 product of the lengths is below the threshold (Cauchy-Schwarz); inside a bucket the few largest coordinates of the item bound what a
 document's coordinate has to be (the angle to the item's vector is known to be small), which leaves some postings of one or a few terms; those are
-scored again in 64-bit integers. Bounds have a margin for rounding, so nothing is lost; documents that score as much as the
+scored again in 64-bit integers, unless what the other coordinates can add is too little. Bounds have a margin for rounding, so nothing is lost; documents that score as much as the
 threshold stay, as a smaller id decides between them.
 
 Items are the stated query set and are taken in blocks of about `block` items and `block_bytes` of text. What is broadcast has that bound.
@@ -198,9 +198,12 @@ def search(bucket: Postings, items: Items, weight: np.ndarray, norms: np.ndarray
             own = items.terms[items.first[item] : items.first[item + 1]]
             focus = own[np.argsort(-weight[own], kind="stable")[:FOCUS]]
             low, high = feasible(np.sqrt(weight[focus]) / norms[item], least / (norms[item] * longest))
+            known, used = np.zeros(len(fits)), np.zeros(len(fits))
             for f, a, b in zip(focus, low, high, strict=True):
-                docs = bucket.docs[begin[f] : end[f]]
-                share = np.sqrt(weight[f]) * bucket.impacts[begin[f] : end[f]] / bucket.lengths[docs]
+                docs, v = bucket.docs[begin[f] : end[f]], bucket.impacts[begin[f] : end[f]].astype(float)
+                share = np.sqrt(weight[f]) * v / bucket.lengths[docs]
+                known[docs] += weight[f] * v
+                used[docs] += weight[f] * v * v
                 inside = (share >= a) & (share <= b)
                 if a > 0:  # what lacks the term is out of reach
                     only = np.zeros(len(fits), bool)
@@ -208,6 +211,9 @@ def search(bucket: Postings, items: Items, weight: np.ndarray, norms: np.ndarray
                     fits &= only
                 else:
                     fits[docs[~inside]] = False
+            # What the other coordinates can add to those seen is bounded by the lengths that are left.
+            rest = np.sqrt(max(norms[item] ** 2 - weight[focus].sum(), 0) * np.maximum(bucket.lengths**2 - used, 0))
+            fits &= (known + rest + _MARGIN * norms[item] * bucket.lengths) >= least
             if not fits.any():
                 continue
         at = np.concatenate([np.arange(begin[t], end[t]) for t in terms])
@@ -215,7 +221,7 @@ def search(bucket: Postings, items: Items, weight: np.ndarray, norms: np.ndarray
         scores = np.zeros(len(fits), np.int64)
         np.add.at(scores, bucket.docs[at], weight[bucket.terms[at]] * bucket.impacts[at])
         hit = np.flatnonzero((scores > 0) & (scores >= least))
-        scored += int(fits.sum())
+        scored += len(np.unique(bucket.docs[at]))
         if len(hit):
             best.add(item, scores[hit], bucket.ids[hit])
     return looked, scored

@@ -11,7 +11,7 @@ from .. import contracts
 from ..functions import text
 from ..operators import filters, quality
 from ..plans import build
-from ..sources import files, publish
+from ..sources import files, publish, table_functions
 from .base import F, Registry, once, p, q_receipts, table
 from .functions import SENSITIVE_SQL
 from .quality import receipts_contract
@@ -67,6 +67,32 @@ def a12(s, d):
     return files.split_status(rows)[0].select("page_id")
 
 
+_LINK = r"""'(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["''][^>]*>([^<]*)</a>'"""
+_LABEL = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+
+
+def _links_sql(pages: str) -> str:
+    """page_id, place, label, href of each link of some pages."""
+    label = _LABEL.format(r"trim(regexp_replace(t[i], '\s+', ' ', 'g'))")
+    return f"SELECT page_id, CAST(i - 1 AS INT) AS place, {label} AS label, l[i] AS href FROM (SELECT page_id, l, t, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, {_LINK}, 1) AS l, regexp_extract_all(html, {_LINK}, 2) AS t FROM {pages}))"
+
+
+@QUERIES.add("a11_links_in_sql", _links_sql("pages"))
+def a11_links(s, d):
+    """The links of all pages by a table function, called from SQL."""
+    table_functions.register(s)
+    return s.sql("SELECT p.page_id, l.place, l.label, l.href FROM {pages} p, LATERAL html_links(p.html) l", pages=table(s, d, "pages"))
+
+
+@QUERIES.add("a12_archives_in_sql", f"{_links_sql('pages WHERE page_id % 4 <> 0')} UNION ALL SELECT page_id, NULL, 'BadZipFile', NULL FROM pages WHERE page_id % 4 = 0")
+def a12_archives(s, d):
+    """Pages packed into nested archives, half of every fourth cut off: the links of the whole ones, and the errors of the others."""
+    table_functions.register(s)
+    packed = files.archived(table(s, d, "pages").select(F.col("page_id").cast("string").alias("path"), "html"), "path", "html", nested=True)
+    sent = packed.select(F.col("path").cast("long").alias("page_id"), F.when(F.col("path") % 4 == 0, F.expr("substring(content, 1, length(content) div 2)")).otherwise(F.col("content")).alias("content"))
+    return s.sql("SELECT f.page_id, l.place, coalesce(l.label, split_part(l.error, ':', 1)) AS label, l.href FROM {sent} f, LATERAL archive_links(f.content, members => '%page.html') l", sent=sent)
+
+
 @QUERIES.add("a16_publishable", "SELECT region_id, CAST(NULL AS VARCHAR) AS region_name_ru, period, ytd AS pit_ytd_rub, flow AS pit_flow_rub FROM receipts", "receipts")
 def a16(s, d):
     df = q_receipts(s, d).withColumnsRenamed({"ytd": "pit_ytd_rub", "flow": "pit_flow_rub"})

@@ -114,3 +114,11 @@ def archive_members(payload: bytes, depth: int = 8) -> Iterator[tuple[str, bytes
                 yield from ((f"{info.filename}!{n}", b) for n, b in archive_members(raw, depth - 1))
             else:
                 yield info.filename, raw
+
+
+def packed(name: str, raw: bytes) -> bytes:
+    """An archive with one member; equal contents give equal archives."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(zipfile.ZipInfo(name), raw)
+    return out.getvalue()

@@ -20,7 +20,7 @@ from ..functions import text
 from ..functions.numbers import number, parse_decimal
 from ..operators.windows import forward_fill
 from ..shipping import ship
-from .decode import archive_members, decoded, html_rows_and_links, workbook_cells
+from .decode import archive_members, decoded, html_rows_and_links, packed, workbook_cells
 
 PAYLOADS = "path string, modificationTime timestamp, length long, content binary"
 
@@ -81,6 +81,20 @@ def archive_catalogue(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(_rows(_archive_links, ["path", "member", "label", "href", "error"], [s] * 5), "path string, member string, label string, href string, error string")
 
 
+def archived(pages: DataFrame, path: str, html: str, nested: bool = False) -> DataFrame:
+    """path, length, content: a ZIP archive for each page, which is its member page.html; nested: inside another archive, inner.zip."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                raw, name = (batch.column(1)[i].as_py() or "").encode(), "page.html"
+                for member in (name, "inner.zip") if nested else (name,):
+                    raw = packed(member, raw)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([len(raw)], pa.int64()), pa.array([raw], pa.binary())], ["path", "length", "content"])
+
+    return pages.select(F.col(path).cast("string"), F.col(html).cast("string")).mapInArrow(run, "path string, length long, content binary")
+
+
 def html_links(pages: DataFrame, key: str, html: str) -> DataFrame:
     """key, place, href of every link in text columns of HTML, by expressions alone."""
     found = F.regexp_extract_all(html, F.lit(r"(?i)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))

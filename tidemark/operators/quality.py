@@ -5,9 +5,10 @@ Counts of violations are aggregates, so a check costs one pass and sends one row
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import contracts
@@ -97,28 +98,35 @@ def gate(events: DataFrame) -> None:
         raise ValueError(f"blocking checks failed: {', '.join(failed)}")
 
 
+def row_checks(name: str, columns: list[str]) -> dict[str, tuple[str, Column, str]]:
+    """The generic checks of a contract's rows: name to (severity, condition of a violation, status then)."""
+    outside = lambda c, allowed: ~F.col(c).isin(*allowed)
+    out = {f"not_null:{c}": ("high", F.col(c).isNull(), "failed") for c in contracts.REQUIRED.get(name, ())}
+    if "frequency" in columns:
+        out["domain:frequency"] = ("high", outside("frequency", contracts.FREQUENCIES), "failed")
+    if "quality_status" in columns:
+        out["domain:quality_status"] = ("medium", outside("quality_status", contracts.QUALITY_STATUSES), "failed")
+    if name == "pit_receipts":
+        out["nonnegative:pit_ytd_rub"] = ("medium", F.col("pit_ytd_rub") < 0, "warning")
+    if name == "industrial_production":
+        out["industrial_scope"] = ("medium", outside("okved_section", ("TOTAL", *contracts.SECTIONS)), "warning")
+    if name == "budget_execution":
+        negative = [F.coalesce(F.col(c) < 0, F.lit(False)) for c in ("actual_ytd_rub", "approved_plan_rub", "revised_plan_rub")]
+        out["negative_amounts"] = ("medium", reduce(lambda a, b: a | b, negative), "warning")
+    return out
+
+
 def validate(name: str, df: DataFrame) -> DataFrame:
-    """All generic checks of a contract's table, those of rows in one pass; without its columns only that is reported."""
+    """All generic checks of a contract's table, those of rows in one pass; without its columns only that is reported.
+
+    `observed` makes the same checks while the table is written."""
     if name not in contracts.CONTRACTS:
         return check_known(name, df)
     events = [check_columns(name, df)]
     if set(contracts.CONTRACTS[name].names) <= set(df.columns):
-        outside = lambda c, allowed: ~F.col(c).isin(*allowed)
-        rows = {f"not_null:{c}": ("high", F.col(c).isNull()) for c in contracts.REQUIRED.get(name, ())}
-        notes = {}
-        if "frequency" in df.columns:
-            rows["domain:frequency"] = ("high", outside("frequency", contracts.FREQUENCIES))
-        if "quality_status" in df.columns:
-            rows["domain:quality_status"] = ("medium", outside("quality_status", contracts.QUALITY_STATUSES))
-        if name == "pit_receipts":
-            notes["nonnegative:pit_ytd_rub"] = ("medium", F.col("pit_ytd_rub") < 0)
-        if name == "industrial_production":
-            notes["industrial_scope"] = ("medium", outside("okved_section", ("TOTAL", *contracts.SECTIONS)))
-        if name == "budget_execution":
-            negative = [F.coalesce(F.col(c) < 0, F.lit(False)) for c in ("actual_ytd_rub", "approved_plan_rub", "revised_plan_rub")]
-            notes["negative_amounts"] = ("medium", reduce(lambda a, b: a | b, negative))
-        if rows or notes:
-            found = many_violations(df, name, rows | notes)
+        if checks := row_checks(name, df.columns):
+            found = many_violations(df, name, {k: (severity, c) for k, (severity, c, _) in checks.items()})
+            notes = [k for k, (_, _, status) in checks.items() if status == "warning"]
             warned = F.when(F.col("check_id").isin(*notes) & (F.col("status") == "failed"), "warning").otherwise(F.col("status")) if notes else F.col("status")
             events.append(found.withColumn("status", warned))
         if name in contracts.GRAINS:
@@ -126,6 +134,41 @@ def validate(name: str, df: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, events)
 
 
+def observed(name: str, df: DataFrame, more: dict[str, Column] | None = None) -> tuple[DataFrame, Callable[[], tuple[list[tuple], dict]]]:
+    """df, whose rows are counted and checked on their way to wherever an action takes them, and a function that gives, after that
+    action, the events of `validate` (rows of EVENT) and the values of `more` (aggregates by name).
+
+    Nothing is read twice: conditions are counted by observed metrics, and repeated grains by the row's number in its grain, which needs an exchange
+    by the grain. The metrics lie behind it, in the action's own stage, whose tasks count once also when they run again."""
+    known = name in contracts.CONTRACTS
+    whole = known and set(contracts.CONTRACTS[name].names) <= set(df.columns)
+    checks = row_checks(name, df.columns) if whole else {}
+    grain = contracts.GRAINS.get(name, []) if whole else []
+    aggregates = {f"check:{k}": F.count_if(F.coalesce(c, F.lit(False))) for k, (_, c, _) in checks.items()}
+    columns = df.columns
+    if grain:
+        df = df.withColumn("_grain_row", F.row_number().over(Window.partitionBy(*grain).orderBy(grain[0])))
+        # All rows of a repeated grain: those after the first, and one for each first that has a second.
+        aggregates["grain"] = F.count_if(F.col("_grain_row") > 1) + F.count_if(F.col("_grain_row") == 2)
+    aggregates |= {"rows": F.count(F.lit(1))} | {f"more:{k}": c for k, c in (more or {}).items()}
+    seen = Observation()
+    out = df.observe(seen, *[c.alias(k) for k, c in aggregates.items()]).select(*columns)
+
+    def found() -> tuple[list[tuple], dict]:
+        got = seen.get
+        event = lambda check, severity, n, failed="failed": (check, name, severity, failed if n else "passed", n, 0)
+        events = []
+        if not known:
+            events.append((*event("known_table", "critical", got["rows"])[:3], "failed", got["rows"], 0))
+        else:
+            events.append(event("contract_columns", "critical", len([c for c in contracts.CONTRACTS[name].names if c not in columns])))
+        events += [event(k, severity, got[f"check:{k}"], status) for k, (severity, _, status) in checks.items()]
+        events += [event("unique_grain", "critical", got["grain"])] if grain else []
+        return events, {"rows": got["rows"]} | {k: got[f"more:{k}"] for k in more or {}}
+
+    return out, found
+
+
 def reconcile(a: DataFrame, b: DataFrame, keys: list[str], value_a: str, value_b: str, limit_pct: float = 5.0) -> DataFrame:
     """Totals of two sources on equal keys, their relative gap, and a warning beyond the limit."""
     left = a.groupBy(*keys).agg(F.sum(value_a).alias("total_a"))

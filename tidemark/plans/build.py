@@ -15,17 +15,18 @@ from ..sources.publish import promote
 CORE = ("pit_receipts", "industrial_production", "budget_execution")
 
 
-def build(tables: dict[str, DataFrame], sources: Sequence[DataFrame] = (), rejects: DataFrame | None = None, budget_pit: str | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+def build(tables: dict[str, DataFrame], sources: Sequence[DataFrame] = (), rejects: DataFrame | None = None, budget_pit: str | None = None, generic: bool = True) -> tuple[dict[str, DataFrame], DataFrame]:
     """(tables, events): what was ingested, under the contracts' names, and the events of all checks over it.
 
     sources: registers of several readers, of which the last row of an id stays. rejects: a column `reason` for each file
     that was left out. budget_pit: the revenue code whose budget amounts receipts are reconciled with. An empty core
-    table is critical; other gaps are warnings.
+    table is critical; other gaps are warnings. generic: whether each table's own checks are among the events; they need not be where `promote`
+    makes them while it writes.
     """
     tables = dict(tables)
     if sources:
         tables["sources"] = keep_last(list(sources), ["source_id"])
-    events = [quality.validate(name, df) for name, df in tables.items()]
+    events = [quality.validate(name, df) for name, df in tables.items()] if generic else []
     core = {name: tables[name] for name in CORE if name in tables}
     if rejects is None and core:
         rejects = next(iter(core.values())).select(F.lit("none").alias("reason")).limit(0)
@@ -35,10 +36,10 @@ def build(tables: dict[str, DataFrame], sources: Sequence[DataFrame] = (), rejec
         budget = tables["budget_execution"].filter(F.col("revenue_code") == budget_pit)
         gaps = quality.reconcile(tables["pit_receipts"], budget, ["region_id", "period"], "pit_ytd_rub", "actual_ytd_rub")
         events.append(quality.violations(gaps, "pit_reconciliation", "pit_receipts", "medium", F.col("status") == "warning", "warning"))
-    return tables, reduce(DataFrame.unionByName, events)
+    return tables, reduce(DataFrame.unionByName, events) if events else next(iter(tables.values())).sparkSession.createDataFrame([], quality.EVENT)
 
 
 def build_and_promote(tables: dict[str, DataFrame], folder: str, **more) -> DataFrame:
     """The manifest of the snapshot under `folder`; nothing is written where a check blocks."""
-    tables, events = build(tables, **more)
+    tables, events = build(tables, generic=False, **more)
     return promote(tables, events, folder)

@@ -12,9 +12,10 @@ from ..functions import text
 from ..operators import filters, quality
 from ..plans import build
 from ..sources import files, publish, table_functions
+from ..shared import new_folder
 from .base import F, Registry, once, p, q_receipts, table
 from .functions import SENSITIVE_SQL
-from .quality import receipts_contract
+from .quality import receipts_contract, validated_sql
 
 QUERIES = Registry()
 
@@ -137,15 +138,36 @@ def b19_sanitized(s, d):
     return table(s, d, "documents").select("doc_id", F.sha2(text.sanitized("text"), 256).alias("clean"))
 
 
-@QUERIES.add("l33_gated_summary", """
-SELECT 'pit_receipts' AS table_name, count(*) AS n_rows, min(period) AS earliest, max(period) AS latest, count(DISTINCT region_id) AS n_regions FROM receipts
-UNION ALL SELECT 'regions', count(*), NULL, NULL, count(DISTINCT n_nationkey) FROM nation""", "receipts")
-def l33(s, d):
-    """The whole build over two tables: checks, gate, and what would be published; publishing itself is tested on files."""
+def contract_tables(s, d):
+    """All tables of the contracts but the events, each with a source and a vintage."""
+    of = lambda name, df, source: filters.project(df.withColumns({"source_id": F.lit(source), "source_vintage": F.year("period").cast("string"), "quality_status": F.lit("verified")}), contracts.CONTRACTS[name])
+    production = p.production(s, d).filter("index_value IS NOT NULL").withColumnRenamed("section", "okved_section").withColumns({"frequency": F.lit("monthly"), "index_measure": F.lit("yoy")})
     regions = table(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("region_id"), F.col("n_name").alias("region_name_en"), F.col("n_name").alias("region_name_ru"))
-    tables, events = build.build({"pit_receipts": receipts_contract(s, d), "regions": filters.project(regions, contracts.CONTRACTS["regions"])})
-    quality.gate(events)
-    return publish.summary("pit_receipts", tables["pit_receipts"]).unionByName(publish.summary("regions", tables["regions"]))
+    sources = table(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("source_id"), F.col("s_name").alias("publisher"), F.lit("register").alias("dataset_name"), F.col("s_name").alias("local_path"), F.sha2("s_name", 256).alias("sha256"))
+    return {
+        "pit_receipts": receipts_contract(s, d), "industrial_production": of("industrial_production", production, "s2"), "budget_execution": of("budget_execution", p.revenue(s, d).withColumn("frequency", F.lit("quarterly")), "s3"),
+        "regions": filters.project(regions, contracts.CONTRACTS["regions"]), "sources": filters.project(sources, contracts.CONTRACTS["sources"]),
+    }
+
+
+_OF_PANEL = "SELECT '{}' AS table_name, count(*) AS n_rows, min(period) AS earliest, max(period) AS latest, count(DISTINCT region_id) AS n_regions FROM {}"
+
+
+@QUERIES.add("l33_gated_summary", " UNION ALL ".join([
+    _OF_PANEL.format("pit_receipts", "receipts"), _OF_PANEL.format("industrial_production", "production WHERE index_value IS NOT NULL"), _OF_PANEL.format("budget_execution", "revenue"),
+    "SELECT 'regions', count(*), NULL, NULL, count(DISTINCT n_nationkey) FROM nation", "SELECT 'sources', count(*), NULL, NULL, NULL FROM supplier",
+]), "receipts production revenue")
+def l33(s, d):
+    """The whole build over all five tables: checks, gate, publication, and the manifest as a reader of the snapshot finds it."""
+    folder = new_folder(s, "snapshot")
+    build.build_and_promote(contract_tables(s, d), folder)
+    return publish.snapshot(s, folder)[1]
+
+
+@QUERIES.add("k10_observed_checks", validated_sql(), "receipts")
+def k10_observed(s, d):
+    """The events of k09, counted in the pass that writes the table."""
+    return s.createDataFrame(publish.staged("pit_receipts", receipts_contract(s, d), new_folder(s, "staged"))[0], quality.EVENT)
 
 
 @QUERIES.add("l35_coverage_audit", """

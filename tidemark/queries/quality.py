@@ -68,7 +68,7 @@ def k08(s, d):
     return quality.validate("lineitem", table(s, d, "lineitem"))
 
 
-def _validated_sql() -> str:
+def validated_sql() -> str:
     rows = [_event("contract_columns", "pit_receipts", "critical", "0 * count(*)", source="receipts")]
     rows.append(_event("unique_grain", "pit_receipts", "critical", "sum(n)", source="(SELECT count(*) AS n FROM receipts GROUP BY region_id, period, section HAVING count(*) > 1)"))
     rows += [_event(f"not_null:{c}", "pit_receipts", "high", f"count(*) - count({x})", source="receipts") for c, x in (("region_id", "region_id"), ("period", "period"), ("reporting_cutoff", "period"), ("okved_raw", "section"), ("pit_ytd_rub", "ytd"), ("source_id", "1"), ("source_vintage", "period"))]
@@ -76,7 +76,7 @@ def _validated_sql() -> str:
     return _union(*rows)
 
 
-@QUERIES.add("k09_validate_table", _validated_sql(), "receipts")
+@QUERIES.add("k09_validate_table", validated_sql(), "receipts")
 def k09(s, d):
     return quality.validate("pit_receipts", receipts_contract(s, d))
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .. import contracts
 from ..functions import text
+from ..operators import quality
 from ..operators.filters import project
-from ..operators.quality import gate
+from .stores import Store
 
 
 def summary(name: str, df: DataFrame) -> DataFrame:
@@ -27,16 +32,70 @@ def publishable(name: str, df: DataFrame) -> DataFrame:
     return out.withColumns({c: text.publishable(c, c) for c, kind in out.dtypes if kind == "string"})
 
 
-def promote(tables: dict[str, DataFrame], events: DataFrame, folder: str) -> DataFrame:
-    """Writes every table under `folder`, which must not exist, once the gate is passed; returns the manifest."""
-    gate(events)
-    out = None
-    for name, df in tables.items():
-        ready = publishable(name, df)
-        ready.write.mode("errorifexists").parquet(f"{folder}/{name}.parquet")
-        one = summary(name, df.sparkSession.read.parquet(f"{folder}/{name}.parquet"))
-        out = one if out is None else out.unionByName(one)
-    return out
+MANIFEST = "manifest.json"
+SUMMARY = "table_name string, n_rows long, earliest date, latest date, n_regions long"
+
+
+def staged(name: str, df: DataFrame, path: str) -> tuple[list[tuple], tuple]:
+    """Writes a table and returns the events of its checks and its summary, both from the pass that writes.
+
+    Only the number of entities needs more: it is counted over one column of the files written, together with their rows,
+    which have to be as many as were sent."""
+    spark, has = df.sparkSession, lambda c: c in df.columns
+    more = {"earliest": F.min("period"), "latest": F.max("period")} if has("period") else {}
+    checked, found = quality.observed(name, df, more)
+    publishable(name, checked).write.mode("errorifexists").parquet(path)
+    events, got = found()
+    kept = spark.read.parquet(path)
+    n, entities = kept.agg(F.count(F.lit(1)), F.count_distinct("region_id") if "region_id" in kept.columns else F.lit(None).cast("long")).first()
+    if n != got["rows"]:
+        raise RuntimeError(f"{name}: {got['rows']} rows were written, {n} are in the files")
+    return events, (name, n, got.get("earliest"), got.get("latest"), entities)
+
+
+def promote(tables: dict[str, DataFrame], events: DataFrame | None, folder: str) -> DataFrame:
+    """Publishes a snapshot of all tables under `folder`, which must not exist, or nothing; returns its manifest.
+
+    events: those of checks made before, which are read first. Then every table is written to a staging folder beside `folder` while it is
+    checked, so that a table is read once for its checks, its grain, its summary and its files. When all tables are there and no check
+    blocks, the manifest is written as the last file and the staging folder gets its name in one step, which fails if the name is
+    taken. Until then nobody sees a snapshot; whatever fails before takes the staging folder along. A store without an atomic rename shows
+    files early, but never the manifest before them: read with `snapshot`, which asks for it."""
+    spark = next(iter(tables.values())).sparkSession
+    store = Store(spark, folder)
+    if store.exists(folder):
+        raise FileExistsError(f"{folder} already exists")
+    if events is not None:
+        quality.gate(events)
+    staging = f"{folder.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    try:
+        rows, summaries = [], []
+        for name, df in tables.items():
+            found, one = staged(name, df, f"{staging}/{name}.parquet")
+            rows += found
+            summaries.append(one)
+        made = spark.createDataFrame(rows, quality.EVENT)
+        quality.gate(made)
+        every = [r.asDict() for r in (made if events is None else events.select(made.columns).unionByName(made)).collect()]
+        told = [dict(zip([c.split()[0] for c in SUMMARY.split(", ")], one, strict=True)) for one in summaries]
+        store.put(f"{staging}/{MANIFEST}", json.dumps({"tables": told, "events": every}, ensure_ascii=False, indent=1, default=date.isoformat).encode())
+        store.rename(staging, folder)
+    except BaseException:
+        store.delete(staging)
+        raise
+    return spark.createDataFrame(summaries, SUMMARY)
+
+
+def snapshot(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """The tables of a snapshot, its manifest and the events it was published with; a folder without a manifest is none."""
+    store = Store(spark, folder)
+    if not store.exists(f"{folder}/{MANIFEST}"):
+        raise FileNotFoundError(f"{folder} holds no published snapshot")
+    held = json.loads(spark.read.format("binaryFile").load(f"{folder}/{MANIFEST}").select("content").first()[0])
+    rows = [(t["table_name"], t["n_rows"], *[t[c] and date.fromisoformat(t[c]) for c in ("earliest", "latest")], t["n_regions"]) for t in held["tables"]]
+    events = [tuple(e[c.split()[0]] for c in quality.EVENT.split(", ")) for e in held["events"]]
+    tables = {t["table_name"]: spark.read.parquet(f"{folder}/{t['table_name']}.parquet") for t in held["tables"]}
+    return tables, spark.createDataFrame(rows, SUMMARY), spark.createDataFrame(events, quality.EVENT)
 
 
 def write_csv(df: DataFrame, folder: str, compressed: bool = False) -> None:

@@ -224,3 +224,31 @@ def test_years_of_calendar_joins(spark):
     assert snapped[date(2024, 2, 29)] == 0.0 and snapped[date(2025, 2, 28)] == 1.0
     with pytest.raises(Exception, match="not unique"):
         joins.star_join(df, [df.union(df)], ["k", "period"]).collect()
+
+
+def test_calendar_joins_are_one_to_one(spark):
+    """Repeated keys are an error, on either side and for every shift; null keys and leap days are none; the check adds no exchange."""
+    day = date.fromisoformat
+    frame = lambda *rows: spark.createDataFrame([(k, day(d), v) for k, d, v in rows], "k string, period date, v int")
+    now, before, other = ("a", "2021-03-31", 1), ("a", "2020-03-31", 2), ("a", "2020-12-31", 3)
+    for months, snap in ((12, None), (12, "month_end"), (24, None), (3, "month_end"), (1, None)):
+        join = lambda df, **m: joins.calendar_join(df, ["k"], ["v"], "prior_", months, snap=snap, **m)  # noqa: B023, E731
+        good = frame(now, before, other, (None, "2021-03-31", 4), (None, "2021-03-31", 5))
+        assert join(good).count() == 5
+        for twice in ((now, now, before), (now, before, ("a", "2020-03-31", 9)), (other, other)):
+            with pytest.raises(Exception, match="not unique|more than one row"):
+                join(frame(*twice)).select("k").collect()  # although no value is asked for
+        plan = join(good)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") + plan.count("BroadcastExchange") <= (1 if months % 12 == 0 else 2)
+    leap = frame(("a", "2020-02-28", 1), ("a", "2020-02-29", 2), ("a", "2021-02-28", 3))
+    assert joins.calendar_join(leap, ["k"], ["v"], "prior_").count() == 3
+    with pytest.raises(Exception, match="more than one row"):
+        joins.calendar_join(leap.union(leap.filter("v = 2")), ["k"], ["v"], "prior_").collect()
+    # Two days of a month that would both be the prior of its end a year later.
+    apart = frame(("a", "2020-02-10", 1), ("a", "2020-02-29", 2), ("a", "2021-02-28", 3))
+    with pytest.raises(Exception, match="more than one row"):
+        joins.calendar_join(apart, ["k"], ["v"], "prior_", snap="month_end").collect()
+    ends = frame(("a", "2021-03-31", 1), ("a", "2021-06-30", 2), ("a", "2021-04-01", 3), ("a", "2021-04-01", 3))
+    assert {r.v: r.start_v for r in joins.first_quarter_join(ends, ["k"], ["v"]).collect()} == {1: None, 2: 1, 3: None}
+    with pytest.raises(Exception, match="more than one quarter end"):
+        joins.first_quarter_join(ends.union(ends.limit(1)), ["k"], ["v"]).collect()

@@ -14,11 +14,25 @@ from ..functions import calendar as cal
 MOST_LITERALS = 10_000
 
 
-def unique_guard(df: DataFrame, keys: list[str], what: str = "rows") -> DataFrame:
-    """df, failing when read if a key occurs twice. The guard is a filter, so that column pruning can't drop it."""
+def _known(columns: list[str]) -> Column:
+    """Whether none of the columns is null."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).isNotNull()
+    return out
+
+
+def _refused(df: DataFrame, wrong: Column, keys: list[str], what: str) -> DataFrame:
+    """df, failing when it is read if a row is wrong. A filter, so that no pruning of columns drops it."""
+    message = F.concat(F.lit(f"{what} on {', '.join(keys)}: "), F.to_json(F.struct(*keys)))
+    return df.filter(F.when(F.coalesce(wrong, F.lit(False)), F.raise_error(message).isNull()).otherwise(F.lit(True)))
+
+
+def unique_guard(df: DataFrame, keys: list[str], what: str = "rows", nulls: bool = True) -> DataFrame:
+    """df, failing when read if a key occurs twice; nulls: whether a null is a value like any other, or matches nothing and may repeat."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    message = F.concat(F.lit(f"{what} are not unique on {', '.join(keys)}: "), F.to_json(F.struct(*keys)))
-    return df.withColumn("_n", n).filter(F.when(F.col("_n") > 1, F.raise_error(message).isNull()).otherwise(F.lit(True))).drop("_n")
+    twice = F.col("_n") > 1
+    return _refused(df.withColumn("_n", n), twice if nulls else twice & _known(keys), keys, f"{what} are not unique").drop("_n")
 
 
 def checked_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", validate: str = "many_to_one") -> DataFrame:
@@ -38,37 +52,51 @@ def star_join(base: DataFrame, parts: list[DataFrame], keys: list[str]) -> DataF
 
 
 def calendar_join(df: DataFrame, keys: list[str], values: list[str], prefix: str, months: int = 12, period: str = "period", snap: str | None = None, keep_period: bool = False) -> DataFrame:
-    """df with the values of exactly the row `months` earlier, named with the prefix. Keys and period are unique.
+    """df with the values of exactly the row `months` earlier, named with the prefix. One row to one: keys and period that occur
+    twice, or two earlier rows that are moved to the same period, are an error when the result is read. Rows with a null key or
+    period match nothing and may repeat.
 
     Whole years need no join: rows of one key and one day of the year lie together, and the frame holds the row so many
-    years earlier and nothing else; a row whose period, moved on, is another day is left out like any missing one.
+    years earlier and nothing else; a row whose period, moved on, is another day is left out like any missing one. Repeated rows are
+    neighbours there, so the check needs no exchange and no sort of its own; for other shifts it is made in the order that the join needs.
     """
+    known = _known([*keys, period])
     if months % 12 == 0 and months > 0:
         day = F.when((F.month(period) == 2) & (F.dayofmonth(period) == 29), 28).otherwise(F.dayofmonth(period))
         place = F.month(period) * 100 + (F.lit(0) if snap == "month_end" else day)
-        years = Window.partitionBy(*keys, place).orderBy(F.year(period)).rangeBetween(-(months // 12), -(months // 12))
+        by_year = Window.partitionBy(*keys, place).orderBy(F.year(period))
+        years, now = by_year.rangeBetween(-(months // 12), -(months // 12)), by_year.rangeBetween(0, 0)
         prior = F.first(F.struct(F.col(period).alias("_period"), *[F.col(v).alias(prefix + v) for v in values])).over(years)
-        known = F.forall(F.array(*[F.col(k).isNotNull() for k in keys]), lambda x: x) if keys else F.lit(True)
         exact = known & (cal.shift_period(F.col("_prior._period"), months, snap) == F.col(period))
+        if snap:  # days of a month share a frame, of which one may be another's prior
+            twice = known & (F.col("_rows") > 1) & (F.col("_first") == F.col("_last")) | exact & (F.col("_earlier") > 1)
+        else:  # a frame is one day, or 28 and 29 February: as many rows as days, or one occurs twice
+            twice = known & ((F.col("_rows") > 2) | (F.col("_rows") == 2) & (F.col("_first") == F.col("_last")))
         found = {prefix + v: F.when(exact, F.col(f"_prior.`{prefix}{v}`")) for v in values} | ({prefix + period: F.when(exact, F.col("_prior._period"))} if keep_period else {})
-        return df.withColumn("_prior", prior).withColumns(found).drop("_prior")
+        seen = {"_prior": prior, "_rows": F.count(F.lit(1)).over(now), "_first": F.min(period).over(now), "_last": F.max(period).over(now), "_earlier": F.count(F.lit(1)).over(years)}
+        return _refused(df.withColumns(seen), twice, [*keys, period], "more than one row").withColumns(found).drop(*seen)
     prior = df.select(
         *keys,
         cal.shift_period(period, months, snap).alias(period),
         *[F.col(v).alias(prefix + v) for v in values],
         *([F.col(period).alias(prefix + period)] if keep_period else []),
     )
+    if snap:
+        prior = unique_guard(prior, [*keys, period], "earlier rows", nulls=False)
+    df = unique_guard(df, [*keys, period], "rows", nulls=False)
     return df.join(prior, [*keys, period], "left")
 
 
 def first_quarter_join(df: DataFrame, keys: list[str], values: list[str], prefix: str = "start_", period: str = "period") -> DataFrame:
-    """Second-quarter rows with the values of the same year's first quarter end; other rows get nulls. Keys and period are unique."""
+    """Second-quarter rows with the values of the same year's first quarter end; other rows get nulls. A quarter end that
+    occurs twice for a key is an error when the result is read."""
     year = Window.partitionBy(*keys, F.year(period))
     first = cal.is_quarter_end(period) & (F.month(period) == 3)
     second = cal.is_quarter_end(period) & (F.month(period) == 6)
     known = F.forall(F.array(*[F.col(k).isNotNull() for k in keys]), lambda x: x) if keys else F.lit(True)
     of = {prefix + c: F.when(second & known, F.max(F.when(first, F.col(c))).over(year)) for c in (period, *values)}
-    return df.withColumns(of)
+    twice = F.greatest(F.count_if(first).over(year), F.count_if(second).over(year)) > 1
+    return _refused(df.withColumns(of | {"_twice": known & twice}), F.col("_twice"), [*keys, period], "more than one quarter end").drop("_twice")
 
 
 def literal_domain(df: DataFrame, column: str, values: list) -> DataFrame:

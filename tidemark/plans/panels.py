@@ -99,8 +99,10 @@ FROM (SELECT region_id, period, revenue_code, CAST(sum(f) OVER (PARTITION BY reg
 WHERE NOT (revenue_code = '{TRANSFERS}' AND (CAST(region_id AS INT) + quarter(period)) % 7 = 0)"""
 
 
-def fiscal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """region_id, period, budget_level, kind, metric_code, actual_ytd_rub: revenue, 14 spending functions, balance, financing."""
+def fiscal(spark: SparkSession, sf_dir: str, revenues: DataFrame | None = None) -> DataFrame:
+    """region_id, period, budget_level, kind, metric_code, actual_ytd_rub: revenue, 14 spending functions, balance, financing.
+
+    revenues: the revenue panel, where a query has it already."""
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
@@ -114,7 +116,7 @@ def fiscal(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.struct(F.lit("expenditure_function").alias("kind"), "metric_code", "_flow", F.lit(None).cast("double").alias("value"))
     quarters = flows.groupBy("region_id", "period").agg(F.sum("_flow").alias("_flow"), F.collect_list(own).alias("_functions"))
     totals = _running(quarters, ["region_id"], "_flow", "spending").drop("_flow")
-    income = revenue(spark, sf_dir).filter(F.col("revenue_code") == TOTAL).select("region_id", "period", F.col("actual_ytd_rub").alias("income"))
+    income = (revenues if revenues is not None else revenue(spark, sf_dir)).filter(F.col("revenue_code") == TOTAL).select("region_id", "period", F.col("actual_ytd_rub").alias("income"))
     both = income.join(totals, ["region_id", "period"], "full_outer").withColumn("balance", F.round(F.col("income") - F.col("spending"), 2))
     rows = F.array(*[
         F.struct(F.lit(k).alias("kind"), F.lit(m).alias("metric_code"), F.lit(None).cast(flows.schema["_flow"].dataType).alias("_flow"), v.alias("value"))

@@ -269,7 +269,8 @@ def l24(s, d):
 
 
 def _claims(s, d, basis="YTD"):
-    fiscal_rows, revenue_rows = once(p.fiscal(s, d), "fiscal"), once(p.revenue(s, d), "revenue")
+    revenue_rows = once(p.revenue(s, d), "revenue")
+    fiscal_rows = once(p.fiscal(s, d, revenue_rows), "fiscal")
     return claims.claims(fiscal_rows, revenue_rows, p.production(s, d, True), prices.price_history(p.prices(s, d)), basis)
 
 
@@ -289,8 +290,10 @@ _STATED = """
  ('transfer_share_change', 'transfer share - prior transfer share', true), ('own_source_growth', '(own revenue - prior own revenue) / prior own revenue * 100', true), ('retained_pit_change', 'retained PIT - prior retained PIT', true),
  ('retained_pit_contribution', '(retained PIT - prior retained PIT) / prior total revenue * 100', true), ('cit_change', 'CIT - prior CIT', true), ('cit_contribution', '(CIT - prior CIT) / prior total revenue * 100', true),
  ('social_policy_share', 'social policy spending / total spending * 100', false), ('production_growth', 'January-to-month index - 100', true), ('price_growth', '(price - prior price) / prior price * 100', true))
-SELECT region_id, period, 'YTD' AS amount_basis, claim_code, value, unit, CASE WHEN value IS NULL THEN why ELSE 'available' END AS availability, formula,
-  '{"period":"' || CAST(period AS VARCHAR) || '"' || CASE WHEN compares THEN ',"prior_period":"' || CAST(CAST(period - INTERVAL 12 MONTH AS DATE) AS VARCHAR) || '"' ELSE '' END || '}' AS evidence FROM cl JOIN st USING (claim_code)"""
+, pp AS (SELECT DISTINCT claim_code, region_id, period FROM cl)
+SELECT cl.region_id, cl.period, 'YTD' AS amount_basis, cl.claim_code, value, unit, CASE WHEN value IS NULL THEN why ELSE 'available' END AS availability, formula,
+  '{"period":"' || CAST(cl.period AS VARCHAR) || '"' || CASE WHEN compares THEN coalesce(',"prior_period":"' || CAST(pp.period AS VARCHAR) || '"', '') ELSE '' END || '}' AS evidence
+FROM cl JOIN st USING (claim_code) LEFT JOIN pp ON pp.claim_code = cl.claim_code AND pp.region_id = cl.region_id AND year(pp.period) + 1 = year(cl.period) AND month(pp.period) = month(cl.period)"""
 
 
 @QUERIES.add("l25_claims", _CLAIMS + _STATED, "fiscal cumulative prices")
@@ -298,6 +301,53 @@ def l25(s, d):
     return _claims(s, d)
 
 
+def _lineage(df, keys):
+    """The lineage of a test panel's rows: a file a period, its hash, a member a key, the day after as cutoff."""
+    name = F.concat(F.lit("report_"), F.date_format("period", "yyyy-MM-dd"), F.lit(".zip"))
+    return df.withColumns({"source_file": name, "source_sha256": F.sha2(name, 256), "source_member": F.concat_ws("/", *keys), "reporting_cutoff": F.date_add("period", 1)})
+
+
+#: file and member of a source, and the whole hash, as they come back from a statement.
+def _behind(c: str):
+    return F.array_join(F.array_sort(F.transform(c, lambda x: F.concat_ws("|", x["period"].cast("string"), x["source_file"], F.substring(x["source_sha256"], 1, 8), x["source_member"], x["reporting_cutoff"].cast("string")))), ";")
+
+
+_SRC = "CAST({p}.period AS VARCHAR) || '|report_' || CAST({p}.period AS VARCHAR) || '.zip|' || sha256('report_' || CAST({p}.period AS VARCHAR) || '.zip')[1:8] || '|' || {m} || '|' || CAST(CAST({p}.period + INTERVAL 1 DAY AS DATE) AS VARCHAR)"
+_STATEMENTS = f"""
+, f AS (SELECT region_id, period, CASE month(period) WHEN 3 THEN 'Q1' ELSE 'H1' END AS win, kind, metric_code AS code, actual_ytd_rub AS v, {_SRC.format(p='fiscal', m="metric_code || '/' || kind")} AS src FROM fiscal WHERE month(period) IN (3, 6)),
+r AS (SELECT region_id, period, CASE month(period) WHEN 3 THEN 'Q1' ELSE 'H1' END AS win, revenue_code AS code, actual_ytd_rub AS v, {_SRC.format(p='revenue', m='revenue_code')} AS src FROM revenue WHERE month(period) IN (3, 6)),
+fc AS (SELECT DISTINCT region_id, period, win FROM f WHERE kind = 'summary'), rc AS (SELECT DISTINCT region_id, period, win FROM r),
+fp AS (SELECT a.region_id, a.period, a.win, a.kind, a.code, a.v, a.src, b.v AS pv, b.src AS psrc FROM f a LEFT JOIN f b ON a.region_id = b.region_id AND a.kind = b.kind AND a.code = b.code AND a.period = CAST(b.period + INTERVAL 12 MONTH AS DATE)),
+fx AS (SELECT fc.*, u.code, f.v, f.src, g.v AS pv, g.src AS psrc FROM fc CROSS JOIN (VALUES ('revenue_total'), ('expenditure_total'), ('budget_balance')) u(code) LEFT JOIN f ON f.region_id = fc.region_id AND f.period = fc.period AND f.code = u.code AND f.kind = 'summary'
+  LEFT JOIN (SELECT f.* FROM f JOIN fc USING (region_id, period)) g ON g.region_id = fc.region_id AND g.code = u.code AND g.kind = 'summary' AND fc.period = CAST(g.period + INTERVAL 12 MONTH AS DATE)),
+mv AS (SELECT *, v - pv AS ch FROM fp WHERE kind = 'expenditure_function' QUALIFY count(v - pv) OVER (PARTITION BY region_id, period) = 14),
+parts(name, code, sign) AS (VALUES ('retained_pit', '101_PIT', 1), ('cit', '101_CIT', 1), ('other_own', '100', 1), ('other_own', '101_PIT', -1), ('other_own', '101_CIT', -1), ('transfers', '202', 1), ('other_non_repayable', '200', 1), ('other_non_repayable', '202', -1)),
+cp AS (SELECT rc.region_id, rc.period, rc.win, name, CASE WHEN count(*) = count(r.v) THEN sum(sign * r.v) END AS v, string_agg(r.src, ';' ORDER BY r.src) AS src, CASE WHEN count(*) = count(q.v) THEN sum(sign * q.v) END AS pv, string_agg(q.src, ';' ORDER BY q.src) AS psrc
+  FROM rc CROSS JOIN parts LEFT JOIN r ON r.region_id = rc.region_id AND r.period = rc.period AND r.code = parts.code LEFT JOIN r q ON q.region_id = rc.region_id AND q.code = parts.code AND rc.period = CAST(q.period + INTERVAL 12 MONTH AS DATE) GROUP BY ALL),
+ts AS (SELECT rc.region_id, rc.period, rc.win, CASE WHEN max(r.v) FILTER (r.code = 'TOTAL_REVENUE') > 0 THEN max(r.v) FILTER (r.code = '202') / max(r.v) FILTER (r.code = 'TOTAL_REVENUE') * 100 END AS v, string_agg(r.src, ';' ORDER BY r.src) AS src
+  FROM rc LEFT JOIN r ON r.region_id = rc.region_id AND r.period = rc.period AND r.code IN ('202', 'TOTAL_REVENUE') GROUP BY ALL),
+tp AS (SELECT a.*, b.v AS pv, b.src AS psrc FROM ts a LEFT JOIN ts b ON a.region_id = b.region_id AND a.period = CAST(b.period + INTERVAL 12 MONTH AS DATE)),
+pd AS (SELECT fc.*, u.sec, c.index_value - 100 AS v, CASE WHEN c.period IS NOT NULL THEN {_SRC.format(p='c', m='c.section')} END AS src FROM fc CROSS JOIN (VALUES ('TOTAL'), ('C')) u(sec) LEFT JOIN cumulative c ON c.region_id = fc.region_id AND c.period = fc.period AND c.section = u.sec),
+pq AS (SELECT fc.*, a.source_price AS v, CASE WHEN a.period IS NOT NULL THEN {_SRC.format(p='a', m="a.fuel_grade")} END AS src, 100 * (a.source_price - b.source_price) / b.source_price AS ch, CASE WHEN b.period IS NOT NULL THEN {_SRC.format(p='b', m="b.fuel_grade")} END AS psrc
+  FROM fc LEFT JOIN prices a ON a.region_id = fc.region_id AND a.fuel_grade = '2-HIGH' AND a.period = date_trunc('month', fc.period) LEFT JOIN prices b ON b.region_id = a.region_id AND b.fuel_grade = a.fuel_grade AND a.period = CAST(b.period + INTERVAL 12 MONTH AS DATE)),
+x AS (SELECT region_id, period, win, code AS claim_code, v AS value, src AS current, '' AS prior FROM fx UNION ALL SELECT region_id, period, win, code || '_change', v - pv, src, psrc FROM fx
+ UNION ALL SELECT region_id, period, win, 'spending_' || code, ch, src, psrc FROM (SELECT * FROM mv WHERE ch > 0 QUALIFY row_number() OVER (PARTITION BY region_id, period ORDER BY ch DESC, code DESC) = 1)
+ UNION ALL SELECT region_id, period, win, 'spending_' || code, ch, src, psrc FROM (SELECT * FROM mv WHERE ch < 0 QUALIFY row_number() OVER (PARTITION BY region_id, period ORDER BY ch, code) = 1)
+ UNION ALL SELECT region_id, period, win, 'component_' || name, v - pv, src, psrc FROM cp UNION ALL SELECT region_id, period, win, 'transfer_share', v, src, '' FROM tp UNION ALL SELECT region_id, period, win, 'transfer_share_change', v - pv, src, psrc FROM tp
+ UNION ALL SELECT region_id, period, win, 'production_' || sec, v, src, '' FROM pd UNION ALL SELECT region_id, period, win, 'fuel_2-HIGH_price', v, src, '' FROM pq UNION ALL SELECT region_id, period, win, 'fuel_2-HIGH_yoy', ch, src, psrc FROM pq)
+SELECT region_id, period, win, claim_code, round(value, 4) AS value, CASE WHEN value IS NULL THEN 'unavailable' ELSE 'available' END AS availability, coalesce(current, '') AS current, coalesce(prior, '') AS prior FROM x"""
+
+
+@QUERIES.add("l25_statements", _STATEMENTS, "fiscal cumulative prices")
+def l25_statements(s, d):
+    """All statements with the rows behind both ends, whose lineage came along through aggregations and calendar windows."""
+    revenue_rows = once(p.revenue(s, d), "revenue")
+    fiscal_rows = once(p.fiscal(s, d, revenue_rows), "fiscal")
+    history = prices.price_history(_lineage(p.prices(s, d), ["fuel_grade"]), ("source_file", "source_sha256", "source_member", "reporting_cutoff"))
+    out = claims.statements(_lineage(fiscal_rows, ["metric_code", "kind"]), _lineage(revenue_rows, ["revenue_code"]), _lineage(p.production(s, d, True), ["section"]), history, grades=("2-HIGH",))
+    return out.select("region_id", "period", F.col("window").alias("win"), "claim_code", F.round("value", 4).alias("value"), "availability", _behind("current").alias("current"), _behind("prior").alias("prior"))
+
+
 @QUERIES.add("l26_claim_coverage", _CLAIMS + "SELECT claim_code, count(value) AS n_available, count(*) - count(value) AS n_withheld FROM cl GROUP BY claim_code", "fiscal cumulative prices")
 def l26(s, d):
     return claims.claim_coverage(_claims(s, d))

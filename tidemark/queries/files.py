@@ -28,6 +28,25 @@ def a01(s, d):
     return found["orders"].withColumnRenamed("o_orderdate", "period")
 
 
+@QUERIES.add("a02_delimited_round_trip", "SELECT o_orderkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority FROM orders")
+def a02(s, d):
+    """All orders through CSV files of both separators, plain and packed, found out by the tasks that read them."""
+    orders = table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.to_date("o_orderdate").alias("o_orderdate"), "o_orderpriority")
+    folder = new_folder(s, "csv")
+    publish.write_csv(orders.filter("o_orderstatus = 'F'"), f"{folder}/a", sep=";")
+    publish.write_csv(orders.filter("o_orderstatus <> 'F'"), f"{folder}/b")
+    return files.read_delimited(s, [f"{folder}/a", f"{folder}/b"], "o_orderkey long, o_orderstatus string, o_totalprice double, o_orderdate date, o_orderpriority string")
+
+
+@QUERIES.add("a17_manifest_rows", "SELECT CAST(count(*) AS BIGINT) AS n_rows, true AS hashes_agree FROM lineitem")
+def a17(s, d):
+    """What the sink says it wrote, against hashes of the files as they lie there."""
+    folder = new_folder(s, "csv")
+    told = publish.write_csv(table(s, d, "lineitem"), folder, compressed=True)
+    both = told.join(publish.checksums(s, folder, "*.csv.gz").withColumnRenamed("sha256", "found"), "source_file", "full_outer")
+    return both.agg(F.sum("rows").alias("n_rows"), F.bool_and(F.col("sha256").eqNullSafe(F.col("found"))).alias("hashes_agree"))
+
+
 @QUERIES.add("a04_melt_by_dictionary", """
 SELECT c_custkey, coalesce(section, 'UNMAPPED') AS section, sum(CAST(v AS DOUBLE)) * 1000 AS value FROM (SELECT c_custkey, unnest(['B1', 'B2', 'C1', 'Z1']) AS field, unnest([c_nationkey, c_custkey % 7, c_custkey % 11, 1]) AS v FROM customer)
 JOIN (VALUES ('B1', 'B'), ('B2', 'B'), ('C1', 'C'), ('Z1', NULL)) x(field, section) USING (field) GROUP BY ALL""")
@@ -120,6 +139,17 @@ def a20(s, d):
     return files.inventory(docs).select(F.split("name", "\\.")[0].cast("long").alias("doc_id"), "family", "bytes", "sha256", "n_equal")
 
 
+@QUERIES.add("a20_file_shapes", r"""
+WITH l AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, p FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)), x AS (SELECT doc_id, i, p[i] AS line, regexp_replace(p[i], '"[^"]*"', '', 'g') AS bare, p[1] AS head, regexp_replace(p[1], '"[^"]*"', '', 'g') AS own FROM l),
+y AS (SELECT *, CASE WHEN length(head) - length(replace(head, ';', '')) > length(head) - length(replace(head, ',', '')) THEN ';' ELSE ',' END AS sep FROM x)
+SELECT doc_id, sep, CAST(length(any_value(own)) - length(replace(any_value(own), sep, '')) + 1 AS INT) AS n_columns, count(*) - 1 AS n_rows,
+  count(*) FILTER (trim(line) <> '' AND length(bare) - length(replace(bare, sep, '')) <> length(own) - length(replace(own, sep, ''))) AS n_irregular, count(*) FILTER (trim(line) = '') AS n_blank FROM y GROUP BY doc_id, sep""")
+def a20_shapes(s, d):
+    """Every text as a delimited file: rows, columns and irregular rows."""
+    lines = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "value"))
+    return files.file_shapes(lines, "doc_id")
+
+
 @QUERIES.add("a21_text_profile", """
 , x AS (SELECT lang, len(string_split(line, ' ')) AS width, string_split(line, ' ')[1] AS k FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents)), w AS (SELECT lang, width, count(*) AS n FROM x GROUP BY ALL), k AS (SELECT lang, sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS r FROM (SELECT lang, k, count(*) AS n FROM x GROUP BY ALL) GROUP BY lang)
 SELECT lang, CAST(sum(n) AS BIGINT) AS n_lines, arg_max(width, struct_pack(a := n, b := width)) AS width, CAST(any_value(r) AS BIGINT) AS n_repeated_keys, CAST(sum(n) - max(n) AS BIGINT) AS n_other_widths FROM w JOIN k USING (lang) GROUP BY lang""".replace("\n, x AS", "\nWITH x AS", 1))

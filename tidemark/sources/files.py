@@ -7,13 +7,16 @@ a row with its error, and the others go on.
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Iterator
-from urllib.parse import unquote
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import calendar as cal
 from ..functions import text
@@ -108,27 +111,45 @@ def split_status(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
+def separator(line: str) -> str:
+    """The separator that a file's first line names: ";" if it has more of them than ","."""
+    return ";" if line.count(";") > line.count(",") else ","
+
+
+def _records(width: int, encoding: str):
+    """Records of delimited files, of which each task finds the separators itself; short ones are filled up, long ones are cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f"_{i}" for i in range(width)]
+        for batch in batches:
+            for payload in batch.column(0):
+                body = payload.as_buffer().to_pybytes().decode(encoding, "replace").removeprefix("\ufeff")
+                lines = csv.reader(io.StringIO(body, newline=""), delimiter=separator(body.split("\n", 1)[0]))
+                next(lines, None)
+                while held := list(islice(lines, 20_000)):
+                    rows = [[*r[:width], *[""] * (width - len(r))] for r in held if r]
+                    columns = [pa.array([x or None for x in c], pa.string()) for c in zip(*rows, strict=True)] if rows else []
+                    if columns:
+                        yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
+
+
 def read_delimited(spark: SparkSession, path: str | list[str], schema: str, pattern: str = "*.csv", encoding: str = "UTF-8") -> DataFrame:
     """CSV files whose separator is ";" where each file's first line has more of them than ",", else ","; a byte-order mark is dropped.
 
-    Two scans of csv, each over the files of one separator; the file list is a row a file.
-    """
-    lines = spark.read.option("pathGlobFilter", pattern).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
-    first = lines.filter("at = 0").groupBy("file").agg(F.min_by("value", "n").alias("head"))
-    count = lambda c: F.length(F.regexp_replace("head", f"[^{c}]", ""))
-    heads = first.select("file", F.when(count(";") > count(","), ";").otherwise(",").alias("sep"))
-    files = {unquote(r["file"]): r["sep"] for r in heads.collect()}  # the metadata column is URL-encoded
-    out = None
-    for sep in sorted(set(files.values())):
-        mine = [f for f, s in files.items() if s == sep]
-        df = spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", encoding).option("enforceSchema", True).csv(mine)
-        out = df if out is None else out.unionByName(df)
-    return out if out is not None else spark.createDataFrame([], schema)
+    Files are read once: the task that has a file sniffs and parses it, and the driver knows no file by name. Quoted fields may hold
+    separators, quotes and line feeds. Columns are taken by position; empty is null, as is what is no value of its column's type. A file has to
+    fit in a task."""
+    fields = StructType.fromDDL(schema)
+    csv.field_size_limit(1 << 30)
+    rows = payloads(spark, path, pattern).select("content").mapInArrow(_records(len(fields), encoding), ", ".join(f"_{i} string" for i in range(len(fields))))
+    return rows.select(*[F.col(f"_{i}").try_cast(f.dataType).alias(f.name) for i, f in enumerate(fields)])
 
 
 def read_gzip(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """Compressed CSV with declared string types: codes keep their leading zeros, empty is null."""
-    return spark.read.schema(schema).option("header", True).option("nullValue", "").csv(path)
+    """Compressed CSV with declared string types: codes keep their leading zeros, empty is null; quotes are doubled inside quotes."""
+    return spark.read.schema(schema).option("header", True).option("nullValue", "").option("escape", '"').csv(path)
 
 
 def load_tables(spark: SparkSession, folder: str, contracts: dict) -> tuple[dict[str, DataFrame], dict[str, str]]:
@@ -256,6 +277,33 @@ def inventory(files: DataFrame) -> DataFrame:
     return hashed.withColumn("n_equal", F.count(F.lit(1)).over(Window.partitionBy("sha256")))
 
 
+def text_lines(spark: SparkSession, path: str | list[str], pattern: str = "*") -> DataFrame:
+    """path, place, value of the lines of text files. place orders a file's lines; a file of any size is read by many tasks."""
+    lines = spark.read.option("pathGlobFilter", pattern).text(path)
+    return lines.select(F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("place"), "value")
+
+
+def file_shapes(lines: DataFrame, file: str = "path", place: str = "place", line: str = "value") -> DataFrame:
+    """Per delimited file: its separator and columns as the first line has them, rows below it, rows of another width, and blank lines.
+
+    A line's width is known for both separators before the file's own is, so tasks count their lines by both, and what parts of a
+    file have counted is added up; only these counts and the first lines meet. Separators in quotes don't count."""
+    bare = F.regexp_replace(line, '"[^"]*"', "")
+    width = lambda sep: F.length(bare) - F.length(F.replace(bare, F.lit(sep))) + 1
+    head = F.struct(F.col(place).alias("place"), F.col(line).alias("line"))
+    counted = lines.groupBy(file, width(",").alias("_comma"), width(";").alias("_semicolon"), (F.trim(line) == "").alias("_blank")).agg(F.count(F.lit(1)).alias("_n"), F.min(head).alias("_head"))
+    heads = counted.groupBy(file).agg(F.min("_head")["line"].alias("_line"))
+    many = lambda sep: F.length("_line") - F.length(F.replace("_line", F.lit(sep)))
+    own = F.regexp_replace("_line", '"[^"]*"', "")
+    heads = heads.select(file, F.when(many(";") > many(","), ";").otherwise(",").alias("sep"), own.alias("_own"))
+    heads = heads.select(file, "sep", (F.length("_own") - F.length(F.replace(F.col("_own"), F.col("sep"))) + 1).alias("n_columns"))
+    of = F.when(F.col("sep") == ";", F.col("_semicolon")).otherwise(F.col("_comma"))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("_n"))), F.lit(0))
+    rows = counted.join(heads, file).groupBy(file, "sep", "n_columns")
+    # The first line is a header: it is no row, and never of another width than itself.
+    return rows.agg((F.sum("_n") - 1).alias("n_rows"), total(~F.col("_blank") & (of != F.col("n_columns"))).alias("n_irregular"), total(F.col("_blank")).alias("n_blank"))
+
+
 def text_profile(lines: DataFrame, sep: str, key_cells: int = 1, line: str = "value", group: str | None = None) -> DataFrame:
     """Per file: lines, the commonest width, lines of other widths, repeated keys, and numbers with grouping blanks."""
     keys = [group] if group else []

@@ -14,6 +14,9 @@ from .. import contracts
 from ..functions import text
 from ..operators import quality
 from ..operators.filters import project
+from ..shipping import ship
+from .csv_sink import MANIFEST as MANIFEST_OF_CSV
+from .csv_sink import PanelCsv
 from .stores import Store
 
 
@@ -91,17 +94,27 @@ def snapshot(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], Da
     store = Store(spark, folder)
     if not store.exists(f"{folder}/{MANIFEST}"):
         raise FileNotFoundError(f"{folder} holds no published snapshot")
-    held = json.loads(spark.read.format("binaryFile").load(f"{folder}/{MANIFEST}").select("content").first()[0])
+    held = json.loads(store.get(f"{folder}/{MANIFEST}"))
     rows = [(t["table_name"], t["n_rows"], *[t[c] and date.fromisoformat(t[c]) for c in ("earliest", "latest")], t["n_regions"]) for t in held["tables"]]
     events = [tuple(e[c.split()[0]] for c in quality.EVENT.split(", ")) for e in held["events"]]
     tables = {t["table_name"]: spark.read.parquet(f"{folder}/{t['table_name']}.parquet") for t in held["tables"]}
     return tables, spark.createDataFrame(rows, SUMMARY), spark.createDataFrame(events, quality.EVENT)
 
 
-def write_csv(df: DataFrame, folder: str, compressed: bool = False) -> None:
-    """UTF-8, header, empty for null, ISO dates, doubles in full length; an existing folder is an error."""
+def write_csv(df: DataFrame, folder: str, compressed: bool = False, sep: str = ",") -> DataFrame:
+    """A new folder of CSV files as described in csv_sink; nested columns are JSON. Returns its manifest: source_file, rows, bytes, sha256."""
+    spark = df.sparkSession
+    ship(spark)
+    spark.dataSource.register(PanelCsv)
     plain = df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes])
-    plain.write.mode("errorifexists").option("header", True).option("nullValue", "").option("emptyValue", "").option("dateFormat", "yyyy-MM-dd").option("compression", "gzip" if compressed else "none").csv(folder)
+    plain.write.format("panel_csv").mode("append").options(sep=sep, compression="gzip" if compressed else "none").save(folder)
+    return csv_manifest(spark, folder)
+
+
+def csv_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """source_file, rows, bytes, sha256 of the files that make up a folder of CSV; one that was not finished has none, which is an error."""
+    held = json.loads(Store(spark, folder).get(f"{folder}/{MANIFEST_OF_CSV}"))
+    return spark.createDataFrame([(m["file"], m["rows"], m["bytes"], m["sha256"]) for m in held], "source_file string, rows long, bytes long, sha256 string")
 
 
 def checksums(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:

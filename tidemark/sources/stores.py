@@ -20,6 +20,14 @@ class Store:
     def exists(self, path: str) -> bool:
         return self._fs.exists(self._path(path))
 
+    def get(self, path: str) -> bytes:
+        """A small file, whatever its name is: Spark's readers pass over names that begin with an underscore."""
+        held = self._fs.open(self._path(path))
+        try:
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(held))
+        finally:
+            held.close()
+
     def put(self, path: str, content: bytes) -> None:
         """A new file; one that exists is an error."""
         out = self._fs.create(self._path(path), False)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from ..operators import aggregates as agg
+from ..operators import distinct
 from ..plans import overview, prices
-from .base import F, Registry, p, q_monthly, q_receipts, table
+from .base import F, Registry, once, p, q_monthly, q_receipts, table
 
 QUERIES = Registry()
 M = "CAST(flow AS DECIMAL(18,2))"
@@ -113,6 +114,22 @@ def d11(s, d):
     return agg.distinct_counts(q_monthly(s, d), "period", "section", _SECTIONS, "region_id")
 
 
+@QUERIES.add("d11_merged_distinct", """
+SELECT CAST(year(o_orderdate) AS INT) AS year, c_mktsegment AS section, count(DISTINCT o_custkey) AS n_o_custkey, count(DISTINCT c_nationkey) AS n_c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL
+UNION ALL SELECT NULL, c_mktsegment, count(DISTINCT o_custkey), count(DISTINCT c_nationkey) FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL""")
+def d11_merged(s, d):
+    """Distinct customers and regions by year and section; the totals over all years come from the years' states, not from rows."""
+    rows = table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.year("o_orderdate").alias("year"), F.col("c_mktsegment").alias("section"), "o_custkey", "c_nationkey")
+    columns, early, late = ["o_custkey", "c_nationkey"], F.col("year") < 1995, F.col("year") >= 1995
+    # Two releases: the second adds to the dictionary and brings a state of its own.
+    known = distinct.dictionary(rows.filter(early), columns)
+    grown = distinct.dictionary(rows.filter(late), columns, known)
+    states = [once(distinct.state(rows.filter(part), ["year", "section"], columns, numbers), "state") for part, numbers in ((early, known), (late, grown))]
+    years = distinct.counts(distinct.merged(states, ["year", "section"]), ["year", "section"], columns)
+    total = distinct.counts(distinct.merged(states, ["section"]), ["section"], columns)
+    return years.unionByName(total.withColumn("year", F.lit(None).cast("int")))
+
+
 @QUERIES.add("d12_status_counts", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL")
 def d12(s, d):
     return agg.status_counts(table(s, d, "orders"), "o_orderstatus", "o_orderpriority")

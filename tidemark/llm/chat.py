@@ -7,10 +7,12 @@ what the placeholder expands to. A turn is written
 
     <|turn|>role\n body <|end|>\n        (without the blanks)
 
-Escapes keep control strings out of texts: `\` is written `\\` and `<|` is written `<\|`, so `<|` in the
-output always starts a control string, and reading back takes the escapes off again. Line feeds of a role
-are written `<|nl|>`. The loss mask is an array of spans in code points, one for each assistant body, with the number
-of its turn.
+Escapes keep control strings out of texts: `\` is written `\\` and `<|` is written `<\|`, also where one part ends in `<` and
+the next begins with `|`; in types every `|` is escaped. So `<|` in the output always starts a control string, whatever parts, types and
+roles hold, and reading back takes the escapes off again. Line feeds of a role are written `<|nl|>`. The loss mask is an array of spans in code
+points, one for each assistant body, with the number of its turn and where it starts in it.
+
+Work is linear in the turns of a conversation, written and read; within one turn it grows with parts times the body's length.
 
 Defined results: a null text or role counts as empty; null turns come first; equal turns are ordered by role
 and parts; equal rows all stay; a null conversation id is one conversation; no rows give no rows; further
@@ -30,6 +32,11 @@ def escaped(text: Column) -> Column:
     return F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
 
 
+def escaped_type(kind: Column) -> Column:
+    """A type inside a placeholder, which it can't end."""
+    return F.replace(F.replace(kind, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+
+
 def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
@@ -43,7 +50,7 @@ def _is_text(p: Column) -> Column:
 
 
 def formatted(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """One row a conversation: conv_id, formatted, loss_spans (start, length, turn), attachments and n_extra_tokens.
+    """One row a conversation: conv_id, formatted, loss_spans (start, length, turn, offset), attachments and n_extra_tokens.
 
     messages: conv_id, turn, role, parts (array of PART). attachments: (place, type, ref, tokens, start),
     numbered through the conversation, with the code point where the placeholder starts in its turn's body. Numbers
@@ -58,10 +65,12 @@ def formatted(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
 
     def part(acc, p):
         kind = F.coalesce(p["type"], F.lit("text"))
-        mark = F.concat(F.lit("<|"), kind, F.lit(":"), acc["k"].cast("string"), F.lit("|>"))
+        mark = F.concat(F.lit("<|"), escaped_type(kind), F.lit(":"), acc["k"].cast("string"), F.lit("|>"))
         one = F.struct(acc["k"].alias("place"), kind.alias("type"), p["ref"].alias("ref"), F.coalesce(p["tokens"], F.lit(0)).alias("tokens"), F.char_length(acc["body"]).alias("start"))
+        # Two parts must not make a control string that neither of them holds.
+        apart = F.when(F.endswith(acc["body"], F.lit("<")) & F.startswith(p["text"], F.lit("|")), "\\").otherwise("")
         return F.struct(
-            F.concat(acc["body"], F.when(_is_text(p), escaped(p["text"])).otherwise(mark)).alias("body"),
+            F.concat(acc["body"], F.when(_is_text(p), F.concat(F.coalesce(apart, F.lit("")), escaped(p["text"]))).otherwise(mark)).alias("body"),
             F.when(_is_text(p), acc["k"]).otherwise(acc["k"] + 1).alias("k"),
             F.when(_is_text(p), acc["found"]).otherwise(F.concat(acc["found"], F.array(one))).alias("found"),
         )
@@ -74,7 +83,7 @@ def formatted(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
     rows = rows.select("conv_id", "turn", "role", "parts", "i", head.alias("head"), seen.alias("seen"))
     size = F.char_length("head") + F.char_length("seen.body") + len(END)
     rows = rows.withColumn("at", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("int"))
-    span = F.when(F.col("role").isin(*loss_roles), F.struct((F.col("at") + F.char_length("head")).alias("start"), F.char_length("seen.body").alias("length"), F.col("i").alias("turn")))
+    span = F.when(F.col("role").isin(*loss_roles), F.struct((F.col("at") + F.char_length("head")).alias("start"), F.char_length("seen.body").alias("length"), F.col("i").alias("turn"), F.char_length("head").alias("offset")))
     pieces = rows.select("conv_id", F.struct("i", F.concat("head", "seen.body", F.lit(END)).alias("piece"), span.alias("span"), F.col("seen.found").alias("found")).alias("t"))
     chats = pieces.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
     attachments = F.flatten(F.col("t.found"))
@@ -90,7 +99,6 @@ def formatted(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
 def read_back(chats: DataFrame) -> DataFrame:
     """chats with turns (role, body, text) parsed from `formatted`, and loss_text: the unescaped text under the mask."""
     pieces = F.filter(F.split("formatted", r"<\|end\|>\n"), lambda x: x != "")
-    df = chats.withColumn("_pieces", pieces)
 
     def turn(x: Column) -> Column:
         cut = F.instr(x, "\n")
@@ -98,8 +106,11 @@ def read_back(chats: DataFrame) -> DataFrame:
         body = F.substring(x, cut + 1, F.char_length(x))
         return F.struct(role.alias("role"), body.alias("body"), unescaped(body).alias("text"))
 
-    # Where each piece starts, so that a span is cut from its own piece and not from the whole string.
-    start = F.aggregate("_pieces", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(x) + len(END))))
-    df = df.withColumn("_starts", start)
-    loss = F.transform("loss_spans", lambda s: unescaped(F.substring(F.element_at("_pieces", s["turn"]), s["start"] - F.element_at("_starts", s["turn"]) + 1, s["length"])))
-    return df.select(*chats.columns, F.transform("_pieces", turn).alias("turns"), F.array_join(loss, "").alias("loss_text"))
+    def both(x: Column) -> Column:
+        # A span is cut from its own turn, at the place that the mask gives.
+        loss = F.transform(x["spans"], lambda s: unescaped(F.substring(F.element_at(x["pieces"], s["turn"]), s["offset"] + 1, s["length"])))
+        return F.struct(F.transform(x["pieces"], turn).alias("turns"), F.array_join(loss, "").alias("loss_text"))
+
+    # Pieces and spans are the value of a lambda's variable: worked out once a conversation, however the plan is collapsed.
+    read = F.get(F.transform(F.array(F.struct(pieces.alias("pieces"), F.col("loss_spans").alias("spans"))), both), F.lit(0))
+    return chats.withColumn("_read", read).select(*chats.columns, "_read.turns", "_read.loss_text")

@@ -91,3 +91,46 @@ def test_shapes_of_files_in_many_splits(spark, tmp_path):
     assert got == {"big.csv": (",", 3, 20_000, 20_000, 0), "semi.csv": (";", 3, 20_000, 200, 0), "quoted.csv": (";", 1, 3, 0, 1), "one.csv": (",", 1, 0, 0, 0)}
     plan = files.file_shapes(files.text_lines(spark, str(tmp_path)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") <= 2  # the same scan on both sides of one join, whose exchange is reused
+
+
+BASIS = "В % к соответствующему периоду предыдущего года"
+
+
+def cumulative(years, title="Индекс производства: добыча", basis=BASIS, holes=(), **extra):
+    """Cells of a sheet whose year blocks are (header, windows)."""
+    cells, col = {(2, 1): title, (3, 1): basis, (6, 1): "Регион"}, 2
+    for head, windows in years:
+        for i, w in enumerate(windows):
+            cells |= ({(4, col): head} if i == 0 and head else {}) | ({(5, col): w} if w else {}) | {(6, col): str(100 + col)}
+            col += 1
+    return {k: v for k, v in cells.items() if k not in holes}
+
+
+def months(n):
+    from tidemark.functions.text import MONTHS_RU
+
+    return ["Январь" if i == 0 else f"январь–{m}{i}" for i, m in enumerate(MONTHS_RU[:n])]
+
+
+def test_headers_of_cumulative_sheets(spark):
+    good = [("2024 год", months(12)), ("2025 год3", months(12)), ("2026  год", months(3))]
+    cases = {
+        "matched": cumulative(good), "unexpected_title": cumulative(good, title="Индекс"), "unexpected_basis": cumulative(good, basis="в %"), "invalid_year_header": cumulative([("2025 г.", months(2))]),
+        "repeated_year": cumulative([("2025 год", months(12)), ("2025 год", months(12))]), "years_not_contiguous": cumulative([("2023 год", months(12)), ("2025 год", months(2))]),
+        "windows_not_from_january": cumulative([("2025 год", ["январь-февраль", "январь-март"])]), "incomplete_year": cumulative([("2024 год", months(11)), ("2025 год", months(1))]),
+        "missing_header": cumulative(good, holes=[(5, 4)]), "january again": cumulative([("2025 год", ["январь", "январь-январь"])]), "year in window": cumulative([("2025 год", ["2025 январь"])]), "no years": cumulative([(None, months(2))]),
+    }
+    df = spark.createDataFrame([("f", name, r, c, v) for name, cells in cases.items() for (r, c), v in cells.items()], "path string, sheet string, row int, col int, value string")
+    got = {r.sheet: r.issues for r in files.cumulative_issues(df, 2, 3, 4, 5, "Добыча").collect()}
+    for name in cases:
+        if name in ("january again", "year in window"):
+            assert got[name] == "windows_not_from_january"
+        elif name == "no years":
+            assert "missing_header" in got[name]
+        else:
+            assert name in got[name].split(";")
+    assert got["matched"] == "matched" and got["incomplete_year"] == "incomplete_year" and got["repeated_year"] == "repeated_year"
+    only = lambda name: files.checked_cumulative_sheet(df.filter(F.col("sheet") == name), 2, 3, 4, 5, 6, "добыча")
+    assert only("matched").count() == 27
+    with pytest.raises(Exception, match="incomplete_year"):
+        only("incomplete_year").collect()

@@ -105,12 +105,13 @@ def is_total(codes: tuple = (), names: tuple = ()) -> Column:
 
 
 def window_month(header: Column | str) -> Column:
-    """Last month of a header such as "январь-март3": footnote digits are ignored; null for other texts."""
-    plain = F.regexp_replace(F.lower(F.trim(_c(header))), "[\\s0-9]+", "")
-    last = F.regexp_extract(plain, f"^(?:{MONTHS_RU[0]}[-–—])?([а-яё]+)$", 1)
-    alone = ~plain.rlike("[-–—]")
-    month = F.coalesce(*[F.when(last == name, F.lit(i + 1)) for i, name in enumerate(MONTHS_RU)])
-    return F.when(~alone & (month > 1), month).when(alone & (month == 1), month)
+    """Last month of a published window such as "январь-март3": footnote digits at its end are ignored. Null for all other texts: a
+    year or digits elsewhere, a window that doesn't begin in January, January repeated, a month but January by itself."""
+    plain = F.regexp_replace(F.lower(F.trim(_c(header))), r"\d+$", "")
+    plain = F.trim(F.regexp_replace(plain, "\\s*[-–—]\\s*", "-"))
+    first = MONTHS_RU[0]
+    windows = {first: 1} | {f"{first}-{name}": i + 1 for i, name in enumerate(MONTHS_RU) if i}
+    return F.coalesce(*[F.when(plain == name, F.lit(i)) for name, i in windows.items()])
 
 
 def classify_revenue(code: Column | str, *names: Column | str) -> Column:

@@ -143,11 +143,14 @@ def d13(s, d):
     return out.withColumn("reconciles", F.abs(F.col("total") - F.col("own") - F.col("other")) <= 0.02)
 
 
-@QUERIES.add("d14_coverage_matrix", """
-SELECT region_id, coalesce(min(CASE WHEN year(period) = 1996 THEN 'seen' END), 'absent') AS "1996", coalesce(min(CASE WHEN year(period) = 2002 THEN 'seen' END), 'absent') AS "2002" FROM monthly GROUP BY region_id""", "monthly")
+#: All years that the orders of the given tables have.
+_YEARS = range(1992, 2006)
+
+
+@QUERIES.add("d14_coverage_matrix", "SELECT region_id, " + ", ".join(f"""coalesce(min(CASE WHEN year(period) = {y} THEN 'seen' END), 'absent') AS "{y}\"""" for y in _YEARS) + " FROM monthly GROUP BY region_id", "monthly")
 def d14(s, d):
     df = q_monthly(s, d).select("region_id", F.year("period").alias("y"), F.lit("seen").alias("status"))
-    return agg.coverage_matrix(df, "region_id", "y", [1996, 2002], "status")
+    return agg.coverage_matrix(df, "region_id", "y", list(_YEARS), "status")
 
 
 @QUERIES.add("d15_duplicate_grain", "SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS n_duplicate_rows FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)")

@@ -177,12 +177,13 @@ def h07(s, d):
     return table(s, d, "orders").select("o_orderkey", numbers.parse_decimal(raw).cast("double").alias("amount"))
 
 
-@QUERIES.add("h08_window_month", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' OR month(o_orderdate) = 1 THEN month(o_orderdate) END AS m FROM orders")
+@QUERIES.add("h08_window_month", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 AND (o_orderstatus <> 'P' OR month(o_orderdate) = 1) THEN month(o_orderdate) END AS m FROM orders")
 def h08(s, d):
-    """Headers of the orders' months: a window from January on, or a month by itself, which only January is a window of."""
+    """Headers of the orders' months: a window from January on, or a month by itself, which only January is a window of; a year before it makes it none."""
     month = F.element_at(F.array(*map(F.lit, text.MONTHS_RU)), F.month("o_orderdate"))
     header = F.when((F.col("o_orderstatus") == "P") | (F.month("o_orderdate") == 1), month).otherwise(F.concat(F.lit("Январь – "), month, F.dayofmonth("o_orderdate").cast("string")))
-    return table(s, d, "orders").select("o_orderkey", text.window_month(header).cast("long").alias("m"))
+    dated = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.year("o_orderdate").cast("string"), F.lit(" "), header)).otherwise(header)
+    return table(s, d, "orders").select("o_orderkey", text.window_month(dated).cast("long").alias("m"))
 
 
 @QUERIES.add("h09_slots", "SELECT o_orderkey, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INT) AS month_slot, CAST(year(o_orderdate) * 4 + quarter(o_orderdate) AS INT) AS quarter_slot FROM orders")

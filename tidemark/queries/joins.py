@@ -175,11 +175,11 @@ def c18(s, d):
 
 @QUERIES.add("c19_borrowed_context", """
 , f AS (SELECT region_id, period, section, region_id || ':' || CAST(period AS VARCHAR) AS source_id FROM monthly), r AS (SELECT region_id, period, min(source_id) AS release_source_id FROM f GROUP BY ALL HAVING count(DISTINCT source_id) = 1),
-g AS (SELECT DISTINCT region_id, period, unnest(['BUILDING', 'MACHINERY']) AS section FROM f)
+g AS (SELECT DISTINCT region_id, period, unnest(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY']) AS section FROM f)
 SELECT region_id, period, section, source_id, release_source_id FROM g LEFT JOIN f USING (region_id, period, section) LEFT JOIN r USING (region_id, period)""", "monthly")
 def c19(s, d):
     f = q_monthly(s, d).select("region_id", "period", "section", F.concat_ws(":", "region_id", F.col("period").cast("string")).alias("source_id"))
-    grid = joins.grid_join(f, f, ["region_id", "period"], "section", ["BUILDING", "MACHINERY"])
+    grid = joins.grid_join(f, f, ["region_id", "period"], "section", ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])
     return joins.borrowed_context(grid, f, ["region_id", "period"], ["source_id"])
 
 

@@ -20,6 +20,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import calendar as cal
 from ..functions import text
+from ..functions.lineage import issue_list
 from ..functions.numbers import number, parse_decimal
 from ..operators.windows import forward_fill
 from ..shipping import ship
@@ -241,6 +242,51 @@ def cumulative_sheet(sheet: DataFrame, year_row: int, window_row: int, first_row
     return grid.select(*keys, "label", end.alias("period"), F.make_date("year", F.lit(1), F.lit(1)).alias("window_start"), "window_months", "raw", value.alias("value"), status.alias("availability"))
 
 
+#: Fixed value: what a cumulative index is a share of.
+CUMULATIVE_BASIS = "в % к соответствующему периоду предыдущего года"
+
+
+def cumulative_issues(sheet: DataFrame, title_row: int, basis_row: int, year_row: int, window_row: int, phrase: str, label_col: int = 1) -> DataFrame:
+    """path, sheet, issues: what is wrong with the headers of each cumulative sheet, or "matched".
+
+    Title and basis are those expected; years are "20xx год" with footnote digits, ascending, without gaps and each once; below each year stand the
+    windows January, January-February and so on, all twelve in every year but the last; no column lacks one."""
+    keys = ["path", "sheet"]
+    said = lambda row: F.max(F.when((F.col("row") == row) & (F.col("col") == label_col), F.lower(F.trim("value"))))
+    heads = sheet.filter(F.col("row").isin(title_row, basis_row, year_row, window_row))
+    frame = heads.groupBy(*keys).agg(said(title_row).alias("title"), said(basis_row).alias("basis"), F.max(F.when(F.col("row").isin(year_row, window_row), F.col("col"))).alias("last"))
+    columns = frame.select(*keys, F.explode(F.when(F.col("last") > label_col, F.sequence(F.lit(label_col + 1), "last"))).alias("col"))
+    at = lambda row, name: heads.filter(F.col("row") == row).select(*keys, "col", F.trim("value").alias(name))
+    columns = columns.join(at(year_row, "head"), [*keys, "col"], "left").join(at(window_row, "window"), [*keys, "col"], "left")
+    order = Window.partitionBy(*keys).orderBy("col")
+    year = F.regexp_extract("head", r"^(20\d{2})\s+год\d*$", 1)
+    columns = columns.withColumns({"block": F.count("head").over(order), "bad_year": F.col("head").isNotNull() & (year == ""), "year": F.nullif(year, F.lit("")).cast("int"), "month": text.window_month("window")})
+    bad = F.bool_or("bad_year")
+    blocks = columns.groupBy(*keys, "block").agg(F.max("year").alias("year"), bad.alias("bad_year"), F.transform(F.array_sort(F.collect_list(F.struct("col", "month"))), lambda x: x["month"]).alias("months"), F.count(F.lit(1)).alias("n"), F.count("window").alias("n_windows"))
+    in_order = F.col("months") == F.sequence(F.lit(1), F.col("n").cast("int"))
+    blocks = blocks.withColumn("latest", F.max("year").over(Window.partitionBy(*keys)))
+    sheets = blocks.groupBy(*keys).agg(
+        F.bool_or("bad_year").alias("bad_year"), F.bool_or((F.col("block") == 0) | (F.col("n_windows") < F.col("n"))).alias("missing"), F.bool_or(F.coalesce(~in_order, F.lit(True))).alias("gaps"),
+        F.bool_or((F.col("n") != 12) & (F.col("year") != F.col("latest"))).alias("short"), F.transform(F.array_sort(F.collect_list(F.struct("block", "year"))), lambda x: x["year"]).alias("years"),
+    )
+    out = frame.join(sheets, keys, "left")
+    years = F.coalesce(F.col("years") == F.sequence(F.array_min("years"), F.array_max("years")), F.lit(False))
+    repeated = F.size(F.array_distinct("years")) < F.size("years")
+    issues = issue_list(
+        (~F.coalesce(F.contains("title", F.lit(phrase.lower())), F.lit(False)), "unexpected_title"), (~F.coalesce(F.col("basis") == CUMULATIVE_BASIS, F.lit(False)), "unexpected_basis"), (F.col("bad_year"), "invalid_year_header"),
+        (F.col("missing"), "missing_header"), (repeated, "repeated_year"), (F.col("years").isNull() | (~years & ~repeated), "years_not_contiguous"), (F.col("gaps"), "windows_not_from_january"), (F.col("short"), "incomplete_year"),
+    )
+    return out.select(*keys, issues.alias("issues"))
+
+
+def checked_cumulative_sheet(sheet: DataFrame, title_row: int, basis_row: int, year_row: int, window_row: int, first_row: int, phrase: str, label_col: int = 1) -> DataFrame:
+    """cumulative_sheet, failing when read if a sheet's headers have issues."""
+    issues = cumulative_issues(sheet, title_row, basis_row, year_row, window_row, phrase, label_col)
+    known = sheet.join(issues, ["path", "sheet"])
+    wrong = F.raise_error(F.concat_ws(" ", F.col("path"), F.col("sheet"), F.col("issues"))).isNull()
+    return cumulative_sheet(known.filter(F.when(F.col("issues") != "matched", wrong).otherwise(F.lit(True))).drop("issues"), year_row, window_row, first_row, label_col)
+
+
 def report_rows(rows: DataFrame, plan: str, actual: str, top: Column | None = None) -> DataFrame:
     """Table rows of reports with plan and actual, whose columns are found by name in the nearest header row above.
 

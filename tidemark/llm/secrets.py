@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import slices, tidy
-from .common import written
+from .common import join_classes, written
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -132,10 +132,10 @@ MOST_REPOSITORIES = 10
 
 
 def ownership(candidates: DataFrame, most_owners: int = 1, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
-    """candidates: hash, owner, repository. One row a hash: owners, repositories (of all owners), live (at most so many of both)."""
-    held = candidates.select("hash", "owner", "repository").distinct()
-    owners = held.groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
-    return owners.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories")).withColumn("live", (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories))
+    """candidates: hash, owner, repository. One row a hash: n (its places), owners, repositories (of all owners), live (at most so many of both)."""
+    held = candidates.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n"))
+    owners = held.groupBy("hash", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n"))
+    return owners.groupBy("hash").agg(F.sum("n").alias("n"), F.count("*").alias("owners"), F.sum("repositories").alias("repositories")).withColumn("live", (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories))
 
 
 def _each(found: DataFrame) -> DataFrame:
@@ -153,7 +153,8 @@ def secret_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", owne
     named = df.select(F.col(id_col).alias("id"), none(owner).alias("owner"), none(repository).alias("repository"), F.col(text).alias("text"))
     found = written(scanned(named, "text", ["id", "owner", "repository"]).withColumn("row", F.monotonically_increasing_id()), "secrets")
     each = _each(found)
-    judged = each.join(ownership(each, most_owners), "hash").filter("kind <> 'owned' OR live")
+    # A value that many rows have stays where they are, and its verdict goes there.
+    judged = join_classes(each, written(ownership(each, most_owners), "ownership"), "hash").filter("kind <> 'owned' OR live")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("rank")
     listed = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", rank, "kind", "end", "owners", "repositories", "live"))).alias("all"))
     short = lambda c: F.transform(c, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
@@ -188,8 +189,8 @@ def redacted(df: DataFrame, owner: str = "source", repository: str = "lang", mos
     packed = df.select(F.struct(*df.columns).alias("doc"), none(owner).alias("owner"), none(repository).alias("repository"), F.col("text").alias("text"))
     found = written(scanned(packed, "text", ["doc", "owner", "repository"]).withColumn("row", F.monotonically_increasing_id()), "secrets")
     each = _each(found)
-    live = ownership(each, most_owners).filter("live").select("hash")
-    owned = each.filter("kind = 'owned'").join(live, "hash").groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("owned"))
+    live = written(ownership(each, most_owners).filter("live").select("hash", "n"), "ownership")
+    owned = join_classes(each.filter("kind = 'owned'"), live, "hash").groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("owned"))
     clean = (F.size("spans") == 0) & (F.size("weak") == 0)
     short = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     all_of = F.concat(short, F.coalesce("owned", F.array().cast("array<struct<kind:string,start:int,end:int>>")))

@@ -73,7 +73,7 @@ def communication_matrix(sources: list[int], targets: list[int], seed: int) -> n
 @lru_cache(maxsize=2)
 def _dealt(part: int, counts: tuple[int, ...], seed: int) -> np.ndarray:
     """The shard of each row of a partition: the partition permuted, its first rows to shard 0 and so on."""
-    return np.random.default_rng([seed, part]).permutation(np.repeat(np.arange(len(counts), dtype=np.int16), counts))
+    return np.random.default_rng([seed, part]).permutation(np.repeat(np.arange(len(counts), dtype=np.int32), counts))
 
 
 def _draws(seed: int, pieces: int):

@@ -335,7 +335,7 @@ x AS (SELECT region_id, period, win, code AS claim_code, v AS value, src AS curr
  UNION ALL SELECT region_id, period, win, 'spending_' || code, ch, src, psrc FROM (SELECT * FROM mv WHERE ch < 0 QUALIFY row_number() OVER (PARTITION BY region_id, period ORDER BY ch, code) = 1)
  UNION ALL SELECT region_id, period, win, 'component_' || name, v - pv, src, psrc FROM cp UNION ALL SELECT region_id, period, win, 'transfer_share', v, src, '' FROM tp UNION ALL SELECT region_id, period, win, 'transfer_share_change', v - pv, src, psrc FROM tp
  UNION ALL SELECT region_id, period, win, 'production_' || sec, v, src, '' FROM pd UNION ALL SELECT region_id, period, win, 'fuel_2-HIGH_price', v, src, '' FROM pq UNION ALL SELECT region_id, period, win, 'fuel_2-HIGH_yoy', ch, src, psrc FROM pq)
-SELECT region_id, period, win, claim_code, round(value, 4) AS value, CASE WHEN value IS NULL THEN 'unavailable' ELSE 'available' END AS availability, coalesce(current, '') AS current, coalesce(prior, '') AS prior FROM x"""
+SELECT region_id, period, win, claim_code, CASE WHEN abs(value) < 0.00005 THEN 0.0 ELSE round(value, 4) END AS value, CASE WHEN value IS NULL THEN 'unavailable' ELSE 'available' END AS availability, coalesce(current, '') AS current, coalesce(prior, '') AS prior FROM x"""
 
 
 @QUERIES.add("l25_statements", _STATEMENTS, "fiscal cumulative prices")
@@ -345,7 +345,7 @@ def l25_statements(s, d):
     fiscal_rows = once(p.fiscal(s, d, revenue_rows), "fiscal")
     history = prices.price_history(_lineage(p.prices(s, d), ["fuel_grade"]), ("source_file", "source_sha256", "source_member", "reporting_cutoff"))
     out = claims.statements(_lineage(fiscal_rows, ["metric_code", "kind"]), _lineage(revenue_rows, ["revenue_code"]), _lineage(p.production(s, d, True), ["section"]), history, grades=("2-HIGH",))
-    return out.select("region_id", "period", F.col("window").alias("win"), "claim_code", F.round("value", 4).alias("value"), "availability", _behind("current").alias("current"), _behind("prior").alias("prior"))
+    return out.select("region_id", "period", F.col("window").alias("win"), "claim_code", F.when(F.abs("value") < 0.00005, 0.0).otherwise(F.round("value", 4)).alias("value"), "availability", _behind("current").alias("current"), _behind("prior").alias("prior"))
 
 
 @QUERIES.add("l26_claim_coverage", _CLAIMS + "SELECT claim_code, count(value) AS n_available, count(*) - count(value) AS n_withheld FROM cl GROUP BY claim_code", "fiscal cumulative prices")

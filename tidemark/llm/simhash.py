@@ -12,10 +12,11 @@ ids count as larger than all others; repeated rows stay; rows that share an id b
 an empty table gives no rows; columns other than the id and the text are not returned.
 
 `near_copies` is the verified form: two texts are linked if their sets of `shingle`-word shingles have a Jaccard
-similarity of `least` or more. Near copies at 0.8 differ in about 10 of 64 bits, so it takes the Golay keys of
-`words` further fingerprints (9 segments for 3), keeps pairs that differ in `distance` bits or less in one more
-fingerprint, and compares all texts of a candidate component by their shingle sets. What shares no key and is
-joined by no third text is not found; the README has the measured share.
+similarity of `least` or more. Near copies at 0.8 differ in about 19 of 128 bits, so it takes the Golay keys of
+`words` fingerprints (9 segments for 3), keeps pairs that differ in `distance` bits or less in 128 further ones,
+and compares all texts of a candidate component by their shingle sets. Of unrelated pairs one in 10^12 is a
+candidate, so components stay as small as the groups of similar texts are, up to 10^11 distinct texts or more. What
+shares no key and is joined by no third text is not found; the README has the measured share.
 """
 
 from __future__ import annotations
@@ -120,17 +121,22 @@ def _tree(label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[child], order[begin[child] + (place[child] - 1) // FAN]
 
 
-def links_in_groups(group: np.ndarray, fps: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted by group; a spanning forest of the links within each group as (row, its parent's row)."""
+def links_in_groups(group: np.ndarray, fps: np.ndarray, distance: int = DISTANCE, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by group; a spanning forest of the links within each group as (row, its parent's row). more: 64 further
+    bits a row, which count like those of fps."""
     n = len(fps)
     ends = np.flatnonzero(np.r_[group[1:] != group[:-1], True]) + 1 if n else np.zeros(0, np.int64)
     end = np.repeat(ends, np.diff(np.r_[0, ends]))
     here, bits, label = np.arange(n), fps.view(np.uint64), np.arange(n)
+    further = None if more is None else more.view(np.uint64)
     left, right, held, step = [label], [label], 0, 1
     while True:
         here = here[here + step < end[here]]
         if len(here):
-            near = here[np.bitwise_count(bits[here] ^ bits[here + step]) <= distance]
+            apart = np.bitwise_count(bits[here] ^ bits[here + step])
+            if further is not None:
+                apart += np.bitwise_count(further[here] ^ further[here + step])
+            near = here[apart <= distance]
             near = near[label[near] != label[near + step]]
             left.append(near)
             right.append(near + step)
@@ -144,39 +150,40 @@ def links_in_groups(group: np.ndarray, fps: np.ndarray, distance: int = DISTANCE
 
 
 def _linker(block: int, final: bool, distance: int = DISTANCE):
-    """Streams rows (key, fp) sorted by both. Groups over `block` rows leave as (fp, key, number of blocks), unless final."""
+    """Streams rows (key, fp, and more where given) sorted by all. Groups over `block` rows leave as (fp, key, number of
+    blocks, more), unless final."""
 
     def run(batches):
-        held_k, held_f, held = [], [], 0
+        held, rows_held = [], 0
 
-        def ready(k, f):
-            new = np.r_[True, (k[1:] != k[:-1]) | (f[1:] != f[:-1])][: len(k)]
-            k, f = k[new], f[new]
+        def ready(parts):
+            k, f, *more = (np.concatenate(c) for c in zip(*parts, strict=True))
+            new = np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in (k, f, *more)])][: len(k)]
+            k, f, *more = (c[new] for c in (k, f, *more))
             cuts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
             sizes = np.diff(np.r_[cuts, len(k)])
             hot = np.repeat(sizes > block, sizes) if not final else np.zeros(len(k), bool)
-            rows, roots = links_in_groups(k[~hot], f[~hot], distance)
             few = f[~hot]
+            rows, roots = links_in_groups(k[~hot], few, distance, *(c[~hot] for c in more))
             blocks = np.repeat(-(-sizes // block), sizes)[hot].astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.r_[few[rows], f[hot]]), pa.array(np.r_[few[roots], k[hot].astype(np.int64)]), pa.array(np.r_[np.zeros(len(rows), np.int32), blocks])],
-                ["a", "b", "blocks"],
-            )
+            none = np.zeros(len(rows), np.int64)
+            columns = [np.r_[few[rows], f[hot]], np.r_[few[roots], k[hot].astype(np.int64)], np.r_[none.astype(np.int32), blocks], *(np.r_[none, c[hot]] for c in more)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "blocks", "more"][: len(columns)])
 
         for batch in batches:
-            k, f = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            columns = [np.asarray(c) for c in batch.columns]
+            k = columns[0]
             if not len(k):
                 continue
             last = int(np.searchsorted(k, k[-1]))  # the last key may go on in the next batch
-            if last == 0 and held and held_k[-1][-1] == k[-1]:
-                held_k.append(k)
-                held_f.append(f)
-                held += len(k)
+            if last == 0 and held and held[-1][0][-1] == k[-1]:
+                held.append(columns)
+                rows_held += len(k)
                 continue
-            yield from ready(np.concatenate([*held_k, k[:last]]), np.concatenate([*held_f, f[:last]]))
-            held_k, held_f, held = [k[last:]], [f[last:]], len(k) - last
-        if held:
-            yield from ready(np.concatenate(held_k), np.concatenate(held_f))
+            yield from ready([*held, [c[:last] for c in columns]])
+            held, rows_held = [[c[last:] for c in columns]], len(k) - last
+        if rows_held:
+            yield from ready(held)
 
     return run
 
@@ -189,30 +196,38 @@ def linked(fps: DataFrame, block: int = 2_000) -> DataFrame:
     return links_over(fps.select("fp").mapInArrow(tidy(_keyed), "key int, fp long"), block, DISTANCE)
 
 
-def _finer(distance: int):
-    """Keys of hot keys' rows (a: fingerprint, b: key): the bits are cut into distance + 1 parts, one of which has no error."""
-    cuts = [64 * i // (distance + 1) for i in range(distance + 2)]
-    parts = [F.shiftrightunsigned("a", low).bitwiseAND(F.lit((1 << high - low) - 1)) for low, high in zip(cuts[:-1], cuts[1:], strict=True)]
+def _finer(distance: int, more: bool = False):
+    """Keys of hot keys' rows (a: fingerprint, b: key, and more where given): the bits are cut into distance + 1 parts, one
+    of which has no error. No part goes over the border of two columns."""
+    columns = ["a", "more"] if more else ["a"]
+    parts = []
+    for i, column in enumerate(columns):
+        n = (distance + 1 + i) // len(columns)
+        cuts = [64 * j // n for j in range(n + 1)]
+        parts += [F.shiftrightunsigned(column, low).bitwiseAND(F.lit((1 << high - low) - 1)) for low, high in zip(cuts[:-1], cuts[1:], strict=True)]
     return F.explode(F.array(*[F.xxhash64("b", F.lit(i), p) for i, p in enumerate(parts)]))
 
 
 def links_over(keyed: DataFrame, block: int, distance: int) -> DataFrame:
-    """keyed: key, fp. Links (a, b) whose components are those of all links at `distance` or less under a common key.
+    """keyed: key, fp, and more, 64 further bits, where they count too. Links (a, b) between fp whose components are those
+    of all links at `distance` or less under a common key.
 
     A key with more than `block` fingerprints is cut finer by exact parts of the fingerprint, and what stays that large,
     as copies that differ in few places do, is dealt out in pairs of blocks. Both lose nothing.
     """
-    grouped = lambda df, final: df.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(tidy(_linker(block, final, distance)), LINKS)
+    more = ["more"] if "more" in keyed.columns else []
+    schema = LINKS + (", more long" if more else "")
+    grouped = lambda df, final: df.repartition("key").sortWithinPartitions("key", "fp", *more).mapInArrow(tidy(_linker(block, final, distance)), schema)
     found = written(grouped(keyed, False), "links")
     links, hot = found.filter("blocks = 0").select("a", "b"), found.filter("blocks > 0")
     if hot.isEmpty():
         return links.distinct()
-    found = written(grouped(hot.select(_finer(distance).alias("key"), F.col("a").alias("fp")), False), "links")
+    found = written(grouped(hot.select(_finer(distance, bool(more)).alias("key"), F.col("a").alias("fp"), *more), False), "links")
     links, hot = links.union(found.filter("blocks = 0").select("a", "b")), found.filter("blocks > 0")
     # Each pair of blocks of a hot key is a group of its own; a fingerprint goes to all pairs that hold its block.
     mine = F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int")
-    dealt = hot.select(F.col("b").alias("key"), F.col("a").alias("fp"), mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "fp")
+    dealt = hot.select(F.col("b").alias("key"), F.col("a").alias("fp"), *more, mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "fp", *more)
     return links.union(grouped(dealt, True).select("a", "b")).distinct()
 
 
@@ -255,44 +270,51 @@ def set_fingerprints(shingles: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(counts * 2 > len(shingles), bitorder="little").view("<u8").astype(np.uint64)
 
 
+def set_name(shingles: np.ndarray) -> bytes:
+    """128 bits that stand for a sorted set."""
+    return xxhash.xxh128_digest(shingles.tobytes(), SEED)
+
+
 def _set_prints(k: int, words: int):
-    """(doc_id, tx, text) to (doc_id, tx, th, fp, words): th names the set, fp checks candidates, words give keys."""
+    """(doc_id, tx, text) to (doc_id, tx, th, fp, more, words): th names the set, fp and more check candidates, words give keys."""
 
     def run(batches):
         for batch in batches:
             th, prints = [], []
             for _, _, data, offsets in slices(batch.column(2)):
                 for s in shingle_sets(data, offsets, k):
-                    th.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
-                    prints.append(set_fingerprints(s, words + 1))
-            p = np.array(prints, np.uint64).reshape(-1, words + 1).view(np.int64)
-            keys = pa.FixedSizeListArray.from_arrays(pa.array(p[:, 1:].ravel()), words).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(th, np.uint64).view(np.int64)), pa.array(p[:, 0].copy()), keys], ["doc_id", "tx", "th", "fp", "words"])
+                    th.append(set_name(s))
+                    prints.append(set_fingerprints(s, words + 2))
+            p = np.array(prints, np.uint64).reshape(-1, words + 2).view(np.int64)
+            keys = pa.FixedSizeListArray.from_arrays(pa.array(p[:, 2:].ravel()), words).cast(pa.list_(pa.int64()))
+            columns = [pa.array(th, pa.binary()), pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy()), keys]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "tx", "th", "fp", "more", "words"])
 
     return run
 
 
 def _keyed_words(words: int):
-    """(fp, words) to (key, fp) for the keys of all words."""
+    """(fp, more, words) to (key, fp, more) for the keys of all words."""
 
     def run(batches):
         for batch in batches:
-            fps, all_words = np.asarray(batch.column(0)), np.asarray(batch.column(1).flatten()).reshape(-1, words)
+            fps, more, all_words = np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.asarray(batch.column(2).flatten()).reshape(-1, words)
             for i in range(0, len(fps), 1_000):
                 for w in range(words):
                     rows, found = keys_of(np.ascontiguousarray(all_words[i : i + 1_000, w]))
-                    yield pa.RecordBatch.from_arrays([pa.array(found + np.int32(len(PAIRS) * w << 24)), pa.array(fps[i : i + 1_000][rows])], ["key", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(found + np.int32(len(PAIRS) * w << 24)), pa.array(fps[i + rows]), pa.array(more[i + rows])], ["key", "fp", "more"])
 
     return run
 
 
 def _sets(k: int):
-    """(tx, text) to (tx, shingles)."""
+    """text to (th, shingles)."""
 
     def run(batches):
         for batch in batches:
-            sets = [s.tobytes() for _, _, data, offsets in slices(batch.column(1)) for s in shingle_sets(data, offsets, k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["tx", "shingles"])
+            for _, _, data, offsets in slices(batch.column(0)):
+                sets = list(shingle_sets(data, offsets, k))
+                yield pa.RecordBatch.from_arrays([pa.array(map(set_name, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["th", "shingles"])
 
     return run
 
@@ -325,9 +347,8 @@ def _verified(least: float):
 
     def links(rows):
         label = jaccard_forest([np.frombuffer(s, np.uint64) for _, s in rows], least)
-        ids = np.array([t for t, _ in rows], np.int64)
-        row, parent = _tree(label)
-        return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(ids[parent])], ["a", "b"])
+        ids = pa.array([t for t, _ in rows], pa.binary())
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(x)) for x in _tree(label)], ["a", "b"])
 
     def run(batches):
         now, rows = None, []
@@ -344,29 +365,29 @@ def _verified(least: float):
     return run
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, distance: int = 16, words: int = 3, block: int = 1_000) -> DataFrame:
+def near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, distance: int = 30, words: int = 3, block: int = 1_000) -> DataFrame:
     """(doc_id, component_id, tx, first): the smallest id reachable over pairs whose shingle sets have a Jaccard similarity of
     `least` or more, the xxhash64 of the text (null: empty), and whether the row is the one of its component to keep:
     that of the smallest id, and of rows with that id the one with the smallest hash of its set, then of its text. Rows
     that repeat id and text are alike in all columns."""
     kind = df.schema[id_col].dataType.simpleString()
     named = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text)).alias("tx"), F.col(text).alias("text"))
-    prints = written(named.mapInArrow(tidy(_set_prints(shingle, words)), f"doc_id {kind}, tx long, th long, fp long, words array<long>"), "fingerprints")
-    classes = written(prints.groupBy("th").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx")).alias("first"), F.min("tx").alias("tx"), F.first("fp").alias("fp"), F.first("words").alias("words"), F.count("*").alias("n")), "classes")
+    prints = written(named.mapInArrow(tidy(_set_prints(shingle, words)), f"doc_id {kind}, tx long, th binary, fp long, more long, words array<long>"), "fingerprints")
+    classes = written(prints.groupBy("th").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx")).alias("first"), F.min("tx").alias("tx"), F.first("fp").alias("fp"), F.first("more").alias("more"), F.first("words").alias("words"), F.count("*").alias("n")), "classes")
     classes = classes.withColumn("least", F.col("first.doc_id"))
-    keyed = classes.select("fp", "words").distinct().mapInArrow(tidy(_keyed_words(words)), "key int, fp long")
+    keyed = classes.select("fp", "more", "words").distinct().mapInArrow(tidy(_keyed_words(words)), "key int, fp long, more long")
     groups = components(links_over(keyed, 2_000, distance).filter("a <> b"))
     of = classes.join(groups, classes.fp == groups.node, "left").select("th", "tx", F.coalesce("component", "fp").alias("root"))
-    several = of.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1")
-    members = written(of.join(several, "root"), "members")
+    several = written(of.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").withColumn("size", F.col("n")), "several")
+    members = written(join_classes(of, several, "root"), "members")
     marked = filtered(named.select("tx", "text"), "tx", members.select("tx"))
-    sets = marked.mapInArrow(tidy(_sets(shingle)), "tx long, shingles binary").dropDuplicates(["tx"])
+    sets = marked.select("text").mapInArrow(tidy(_sets(shingle)), "th binary, shingles binary").dropDuplicates(["th"])
     # Every two texts of a candidate component meet in a group: a component over `block` is dealt out in pairs of blocks.
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    blocks = F.ceil(F.col("size") / block).cast("int")
     mine = F.pmod(F.xxhash64("th"), blocks).cast("int")
-    dealt = members.join(sets, "tx").select("root", "th", "shingles", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = members.join(sets, "th").select("root", "th", "shingles", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = dealt.select(F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("grp"), "th", "shingles")
-    near = dealt.repartition("grp").sortWithinPartitions("grp").mapInArrow(tidy(_verified(least)), "a long, b long")
+    near = dealt.repartition("grp").sortWithinPartitions("grp").mapInArrow(tidy(_verified(least)), "a binary, b binary")
     of = written(rooted(classes, near, "th").join(classes.select("th", "first", "n"), "th").select("th", "component", "first", "n"), "roots")
     head = F.col("component.key").eqNullSafe(F.col("th")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tx") == F.col("first.tx"))
     return join_classes(prints.select("doc_id", "tx", "th"), of, "th").select("doc_id", F.col("component.least").alias("component_id"), "tx", head.alias("first"))

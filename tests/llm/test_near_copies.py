@@ -48,8 +48,8 @@ def test_links_are_those_of_brute_force_over_128_bits(spark):
     for f, lows in node.items():
         merged[f] = min(lows)
     assert links and all(len(x) == 1 for x in node.values())
-    for block in (2_000, 3):
-        found = {r.node: r.component for r in components(simhash.links_over(keyed, block, 30).filter("a <> b")).collect()}
+    for block, fan in ((2_000, simhash.FAN), (2_000, None), (3, None)):
+        found = {r.node: r.component for r in components(simhash.links_over(keyed, block, 30, fan).filter("a <> b")).collect()}
         assert same({f: found.get(f, f) for f in node}) == same(merged)
 
 

@@ -110,18 +110,19 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
 FAN = 16
 
 
-def _tree(label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _tree(label: np.ndarray, fan: int | None = FAN) -> tuple[np.ndarray, np.ndarray]:
     """(row, its parent's row) for trees over the rows of equal labels in which no row has more than FAN children, so
-    that no row stands in a hot share of the links."""
+    that no row stands in a hot share of the links. Without a fan all are children of the first row: then the trees of
+    many keys over one group have most of their links in common."""
     order = np.argsort(label, kind="stable")
     first = np.flatnonzero(np.r_[True, label[order][1:] != label[order][:-1]])[: len(order)]
     begin = np.repeat(first, np.diff(np.r_[first, len(order)]))
     place = np.arange(len(order)) - begin
     child = place > 0
-    return order[child], order[begin[child] + (place[child] - 1) // FAN]
+    return order[child], order[begin[child] + (0 if fan is None else (place[child] - 1) // fan)]
 
 
-def links_in_groups(group: np.ndarray, fps: np.ndarray, distance: int = DISTANCE, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def links_in_groups(group: np.ndarray, fps: np.ndarray, distance: int = DISTANCE, more: np.ndarray | None = None, fan: int | None = FAN) -> tuple[np.ndarray, np.ndarray]:
     """Rows sorted by group; a spanning forest of the links within each group as (row, its parent's row). more: 64 further
     bits a row, which count like those of fps."""
     n = len(fps)
@@ -146,10 +147,10 @@ def links_in_groups(group: np.ndarray, fps: np.ndarray, distance: int = DISTANCE
             left, right, held = [np.arange(n)], [label], 0
         if not len(here):
             break
-    return _tree(label)
+    return _tree(label, fan)
 
 
-def _linker(block: int, final: bool, distance: int = DISTANCE):
+def _linker(block: int, final: bool, distance: int = DISTANCE, fan: int | None = FAN):
     """Streams rows (key, fp, and more where given) sorted by all. Groups over `block` rows leave as (fp, key, number of
     blocks, more), unless final."""
 
@@ -164,7 +165,7 @@ def _linker(block: int, final: bool, distance: int = DISTANCE):
             sizes = np.diff(np.r_[cuts, len(k)])
             hot = np.repeat(sizes > block, sizes) if not final else np.zeros(len(k), bool)
             few = f[~hot]
-            rows, roots = links_in_groups(k[~hot], few, distance, *(c[~hot] for c in more))
+            rows, roots = links_in_groups(k[~hot], few, distance, *[c[~hot] for c in more] or [None], fan)
             blocks = np.repeat(-(-sizes // block), sizes)[hot].astype(np.int32)
             none = np.zeros(len(rows), np.int64)
             columns = [np.r_[few[rows], f[hot]], np.r_[few[roots], k[hot].astype(np.int64)], np.r_[none.astype(np.int32), blocks], *(np.r_[none, c[hot]] for c in more)]
@@ -208,16 +209,18 @@ def _finer(distance: int, more: bool = False):
     return F.explode(F.array(*[F.xxhash64("b", F.lit(i), p) for i, p in enumerate(parts)]))
 
 
-def links_over(keyed: DataFrame, block: int, distance: int) -> DataFrame:
+def links_over(keyed: DataFrame, block: int, distance: int, fan: int | None = FAN) -> DataFrame:
     """keyed: key, fp, and more, 64 further bits, where they count too. Links (a, b) between fp whose components are those
     of all links at `distance` or less under a common key.
 
     A key with more than `block` fingerprints is cut finer by exact parts of the fingerprint, and what stays that large,
-    as copies that differ in few places do, is dealt out in pairs of blocks. Both lose nothing.
+    as copies that differ in few places do, is dealt out in pairs of blocks. Both lose nothing. Without a `fan` links lead
+    to the smallest fingerprint of a key's component: fewer different ones, but many of them to one fingerprint, which
+    suits `components` alone.
     """
     more = ["more"] if "more" in keyed.columns else []
     schema = LINKS + (", more long" if more else "")
-    grouped = lambda df, final: df.repartition("key").sortWithinPartitions("key", "fp", *more).mapInArrow(tidy(_linker(block, final, distance)), schema)
+    grouped = lambda df, final: df.repartition("key").sortWithinPartitions("key", "fp", *more).mapInArrow(tidy(_linker(block, final, distance, fan)), schema)
     found = written(grouped(keyed, False), "links")
     links, hot = found.filter("blocks = 0").select("a", "b"), found.filter("blocks > 0")
     if hot.isEmpty():
@@ -376,7 +379,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", shing
     classes = written(prints.groupBy("th").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx")).alias("first"), F.min("tx").alias("tx"), F.first("fp").alias("fp"), F.first("more").alias("more"), F.first("words").alias("words"), F.count("*").alias("n")), "classes")
     classes = classes.withColumn("least", F.col("first.doc_id"))
     keyed = classes.select("fp", "more", "words").distinct().mapInArrow(tidy(_keyed_words(words)), "key int, fp long, more long")
-    groups = components(links_over(keyed, 2_000, distance).filter("a <> b"))
+    groups = components(links_over(keyed, 2_000, distance, fan=None).filter("a <> b"))
     of = classes.join(groups, classes.fp == groups.node, "left").select("th", "tx", F.coalesce("component", "fp").alias("root"))
     several = written(of.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").withColumn("size", F.col("n")), "several")
     members = written(join_classes(of, several, "root"), "members")

@@ -13,9 +13,14 @@ Encoding caches chunks of text, words with the blank before them and the marks a
 each distinct one once per worker, as long as the cache has room (CACHE entries), since it never merges across
 them. How texts are cut is read from the tokenizer's file; see Encoder.
 
+Rows of one id may be any share of the table: they are dealt to partitions by the head of their text, its hash and,
+where rows are equal, by their place in the input. A partition takes about `part_bytes` of input, so files don't grow
+with the table; readers hold CHUNK documents at a time.
+
 Defined results: a null text counts as empty and is the end id alone; documents are in ascending order of id,
-then text; a null id sorts first and is stored as the least 64-bit integer, read back as null; repeated rows are
-all written; an empty table gives a folder without files; further columns are ignored.
+then the first HEAD characters of the text, then its xxhash64; a null id sorts first and is stored as the least 64-bit
+integer, read back as null; repeated rows are all written; an empty table gives a folder without files; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +29,8 @@ import json
 import os
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +39,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, written
+from .common import new_folder, steady, written
 
 CACHE, NULL_ID = 1_200_000, -(1 << 63)
+HEAD, CHUNK, PART_BYTES = 16, 1_024, 128 << 20
 _encoders: dict = {}
 
 
@@ -178,15 +185,23 @@ def _writer(folder: str, tokenizer: str, end_id: int, kind: str):
     return run
 
 
-def write(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text: str = "text", parts: int | None = None, kind: str = "<u2") -> tuple[str, DataFrame]:
+def parts_for(df: DataFrame, part_bytes: int) -> int:
+    """Partitions for a table that is read from files: by their size, which the plan knows, and no fewer than a shuffle has."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
+
+
+def write(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text: str = "text", parts: int | None = None, kind: str = "<u2", part_bytes: int = PART_BYTES) -> tuple[str, DataFrame]:
     """The folder, and its parts: part, n_docs, n_tokens, base. kind: "<u2" where all ids are below 65,536, else "<u4"."""
     spark = df.sparkSession
     folder = new_folder(spark, "tokens")
     fs, root = _file_system(folder)
     fs.create_dir(root, recursive=True)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
+    rows = steady(rows, "rows")  # the place that tells equal rows apart has to be the same when a task runs again
+    parts = parts or parts_for(rows, part_bytes)
+    keyed = rows.select("id", "text", F.substring("text", 1, HEAD).alias("head"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    ordered = keyed.repartitionByRange(parts, "id", "head", "hash", "place").sortWithinPartitions("id", "head", "hash").select("id", "text")
     # Writing happens once, while this table of a row for each partition is made.
     made = written(ordered.mapInArrow(_writer(folder, tokenizer, end_id, kind), "part long, n_docs long, n_tokens long"), "token-parts")
     base, with_base = 0, []
@@ -196,27 +211,29 @@ def write(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", te
     return folder, spark.createDataFrame(with_base, "part long, n_docs long, n_tokens long, base long")
 
 
-def _range(fs: pafs.FileSystem, path: str, kind: str, mapped: bool) -> np.ndarray:
-    if mapped:
-        return np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.zeros(0, kind)
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype=kind)
+def _numbers(fs: pafs.FileSystem, path: str, kind: str, opened: ExitStack) -> Callable[[int, int], np.ndarray]:
+    """The numbers of a file from one place to another: mapped where the file is local, else read as that range."""
+    if isinstance(fs, pafs.LocalFileSystem):
+        every = np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.zeros(0, kind)
+        return lambda a, b: every[a:b]
+    file, size = opened.enter_context(fs.open_input_file(path)), np.dtype(kind).itemsize
+    return lambda a, b: np.frombuffer(file.read_at(int(b - a) * size, int(a) * size), dtype=kind)
 
 
 def _reader(folder: str, kind: str, row, names: list[str]):
     def run(batches):
         fs, root = _file_system(folder)
-        mapped = isinstance(fs, pafs.LocalFileSystem)
         for batch in batches:
-            for part, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                name = f"{root}/{part:06d}"
-                tokens, offsets, docs = (_range(fs, f"{name}.{x}", k, mapped) for x, k in (("tokens", kind), ("offsets", "<i8"), ("docs", "<i8")))
-                for i in range(0, len(docs), 4_096):
-                    j = min(len(docs), i + 4_096)
-                    ids = pa.array(docs[i:j], mask=docs[i:j] == NULL_ID)
-                    values = [row(tokens[offsets[k] : offsets[k + 1]]) for k in range(i, j)]
-                    start, n = base + offsets[i:j], np.diff(offsets[i : j + 1])
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(start), pa.array(n), pa.array(values)], ["doc_id", "start", "n_tokens", *names])
+            for part, base, n_docs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with ExitStack() as opened:
+                    tokens, offsets, docs = (_numbers(fs, f"{root}/{part:06d}.{x}", k, opened) for x, k in (("tokens", kind), ("offsets", "<i8"), ("docs", "<i8")))
+                    for i in range(0, n_docs, CHUNK):
+                        j = min(n_docs, i + CHUNK)
+                        ids, at = docs(i, j), offsets(i, j + 1)
+                        held, cuts = tokens(at[0], at[-1]), at - at[0]
+                        values = [row(held[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                        columns = [pa.array(ids, mask=ids == NULL_ID), pa.array(base + at[:-1]), pa.array(np.diff(at)), pa.array(values)]
+                        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", *names])
 
     return run
 
@@ -227,5 +244,5 @@ def crc32(ids: np.ndarray) -> int:
 
 def read(spark: SparkSession, folder: str, parts: DataFrame, kind: str = "<u2", row=lambda ids: ids.tolist(), column: str = "ids array<long>") -> DataFrame:
     """(doc_id, start, n_tokens, column): one row a document, from the files. row makes the column's value from its ids."""
-    tasks = parts.select("part", "base").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    tasks = parts.select("part", "base", "n_docs").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return tasks.mapInArrow(_reader(folder, kind, row, [column.split()[0]]), f"doc_id long, start long, n_tokens long, {column}")

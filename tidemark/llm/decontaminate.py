@@ -2,12 +2,19 @@
 
 Texts are lower-cased and cut into words (ASCII punctuation and white space end a word). Every n-gram of an item is
 a seed, however many documents have it: whether a document is contaminated depends on its own words alone, not on
-how many copies of it there are. A scan joins passages to items over the seeds, groups the hits of a document and
+how many copies of it there are. Rare is a seed that at most FEW items of a size have. A scan joins passages to items
+over the rare seeds, groups the hits of a document and
 an item by their diagonal, and aligns the item with the words around each group, then again with what is left on
 both sides of a passage found. The score is the local alignment's share of the item's own score: edited and
 reordered copies keep most of it. Hits on phrases that everyone writes are cheap: an alignment scores at most MATCH
 for each word that both sides have, so a stretch with too few words of the item is passed over without loss.
 
+A phrase that more items share leads to an item only where the item's rarest words stand nearby. By pigeonhole that
+loses nothing within the bound of `contaminated`: an alignment of `least` of an item without any rare seed matches so many words of its L (`words_needed`)
+that two or more of the L - words_needed + 2 rarest ones are among them, and it lies within (3 - 2 least) L words of any seed that
+it holds. Then all words of the item are looked up there. Words are ordered by how often the items have them, so what a phrase
+costs at one of its places follows the items that share further words with that place, not all items that share the phrase.
+
 Test items are the stated query set. They are taken in blocks of about `block` items and `block_bytes` of text at most,
 so what is broadcast has a bound; documents are never shuffled.
 
@@ -31,11 +38,34 @@ from . import arrays
 MATCH, MISMATCH, GAP = 2, -1, -1
 _WORD_BYTE = np.isin(np.arange(256), [*range(48, 58), *range(97, 123), *range(65, 91), *range(128, 256)])
 _TABLE_BITS = 20
+FEW = 64  # a seed is rare if no more items of a size (a power of two) have it
+NEARBY = 2  # rarest words that have to stand near a seed that is not rare
+SITE = 16  # places of such seeds within so many words are looked at together
+_PAIRS = 1 << 20  # pairs of a place and a word, or an item, that are looked at together
+
+
+@dataclass(frozen=True)
+class Shared:
+    """Seeds that are not rare. A run is one seed in the items of one size; a member is an item of a run."""
+
+    first: np.ndarray  # where the runs of each n-gram begin
+    size: np.ndarray  # of each run
+    reach: np.ndarray  # of each size: words before and after a seed that an alignment can cover
+    member: np.ndarray  # run * items + item, sorted
+    member_first: np.ndarray  # where each member's places begin
+    place: np.ndarray
+    keys: np.ndarray  # rarest words, with their item's size (sorted)
+    key_first: np.ndarray  # where each one's items begin
+    item: np.ndarray
+    times: np.ndarray  # how often the word is among the item's rarest ones
+    table: np.ndarray  # of the low bits of all rarest words
+    seeds: np.ndarray  # of each item: how many of its n-grams are not rare
+    needed: np.ndarray  # of each item: words that have to be near
 
 
 @dataclass(frozen=True)
 class Items:
-    """Test items as arrays: ids, word hashes with offsets, and n-grams (sorted) with where they occur."""
+    """Test items as arrays: ids, word hashes with offsets, and n-grams (sorted) with where rare ones occur."""
 
     ids: list
     words: np.ndarray
@@ -44,11 +74,54 @@ class Items:
     gram_first: np.ndarray  # where each n-gram's places begin
     item: np.ndarray
     place: np.ndarray
+    shared: Shared
 
     def table(self) -> np.ndarray:
-        out = np.zeros(1 << _TABLE_BITS, bool)
-        out[self.grams & np.uint64((1 << _TABLE_BITS) - 1)] = True
-        return out
+        return _table(self.grams)
+
+
+def _table(hashes: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << _TABLE_BITS, bool)
+    out[_low(hashes)] = True
+    return out
+
+
+def _low(hashes: np.ndarray) -> np.ndarray:
+    return hashes & np.uint64((1 << _TABLE_BITS) - 1)
+
+
+def _firsts(counts: np.ndarray) -> np.ndarray:
+    return np.r_[0, np.cumsum(counts)].astype(np.int64)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the row before."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of first[row], first[row] + 1, ... n[row] of them."""
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+
+def _pieces(n: np.ndarray) -> Iterator[slice]:
+    """Slices of rows of which each has n of something: about _PAIRS together, or a row."""
+    ends, i = np.cumsum(n), 0
+    while i < len(n):
+        done = ends[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, done + _PAIRS, side="right")))
+        yield slice(i, j)
+        i = j
+
+
+def _sized(words: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A word's hash together with a size."""
+    return arrays.mixed(words + size.astype(np.uint64) * np.uint64(arrays.BASES[0]))
 
 
 def _hashed(data, offsets):
@@ -56,7 +129,7 @@ def _hashed(data, offsets):
     return arrays.word_hashes(data, starts, ends), first
 
 
-def items_of(ids: list, texts: list, seed: int) -> Items:
+def items_of(ids: list, texts: list, seed: int, least: float = 0.5) -> Items:
     """texts: lower-cased."""
     column = pa.array([t or "" for t in texts], pa.string())
     hashes, firsts, at = [], [0], 0
@@ -66,12 +139,48 @@ def items_of(ids: list, texts: list, seed: int) -> Items:
         firsts += (first[1:] + at).tolist()
         at += len(h)
     words, first = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.array(firsts)
+    lengths = np.diff(first)
+    size = np.frexp(np.maximum(lengths, 1))[1].astype(np.int64)
     grams = arrays.window_hashes(words, seed)
     where = np.flatnonzero(arrays.window_starts(first, seed, len(words)))
-    where = where[np.argsort(grams[where], kind="stable")]
-    unique, begin = np.unique(grams[where], return_index=True)
     item = np.searchsorted(first, where, side="right") - 1
-    return Items(ids, words, first, unique, np.r_[begin, len(where)], item, where - first[item])
+    order = np.lexsort((where, size[item], grams[where]))
+    where, item = where[order], item[order]
+    gram, place = grams[where], where - first[item]
+    unique, of_gram = np.unique(gram, return_inverse=True)
+    new = _changes(gram, size[item])
+    run = np.cumsum(new) - 1
+    often = np.bincount(run[_changes(run, item)], minlength=new.sum()) > FEW
+    rare = ~often[run]
+    gram_first = _firsts(np.bincount(of_gram[rare], minlength=len(unique)))
+
+    runs = np.flatnonzero(new)[often]
+    code = (np.cumsum(often) - 1)[run[~rare]] * len(ids) + item[~rare]
+    begin = np.flatnonzero(_changes(code))
+    # The rarest words of the items that have such seeds.
+    seeds = np.bincount(item[~rare], minlength=len(ids))
+    needed = np.maximum(np.maximum(least * lengths, words_needed(lengths, seeds, seed, least)), seed)
+    needed = np.ceil(needed - 1e-9).astype(np.int64)
+    some = np.unique(item[~rare])
+    row, token = _ranges(first[some], lengths[some])
+    _, word, times = np.unique(words[token], return_inverse=True, return_counts=True)
+    order = np.lexsort((word, times[word], row))
+    row, token = row[order], token[order]  # rows stay together, so a token's rank is its distance from its row's first
+    chosen = np.arange(len(row)) - _firsts(lengths[some])[row] < (lengths - needed + NEARBY)[some][row]
+    owner, key = some[row[chosen]], words[token[chosen]]
+    table, key = _table(key), _sized(key, size[owner])
+    order = np.lexsort((owner, key))
+    owner, key = owner[order], key[order]
+    pair = np.flatnonzero(_changes(key, owner))
+    times, owner, key = np.diff(np.r_[pair, len(key)]), owner[pair], key[pair]
+    keys, counts = np.unique(key, return_counts=True)
+    longest = np.zeros(64, np.int64)
+    np.maximum.at(longest, size, lengths)
+    shared = Shared(
+        np.searchsorted(of_gram[runs], np.arange(len(unique) + 1)), size[item[runs]], np.ceil((3 - 2 * least) * longest).astype(np.int64),
+        code[begin], np.r_[begin, len(code)], place[~rare], keys, _firsts(counts), owner, times, table, seeds, needed,
+    )
+    return Items(ids, words, first, unique, gram_first, item[rare], place[rare], shared)
 
 
 def hits(items: Items, table: np.ndarray, hashes: np.ndarray, first: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +197,72 @@ def hits(items: Items, table: np.ndarray, hashes: np.ndarray, first: np.ndarray,
     return at[whole], place[whole]
 
 
+def _words_in(items: Items, item: np.ndarray, around: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """How many of the words of each item are around its place. around: words with the number of the place (sorted, not empty)."""
+    of, token = _ranges(items.first[item], np.diff(items.first)[item])
+    key = _sized(items.words[token], place[of])
+    there = around[np.minimum(np.searchsorted(around, key), len(around) - 1)] == key
+    return np.bincount(of[there], minlength=len(item))
+
+
+def enough_words(items: Items, item: np.ndarray, hashes: np.ndarray, low: np.ndarray, high: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Whether `need` words of the item are among those from low to high, for each of many stretches (as most_common, but words may be used twice)."""
+    out = np.zeros(len(item), bool)
+    for some in _pieces(high - low + np.diff(items.first)[item]):
+        row, word = _ranges(low[some], (high - low)[some])
+        around = np.unique(_sized(hashes[word], row))
+        out[some] = _words_in(items, item[some], around, np.arange(some.stop - some.start)) >= need[some]
+    return out
+
+
+def near_rare_words(items: Items, at: np.ndarray, gram: np.ndarray, hashes: np.ndarray, first: np.ndarray, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(word position, item, place in the item) of the hits on seeds that are not rare, where the item's rarest words are near."""
+    shared, n_items = items.shared, len(items.ids)
+    row, run = _ranges(shared.first[gram], np.diff(shared.first)[gram])
+    if not len(run):
+        return
+    at, size = at[row], shared.size[run]
+    document = np.searchsorted(first, at, side="right") - 1
+    order = np.lexsort((at, document, size))
+    at, run, size, document = at[order], run[order], size[order], document[order]
+    begin = np.flatnonzero(_changes(size, document, at // SITE))  # of each site, its first hit
+    hit_first, reach = np.r_[begin, len(at)], shared.reach[size[begin]]
+    low = np.maximum(first[document[begin]], at[begin] - reach)
+    high = np.minimum(first[document[begin] + 1], at[hit_first[1:] - 1] + seed + reach)
+    listed = np.flatnonzero(shared.table[_low(hashes)])
+    from_, to = np.searchsorted(listed, low), np.searchsorted(listed, high)
+    for part in _pieces(high - low):
+        # Words near each site that are among the rarest of an item of this size, once each.
+        site, word = _ranges(from_[part], (to - from_)[part])
+        key = _sized(hashes[listed[word]], size[begin[part]][site])
+        found = np.minimum(np.searchsorted(shared.keys, key), len(shared.keys) - 1)
+        same = shared.keys[found] == key
+        site, found = np.divmod(np.unique(site[same] * len(shared.keys) + found[same]), len(shared.keys))
+        n = np.bincount(site, np.diff(shared.key_first)[found], minlength=part.stop - part.start).astype(np.int64)
+        edge = np.searchsorted(site, np.arange(len(n) + 1))
+        row, word = _ranges(low[part], (high - low)[part])
+        around = np.unique(_sized(hashes[word], row))  # all words near each site
+        for piece in _pieces(n):
+            span = slice(edge[piece.start], edge[piece.stop])
+            of, posting = _ranges(shared.key_first[found[span]], np.diff(shared.key_first)[found[span]])
+            pair, times = site[span][of] * n_items + shared.item[posting], shared.times[posting]
+            order = np.argsort(pair)
+            starts = np.flatnonzero(_changes(pair[order]))
+            near = np.add.reduceat(times[order], starts) if len(starts) else starts
+            pair = pair[order][starts][near >= NEARBY]
+            for some in _pieces(np.diff(items.first)[pair % n_items]):
+                place, item = np.divmod(pair[some], n_items)
+                good = _words_in(items, item, around, place) >= shared.needed[item]
+                place, item = place[good] + part.start, item[good]
+                of, hit = _ranges(hit_first[place], np.diff(hit_first)[place])
+                code = run[hit] * n_items + item[of]
+                member = np.minimum(np.searchsorted(shared.member, code), len(shared.member) - 1)
+                same = shared.member[member] == code
+                of, hit, member = of[same], hit[same], member[same]
+                each, begin_at = _ranges(shared.member_first[member], np.diff(shared.member_first)[member])
+                yield at[hit][each], item[of][each], shared.place[begin_at]
+
+
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     """Smith-Waterman over word hashes: (best score, start, end) in words."""
 
@@ -149,11 +324,13 @@ def _matched(shared, seed: int, least: float, id_type: str):
                 at, gram = hits(items, table, hashes, first, seed)
                 if not len(at):
                     continue
-                n = np.diff(items.gram_first)[gram]
-                flat = np.repeat(items.gram_first[gram] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                position, item = np.repeat(at, n), items.item[flat]
+                row, flat = _ranges(items.gram_first[gram], np.diff(items.gram_first)[gram])
+                followed = [(at[row], items.item[flat], items.place[flat]), *near_rare_words(items, at, gram, hashes, first, seed)]
+                position, item, place = (np.concatenate(x) for x in zip(*followed, strict=True))
+                if not len(position):
+                    continue
                 document = np.searchsorted(first, position, side="right") - 1
-                diagonal = position - items.place[flat]
+                diagonal = position - place
                 order = np.lexsort((diagonal, item, document))
                 document, item, diagonal = document[order], item[order], diagonal[order]
                 size = np.diff(items.first)[item]
@@ -162,14 +339,17 @@ def _matched(shared, seed: int, least: float, id_type: str):
                 cuts = np.flatnonzero(new)
                 pairs = np.flatnonzero(np.r_[True, (np.diff(document) != 0) | (np.diff(item) != 0)])
                 total = np.repeat(np.diff(np.r_[pairs, len(item)]), np.diff(np.r_[pairs, len(item)]))  # hits of the document and the item
-                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(new)], strict=True):
-                    d, k = document[a], item[a]
-                    low = max(first[d], diagonal[a] - slack[a])
-                    high = min(first[d + 1], diagonal[b - 1] + size[a] + slack[a])
-                    need = words_needed(int(size[a]), int(total[a]), seed, least)
-                    for score, start, end in passages(items.words[items.first[k] : items.first[k + 1]], hashes[low:high], least, need):
-                        rows.append(i + int(d))
-                        found.append((items.ids[k], score, int(low - first[d] + start), int(low - first[d] + end)))
+                a, b = cuts, np.r_[cuts[1:], len(new)] - 1
+                d, k = document[a], item[a]
+                low = np.maximum(first[d], diagonal[a] - slack[a])
+                high = np.minimum(first[d + 1], diagonal[b] + size[a] + slack[a])
+                need = np.maximum(words_needed(size[a], total[a] + items.shared.seeds[k], seed, least), least * size[a])  # hits that were not followed count
+                for g in np.flatnonzero(enough_words(items, k, hashes, low, high, need)).tolist():
+                    words = items.words[items.first[k[g]] : items.first[k[g] + 1]]
+                    for score, start, end in passages(words, hashes[low[g] : high[g]], least, float(need[g])):
+                        at_word = int(low[g] - first[d[g]])
+                        rows.append(i + int(d[g]))
+                        found.append((items.ids[k[g]], score, at_word + start, at_word + end))
             if rows:
                 # A passage found from two groups of seeds is reported once: the better one, then the first.
                 best: dict = {}
@@ -205,7 +385,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     out = None
     for b in range(blocks):
         part = named.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
-        got = items_of(part["item_id"].to_pylist(), part["text"].to_pylist(), seed)
+        got = items_of(part["item_id"].to_pylist(), part["text"].to_pylist(), seed, least)
         found = lower.mapInArrow(_matched(sc.broadcast((got, got.table())), seed, least, part["item_id"].type), schema)
         out = found if out is None else out.union(found)
     return out

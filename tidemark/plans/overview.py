@@ -81,8 +81,14 @@ def compared_regions(receipts: DataFrame, production: DataFrame, budget: DataFra
 
 
 def source_rollup(facts: DataFrame, register: DataFrame, keys: list[str], foreign: str, label: str) -> DataFrame:
-    """Per key: latest period, and the distinct labels of the sources in use then."""
-    now = latest_period(facts, keys).filter("period = latest_period")
+    """Per key: latest period, and the distinct labels of the sources in use then.
+
+    Keys may be few and facts many: a source is in use at a key's latest period if its own latest is that one, so a row a
+    source is left before anything meets by key."""
+    used = facts.groupBy(*keys, foreign).agg(F.max("period").alias("period"))
+    latest = used.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("period").alias("_period"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col("period") == F.col("_period"))
+    now = used.join(latest, same, "left_semi")
     named = now.join(register.select(F.col("source_id").alias(foreign), label), foreign, "left")
     return named.groupBy(*keys).agg(F.max("period").alias("period"), F.count_distinct(foreign).alias("n_sources"), F.array_join(F.sort_array(F.collect_set(label)), ", ").alias("labels"))
 

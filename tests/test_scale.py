@@ -4,7 +4,9 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from tidemark.plans import overview
+from tidemark.contracts import CONTRACTS
+from tidemark.plans import build, overview
+from tidemark.sources import publish
 
 
 def test_source_rollup_meets_by_key_only_as_sources(spark):
@@ -18,3 +20,22 @@ def test_source_rollup_meets_by_key_only_as_sources(spark):
     many = spark.range(1000).select(F.lit("x").alias("k"), F.col("id").cast("string").alias("sid"), F.lit(a).alias("period"))
     plan = overview.source_rollup(many, register, ["k"], "sid", "name")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
+
+
+def test_a_build_computes_its_tables_once(spark, tmp_path):
+    """The gate asks whether core tables are empty from the rows that were written; events are those of before."""
+    n = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def seen(x):
+        n.add(1)
+        return True
+
+    names = {"region_id", "period", "budget_level", "revenue_code", "source_id", "source_vintage", "actual_ytd_rub", "quality_status"}
+    df = spark.range(40).select(F.col("id").cast("string").alias("region_id"), F.lit(date(2026, 3, 31)).alias("period"), F.lit("x").alias("budget_level"), F.lit("1").alias("revenue_code"), F.lit("s").alias("source_id"), F.lit("2026").alias("source_vintage"), F.lit(1.0).alias("actual_ytd_rub"), F.lit("verified").alias("quality_status"))
+    df = df.select(*[(F.col(f.name) if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in CONTRACTS["budget_execution"]])
+    build.build_and_promote({"budget_execution": df.filter(seen("region_id"))}, f"{tmp_path}/out")
+    assert n.value == 40
+    _, told, events = publish.snapshot(spark, f"{tmp_path}/out")
+    assert told.first()["n_rows"] == 40
+    assert [tuple(r) for r in events.filter("check_id = 'core_table_not_empty'").collect()] == [("core_table_not_empty", "budget_execution", "critical", "passed", 0, 0)]

@@ -20,8 +20,8 @@ def build(tables: dict[str, DataFrame], sources: Sequence[DataFrame] = (), rejec
 
     sources: registers of several readers, of which the last row of an id stays. rejects: a column `reason` for each file
     that was left out. budget_pit: the revenue code whose budget amounts receipts are reconciled with. An empty core
-    table is critical; other gaps are warnings. generic: whether each table's own checks are among the events; they need not be where `promote`
-    makes them while it writes.
+    table is critical; other gaps are warnings. generic: whether each table's own checks, and whether core tables are empty, are among the
+    events; they need not be where `promote` makes them while it writes.
     """
     tables = dict(tables)
     if sources:
@@ -31,7 +31,7 @@ def build(tables: dict[str, DataFrame], sources: Sequence[DataFrame] = (), rejec
     if rejects is None and core:
         rejects = next(iter(core.values())).select(F.lit("none").alias("reason")).limit(0)
     if rejects is not None:
-        events.append(quality.source_coverage(rejects, "reason", core))
+        events.append(quality.source_coverage(rejects, "reason", core if generic else {}))
     if budget_pit and {"pit_receipts", "budget_execution"} <= set(tables):
         budget = tables["budget_execution"].filter(F.col("revenue_code") == budget_pit)
         gaps = quality.reconcile(tables["pit_receipts"], budget, ["region_id", "period"], "pit_ytd_rub", "actual_ytd_rub")
@@ -40,6 +40,6 @@ def build(tables: dict[str, DataFrame], sources: Sequence[DataFrame] = (), rejec
 
 
 def build_and_promote(tables: dict[str, DataFrame], folder: str, **more) -> DataFrame:
-    """The manifest of the snapshot under `folder`; nothing is written where a check blocks."""
+    """The manifest of the snapshot under `folder`; nothing is published where a check blocks."""
     tables, events = build(tables, generic=False, **more)
-    return promote(tables, events, folder)
+    return promote(tables, events, folder, CORE)

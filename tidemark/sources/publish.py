@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,10 +57,10 @@ def staged(name: str, df: DataFrame, path: str) -> tuple[list[tuple], tuple]:
     return events, (name, n, got.get("earliest"), got.get("latest"), entities)
 
 
-def promote(tables: dict[str, DataFrame], events: DataFrame | None, folder: str) -> DataFrame:
+def promote(tables: dict[str, DataFrame], events: DataFrame | None, folder: str, core: Sequence[str] = ()) -> DataFrame:
     """Publishes a snapshot of all tables under `folder`, which must not exist, or nothing; returns its manifest.
 
-    events: those of checks made before, which are read first. Then every table is written to a staging folder beside `folder` while it is
+    events: those of checks made before, which are read first, and once. core: tables that must not be empty, by the rows written. Then every table is written to a staging folder beside `folder` while it is
     checked, so that a table is read once for its checks, its grain, its summary and its files. When all tables are there and no check
     blocks, the manifest is written as the last file and the staging folder gets its name in one step, which fails if the name is
     taken. Until then nobody sees a snapshot; whatever fails before takes the staging folder along. A store without an atomic rename shows
@@ -68,8 +69,10 @@ def promote(tables: dict[str, DataFrame], events: DataFrame | None, folder: str)
     store = Store(spark, folder)
     if store.exists(folder):
         raise FileExistsError(f"{folder} already exists")
-    if events is not None:
-        quality.gate(events)
+    names = [c.split()[0] for c in quality.EVENT.split(", ")]
+    before = [] if events is None else [tuple(r) for r in events.select(*names).collect()]
+    if before:
+        quality.gate(spark.createDataFrame(before, quality.EVENT))
     staging = f"{folder.rstrip('/')}.staging-{uuid.uuid4().hex}"
     try:
         rows, summaries = [], []
@@ -77,9 +80,10 @@ def promote(tables: dict[str, DataFrame], events: DataFrame | None, folder: str)
             found, one = staged(name, df, f"{staging}/{name}.parquet")
             rows += found
             summaries.append(one)
-        made = spark.createDataFrame(rows, quality.EVENT)
-        quality.gate(made)
-        every = [r.asDict() for r in (made if events is None else events.select(made.columns).unionByName(made)).collect()]
+        empty = {one[0]: int(one[1] == 0) for one in summaries if one[0] in core}
+        rows = [("core_table_not_empty", name, "critical", "failed" if n else "passed", n, 0) for name, n in empty.items()] + rows
+        quality.gate(spark.createDataFrame(rows, quality.EVENT))
+        every = [dict(zip(names, e, strict=True)) for e in before + rows]
         told = [dict(zip([c.split()[0] for c in SUMMARY.split(", ")], one, strict=True)) for one in summaries]
         store.put(f"{staging}/{MANIFEST}", json.dumps({"tables": told, "events": every}, ensure_ascii=False, indent=1, default=date.isoformat).encode())
         store.rename(staging, folder)

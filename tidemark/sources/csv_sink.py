@@ -1,4 +1,4 @@
-"""CSV files for readers outside Spark, as a data source that can be written: one file a partition, and a manifest of them.
+"""CSV files for readers outside Spark, as a data source that can be written: files of about FILE_BYTES of text, and a manifest of them.
 
 UTF-8 with a byte-order mark, a header, empty for null, ISO dates, floating point numbers with 17 digits, quotes where needed, plain or
 gzip; equal rows give equal bytes. A task hashes what it writes while it writes it and sends name, rows, bytes and hash along as its commit
@@ -26,6 +26,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.types import StructType
 
 MANIFEST, MARK = "_manifest.json", "﻿"
+#: Text of a file before it is packed, after which a partition's rows go on in a next file, so that readers which take files whole stay small.
+FILE_BYTES = 32 << 20
 
 
 def _store(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -49,6 +51,21 @@ def cell(value) -> str:
     return str(value)
 
 
+def cells(column: pa.Array) -> list[str]:
+    """The texts of a column, made once for each of its distinct values."""
+    if pa.types.is_null(column.type) or pa.types.is_interval(column.type):
+        return [cell(x) for x in column.to_pylist()]
+    if pa.types.is_floating(column.type):  # by their bits: zeros of both signs are values of their own
+        bits = pa.int64() if column.type.bit_width == 64 else pa.int32()
+        coded = column.view(bits).dictionary_encode()
+        values = coded.dictionary.view(column.type)
+    else:
+        coded = column.dictionary_encode()
+        values = coded.dictionary
+    texts = [cell(x) for x in values.to_pylist()]
+    return [texts[i] if i is not None else "" for i in coded.indices.to_pylist()]
+
+
 class _Hashed(io.RawIOBase):
     """A stream that knows how many bytes went through it, and their hash."""
 
@@ -73,43 +90,55 @@ class Written(WriterCommitMessage):
     sha256: str
 
 
+@dataclass
+class Parts(WriterCommitMessage):
+    """What one task wrote."""
+
+    files: list[Written]
+
+
 class CsvWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, schema: StructType):
         self.folder, self.names, self.sep = options["path"], schema.names, options.get("sep", ",")
         self.suffix = ".csv.gz" if options.get("compression", "none").lower() == "gzip" else ".csv"
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Parts:
         store, root = _store(self.folder)
         store.create_dir(root, recursive=True)
-        name, rows = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}{self.suffix}", 0
-        with store.open_output_stream(f"{root}/{name}", compression=None) as raw:
-            hashed = _Hashed(raw)
-            packed = gzip.GzipFile("", "wb", fileobj=hashed, mtime=0) if self.suffix.endswith("gz") else hashed
-            text = io.TextIOWrapper(io.BufferedWriter(packed, 1 << 20), encoding="utf-8", newline="")
-            text.write(MARK)
-            lines = csv.writer(text, delimiter=self.sep, lineterminator="\n")
-            lines.writerow(self.names)
-            for batch in iterator:
-                columns = [[cell(x) for x in c.to_pylist()] for c in batch.columns]
-                lines.writerows(zip(*columns, strict=True))
-                rows += batch.num_rows
-            text.flush()
-            if packed is not hashed:
-                text.detach().flush()
-                packed.close()
-        return Written(name, rows, hashed.bytes, hashed.hash.hexdigest())
-
-    def commit(self, messages: list[Written | None]) -> None:
+        iterator = iter(iterator)
+        made, batch = [], next(iterator, None)
+        while batch is not None or not made:
+            name, rows = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}{self.suffix}", 0
+            with store.open_output_stream(f"{root}/{name}", compression=None) as raw:
+                hashed = _Hashed(raw)
+                packed = gzip.GzipFile("", "wb", 6, fileobj=hashed, mtime=0) if self.suffix.endswith("gz") else None
+                text = io.TextIOWrapper(io.BufferedWriter(packed or hashed, 1 << 20), encoding="utf-8", newline="")
+                text.write(MARK)
+                lines = csv.writer(text, delimiter=self.sep, lineterminator="\n")
+                lines.writerow(self.names)
+                while batch is not None and (packed.tell() if packed else hashed.bytes) < FILE_BYTES:
+                    lines.writerows(zip(*map(cells, batch.columns), strict=True))
+                    rows += batch.num_rows
+                    batch = next(iterator, None)
+                text.flush()
+                if packed:
+                    text.detach().flush()
+                    packed.close()
+            made.append(Written(name, rows, hashed.bytes, hashed.hash.hexdigest()))
+        return Parts(made)
+
+    def commit(self, messages: list[Parts | Written | None]) -> None:
         store, root = _store(self.folder)
-        made = sorted((m for m in messages if m is not None), key=lambda m: m.file)
+        made = sorted((f for m in messages if m is not None for f in getattr(m, "files", [m])), key=lambda f: f.file)
+        names = {f.file for f in made}
         store.create_dir(root, recursive=True)
         for found in store.get_file_info(pafs.FileSelector(root)):
-            if found.base_name not in {m.file for m in made}:
+            if found.base_name not in names:
                 store.delete_file(found.path)
         with store.open_output_stream(f"{root}/{MANIFEST}", compression=None) as out:
-            out.write(json.dumps([asdict(m) for m in made], indent=1).encode())
+            out.write(json.dumps([asdict(f) for f in made], indent=1).encode())
 
-    def abort(self, messages: list[Written | None]) -> None:
+    def abort(self, messages: list[Parts | Written | None]) -> None:
         store, root = _store(self.folder)
         if store.get_file_info(root).type != pafs.FileType.NotFound:
             store.delete_dir(root)

@@ -1,12 +1,15 @@
 """Steps whose cost must not follow the size of one group, file or key."""
 
+import tracemalloc
 from datetime import date
+from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.contracts import CONTRACTS
 from tidemark.plans import build, overview
-from tidemark.sources import publish
+from tidemark.sources import csv_sink, files, publish
 
 
 def test_source_rollup_meets_by_key_only_as_sources(spark):
@@ -39,3 +42,34 @@ def test_a_build_computes_its_tables_once(spark, tmp_path):
     _, told, events = publish.snapshot(spark, f"{tmp_path}/out")
     assert told.first()["n_rows"] == 40
     assert [tuple(r) for r in events.filter("check_id = 'core_table_not_empty'").collect()] == [("core_table_not_empty", "budget_execution", "critical", "passed", 0, 0)]
+
+
+def test_a_partition_is_written_as_many_files(spark, tmp_path):
+    """Readers that take files whole don't get a whole partition: rows go on in a next file."""
+    df = spark.range(900_000).coalesce(1).select("id", F.repeat(F.lit("x"), 60).alias("text"))
+    told = publish.write_csv(df, f"{tmp_path}/out").collect()
+    assert len(told) > 1 and sum(r.rows for r in told) == 900_000 and max(r.bytes for r in told) < csv_sink.FILE_BYTES + (2 << 20)
+    back = files.read_delimited(spark, f"{tmp_path}/out", "id long, text string")
+    assert back.agg(F.count("*"), F.sum("id"), F.min("text"), F.max("text")).first() == (900_000, 900_000 * 899_999 // 2, "x" * 60, "x" * 60)
+    packed = publish.write_csv(df, f"{tmp_path}/gz", compressed=True)
+    found = {r.source_file: r.sha256 for r in publish.checksums(spark, f"{tmp_path}/gz", "*.csv.gz").collect()}
+    assert len(found) > 1 and found == {r.source_file: r.sha256 for r in packed.collect()}
+
+
+def test_a_file_is_parsed_as_a_stream():
+    """What is held beside the payload doesn't follow the file's size."""
+    line = "1;ä\r\n" + '"a\r\nb";\n'
+    payload = pa.array([("\ufeffk;v\n" + line * 300_000).encode(), b"", b"k,v\r1,2\r", b"k,v\n\xff,2"], pa.binary())
+    tracemalloc.start()
+    n, seen = 0, []
+    for b in files._records(2, "UTF-8")([pa.record_batch([payload], ["content"])]):
+        n += len(b)
+        seen = [*seen[:2], *zip(*(c.to_pylist() for c in b.columns))][:2] + [r for r in zip(*(c.to_pylist() for c in b.columns))][-1:]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 600_002 and seen == [("1", "ä"), ("a\r\nb", None), ("\ufffd", "2")] and peak < 20_000_000
+
+
+def test_cells_are_those_of_each_value():
+    columns = [[0.0, -0.0, None, float("nan"), 1e300, 0.1], ["a", None, "", "a"], [date(2024, 1, 2), None, date(2024, 1, 2)], [True, False, None], [Decimal("1.10"), None], [None, None], [5, None, -5]]
+    assert [csv_sink.cells(pa.array(c)) for c in columns] == [[csv_sink.cell(x) for x in c] for c in columns]

@@ -10,7 +10,7 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -124,8 +124,11 @@ def _records(width: int, encoding: str):
         names = [f"_{i}" for i in range(width)]
         for batch in batches:
             for payload in batch.column(0):
-                body = payload.as_buffer().to_pybytes().decode(encoding, "replace").removeprefix("\ufeff")
-                lines = csv.reader(io.StringIO(body, newline=""), delimiter=separator(body.split("\n", 1)[0]))
+                body = io.TextIOWrapper(pa.BufferReader(payload.as_buffer()), encoding=encoding, errors="replace", newline="")
+                head = [body.readline().removeprefix("\ufeff")]
+                while not head[-1].endswith("\n") and (more := body.readline()):
+                    head.append(more)
+                lines = csv.reader(chain(head, body), delimiter=separator("".join(head)))
                 next(lines, None)
                 while held := list(islice(lines, 20_000)):
                     rows = [[*r[:width], *[""] * (width - len(r))] for r in held if r]

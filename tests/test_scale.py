@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.contracts import CONTRACTS
+from tidemark.functions import text
 from tidemark.plans import build, overview
 from tidemark.sources import csv_sink, files, publish
 
@@ -73,3 +74,14 @@ def test_a_file_is_parsed_as_a_stream():
 def test_cells_are_those_of_each_value():
     columns = [[0.0, -0.0, None, float("nan"), 1e300, 0.1], ["a", None, "", "a"], [date(2024, 1, 2), None, date(2024, 1, 2)], [True, False, None], [Decimal("1.10"), None], [None, None], [5, None, -5]]
     assert [csv_sink.cells(pa.array(c)) for c in columns] == [[csv_sink.cell(x) for x in c] for c in columns]
+
+
+def test_machine_paths_are_looked_for_by_fixed_characters(spark):
+    """The same verdicts as by one expression over the whole text, which is not run on texts without a drive's mark."""
+    shape = r"/(?:Users|home|private|tmp|var/folders)/|(?:^|[^A-Za-z0-9])[A-Za-z]:[\\/]"
+    texts = ["/Users/a", "x /home/b c", "/homes/b", "/private", "/tmp/", "a/var/folders/b", "/var/b", "c:/x", "see D:\\x y", "ab:/x", "1c:/x", "éc:\\x", "https://a.b/c", "c:x", "C:\\", "\nc:/", "/users/a", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", text.sensitive("t")["machine_path"].alias("is"), F.coalesce(F.col("t").rlike(shape), F.lit(False)).alias("want"), text.sanitized("t").alias("clean")).collect()
+    assert [r["is"] for r in got] == [r["want"] for r in got] and sum(r["is"] for r in got) == 9
+    assert [r["clean"] for r in got][:4] == ["a", None, "/homes/b", "/private"] and [r["clean"] for r in got][7:10] == ["x", None, "ab:/x"]
+    assert "(?:Users" not in str(text.sensitive("t")["machine_path"])

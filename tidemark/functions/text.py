@@ -36,7 +36,8 @@ SECRETS = (
     ("user_info_url", r"(?i)https?://[^\s/]+:[^\s/@]+@"),
     ("signed_url", r"(?i)[?&](?:access_token|token|api_key|signature|X-Amz-Signature)=[^\s&]+"),
 )
-MACHINE_PATH = r"/(?:Users|home|private|tmp|var/folders)/|(?:^|[^A-Za-z0-9])[A-Za-z]:[\\/]"
+MACHINE_FOLDERS = ("Users", "home", "private", "tmp", "var/folders")
+DRIVE_PATH = r"(?:^|[^A-Za-z0-9])[A-Za-z]:[\\/]"
 PATH_FIELD = r"(?:^|_)(?:local_path|path|file|filename|candidate)$"
 
 
@@ -141,8 +142,11 @@ def territory_scope(code: Column | str, name: Column | str) -> Column:
 
 def sensitive(x: Column | str) -> dict[str, Column]:
     """For each shape of SECRETS, and for machine_path, whether the text has it."""
-    shapes = (*SECRETS, ("machine_path", MACHINE_PATH))
-    return {name: F.coalesce(_c(x).rlike(shape), F.lit(False)) for name, shape in shapes}
+    t = _c(x)
+    # Folders and drives begin with fixed characters, which are found much faster than by an expression that may start anywhere.
+    drive = (t.contains(":/") | t.contains(":\\")) & t.rlike(DRIVE_PATH)
+    machine = reduce(lambda a, b: a | b, [t.contains(f"/{folder}/") for folder in MACHINE_FOLDERS]) | drive
+    return {name: F.coalesce(t.rlike(shape), F.lit(False)) for name, shape in SECRETS} | {"machine_path": F.coalesce(machine, F.lit(False))}
 
 
 def sanitized(x: Column | str, field: str = "") -> Column:
@@ -154,7 +158,7 @@ def sanitized(x: Column | str, field: str = "") -> Column:
     secret = reduce(lambda a, b: a | b, found.values())
     whole = F.lit(re.search(PATH_FIELD, field) is not None) | t.rlike(r"^[/\\]|^[A-Za-z]:")
     name = basename(F.regexp_replace(F.replace(t, F.lit("\\"), F.lit("/")), "/+$", ""))
-    out = F.when(secret, None).when(t.rlike("^https?://"), t).when(machine & whole, name).when(machine, None)
+    out = F.when(secret, None).when(t.rlike("^https?://"), t).when(machine, F.when(whole, name))
     return out.otherwise(basename(t) if field == "local_path" else t)
 
 

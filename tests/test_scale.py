@@ -4,11 +4,14 @@ import tracemalloc
 from datetime import date
 from decimal import Decimal
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.contracts import CONTRACTS
 from tidemark.functions import text
+from tidemark.llm import simhash
+from tidemark.llm.common import components
 from tidemark.plans import build, overview
 from tidemark.sources import csv_sink, files, publish
 
@@ -85,3 +88,15 @@ def test_machine_paths_are_looked_for_by_fixed_characters(spark):
     assert [r["is"] for r in got] == [r["want"] for r in got] and sum(r["is"] for r in got) == 9
     assert [r["clean"] for r in got][:4] == ["a", None, "/homes/b", "/private"] and [r["clean"] for r in got][7:10] == ["x", None, "ab:/x"]
     assert "(?:Users" not in str(text.sensitive("t")["machine_path"])
+
+
+def test_links_of_a_dense_group_are_a_few_a_text(spark):
+    """Near texts that meet under many keys, and two chains beside them: as few links as nodes ask for, the same components."""
+    rng = np.random.default_rng(5)
+    keyed = [(int(k), int(x)) for k in range(400) for x in rng.choice(400, 40, replace=False)]  # any two differ in 9 bits or less
+    keyed += [(1_000 + i, x) for i in range(30) for x in (1 << 40 | (1 << i) - 1, 1 << 40 | (1 << i + 1) - 1)] + [(2_000, 1 << 60), (2_000, 1 << 60 | 1), (2_001, 3 << 50)]
+    links = [tuple(r) for r in simhash.links_over(spark.createDataFrame(keyed, "key int, fp long").repartition(8), 2_000, 9).collect()]
+    assert len(links) == len(set(links)) < 3 * 400 and all(a > b for a, b in links)
+    found = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    chain = {1 << 40 | (1 << i) - 1: 1 << 40 for i in range(31)}
+    assert found == {x: 0 for x in range(400)} | chain | {1 << 60: 1 << 60, 1 << 60 | 1: 1 << 60}

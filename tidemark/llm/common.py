@@ -58,9 +58,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     down = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    edges = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(least.select("a", "m"))
+    edges = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(least.select("a", "m")).distinct()  # each once, its greater end first
     each_way = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))  # a union would join twice
-    both = written(edges.select("a", "b").select(each_way.alias("edge")).select("edge.*").distinct(), "edges")
+    both = written(edges.select("a", "b").select(each_way.alias("edge")).select("edge.*"), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     for _ in range(max_rounds):
         of = labels.select(F.col("node").alias("b"), F.col("component").alias("seen"))

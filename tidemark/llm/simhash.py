@@ -4,8 +4,8 @@ A fingerprint's 64 bits are cut into three segments of 22, 21 and 21 bits. If tw
 most four bits, at most one segment differs in three or more, so at least one pair of segments differs in two
 or less each; the keys of golay.py then agree in both. Each fingerprint therefore gives, for each of the three
 pairs, all combinations of its segments' codeword indices (1 to 36). Rows that share a key are verified by
-their bits. Equal fingerprints are one row before that. Within a key only a spanning forest of its links
-leaves the task; a key with more than `block` fingerprints is cut finer and dealt out anew, see links_over.
+their bits. Equal fingerprints are one row before that. Of the links of a task's keys only a spanning forest
+leaves it, and the forests of all tasks are thinned once more (`thinned`); a key with more than `block` fingerprints is cut finer and dealt out anew, see links_over.
 
 Defined results: a null text counts as empty, an empty one has fingerprint zero and links like any other; null
 ids count as larger than all others; repeated rows stay; rows that share an id but not the text are texts of their own;
@@ -165,6 +165,10 @@ def _linker(block: int, final: bool, distance: int = DISTANCE):
             hot = np.repeat(sizes > block, sizes) if not final else np.zeros(len(k), bool)
             few = f[~hot]
             rows, roots = links_in_groups(k[~hot], few, distance, *(c[~hot] for c in more))
+            # Texts that are near meet under many keys: one forest stands for the links of all keys of a batch.
+            ends, place = np.unique(few, return_inverse=True)
+            few = ends
+            rows, roots = _tree(_forest(place[rows], place[roots], len(ends)))
             blocks = np.repeat(-(-sizes // block), sizes)[hot].astype(np.int32)
             none = np.zeros(len(rows), np.int64)
             columns = [np.r_[few[rows], f[hot]], np.r_[few[roots], k[hot].astype(np.int64)], np.r_[none.astype(np.int32), blocks], *(np.r_[none, c[hot]] for c in more)]
@@ -188,6 +192,35 @@ def _linker(block: int, final: bool, distance: int = DISTANCE):
     return run
 
 
+def _thin(batches):
+    """(a, b) to links from each node to the smallest one that the task's links reach from it."""
+    held, n = [], 0
+
+    def least():
+        ends, place = np.unique(np.concatenate([np.concatenate(c) for c in zip(*held, strict=True)]), return_inverse=True)
+        label = _forest(place[:n], place[n:], len(ends))
+        rows = np.flatnonzero(label != np.arange(len(ends)))
+        return pa.RecordBatch.from_arrays([pa.array(ends[rows]), pa.array(ends[label[rows]])], ["a", "b"])
+
+    for batch in batches:
+        held.append([np.asarray(c) for c in batch.columns])
+        n += len(batch)
+        if n >= 1_000_000:
+            yield least()
+            held, n = [], 0
+    if n:
+        yield least()
+
+
+def thinned(links: DataFrame) -> DataFrame:
+    """Links (a, b) between longs, reduced to distinct ones (a > b) with the same components.
+
+    A group of n near texts has up to a link a key for each text. They meet by their greater end, and a task keeps one a node, to
+    the smallest node it reaches, which is one of a few in a dense group: n links a task at most, and hardly more than n in all."""
+    ends = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return ends.repartition("a").mapInArrow(tidy(_thin), "a long, b long").distinct()
+
+
 LINKS = "a long, b long, blocks int"
 
 
@@ -221,14 +254,14 @@ def links_over(keyed: DataFrame, block: int, distance: int) -> DataFrame:
     found = written(grouped(keyed, False), "links")
     links, hot = found.filter("blocks = 0").select("a", "b"), found.filter("blocks > 0")
     if hot.isEmpty():
-        return links.distinct()
+        return thinned(links)
     found = written(grouped(hot.select(_finer(distance, bool(more)).alias("key"), F.col("a").alias("fp"), *more), False), "links")
     links, hot = links.union(found.filter("blocks = 0").select("a", "b")), found.filter("blocks > 0")
     # Each pair of blocks of a hot key is a group of its own; a fingerprint goes to all pairs that hold its block.
     mine = F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int")
     dealt = hot.select(F.col("b").alias("key"), F.col("a").alias("fp"), *more, mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "fp", *more)
-    return links.union(grouped(dealt, True).select("a", "b")).distinct()
+    return thinned(links.union(grouped(dealt, True).select("a", "b")))
 
 
 def rooted(classes: DataFrame, links: DataFrame, key: str) -> DataFrame:
@@ -376,7 +409,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", shing
     classes = written(prints.groupBy("th").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tx")).alias("first"), F.min("tx").alias("tx"), F.first("fp").alias("fp"), F.first("more").alias("more"), F.first("words").alias("words"), F.count("*").alias("n")), "classes")
     classes = classes.withColumn("least", F.col("first.doc_id"))
     keyed = classes.select("fp", "more", "words").distinct().mapInArrow(tidy(_keyed_words(words)), "key int, fp long, more long")
-    groups = components(links_over(keyed, 2_000, distance).filter("a <> b"))
+    groups = components(links_over(keyed, 2_000, distance))
     of = classes.join(groups, classes.fp == groups.node, "left").select("th", "tx", F.coalesce("component", "fp").alias("root"))
     several = written(of.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").withColumn("size", F.col("n")), "several")
     members = written(join_classes(of, several, "root"), "members")

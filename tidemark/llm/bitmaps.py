@@ -7,7 +7,7 @@ that are not in the set, so whoever uses it must be right without it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,16 +53,20 @@ def contains(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def filtered(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """The rows of df whose hash may be among those of keys (one column of that name, repeats allowed)."""
+def filtered(df: DataFrame, column: str, keys: DataFrame, then: Callable | None = None, schema: str = "") -> DataFrame:
+    """The rows of df whose hash may be among those of keys (one column of that name, repeats allowed); or what `then`, batches
+    to batches of that schema, makes of them.
+
+    Both run in one Python node: two in a stage would take two Python workers for each task, which stay beside the executor for all later stages."""
     bits = bits_for(keys.count())
     if bits is None:
-        return df.join(keys.distinct(), column, "left_semi")
+        rows = df.join(keys.distinct(), column, "left_semi").select(*df.columns)
+        return rows.mapInArrow(then, schema) if then else rows
     shared = df.sparkSession.sparkContext.broadcast(bitmap(keys, column, bits))
     at = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(contains(shared.value, np.asarray(batch.column(at)))))
+        rows = (batch.filter(pa.array(contains(shared.value, np.asarray(batch.column(at))))) for batch in batches)
+        return then(rows) if then else rows
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(run, schema if then else df.schema)

@@ -32,20 +32,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import give_back, tidy
+from .arrays import SLICE, give_back, tidy
 from .common import steady
 from .pretokens import Splitter
 
 BLOCK_BYTES = 48 << 20
+#: Parts of a block, of some SLICE characters, whose words are put together at once.
+PARTS = 8
 _encodings: dict = {}
 
 
-class _Numbers(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def _packed(numbers: np.ndarray) -> bytes:
     """Numbers below 2^24, byte by byte, so that equal high bytes lie together."""
     planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
@@ -58,72 +54,105 @@ def _unpacked(blob: bytes, n: int) -> np.ndarray:
 
 
 def _blocks(pattern: str, block_bytes: int, words_wanted: bool, id_type: pa.DataType):
-    """(id, text) to a row a distinct word (block, number, word), or a row for each few documents (block, ids, lengths, sequence)."""
+    """(id, text) to a row a distinct word (block, number, word), or a row for each few documents (block, ids, lengths, sequence).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, numbers, size, block = Splitter(pattern), _Numbers(), 0, TaskContext.get().partitionId() << 20
+    Texts are cut a part of the block at a time; a part's words leave Python for an Arrow dictionary at once, and every PARTS
+    parts their dictionaries go on with the block's, whose numbers stay as they are. So a block holds the bytes of its
+    distinct words, and no object for each."""
 
-        def digest():
-            seen = xxhash.xxh64()
-            for w in numbers:
-                seen.update(w.encode())
-                seen.update(b"\0")
-            return seen.intdigest() >> 1
-
-        def last():
-            """The block's digest, as a row of no documents or as a word without a number."""
-            if words_wanted:
-                return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.array([b"%d" % digest()], pa.binary())], ["block", "number", "word"])
-            columns = [pa.array([block], pa.int64()), pa.array([[]], pa.list_(id_type)), pa.array([[]], pa.list_(pa.int32())), pa.array([b"%d" % digest()], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["block", "ids", "lengths", "sequence"])
-
-        def words():
-            keys = list(numbers)
-            for i in range(0, len(keys), 20_000):
-                part = keys[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(part), pa.int64()), pa.array(range(i, i + len(part)), pa.int32()), pa.array([w.encode() for w in part], pa.binary())], ["block", "number", "word"]
-                )
-
-        def documents(ids, held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, block, size = Splitter(pattern), TaskContext.get().partitionId() << 20, 0
+        words, parts = pa.array([], pa.string()), []
+        ids, found, lengths, chars = [], [], [], 0  # of the part
+        held_ids, held_lengths = [], []  # of the parts
+
+        def end_part():
+            parts.append(pa.array(found, pa.string()).dictionary_encode())
+            if not words_wanted:
+                held_ids.append([*ids])
+                held_lengths.append([*lengths])
+            for x in (ids, found, lengths):
+                x.clear()
+
+        def documents(own, sizes, numbers):
             return pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([list(map(len, held))], pa.list_(pa.int32())), pa.array([_packed(np.concatenate(held))], pa.binary())],
+                [pa.array([block], pa.int64()), pa.array([own], pa.list_(id_type)), pa.array([sizes], pa.list_(pa.int32())), pa.array([_packed(np.concatenate(numbers))], pa.binary())],
                 ["block", "ids", "lengths", "sequence"],
             )
 
-        ids, held, n = [], [], 0
+        def numbered():
+            """The block's words so far; yields the parts' documents by their numbers."""
+            nonlocal words
+            known = pa.DictionaryArray.from_arrays(pa.array([], pa.int32()), words)
+            merged = pa.chunked_array([known, *parts]).unify_dictionaries()
+            words = merged.chunk(0).dictionary
+            parts.clear()
+            own, sizes, numbers, n = [], [], [], 0
+            for more, lengths, part in zip(held_ids, held_lengths, merged.chunks[1:], strict=not words_wanted):
+                own += more
+                sizes += lengths
+                numbers.append(np.asarray(part.indices))
+                n += len(part)
+                if n >= 500_000 or len(own) >= 512:
+                    yield documents(own, sizes, numbers)
+                    own, sizes, numbers, n = [], [], [], 0
+            if own:
+                yield documents(own, sizes, numbers)
+            held_ids.clear()
+            held_lengths.clear()
+
+        def ended():
+            """The rest of the block's rows. The last is its digest, as a row of no documents or as a word without a number."""
+            nonlocal words
+            yield from numbered()
+            done, words = words.cast(pa.binary()), pa.array([], pa.string())
+            for i in range(0, len(done) if words_wanted else 0, 20_000):
+                some = done.slice(i, 20_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(np.arange(i, i + len(some), dtype=np.int32)), some], ["block", "number", "word"])
+            if not size:
+                return
+            digest = pa.array([b"%d" % (_digest(done) >> 1)], pa.binary())
+            if words_wanted:
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([-1], pa.int32()), digest], ["block", "number", "word"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([[]], pa.list_(id_type)), pa.array([[]], pa.list_(pa.int32())), digest], ["block", "ids", "lengths", "sequence"])
+
         for batch in batches:
-            for x, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for x, t in zip(batch.column(0), batch.column(1), strict=True):
                 t = t.as_py() or ""
-                found = list(map(numbers.__getitem__, split(t)))
+                cut = split(t)
+                ids.append(x.as_py())
+                lengths.append(len(cut))
+                found += cut
+                chars += len(t)
                 size += len(t) if t.isascii() else len(t.encode())
-                if not words_wanted:
-                    ids.append(x)
-                    held.append(np.array(found, np.uint32))
-                    n += len(found)
-                full = size >= block_bytes
-                if held and (full or n >= 500_000 or len(held) >= 512):
-                    yield documents(ids, held)
-                    ids, held, n = [], [], 0
-                if full or len(numbers) > (1 << 24) - (1 << 20):
-                    if held:
-                        yield documents(ids, held)
-                        ids, held, n = [], [], 0
-                    if words_wanted:
-                        yield from words()
-                    yield last()
-                    numbers.clear()
-                    size, block = 0, block + 1
-        if held:
-            yield documents(ids, held)
-        if words_wanted:
-            yield from words()
-        if size:
-            yield last()
+                if chars >= SLICE or len(ids) >= 512 or size >= block_bytes:
+                    end_part()
+                    chars = 0
+                    full = size >= block_bytes or len(words) + sum(len(p.dictionary) for p in parts) > (1 << 24) - (1 << 20)
+                    if full:
+                        yield from ended()
+                        size, block = 0, block + 1
+                    elif len(parts) >= PARTS:
+                        yield from numbered()
+        if ids:
+            end_part()
+        if parts or len(words):
+            yield from ended()
 
     return run
 
 
+def _digest(words: pa.Array) -> int:
+    """Of the words in their order."""
+    seen = xxhash.xxh64()
+    for i in range(0, len(words), 20_000):
+        for w in words.slice(i, 20_000).to_pylist():
+            seen.update(w)
+            seen.update(b"\0")
+    return seen.intdigest()
+
+
 def _encoding(path: str, pattern: str):
     """tiktoken's encoding of a rank file; one for each worker."""
     if path not in _encodings:

@@ -413,8 +413,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", shing
     of = classes.join(groups, classes.fp == groups.node, "left").select("th", "tx", F.coalesce("component", "fp").alias("root"))
     several = written(of.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").withColumn("size", F.col("n")), "several")
     members = written(join_classes(of, several, "root"), "members")
-    marked = filtered(named.select("tx", "text"), "tx", members.select("tx"))
-    sets = marked.select("text").mapInArrow(tidy(_sets(shingle)), "th binary, shingles binary").dropDuplicates(["th"])
+    sets = filtered(named.select("text", "tx"), "tx", members.select("tx"), tidy(_sets(shingle)), "th binary, shingles binary").dropDuplicates(["th"])
     # Every two texts of a candidate component meet in a group: a component over `block` is dealt out in pairs of blocks.
     blocks = F.ceil(F.col("size") / block).cast("int")
     mine = F.pmod(F.xxhash64("th"), blocks).cast("int")

@@ -4,11 +4,14 @@ import gzip
 import hashlib
 import json
 import os
-from datetime import date
+from collections import Counter
+from datetime import date, datetime
+from urllib.parse import unquote, urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.queries.files import QUERIES
 from tidemark.sources import csv_sink, files, publish
 
 
@@ -75,6 +78,50 @@ def test_sink_is_whole_or_not_there(spark, tmp_path):
     assert {f for f in os.listdir(tmp_path / "out") if f.startswith("part")} == {m["file"] for m in held}
 
 
+def test_round_trip_is_whole(spark, tmp_path):
+    """No order is left over, and files of all four kinds are written and read."""
+    odd = [(None, "F"), (None, None), ("", None), ("F", ""), ("O", ' a;b,"c"\r\nd '), ("P", '""'), ("P", "1-URGENT"), ("F", "\ufeffé")]
+    rows = [(i if i % 7 else None, odd[i % 8][0], i / 3 if i % 5 else None, datetime(1995, 1, 1 + i % 28) if i % 3 else None, odd[i % 8][1]) for i in range(64)]
+    rows += [(None, None, None, None, None)] * 2
+    df = spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    back = QUERIES["a02_delimited_round_trip"][0](spark, str(tmp_path))
+    assert Counter(tuple(r) for r in back.collect()) == Counter((k, s, v, d and d.date(), p) for k, s, v, d, p in rows)
+    kinds = Counter()
+    for folder in {os.path.dirname(unquote(urlparse(f).path)) for f in back.inputFiles()}:
+        for file, n in publish.csv_manifest(spark, folder).select("source_file", "rows").collect():
+            with (gzip.open if file.endswith(".csv.gz") else open)(f"{folder}/{file}", "rt", encoding="utf-8-sig") as f:
+                kinds[file.endswith(".csv.gz"), files.separator(f.readline())] += n
+    assert len(kinds) == 4 and min(kinds.values()) > 0 and sum(kinds.values()) == len(rows)
+
+
+def test_packed_files(spark, tmp_path):
+    """Packing is found out by content; a packed file that is cut off fails, and isn't read in part."""
+    body = "\ufeffcode;note\n" + "".join(f'{i};"a;{i}"\n' for i in range(5000))
+    (tmp_path / "a.csv").write_bytes(gzip.compress(body[: len(body) // 2].encode()) + gzip.compress(body[len(body) // 2 :].encode()))
+    (tmp_path / "b.csv").write_text("code,note\n5000,a;5000\n")
+    good = F.col("note") == F.concat(F.lit("a;"), "code")
+    assert files.read_delimited(spark, str(tmp_path), "code long, note string").agg(F.count("*"), F.count_distinct("code"), F.bool_and(good)).first()[:] == (5001, 5001, True)
+    (tmp_path / "c.csv").write_bytes(gzip.compress(body.encode())[:-100])
+    with pytest.raises(Exception, match="EOFError"):
+        files.read_delimited(spark, str(tmp_path), "code long, note string").collect()
+
+
+def test_long_fields(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(f"k,text\n1,{'x' * 200_000}\n")
+    assert files.read_delimited(spark, str(tmp_path), "k long, text string").select("k", F.length("text")).collect() == [(1, 200_000)]
+
+
+def test_empty_texts_and_nulls(spark, tmp_path):
+    df = spark.createDataFrame([(1, "", None), (2, None, ""), (None, None, None)], "k long, a string, b string").coalesce(1)
+    told = publish.write_csv(df, f"{tmp_path}/out", sep=";", quoted=True).first()
+    assert (tmp_path / "out" / told.source_file).read_text(encoding="utf-8") == '\ufeff"k";"a";"b"\n"1";"";\n"2";;""\n;;\n'
+    assert Counter(map(tuple, files.read_delimited(spark, f"{tmp_path}/out", "k long, a string, b string", quoted=True).collect())) == Counter(map(tuple, df.collect()))
+    short = "k;a;b\n1\n2;\n3;;;4\n"
+    (tmp_path / "short.csv").write_text(short)
+    assert files.read_delimited(spark, str(tmp_path), "k long, a string, b string", "short.csv", quoted=True).collect() == [(1, None, None), (2, None, None), (3, None, None)]
+
+
 def test_shapes_of_files_in_many_splits(spark, tmp_path):
     wide = "".join(f"{i};b;c\n" if i % 100 else f"{i};b\n" for i in range(1, 20_001))
     (tmp_path / "big.csv").write_text("k;a,b,c;v\n" + wide)  # three commas in a quoteless head: as many as it has

@@ -1,7 +1,7 @@
 """CSV files for readers outside Spark, as a data source that can be written: files of about FILE_BYTES of text, and a manifest of them.
 
-UTF-8 with a byte-order mark, a header, empty for null, ISO dates, floating point numbers with 17 digits, quotes where needed, plain or
-gzip; equal rows give equal bytes. A task hashes what it writes while it writes it and sends name, rows, bytes and hash along as its commit
+UTF-8 with a byte-order mark, a header, empty for null, ISO dates, floating point numbers with 17 digits, quotes where needed (quoted: around
+all but nulls, which tells them from empty texts), plain or gzip; equal rows give equal bytes. A task hashes what it writes while it writes it and sends name, rows, bytes and hash along as its commit
 message; when all tasks are done the driver removes files that no message names (of tasks that ran twice) and writes the manifest last. A
 folder without a manifest is not whole. A job that fails leaves no files. The folder is any that Arrow reaches and all executors share.
 """
@@ -51,10 +51,10 @@ def cell(value) -> str:
     return str(value)
 
 
-def cells(column: pa.Array) -> list[str]:
-    """The texts of a column, made once for each of its distinct values."""
+def cells(column: pa.Array, null: str | None = "") -> list[str | None]:
+    """The texts of a column, made once for each of its distinct values; null: what stands for null."""
     if pa.types.is_null(column.type) or pa.types.is_interval(column.type):
-        return [cell(x) for x in column.to_pylist()]
+        return [cell(x) if x is not None else null for x in column.to_pylist()]
     if pa.types.is_floating(column.type):  # by their bits: zeros of both signs are values of their own
         bits = pa.int64() if column.type.bit_width == 64 else pa.int32()
         coded = column.view(bits).dictionary_encode()
@@ -63,7 +63,7 @@ def cells(column: pa.Array) -> list[str]:
         coded = column.dictionary_encode()
         values = coded.dictionary
     texts = [cell(x) for x in values.to_pylist()]
-    return [texts[i] if i is not None else "" for i in coded.indices.to_pylist()]
+    return [texts[i] if i is not None else null for i in coded.indices.to_pylist()]
 
 
 class _Hashed(io.RawIOBase):
@@ -101,6 +101,7 @@ class CsvWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, schema: StructType):
         self.folder, self.names, self.sep = options["path"], schema.names, options.get("sep", ",")
         self.suffix = ".csv.gz" if options.get("compression", "none").lower() == "gzip" else ".csv"
+        self.quoted = options.get("quoted", "false").lower() == "true"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Parts:
         store, root = _store(self.folder)
@@ -114,10 +115,10 @@ class CsvWriter(DataSourceArrowWriter):
                 packed = gzip.GzipFile("", "wb", 6, fileobj=hashed, mtime=0) if self.suffix.endswith("gz") else None
                 text = io.TextIOWrapper(io.BufferedWriter(packed or hashed, 1 << 20), encoding="utf-8", newline="")
                 text.write(MARK)
-                lines = csv.writer(text, delimiter=self.sep, lineterminator="\n")
+                lines = csv.writer(text, delimiter=self.sep, lineterminator="\n", quoting=csv.QUOTE_NOTNULL if self.quoted else csv.QUOTE_MINIMAL)
                 lines.writerow(self.names)
                 while batch is not None and (packed.tell() if packed else hashed.bytes) < FILE_BYTES:
-                    lines.writerows(zip(*map(cells, batch.columns), strict=True))
+                    lines.writerows(zip(*(cells(c, None if self.quoted else "") for c in batch.columns), strict=True))
                     rows += batch.num_rows
                     batch = next(iterator, None)
                 text.flush()
@@ -145,7 +146,7 @@ class CsvWriter(DataSourceArrowWriter):
 
 
 class PanelCsv(DataSource):
-    """format("panel_csv"): options path, sep and compression (none or gzip). Only new folders are written."""
+    """format("panel_csv"): options path, sep, compression (none or gzip) and quoted (true or false). Only new folders are written."""
 
     @classmethod
     def name(cls) -> str:

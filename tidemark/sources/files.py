@@ -8,6 +8,7 @@ a row with its error, and the others go on.
 from __future__ import annotations
 
 import csv
+import gzip
 import io
 from collections.abc import Iterator
 from itertools import chain, islice
@@ -117,37 +118,40 @@ def separator(line: str) -> str:
     return ";" if line.count(";") > line.count(",") else ","
 
 
-def _records(width: int, encoding: str):
-    """Records of delimited files, of which each task finds the separators itself; short ones are filled up, long ones are cut."""
+def _records(width: int, encoding: str, quoted: bool = False):
+    """Records of delimited files, of which each task finds separators and packing itself; short ones are filled up, long ones are cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f"_{i}" for i in range(width)]
+        csv.field_size_limit(1 << 30)  # holds for the process that parses
         for batch in batches:
             for payload in batch.column(0):
-                body = io.TextIOWrapper(pa.BufferReader(payload.as_buffer()), encoding=encoding, errors="replace", newline="")
+                raw = pa.BufferReader(payload.as_buffer())
+                is_gzip = raw.read(2) == b"\x1f\x8b"
+                raw.seek(0)
+                body = io.TextIOWrapper(gzip.GzipFile(fileobj=raw) if is_gzip else raw, encoding=encoding, errors="replace", newline="")
                 head = [body.readline().removeprefix("\ufeff")]
                 while not head[-1].endswith("\n") and (more := body.readline()):
                     head.append(more)
-                lines = csv.reader(chain(head, body), delimiter=separator("".join(head)))
+                lines = csv.reader(chain(head, body), delimiter=separator("".join(head)), quoting=csv.QUOTE_NOTNULL if quoted else csv.QUOTE_MINIMAL)
                 next(lines, None)
                 while held := list(islice(lines, 20_000)):
-                    rows = [[*r[:width], *[""] * (width - len(r))] for r in held if r]
-                    columns = [pa.array([x or None for x in c], pa.string()) for c in zip(*rows, strict=True)] if rows else []
+                    rows = [[*r[:width], *[None] * (width - len(r))] for r in held if r]
+                    columns = [pa.array(c if quoted else [x or None for x in c], pa.string()) for c in zip(*rows, strict=True)] if rows else []
                     if columns:
                         yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def read_delimited(spark: SparkSession, path: str | list[str], schema: str, pattern: str = "*.csv", encoding: str = "UTF-8") -> DataFrame:
+def read_delimited(spark: SparkSession, path: str | list[str], schema: str, pattern: str = "*.csv", encoding: str = "UTF-8", quoted: bool = False) -> DataFrame:
     """CSV files whose separator is ";" where each file's first line has more of them than ",", else ","; a byte-order mark is dropped.
 
-    Files are read once: the task that has a file sniffs and parses it, and the driver knows no file by name. Quoted fields may hold
-    separators, quotes and line feeds. Columns are taken by position; empty is null, as is what is no value of its column's type. A file has to
-    fit in a task."""
+    Files are read once: the task that has a file sniffs and parses it, gzip too, and the driver knows no file by name. Quoted fields may hold
+    separators, quotes and line feeds. Columns are taken by position; empty is null (quoted: only where it stands without quotes), as is what
+    is no value of its column's type. A file has to fit in a task; one that was packed is unpacked as a stream."""
     fields = StructType.fromDDL(schema)
-    csv.field_size_limit(1 << 30)
-    rows = payloads(spark, path, pattern).select("content").mapInArrow(_records(len(fields), encoding), ", ".join(f"_{i} string" for i in range(len(fields))))
+    rows = payloads(spark, path, pattern).select("content").mapInArrow(_records(len(fields), encoding, quoted), ", ".join(f"_{i} string" for i in range(len(fields))))
     return rows.select(*[F.col(f"_{i}").try_cast(f.dataType).alias(f.name) for i, f in enumerate(fields)])
 
 

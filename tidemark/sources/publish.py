@@ -105,13 +105,15 @@ def snapshot(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], Da
     return tables, spark.createDataFrame(rows, SUMMARY), spark.createDataFrame(events, quality.EVENT)
 
 
-def write_csv(df: DataFrame, folder: str, compressed: bool = False, sep: str = ",") -> DataFrame:
-    """A new folder of CSV files as described in csv_sink; nested columns are JSON. Returns its manifest: source_file, rows, bytes, sha256."""
+def write_csv(df: DataFrame, folder: str, compressed: bool = False, sep: str = ",", quoted: bool = False) -> DataFrame:
+    """A new folder of CSV files as described in csv_sink; nested columns are JSON. Returns its manifest: source_file, rows, bytes, sha256.
+
+    quoted: all values but nulls stand in quotes, so that empty texts are not read as null; a null in a table of one column is an error then."""
     spark = df.sparkSession
     ship(spark)
     spark.dataSource.register(PanelCsv)
     plain = df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes])
-    plain.write.format("panel_csv").mode("append").options(sep=sep, compression="gzip" if compressed else "none").save(folder)
+    plain.write.format("panel_csv").mode("append").options(sep=sep, compression="gzip" if compressed else "none", quoted=quoted).save(folder)
     return csv_manifest(spark, folder)
 
 
